@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kmerloom.llm.bpe import encode_decode
 from kmerloom.llm.content_dedup import exact_dedup
 from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
+from kmerloom.llm.packing import pack
+from kmerloom.llm.simhash import simhash_components
+
+#: The vocabulary file by its name; executors find it in their own installation.
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +33,19 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(_documents(spark, sf_dir), vocabulary_path())
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), vocabulary_path(), capacity=1024, end_id=2)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_components(_documents(spark, sf_dir), shingle=3, seed=42, radius=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir), keep="largest")
 
@@ -28,6 +53,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": op2_line_dedup,
+        "op3_bpe": op3_bpe,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
