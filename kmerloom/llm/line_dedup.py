@@ -16,10 +16,11 @@ other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import ascii_lower, hot_keys, materialize
+from kmerloom.llm.common import ascii_lower, materialize
+from kmerloom.llm.occurrences import later_occurrences
 
 #: ASCII white space: blank and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
@@ -50,37 +51,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     lines this is the compressed keep bitmap.
     """
     occ = materialize(line_keys(docs, min_chars))
-    keys = ["h1", "h2"]
-    hot = materialize(hot_keys(occ, keys))
-    best = F.col("doc_id").desc_nulls_last()
-    run = Window.partitionBy(*keys)
-    cold_drop = (
-        occ.join(F.broadcast(hot), keys, "left_anti")
-        .repartitionByRange(*keys)
-        .sortWithinPartitions(*keys, best, "pos")
-        .withColumn("first_doc", F.first("doc_id").over(run.orderBy(best)))
-        .withColumn("nth_doc", F.dense_rank().over(run.orderBy(best)))
-        .withColumn("n_docs", F.max("nth_doc").over(run))
-        .filter((F.col("n_docs") >= min_docs) & (F.col("nth_doc") > 1))
-        .select("doc_id", "row_fp", "pos")
-    )
-    verdict = (
-        occ.join(F.broadcast(hot), keys)
-        .select(*keys, F.coalesce("doc_id", F.lit(-(2**63))).alias("d"))
-        .distinct()
-        .groupBy(*keys)
-        .agg(F.max("d").alias("last"), F.count(F.lit(1)).alias("n_docs"))
-        .filter(F.col("n_docs") >= min_docs)
-    )
-    hot_drop = (
-        occ.join(F.broadcast(verdict), keys)
-        .filter(F.coalesce("doc_id", F.lit(-(2**63))) < F.col("last"))
-        .select("doc_id", "row_fp", "pos")
-    )
+    dropped = later_occurrences(occ, ["h1", "h2"], ["row_fp", "pos"], largest_first=True, min_docs=min_docs)
     bit = F.expr("shiftleft(1L, pos % 64)")
     return (
-        cold_drop.unionByName(hot_drop)
-        .repartition("doc_id", "row_fp")
+        dropped.repartition("doc_id", "row_fp")
         .groupBy("doc_id", "row_fp", F.expr("pos div 64").cast("int").alias("word"))
         .agg(F.bit_or(bit).alias("bits"))
         .groupBy("doc_id", "row_fp")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm.bpe import encode_decode
+from kmerloom.llm.chunk_dedup import dedup_substrings
 from kmerloom.llm.content_dedup import exact_dedup
 from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from kmerloom.llm.packing import pack
@@ -27,6 +28,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(_documents(spark, sf_dir), min_words=20)
+    return found.select("doc_id", "text", "n_spans", "n_bytes_dropped")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     kept = apply_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_chars=20, min_docs=3))
@@ -52,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
         "op5_best_fit_packing": op5_best_fit_packing,
