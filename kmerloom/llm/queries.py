@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kmerloom.llm.bpe import encode_decode
 from kmerloom.llm.chunk_dedup import dedup_substrings
 from kmerloom.llm.content_dedup import exact_dedup
+from kmerloom.llm.language import identify
 from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from kmerloom.llm.packing import pack
 from kmerloom.llm.simhash import simhash_components
@@ -43,6 +44,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary_path(), capacity=1024, end_id=2)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substring_dedup": op1_substring_dedup,
         "op2_line_dedup": op2_line_dedup,
         "op3_bpe": op3_bpe,
+        "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
