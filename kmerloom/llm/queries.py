@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from kmerloom.llm.bpe import encode_decode
 from kmerloom.llm.chunk_dedup import dedup_substrings
 from kmerloom.llm.content_dedup import exact_dedup
+from kmerloom.llm.html_text import extract
 from kmerloom.llm.language import identify
 from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from kmerloom.llm.packing import pack
+from kmerloom.llm.repetition import quality
 from kmerloom.llm.simhash import simhash_components
 
 #: The vocabulary file by its name; executors find it in their own installation.
@@ -52,6 +54,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary_path(), capacity=1024, end_id=2)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(_documents(spark, sf_dir), shingle=3, seed=42, radius=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -68,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op7_html_extraction": op7_html_extraction,
+        "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
         "op10_exact_dedup": op10_exact_dedup,
     }
