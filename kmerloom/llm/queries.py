@@ -12,6 +12,7 @@ from kmerloom.llm.chunk_dedup import dedup_substrings
 from kmerloom.llm.content_dedup import exact_dedup
 from kmerloom.llm.html_text import extract
 from kmerloom.llm.language import identify
+from kmerloom.llm.licenses import scan, scan_sql
 from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from kmerloom.llm.packing import pack
 from kmerloom.llm.repetition import quality
@@ -54,6 +55,10 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary_path(), capacity=1024, end_id=2)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_documents(spark, sf_dir), least=0.8)
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_language_id": op4_language_id,
         "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_license_scan": op6_license_scan,
         "op7_html_extraction": op7_html_extraction,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash": op9_simhash,
@@ -121,4 +127,4 @@ FROM g
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op6_license_scan": scan_sql(least=0.8), "op10_exact_dedup": OP10_SQL}
