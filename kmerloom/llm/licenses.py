@@ -6,7 +6,8 @@ where the template's opening words stand. A unit's set of word bigrams is compar
 with a template's by 2 * common / (sum of sizes). A coefficient of ``least`` bounds the
 ratio of sizes, so a unit meets only templates whose size lies in its bounds: the table
 of template bigrams is broadcast, it has the size of this file's texts, and only the
-bigrams that units share with templates are grouped.
+bigrams that units share with templates are grouped. Units without any of a few words, one of
+which every unit that can reach ``least`` must have, are left out at once.
 
 Defined cases: a null or empty text has no licence; equal ``doc_id`` give one row with the
 findings of all; a null ``doc_id`` is a document of its own; equal units of one text count
@@ -18,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,6 +123,32 @@ def template_bigrams(templates: list[tuple[str, str]]) -> list[tuple[str, int, i
     return rows
 
 
+def key_words(templates: list[tuple[str, str]], least: float) -> list[str]:
+    """Words of which any unit that reaches ``least`` with some template has one.
+
+    Such a unit shares at least ``need`` bigrams of the template's t, so it has one of
+    any t - need + 1 of them: words are picked, those that cover most first and long
+    ones before short ones, until so many bigrams of each template hold a picked word.
+    """
+    open_ = []
+    for k in range(len(templates)):
+        pairs = {tuple(p.split()) for *_, p in template_bigrams(templates[k : k + 1])}
+        open_.append([pairs, len(pairs) - math.ceil(len(pairs) * least / (2 - least) - 1e-9) + 1])
+    picked: list[str] = []
+    while any(n > 0 for _, n in open_):
+        gain: dict[str, int] = {}
+        for pairs, n in open_:
+            for w in {w for p in pairs for w in p} if n > 0 else ():
+                gain[w] = gain.get(w, 0) + min(n, sum(w in p for p in pairs))
+        word = max(gain, key=lambda w: (len(w) >= 6, gain[w], len(w), w))
+        picked.append(word)
+        for t in open_:
+            hit = {p for p in t[0] if word in p}
+            t[0] -= hit
+            t[1] -= len(hit)
+    return sorted(picked)
+
+
 def _squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
@@ -159,10 +188,14 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] |
     sizes = [n for *_, n, _ in table]
     lo, hi = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     known = spark.createDataFrame(table, "license string, template int, t_size int, bigram string")
+    words = key_words(templates, least)
+    has_key = lambda c: reduce(or_, [F.contains(F.col(c), F.lit(w)) for w in words])
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_fp"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     units = (
-        rows.withColumn("flat", _squeeze(F.col("low")))
+        rows.filter(has_key("low"))
+        .withColumn("flat", _squeeze(F.col("low")))
         .select("doc_id", "row_fp", F.posexplode(_units(templates)).alias("unit", "body"))
+        .filter(has_key("body"))
         .withColumn("w", F.split("body", " ", -1))
         .filter(F.size("w") - 1 >= max(1, math.ceil(lo - 1e-9)))
         .withColumn("bigrams", F.array_distinct(F.zip_with(
