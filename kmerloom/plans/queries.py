@@ -5,11 +5,265 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kmerloom.functions import sequence as S
+from kmerloom.functions import text as X
+from kmerloom.operators import bloom, genes, junctions, kmers, splice, splicegraph
+from kmerloom.plans import derived as D
+from kmerloom.plans import sql
+from kmerloom.storage import materialize
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+K = D.K
+#: Splice signals before and after an exon.
+LEFT_SIGNALS, RIGHT_SIGNALS = ["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _benchmark_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the benchmark passages that are IUPAC codes, case kept."""
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", "[^ACGTMRWSYKVHDBNacgtmrwsykvhdbn]", "").alias("codes"))
+
+
+def seq_revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return D.contigs(spark, d).select("doc_id", S.reverse_complement(F.col("seq")).alias("revcomp"))
+
+
+def seq_complement_iupac(spark: SparkSession, d: str) -> DataFrame:
+    return _benchmark_codes(spark, d).select("item_id", S.complement(F.col("codes")).alias("complement"), S.flatten_codes(F.col("codes")).alias("flat"), S.has_codes(F.col("codes")).alias("has_codes"))
+
+
+def seq_mask_trim(spark: SparkSession, d: str) -> DataFrame:
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    return _table(spark, d, "documents").select("doc_id", S.trim_masked(letters).alias("trimmed"), F.upper(S.trim_masked(letters)).alias("folded"))
+
+
+def kmer_explode(spark: SparkSession, d: str) -> DataFrame:
+    rows = kmers.explode_kmers(D.contigs(spark, d), K)
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kmers"), F.min("canon").alias("first_canon"), F.max("x").alias("last_x"), F.count_distinct("canon").alias("distinct_kmers"))
+
+
+def kmer_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.spectrum(D.contigs(spark, d), K)
+
+
+def kmer_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.kmer_totals(D.contigs(spark, d), K)
+
+
+def kmer_estimate(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.estimate_distinct(D.contigs(spark, d), K)
+
+
+def kmer_solid(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.solid_set(D.reads(spark, d), K)
+
+
+def kmer_ref_set(spark: SparkSession, d: str) -> DataFrame:
+    return D.known_kmers(spark, d)
+
+
+def kmer_missing(spark: SparkSession, d: str) -> DataFrame:
+    return kmers.missing_kmers(D.transcripts(spark, d), D.known_kmers(spark, d), K)
+
+
+def hit_vector(spark: SparkSession, d: str) -> DataFrame:
+    hits = kmers.hit_vector(D.transcripts(spark, d), D.known_kmers(spark, d), K)
+    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("kmers"), F.count_if("hit").alias("hits"), F.sum(F.when(F.col("hit"), F.col("x")).otherwise(0)).cast("bigint").alias("hit_places"))
+
+
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.scanned_hits(D.transcripts(spark, d), D.known_kmers(spark, d), K)
+
+
+def first_match(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.first_match(_scanned(spark, d)).select("id", (F.col("first_x") + 1).alias("start"))
+
+
+def last_match(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.last_match(_scanned(spark, d), K)
+
+
+def junction_gaps_l0(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.gaps(_scanned(spark, d)).select("id", (F.col("start_x") + K).alias("gap_start"), (F.col("end_x") + K).alias("gap_end"))
+
+
+def _bounds(spark: SparkSession, d: str, leniency: int) -> DataFrame:
+    return junctions.boundaries_by_windows(D.transcripts(spark, d), D.known_kmers(spark, d), K, leniency)
+
+
+def boundaries_l0(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.boundary_rows(_bounds(spark, d, 0))
+
+
+def boundaries_plain(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.boundary_rows(_bounds(spark, d, D.LENIENCY))
+
+
+def exons_all_l0(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.all_exons(D.transcripts(spark, d), _bounds(spark, d, 0))
+
+
+def exons_confident_l0(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.confident_exons(D.transcripts(spark, d), _bounds(spark, d, 0))
+
+
+def exons_plain(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.confident_exons(D.transcripts(spark, d), _bounds(spark, d, D.LENIENCY))
+
+
+def _lenient(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.boundaries(D.transcripts(spark, d), materialize(D.known_kmers(spark, d)), K, D.LENIENCY)
+
+
+def exons_lenient(spark: SparkSession, d: str) -> DataFrame:
+    return junctions.confident_exons(D.transcripts(spark, d), _lenient(spark, d))
+
+
+def substitutions(spark: SparkSession, d: str) -> DataFrame:
+    """Bases that probing corrects in transcripts with one base changed."""
+    own = D.transcripts(spark, d)
+    place = F.lit(60) + F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(40))
+    base = F.translate(F.substring(F.col("seq"), place.cast("int"), F.lit(1)), "ACGT", "CGTA")
+    changed = own.select("id", F.overlay(F.col("seq"), base, place.cast("int"), F.lit(1)).alias("seq"))
+    return junctions.substitutions(junctions.boundaries(changed, materialize(D.known_kmers(spark, d)), K, D.LENIENCY))
+
+
+def splice_extend(spark: SparkSession, d: str) -> DataFrame:
+    exons = exons_plain(spark, d).select(F.concat_ws("_", "id", "start", "end", "exon_no").alias("id"), F.col("exon_seq").alias("seq"))
+    return splice.extend_exons(materialize(exons), materialize(D.known_kmers(spark, d)), K, LEFT_SIGNALS, RIGHT_SIGNALS)
+
+
+def exon_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return splicegraph.exon_blocks(D.exon_records(spark, d)).select("rec_no", "exon", "next_exon", "is_first", "is_last", "terminal")
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    blocks = splicegraph.exon_blocks(D.exon_records(spark, d))
+    return blocks, materialize(splicegraph.end_index(blocks))
+
+
+def start_end_index(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[1]
+
+
+def shared_kmer_groups(spark: SparkSession, d: str) -> DataFrame:
+    return splicegraph.shared_groups(_index(spark, d)[1])
+
+
+def exon_components(spark: SparkSession, d: str) -> DataFrame:
+    return splicegraph.exon_components(_index(spark, d)[1])
+
+
+def merge_labels(spark: SparkSession, d: str) -> DataFrame:
+    blocks, index = _index(spark, d)
+    return splicegraph.merge_labels(blocks, splicegraph.exon_components(index))
+
+
+def _graph(spark: SparkSession, d: str) -> DataFrame:
+    blocks, index = _index(spark, d)
+    labels = splicegraph.merge_labels(blocks, splicegraph.exon_components(index))
+    return materialize(splicegraph.relabel(splicegraph.chain_edges(blocks), labels))
+
+
+def splice_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d)
+
+
+def dot_lines(spark: SparkSession, d: str) -> DataFrame:
+    return _graph(spark, d).select(splicegraph.dot_line(F.col("src"), F.col("dst")).alias("line"))
+
+
+def _order_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("line_no"), F.concat(F.lit("O"), "o_orderkey").alias("src"), F.concat(F.lit("C"), "o_custkey").alias("dst")
+    )
+
+
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return genes.node_ids(_order_edges(spark, d))
+
+
+def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    return genes.genes(_order_edges(spark, d))
+
+
+def exon_gene_map(spark: SparkSession, d: str) -> DataFrame:
+    return genes.genes(_graph(spark, d))
+
+
+def transcript_gene_map(spark: SparkSession, d: str) -> DataFrame:
+    return genes.transcript_genes(genes.genes(_graph(spark, d)))
+
+
+def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    edges = _graph(spark, d)
+    return genes.subgraph_edges(edges, genes.genes(edges))
+
+
+def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_keys")
+    counted = kmers.count_kmers(D.reads(spark, d), K).agg(F.count(F.lit(1)).alias("primary"), F.count_if(F.col("n") >= 2).alias("secondary"))
+    rows = counted.select(F.explode(F.array(F.struct(F.lit("primary").alias("role"), F.col("primary").alias("n_keys")), F.struct(F.lit("secondary").alias("role"), F.col("secondary").alias("n_keys")))).alias("r")).select("r.*")
+    bits = bloom.filter_bits(n, 0.01)
+    return rows.select("role", "n_keys", bits.alias("bits"), bloom.filter_hashes(bits, n).alias("hashes"))
+
+
+def bloom_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Bits set and measured rate of a filter of all reference k-mers."""
+    known = materialize(D.known_kmers(spark, d))
+    bits, hashes = bloom.size_for(known.count(), 0.01)
+    slices = bloom.build(known, K, bits, hashes)
+    return bloom.set_bits(slices).select("set_bits", F.lit(bits).alias("bits"), F.lit(hashes).alias("hashes"), F.lit(K).alias("k"), bloom.measured_rate(F.col("set_bits"), F.lit(bits), F.lit(hashes)).alias("rate"))
+
+
+def si_format(spark: SparkSession, d: str) -> DataFrame:
+    price = F.col("l_extendedprice")
+    n = F.floor(price * 1000).cast("bigint")
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.to_si(price).alias("si"), X.bytes_to_si(n).alias("bytes_si"), X.to_engineering(n).alias("eng"))
+
+
+def si_parse(spark: SparkSession, d: str) -> DataFrame:
+    unit = F.element_at(F.array(*[F.lit(u) for u in ("", "k", "M", "g", "T", "x", "kb")]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    s = F.concat(F.col("p_size").cast("string"), unit)
+    return _table(spark, d, "part").select("p_partkey", X.from_si(s).alias("number"), X.si_to_bytes(s).alias("bytes"))
+
+
+def read_pair(spark: SparkSession, d: str) -> DataFrame:
+    a = F.concat(F.lit("r"), (F.col("o_custkey") % 10).cast("string"), F.lit("/1"))
+    b = F.concat(F.lit("r"), (F.col("o_orderkey") % 10).cast("string"), F.when(F.col("o_orderkey") % 3 == 0, "/1").otherwise("/2"))
+    return _table(spark, d, "orders").select("o_orderkey", X.is_read_pair(a, b).alias("pair"), X.starts_with(b, "r1").alias("starts"), X.ends_with(b, "/2").alias("ends"), X.chomp(b, "1").alias("chomped"))
+
+
+def ambiguity_ops(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of neighbouring codes in each passage."""
+    codes = F.split("codes", "")
+    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = _benchmark_codes(spark, d).filter(F.char_length("codes") > 1).select("item_id", F.posexplode(pairs).alias("at", "p")).select("item_id", "at", "p.a", "p.b")
+    a, b = F.col("a"), F.col("b")
+    return rows.select("item_id", "at", S.codes_and(a, b).alias("both"), S.codes_or(a, b).alias("either"), S.codes_nested(a, b).alias("nested"))
+
+
+def colour_space(spark: SparkSession, d: str) -> DataFrame:
+    rows = D.reads(spark, d).select("doc_id", "r", "seq", S.to_colours(F.col("seq")).alias("colours"))
+    return rows.select("doc_id", "r", "colours", S.from_colours(F.substring("seq", 1, 1), F.col("colours")).alias("bases"))
+
+
+QUERIES: list[Query] = [
+    seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_solid, kmer_ref_set, kmer_missing,
+    hit_vector, first_match, last_match, junction_gaps_l0, boundaries_l0, boundaries_plain, exons_all_l0, exons_confident_l0, exons_plain, exons_lenient,
+    substitutions, splice_extend, exon_blocks, start_end_index, shared_kmer_groups, exon_components, merge_labels, splice_edges, dot_lines, graph_nodes,
+    graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, si_format, si_parse, read_pair, ambiguity_ops, colour_space,
+]
+
+
+def queries() -> dict[str, Query]:
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.ORACLE
