@@ -34,48 +34,80 @@ def is_read_pair(a: Column, b: Column) -> Column:
     return (a == b) | (ends_with(a, "/1") & ends_with(b, "/2") & (chop(a) == chop(b)))
 
 
+def _plain(n: Column, places: int) -> Column:
+    """``n`` / 10 ** places without trailing zeros."""
+    if not places:
+        return n.cast("string")
+    rest = F.regexp_replace(F.lpad((n % 10**places).cast("string"), places, "0"), "0+$", "")
+    whole = F.floor(n / 10**places).cast("bigint").cast("string")
+    return F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+
+
 def significant(x: Column, digits: int) -> Column:
-    """``x`` of at least 0 with so many significant digits, in plain notation without trailing zeros, or with an exponent where that is shorter notation's rule."""
-    x = x.cast("double")
-    # A printed mantissa carries the rounding to the exponent, so 999.6 with 3 digits is 1e+03.
-    shown = F.format_string(f"%.{digits - 1}e", x)
-    exponent = F.substring_index(shown, "e", -1).cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(shown, "e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    powered = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    plain = F.lit(None).cast("string")
-    for e in range(-4, digits):
-        fixed = F.format_string(f"%.{digits - 1 - e}f", x)
-        trimmed = F.regexp_replace(F.regexp_replace(fixed, r"(\.\d*?)0+$", "$1"), r"\.$", "") if digits - 1 - e else fixed
-        plain = F.when(exponent == e, trimmed).otherwise(plain)
-    return F.when(x == 0, F.lit("0")).when((exponent < -4) | (exponent >= digits), powered).otherwise(plain)
+    """``x`` of at least 0 with up to four significant digits, as C prints it with %g.
+
+    From 1 up the exact binary value is rounded, ties to even: its fraction is a whole
+    number of 2 ** -52. Below 1 the shortest decimal form is rounded.
+    """
+    # The lambda binds the value, so generated code does not repeat its expression.
+    return F.get(F.transform(F.array(x.cast("double")), lambda v: _significant(v, digits)), F.lit(0))
+
+
+def _significant(x: Column, digits: int) -> Column:
+    whole = F.floor(x).cast("bigint")
+    bits = ((x - F.floor(x)) * float(1 << 52)).cast("bigint")
+    out = F.lit(None).cast("string")
+    for e in range(digits):
+        scale = 10 ** (digits - 1 - e)
+        part = bits * scale
+        n = whole * scale + F.shiftright(part, 52)
+        rest, half = part.bitwiseAND((1 << 52) - 1), 1 << 51
+        n = n + F.when((rest > half) | ((rest == half) & (n % 2 == 1)), 1).otherwise(0)
+        shown = _plain(n, digits - 1 - e)
+        if e == digits - 1:
+            shown = F.when(n == 10**digits, F.lit(f"1e+{digits:02d}")).otherwise(shown)
+        out = F.when((x >= 10.0**e) & (x < 10.0 ** (e + 1)), shown).otherwise(out)
+    text = F.format_string(f"%.{digits - 1}e", x)
+    exponent = F.substring_index(text, "e", -1).cast("int")
+    mantissa = F.regexp_replace(F.regexp_replace(F.substring_index(text, "e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    power = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), F.greatest(-exponent - 1, F.lit(0))), F.replace(mantissa, F.lit("."), F.lit("")))
+    return (
+        F.when(x == 0, "0")
+        .when(x >= 10.0**digits, power)
+        .when(x >= 1, out)
+        .when(exponent == 0, mantissa)
+        .when(exponent >= -4, small)
+        .otherwise(power)
+    )
+
+
+def _scaled(x: Column, steps: list[tuple[float, str]], digits: int) -> Column:
+    """``x`` over the largest of the rising ``steps`` that it reaches, and the unit of that step."""
+    value, unit = x, F.lit(steps[0][1])
+    for size, name in steps[1:]:
+        value = F.when(x >= size, x / size).otherwise(value)
+        unit = F.when(x >= size, name).otherwise(unit)
+    return F.concat(significant(value, digits), unit)
 
 
 def to_si(n: Column) -> Column:
     """Three significant digits with a blank and the unit of thousands."""
-    n = n.cast("double")
-    out = F.concat(significant(n / 1e12, 3), F.lit(" T"))
-    for power, unit in reversed(list(enumerate(UNITS[:3], 1))):
-        out = F.when(n < 1000.0 ** (power + 1), F.concat(significant(n / 1000.0**power, 3), F.lit(f" {unit}"))).otherwise(out)
-    return F.when(n < 1e3, F.concat(significant(n, 3), F.lit(" "))).otherwise(out)
+    return _scaled(n.cast("double"), [(1.0, " ")] + [(1000.0**i, f" {u}") for i, u in enumerate(UNITS, 1)], 3)
 
 
 def bytes_to_si(n: Column) -> Column:
     """Three significant digits and the unit of powers of 1024; whole below 1024."""
-    x = n.cast("double")
-    out = F.concat(significant(x / 1024.0**4, 3), F.lit("T"))
-    for power, unit in reversed(list(enumerate(UNITS[:3], 1))):
-        out = F.when(x < 1024.0 ** (power + 1), F.concat(significant(x / 1024.0**power, 3), F.lit(unit))).otherwise(out)
-    return F.when(x < 1024, n.cast("bigint").cast("string")).otherwise(out)
+    scaled = _scaled(n.cast("double"), [(1.0, "")] + [(1024.0**i, u) for i, u in enumerate(UNITS, 1)], 3)
+    return F.when(n < 1024, n.cast("bigint").cast("string")).otherwise(scaled)
 
 
 def to_engineering(n: Column) -> Column:
     """Four significant digits, from ten million with e6, e9 or e12; whole numbers below stay whole."""
     x = n.cast("double")
-    out = F.concat(significant(x / 1e12, 4), F.lit("e12"))
-    out = F.when(x < 1e12, F.concat(significant(x / 1e9, 4), F.lit("e9"))).otherwise(out)
-    out = F.when(x < 1e9, F.concat(significant(x / 1e6, 4), F.lit("e6"))).otherwise(out)
-    whole = F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(significant(x, 4))
-    return F.when(x < 1e7, whole).otherwise(out)
+    value = F.when(x >= 1e12, x / 1e12).when(x >= 1e9, x / 1e9).when(x >= 1e7, x / 1e6).otherwise(x)
+    unit = F.when(x >= 1e12, "e12").when(x >= 1e9, "e9").when(x >= 1e7, "e6").otherwise("")
+    return F.when((x < 1e7) & (x == F.floor(x)), F.floor(x).cast("bigint").cast("string")).otherwise(F.concat(significant(value, 4), unit))
 
 
 def _quantity(s: Column, base: int) -> Column:

@@ -243,9 +243,9 @@ def ambiguity_ops(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of neighbouring codes in each passage."""
     codes = F.split("codes", "")
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = _benchmark_codes(spark, d).filter(F.char_length("codes") > 1).select("item_id", F.posexplode(pairs).alias("at", "p")).select("item_id", "at", "p.a", "p.b")
+    rows = _benchmark_codes(spark, d).filter(F.char_length("codes") > 1).select("item_id", F.posexplode(pairs).alias("place", "p")).select("item_id", "place", "p.a", "p.b")
     a, b = F.col("a"), F.col("b")
-    return rows.select("item_id", "at", S.codes_and(a, b).alias("both"), S.codes_or(a, b).alias("either"), S.codes_nested(a, b).alias("nested"))
+    return rows.select("item_id", "place", S.codes_and(a, b).alias("common"), S.codes_or(a, b).alias("united"), S.codes_nested(a, b).alias("nested"))
 
 
 def colour_space(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,6 @@ from kmerloom.functions.sequence import IUPAC, IUPAC_COMPLEMENT, IUPAC_MASK, MAS
 from kmerloom.plans.derived import BASES, EXON, GENE, K, LENIENCY, LETTERS, READ, STEP, STRIDE
 
 MIN_EXON = 5
-#: Rounds of label propagation that the small test tables need at most.
-ROUNDS = 24
 
 CONTIGS = f"contigs AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents)"
 READS = f"""reads AS (SELECT doc_id, r::INT AS r, substr(seq, 1 + {STEP} * r, {READ}) AS seq FROM (
@@ -38,7 +36,7 @@ events AS (SELECT id, x, triple, before FROM (
   FROM scanned s JOIN firsts f ON s.id = f.id WHERE x >= first_x AND (triple OR NOT hit)) WHERE triple <> before),
 gaps AS (SELECT id, x AS start_x, end_x FROM (
   SELECT id, x, triple, lead(x) OVER (PARTITION BY id ORDER BY x) AS end_x FROM events) WHERE NOT triple AND end_x IS NOT NULL)"""
-BASE = f"WITH {CONTIGS}"
+BASE = f"WITH RECURSIVE {CONTIGS}"
 PROBED = f"{BASE}, {TRANSCRIPTS}, {KNOWN}, {HITS}, {SCANNED}"
 
 
@@ -81,12 +79,10 @@ shared AS (SELECT side, kmer, count(DISTINCT exon) AS exons, min(exon) AS first_
 
 
 def _propagate(links: str, name: str) -> str:
-    """Least label of each node's component, by rounds over ``links`` (u, v)."""
-    out = f"""{name}_e AS MATERIALIZED (SELECT DISTINCT u, v FROM (SELECT u, v FROM {links} UNION ALL SELECT v, u FROM {links} UNION ALL SELECT u, u FROM {links} UNION ALL SELECT v, v FROM {links})),
-{name}_0 AS MATERIALIZED (SELECT u AS node, min(v) AS root FROM {name}_e GROUP BY u)"""
-    for i in range(1, ROUNDS + 1):
-        out += f", {name}_{i} AS MATERIALIZED (SELECT e.u AS node, min(p.root) AS root FROM {name}_e e JOIN {name}_{i - 1} p ON e.v = p.node GROUP BY e.u)"
-    return f"{out}, {name} AS (SELECT node, root FROM {name}_{ROUNDS})"
+    """Least node of each node's component over ``links`` (u, v), from all nodes that it reaches: for small test tables."""
+    return f"""{name}_e AS MATERIALIZED (SELECT u, v FROM {links} UNION SELECT v, u FROM {links}),
+{name}_r(node, other) AS (SELECT u, u FROM {name}_e UNION SELECT r.node, e.v FROM {name}_r r JOIN {name}_e e ON r.other = e.u),
+{name} AS (SELECT node, min(other) AS root FROM {name}_r GROUP BY node)"""
 
 
 MERGED = f"""{RECORDS}, links AS (SELECT DISTINCT e.exon AS u, s.first_exon AS v FROM ends e JOIN shared s ON e.side = s.side AND e.kmer = s.kmer WHERE e.exon <> s.first_exon),
@@ -102,7 +98,7 @@ GENES = f"""seen AS (SELECT label, min(seen) AS seen FROM (SELECT src AS label,
 ends2 AS (SELECT src AS u, dst AS v FROM edges), {_propagate('ends2', 'gene_comp')},
 numbered AS (SELECT root, row_number() OVER (ORDER BY min(seen)) AS gene FROM gene_comp JOIN seen ON node = label GROUP BY root),
 genes AS (SELECT node AS exon, gene FROM gene_comp JOIN numbered USING (root))"""
-ORDER_EDGES = "WITH edges AS (SELECT o_orderkey AS line_no, 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders)"
+ORDER_EDGES = "WITH RECURSIVE edges AS (SELECT o_orderkey AS line_no, 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders)"
 
 _both = lambda s: s + s.lower()
 _codes = "codes AS (SELECT item_id, regexp_replace(text, '[^ACGTMRWSYKVHDBNacgtmrwsykvhdbn]', '', 'g') AS codes FROM benchmark)"
@@ -164,11 +160,11 @@ ORACLE: dict[str, str] = {
     "si_parse": f"SELECT p_partkey, ({_quantity(1000)})::DOUBLE AS number, ceil({_quantity(1024)})::BIGINT AS bytes FROM ({_parts})",
     "read_pair": f"""SELECT o_orderkey, a = b OR (b LIKE '%/2' AND a[:-2] = b[:-2]) AS pair, b LIKE 'r1%' AS starts, b LIKE '%/2' AS ends,
       CASE WHEN b LIKE '%1' THEN b[:-2] ELSE b END AS chomped FROM (SELECT o_orderkey, 'r' || (o_custkey % 10) || '/1' AS a, {_b} AS b FROM orders)""",
-    "ambiguity_ops": f"""WITH {_codes}, pairs AS (SELECT item_id, at::INT AS at, codes[at + 1] AS a, codes[at + 2] AS b FROM (
-        SELECT item_id, codes, unnest(range(0, length(codes) - 1)) AS at FROM codes WHERE length(codes) > 1)),
+    "ambiguity_ops": f"""WITH {_codes}, pairs AS (SELECT item_id, place::INT AS place, codes[place + 1] AS a, codes[place + 2] AS b FROM (
+        SELECT item_id, codes, unnest(range(0, length(codes) - 1)) AS place FROM codes WHERE length(codes) > 1)),
       masks AS (SELECT *, '{MASK_IUPAC}'[({_mask('a')} & {_mask('b')}) + 1] AS m, '{MASK_IUPAC}'[({_mask('a')} | {_mask('b')}) + 1] AS o FROM pairs),
-      cased AS (SELECT *, CASE WHEN {_low('a')} AND {_low('b')} THEN lower(m) ELSE m END AS both, CASE WHEN {_low('a')} OR {_low('b')} THEN lower(o) ELSE o END AS either FROM masks)
-      SELECT item_id, at, both, either, both = a OR both = b AS nested FROM cased""",
+      cased AS (SELECT *, CASE WHEN {_low('a')} AND {_low('b')} THEN lower(m) ELSE m END AS common, CASE WHEN {_low('a')} OR {_low('b')} THEN lower(o) ELSE o END AS united FROM masks)
+      SELECT item_id, place, common, united, common = a OR common = b AS nested FROM cased""",
     "colour_space": f"""{BASE}, {READS} SELECT doc_id, r, array_to_string(list_transform(range(1, length(seq)),
         lambda i: xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1)), '') AS colours, seq AS bases FROM reads""",
 }
