@@ -3,9 +3,11 @@
 A gear rolling hash over the last 16 bytes of the UTF-8 text cuts each text into
 variable chunks, so an insertion moves the cuts next to it only. Chunks are
 deduplicated by digest: the first document, by smallest ``doc_id``, keeps its chunk.
-Later chunks that follow each other in a document form a run. Chance repeats of single
-chunks stay; a run of ``min_words`` words or more is a passage found elsewhere and
-goes.
+Later chunks that follow each other in a document form a run. The text beside the ends
+of a run is then compared, byte by byte, with the text beside the same chunk in the
+document that keeps it, so that the parts of a passage before its first whole chunk and
+after its last one belong to it. Chance repeats of single chunks stay; a passage of
+``min_words`` whole words or more goes.
 
 Defined cases: a null text counts as the empty text, which has no chunk, and stays
 null; rows with equal ``doc_id`` count as one document; a repeat inside one
@@ -22,11 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import materialize
-from kmerloom.llm.occurrences import later_occurrences
+from kmerloom.llm.common import join_with_hot, materialize
+from kmerloom.llm.occurrences import NO_DOC, later_occurrences
+
+#: ASCII white space.
+SPACE = b" \t\n\x0b\x0c\r"
 
 #: Least and most bytes of a chunk, and hash bits that are zero at a cut: 32 bytes between cuts on average, past the least.
 LEAST, MOST, BITS = 12, 256, 5
+#: Bytes beside a run that are compared; more than the longest chunk.
+REACH = 320
 
 
 def gear_table(seed: int = 20_111) -> np.ndarray:
@@ -64,8 +71,14 @@ def cuts(data: bytes) -> np.ndarray:
     return np.array(out, np.int64)
 
 
+def _key(docs: DataFrame) -> DataFrame:
+    """``docs`` with _doc, the identifier or the number that stands for none, and _fp, 16 bits of the text's hash."""
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC))
+    return docs.withColumns({"_doc": doc, "_fp": F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")})
+
+
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, row_fp, start, stop) of each chunk, places in bytes."""
+    """(h, doc_id, place) of each chunk; ``place`` packs start (bytes), 16 bits of the text's hash, and length (9 bits)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -75,79 +88,158 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
             for lo in range(0, len(batch), 64):
                 part = batch.iloc[lo : lo + 64]
                 frames = []
-                for doc_id, fp, text in zip(part["doc_id"], part["row_fp"], part["text"], strict=True):
+                for doc, fp, text in zip(part["_doc"], part["_fp"], part["text"], strict=True):
                     data = (text or "").encode()
                     stops = cuts(data)
                     if not len(stops):
                         continue
                     starts = np.concatenate(([0], stops[:-1]))
                     h = np.array([digest(data[a:b], 42) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64)
-                    frames.append((np.repeat(np.array([doc_id], object), len(h)), np.repeat(np.int64(fp), len(h)), h.view(np.int64), starts, stops))
+                    frames.append((np.full(len(h), doc, np.int64), h.view(np.int64), starts << 25 | int(fp) << 9 | stops - starts))
                 if frames:
-                    d, f, h, a, b = (np.concatenate(x) for x in zip(*frames, strict=True))
-                    yield pd.DataFrame({"h": h, "doc_id": pd.array(d, "Int64"), "row_fp": f, "start": a.astype(np.int32), "stop": b.astype(np.int32)})
+                    d, h, p = (np.concatenate(x) for x in zip(*frames, strict=True))
+                    yield pd.DataFrame({"h": h, "doc_id": d, "place": p})
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row_fp"), "text")
-    return rows.mapInPandas(run, "h bigint, doc_id bigint, row_fp bigint, start int, stop int")
+    return _key(docs.select("doc_id", "text")).select("_doc", "_fp", "text").mapInPandas(run, "h bigint, doc_id bigint, place bigint")
+
+
+def _unpack(df: DataFrame, place: str, prefix: str) -> DataFrame:
+    p = F.col(place)
+    start = F.shiftright(p, 25).cast("int")
+    return df.withColumns({
+        f"{prefix}start": start,
+        f"{prefix}stop": (start + p.bitwiseAND(0x1FF)).cast("int"),
+        f"{prefix}fp": F.shiftright(p, 9).bitwiseAND(0xFFFF).cast("int"),
+    })
 
 
 def repeated_runs(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc_id, row_fp, spans): runs of later chunks of ``min_bytes`` or more, as an array of (start, stop) in bytes."""
+    """(doc, fp, start, stop, left, right): runs of later chunks of ``min_bytes`` or more.
+
+    ``left`` and ``right`` say where the kept copies of the first and of the last chunk lie: (doc, fp, at).
+    """
     occ = materialize(chunk_rows(docs))
-    later = later_occurrences(occ, ["h"], ["row_fp", "start", "stop"], largest_first=False, min_docs=2)
-    own = ["doc_id", "row_fp"]
+    later = later_occurrences(occ, ["h"], ["place"], largest_first=False, min_docs=2, with_first=True)
+    rows = _unpack(_unpack(later, "place", ""), "first_place", "first_")
+    own = ["doc_id", "fp"]
     along = Window.partitionBy(*own).orderBy("start")
     opens = (F.col("start") > F.coalesce(F.lag("stop").over(along), F.lit(-1))).cast("int")
+    source = lambda at: F.struct(F.col("first_doc").alias("doc"), F.col("first_fp").alias("fp"), F.col(at).alias("at"))
     return (
-        later.repartition(*own)
-        .dropDuplicates([*own, "start", "stop"])
+        rows.repartition(*own)
+        .dropDuplicates([*own, "start"])
         .withColumn("opens", opens)
         .withColumn("run", F.sum("opens").over(along))
         .groupBy(*own, "run")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+        .agg(
+            F.min("start").alias("start"), F.max("stop").alias("stop"),
+            F.min_by(source("first_start"), "start").alias("left"), F.max_by(source("first_stop"), "start").alias("right"),
+        )
         .filter(F.col("stop") - F.col("start") >= int(min_bytes))
-        .groupBy(*own)
-        .agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+        .select(F.col("doc_id").alias("doc"), "fp", "start", "stop", "left", "right")
     )
 
 
-def words_in(data: bytes) -> int:
-    return len(data.split())
+def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (src, src_fp, side, at, n) with the REACH bytes before (side 0) or after ``at`` in the text of the source."""
+
+    @F.pandas_udf("array<binary>")
+    def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
+        def one(text: str | None, where: list) -> list[bytes]:
+            data = (text or "").encode()
+            return [data[x["at"] : x["at"] + REACH] if x["side"] else data[max(0, x["at"] - REACH) : x["at"]] for x in where]
+
+        return pd.Series([one(t, w) for t, w in zip(texts, places, strict=True)])
+
+    lists = wanted.groupBy("src", "src_fp").agg(F.collect_list(F.struct("side", "at", "n")).alias("places"))
+    texts = _key(docs.select("doc_id", "text")).select(F.col("_doc").alias("src"), F.col("_fp").alias("src_fp"), "text")
+    found = texts.join(lists.hint("shuffle_hash"), ["src", "src_fp"]).withColumn("bodies", cut("text", "places"))
+    return (
+        found.select("src", "src_fp", F.explode(F.arrays_zip("places", "bodies")).alias("x"))
+        .select("src", "src_fp", "x.places.side", "x.places.at", "x.places.n", F.col("x.bodies").alias("body"))
+        .dropDuplicates(["src", "src_fp", "side", "at"])
+    )
+
+
+def passages(docs: DataFrame, min_bytes: int) -> DataFrame:
+    """(doc, fp, spans): runs of each document with the bytes beside their kept copies, as structs (start, stop, side, body)."""
+    runs = materialize(repeated_runs(docs, min_bytes))
+    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(f"{c}.doc").alias("src"), F.col(f"{c}.fp").alias("src_fp"), F.col(f"{c}.at").alias("at"))
+    sides = runs.select("doc", "fp", "start", "stop", F.explode(F.array(side(0, "left"), side(1, "right"))).alias("s")).select("doc", "fp", "start", "stop", "s.*")
+    keys = ["src", "src_fp", "side", "at"]
+    beside = materialize(_slices(docs, sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))))
+    return (
+        join_with_hot(sides, beside, keys, "n", 2 * runs.count())
+        .groupBy("doc", "fp")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "side", "body"))).alias("spans"))
+    )
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes that two strings have in common at their start."""
+    n = min(len(a), len(b))
+    off = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(off[0]) if len(off) else n
+
+
+def widen(data: bytes, spans: list) -> list[tuple[int, int]]:
+    """Spans with what they share with their kept copies on both sides, cut back to whole words, and merged."""
+    ends: dict[tuple[int, int], list[int]] = {}
+    for x in spans:
+        a, b = x["start"], x["stop"]
+        at = ends.setdefault((a, b), [a, b])
+        if x["side"]:
+            at[1] = b + _common(data[b : b + REACH], x["body"])
+        else:
+            at[0] = a - _common(data[max(0, a - REACH) : a][::-1], x["body"][::-1])
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for a, b in ends.values()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    whole = []
+    for a, b in out:
+        while a < b and a and data[a - 1] not in SPACE and data[a] not in SPACE:
+            a += 1
+        while b > a and b < len(data) and data[b - 1] not in SPACE and data[b] not in SPACE:
+            b -= 1
+        whole.append((a, b))
+    return whole
 
 
 def cut_out(data: bytes, spans: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
-    """Text without the spans of ``min_words`` words or more, widened to whole characters; bytes and spans cut."""
+    """Text without the spans of ``min_words`` words or more; bytes and spans cut."""
     kept, last, gone, n = [], 0, 0, 0
     for a, b in spans:
         while a < b and data[a] & 0xC0 == 0x80:  # an end inside a character stays with the text
             a += 1
         while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
             b -= 1
-        if words_in(data[a:b]) >= min_words:
+        if len(data[a:b].split()) >= min_words:
             kept.append(data[last:a])
             last, gone, n = b, gone + b - a, n + 1
     kept.append(data[last:])
     return b"".join(kept).decode("utf-8", "replace"), gone, n
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 20, min_bytes: int = 64) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 25, min_bytes: int = 32) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``, and n_spans and n_bytes_dropped.
 
     If ``docs`` has columns of the names n_spans or n_bytes_dropped, these replace them.
     """
-    spans = repeated_runs(docs, min_bytes).select(
-        F.col("doc_id").alias("_s_doc"), F.col("row_fp").alias("_s_fp"), F.col("spans").alias("_s_spans")
-    )
+    spans = passages(docs, min_bytes).select(F.col("doc").alias("_s_doc"), F.col("fp").alias("_s_fp"), F.col("spans").alias("_s_spans"))
 
     @F.pandas_udf("text string, n_bytes_dropped bigint, n_spans int")
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = [
-            (t, 0, 0) if s is None else cut_out(t.encode(), [(x["start"], x["stop"]) for x in s], min_words)
+            (t, 0, 0) if s is None else cut_out(t.encode(), widen(t.encode(), s), min_words)
             for t, s in zip(texts, found, strict=True)
         ]
         return pd.DataFrame(rows, columns=["text", "n_bytes_dropped", "n_spans"])
 
-    same = docs["doc_id"].cast("bigint").eqNullSafe(spans["_s_doc"]) & (F.xxhash64(docs["text"]) == spans["_s_fp"])
-    joined = docs.join(spans.hint("shuffle_hash"), same, "left").withColumn("_s_out", apply(docs["text"], F.col("_s_spans")))
+    keyed = _key(docs)
+    same = (keyed["_doc"] == spans["_s_doc"]) & (keyed["_fp"] == spans["_s_fp"])
+    joined = keyed.join(spans.hint("shuffle_hash"), same, "left").withColumn("_s_out", apply(keyed["text"], F.col("_s_spans")))
     others = [docs[c] if c != "text" else F.col("_s_out.text").alias("text") for c in docs.columns if c not in ("n_spans", "n_bytes_dropped")]
     return joined.select(*others, F.col("_s_out.n_spans").alias("n_spans"), F.col("_s_out.n_bytes_dropped").alias("n_bytes_dropped"))

@@ -33,7 +33,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = dedup_substrings(_documents(spark, sf_dir), min_words=20)
+    found = dedup_substrings(_documents(spark, sf_dir))
     return found.select("doc_id", "text", "n_spans", "n_bytes_dropped")
 
 
