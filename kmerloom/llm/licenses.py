@@ -10,7 +10,7 @@ bigrams that units share with templates are grouped. Units without any of a few
 which every unit that can reach ``least`` must have, are left out at once.
 
 Defined cases: a null or empty text has no licence; equal ``doc_id`` give one row with the
-findings of all; a null ``doc_id`` is a document of its own; equal units of one text count
+findings of all, equal rows those of one; a null ``doc_id`` is a document of its own; equal units of one text count
 once; ties go to the first name; an empty table gives an empty result; other columns are not read.
 """
 
@@ -209,7 +209,7 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] |
         .join(F.broadcast(known), "bigram")
         .filter((F.col("u_size") <= F.col("t_size") * ratio + 1e-9) & (F.col("t_size") <= F.col("u_size") * ratio + 1e-9))
         .groupBy("doc_id", "row_fp", "unit", "u_size", "template", "t_size", "license")
-        .agg(F.count(F.lit(1)).alias("common"))
+        .agg(F.size(F.collect_set("bigram")).alias("common"))  # a set of a template's size at most; equal rows add nothing
         .withColumn("dice", 2.0 * F.col("common") / (F.col("u_size") + F.col("t_size")))
         .filter(F.col("dice") >= least)
         .select("doc_id", "license", "dice")
@@ -245,7 +245,7 @@ WITH known(license, template, t_size, bigram) AS (VALUES {values}),
 low AS (
   SELECT row_number() OVER () AS r, doc_id,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
-  FROM documents
+  FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), flat AS (SELECT r, doc_id, low, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS flat FROM low),
 units AS (
   SELECT DISTINCT r, doc_id, trim(regexp_replace(u, '[^a-z0-9]+', ' ', 'g')) AS body
