@@ -1,13 +1,14 @@
-"""Shared helpers: materialised tables and skew-safe joins."""
+"""Shared helpers: hot keys and skew-safe joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.storage import materialize
+
+__all__ = ["HOT_SHARE", "ascii_lower", "hot_keys", "join_with_hot", "materialize"]
+
 #: A key that holds more than this share of the rows is handled apart from the
 #: others, so at most 1 / HOT_SHARE keys are ever broadcast as hot.
 HOT_SHARE = 1e-3
@@ -15,33 +16,6 @@ HOT_SHARE = 1e-3
 HOT_SAMPLE_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = sc.getCheckpointDir()
-        if not found:
-            found = tempfile.mkdtemp(prefix="kmerloom-")
-            sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs only the tasks that it ran. The
-    files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kmerloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else; texts of ASCII only take the fast built-in."""
     upper = "".join(map(chr, range(65, 91)))
