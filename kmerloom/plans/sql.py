@@ -7,12 +7,12 @@ from kmerloom.plans.derived import BASES, EXON, GENE, K, LENIENCY, LETTERS, READ
 
 MIN_EXON = 5
 
-CONTIGS = f"contigs AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents)"
+CONTIGS = f"contigs AS MATERIALIZED (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents)"
 READS = f"""reads AS (SELECT doc_id, r::INT AS r, substr(seq, 1 + {STEP} * r, {READ}) AS seq FROM (
   SELECT doc_id, seq, unnest(range(0, (length(seq) - {READ}) // {STEP} + 1)) AS r FROM contigs WHERE length(seq) >= {READ}))"""
 TRANSCRIPTS = f"""exon_cut AS (SELECT doc_id, j, substr(seq, (j - 1) * {STRIDE} + 1, {EXON}) AS e FROM (
   SELECT doc_id, seq, unnest(range(1, (length(seq) - {EXON}) // {STRIDE} + 2)) AS j FROM contigs WHERE length(seq) >= {GENE})),
-transcripts AS (
+transcripts AS MATERIALIZED (
   SELECT 'D' || doc_id || 'T1' AS id, string_agg(e, '' ORDER BY j) AS seq FROM exon_cut GROUP BY doc_id
   UNION ALL SELECT 'D' || doc_id || 'T2', string_agg(e, '' ORDER BY j) FROM exon_cut WHERE j % 3 <> 0 GROUP BY doc_id)"""
 
@@ -23,9 +23,9 @@ def _kmers(table: str, key: str) -> str:
         SELECT {key}, seq, unnest(range(0, length(seq) - {K - 1})) AS x FROM {table} WHERE length(seq) >= {K}))"""
 
 
-KNOWN = f"known AS (SELECT DISTINCT canon FROM ({_kmers('contigs', 'doc_id')}))"
-HITS = f"""hits AS (SELECT t.id, t.x::INT AS x, t.kmer, k.canon IS NOT NULL AS hit FROM ({_kmers('transcripts', 'id')}) t LEFT JOIN known k ON t.canon = k.canon)"""
-SCANNED = f"""scanned AS (SELECT * FROM (
+KNOWN = f"known AS MATERIALIZED (SELECT DISTINCT canon FROM ({_kmers('contigs', 'doc_id')}))"
+HITS = f"""hits AS MATERIALIZED (SELECT t.id, t.x::INT AS x, t.kmer, k.canon IS NOT NULL AS hit FROM ({_kmers('transcripts', 'id')}) t LEFT JOIN known k ON t.canon = k.canon)"""
+SCANNED = f"""scanned AS MATERIALIZED (SELECT * FROM (
   SELECT h.id, x, hit, length(seq)::INT AS len,
          hit AND lead(hit, 1, false) OVER w AND lead(hit, 2, false) OVER w AS triple
   FROM hits h JOIN transcripts t ON h.id = t.id WHERE length(seq) >= {K + MIN_EXON} WINDOW w AS (PARTITION BY h.id ORDER BY x)) WHERE x <= len - {K} - 2),
@@ -34,7 +34,7 @@ lasts AS (SELECT id, max(x + {K}) AS last_pos FROM scanned WHERE hit GROUP BY id
 events AS (SELECT id, x, triple, before FROM (
   SELECT s.id, x, triple, lag(triple) OVER (PARTITION BY s.id ORDER BY x) AS before
   FROM scanned s JOIN firsts f ON s.id = f.id WHERE x >= first_x AND (triple OR NOT hit)) WHERE triple <> before),
-gaps AS (SELECT id, x AS start_x, end_x FROM (
+gaps AS MATERIALIZED (SELECT id, x AS start_x, end_x FROM (
   SELECT id, x, triple, lead(x) OVER (PARTITION BY id ORDER BY x) AS end_x FROM events) WHERE NOT triple AND end_x IS NOT NULL)"""
 BASE = f"WITH RECURSIVE {CONTIGS}"
 PROBED = f"{BASE}, {TRANSCRIPTS}, {KNOWN}, {HITS}, {SCANNED}"
@@ -42,7 +42,7 @@ PROBED = f"{BASE}, {TRANSCRIPTS}, {KNOWN}, {HITS}, {SCANNED}"
 
 def _bounds(leniency: int) -> str:
     middle = f"[start_x + {K} - 1, start_x + {K}]" if leniency == 0 else f"[start_x + {K} - 1, start_x + {K}, end_x - 1, end_x]"
-    return f"""bounds AS (SELECT f.id, [f.first_x + 1] || coalesce(j.v, []::INT[]) || [l.last_pos] AS b
+    return f"""bounds AS MATERIALIZED (SELECT f.id, [f.first_x + 1] || coalesce(j.v, []::INT[]) || [l.last_pos] AS b
   FROM firsts f JOIN lasts l ON f.id = l.id LEFT JOIN (
     SELECT id, flatten(list(v ORDER BY start_x)) AS v FROM (
       SELECT id, start_x, CASE WHEN end_x - start_x > {K + MIN_EXON} THEN {middle}
@@ -56,7 +56,7 @@ def _segments(confident: bool) -> str:
         inner = """SELECT id, seq, CASE WHEN len(b) = 2 THEN (CASE WHEN b[1] <> 1 AND b[2] < length(seq) - 2 THEN b ELSE []::INT[] END)
           ELSE list_slice(b, CASE WHEN b[1] = 1 THEN 3 ELSE 1 END, CASE WHEN b[len(b)] >= length(seq) - 2 THEN len(b) - 2 ELSE len(b) END) END AS b
         FROM (SELECT t.id, seq, b FROM bounds JOIN transcripts t ON bounds.id = t.id)"""
-    return f"""segs AS (SELECT id, i::INT AS exon_no, seq,
+    return f"""segs AS MATERIALIZED (SELECT id, i::INT AS exon_no, seq,
     (CASE WHEN i = 0 THEN b[1] ELSE greatest(b[2 * i], b[2 * i + 1]) END)::INT AS s,
     (CASE WHEN 2 * i + 2 = len(b) THEN b[len(b)] ELSE least(b[2 * i + 2], b[2 * i + 3]) END)::INT AS e
   FROM (SELECT id, seq, b, unnest(range(0, len(b) // 2)) AS i FROM ({inner}) WHERE len(b) >= 2))"""
@@ -66,16 +66,16 @@ EXONS = """SELECT id, exon_no, s AS "start", e AS "end", CASE WHEN e - s + 1 >=
 ROWS = "SELECT id, i::INT AS exon_no, b[2 * i + 1]::INT AS raw_start, b[2 * i + 2]::INT AS raw_end FROM (SELECT id, b, unnest(range(0, len(b) // 2)) AS i FROM bounds)"
 
 RECORDS = f"""{PROBED}, {_bounds(LENIENCY)}, {_segments(False)},
-exons AS (SELECT row_number() OVER (ORDER BY id, exon_no) - 1 AS rec_no, id AS name, id || '_' || s || '_' || e AS exon,
+exons AS MATERIALIZED (SELECT row_number() OVER (ORDER BY id, exon_no) - 1 AS rec_no, id AS name, id || '_' || s || '_' || e AS exon,
   CASE WHEN e - s + 1 >= 0 THEN substr(seq, s, e - s + 1) ELSE substr(seq, s) END AS seq FROM segs),
-blocks AS (SELECT *, is_first OR is_last AS terminal FROM (
+blocks AS MATERIALIZED (SELECT *, is_first OR is_last AS terminal FROM (
   SELECT rec_no, exon, name, seq, CASE WHEN lead(name) OVER o = name THEN lead(exon) OVER o END AS next_exon,
     coalesce(lag(name) OVER o <> name, true) AS is_first, coalesce(lead(name) OVER o <> name, true) AS is_last
   FROM exons WINDOW o AS (ORDER BY rec_no)) WHERE NOT (is_first AND is_last)),
-ends AS (
+ends AS MATERIALIZED (
   SELECT 'start' AS side, substr(seq, i + 1, 30) AS kmer, exon FROM (SELECT *, unnest(range(0, 10)) AS i FROM blocks WHERE length(seq) >= 39 AND NOT is_first)
   UNION ALL SELECT 'end', substr(seq, length(seq) - 30 - i + 1, 30), exon FROM (SELECT *, unnest(range(0, 10)) AS i FROM blocks WHERE length(seq) >= 39 AND NOT is_last)),
-shared AS (SELECT side, kmer, count(DISTINCT exon) AS exons, min(exon) AS first_exon FROM ends GROUP BY side, kmer HAVING count(DISTINCT exon) > 1)"""
+shared AS MATERIALIZED (SELECT side, kmer, count(DISTINCT exon) AS exons, min(exon) AS first_exon FROM ends GROUP BY side, kmer HAVING count(DISTINCT exon) > 1)"""
 
 
 def _propagate(links: str, name: str) -> str:
@@ -85,13 +85,13 @@ def _propagate(links: str, name: str) -> str:
 {name} AS (SELECT node, min(other) AS root FROM {name}_r GROUP BY node)"""
 
 
-MERGED = f"""{RECORDS}, links AS (SELECT DISTINCT e.exon AS u, s.first_exon AS v FROM ends e JOIN shared s ON e.side = s.side AND e.kmer = s.kmer WHERE e.exon <> s.first_exon),
+MERGED = f"""{RECORDS}, links AS MATERIALIZED (SELECT DISTINCT e.exon AS u, s.first_exon AS v FROM ends e JOIN shared s ON e.side = s.side AND e.kmer = s.kmer WHERE e.exon <> s.first_exon),
 {_propagate('links', 'comp')},
-members AS (SELECT c.node AS exon, c.root AS component, b.size, b.terminal FROM comp c JOIN (
+members AS MATERIALIZED (SELECT c.node AS exon, c.root AS component, b.size, b.terminal FROM comp c JOIN (
   SELECT exon, arg_max(length(seq), rec_no) AS size, arg_max(terminal, rec_no) AS terminal FROM blocks GROUP BY exon) b ON c.node = b.exon),
 stats AS (SELECT component, max(size) AS most, min(size) AS least, arg_min(exon, (-size, exon)) AS big FROM members GROUP BY component),
 judged AS (SELECT m.exon, m.component FROM members m JOIN stats s ON m.component = s.component WHERE s.least >= s.most - 5 OR m.terminal OR m.exon = s.big),
-labels AS (SELECT j.exon, l.label FROM judged j JOIN (SELECT component, string_agg(exon, '_OR_' ORDER BY exon) AS label FROM judged GROUP BY component) l ON j.component = l.component)"""
+labels AS MATERIALIZED (SELECT j.exon, l.label FROM judged j JOIN (SELECT component, string_agg(exon, '_OR_' ORDER BY exon) AS label FROM judged GROUP BY component) l ON j.component = l.component)"""
 GRAPH = f"""{MERGED}, chain AS (SELECT exon AS src, arg_max(next_exon, rec_no) AS dst, max(rec_no) AS line_no FROM blocks WHERE next_exon IS NOT NULL GROUP BY exon),
 edges AS MATERIALIZED (SELECT line_no, coalesce(a.label, src) AS src, coalesce(b.label, dst) AS dst FROM chain LEFT JOIN labels a ON src = a.exon LEFT JOIN labels b ON dst = b.exon)"""
 GENES = f"""seen AS (SELECT label, min(seen) AS seen FROM (SELECT src AS label, line_no * 2 AS seen FROM edges UNION ALL SELECT dst, line_no * 2 + 1 FROM edges) GROUP BY label),
