@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.operators.kmers import hit_vector
 from kmerloom.operators.lookup import BROADCAST_LIMIT, Has, answer_records
+from kmerloom.storage import materialize
 
 #: Least novel bases of an exon between two others.
 MIN_EXON = 5
@@ -75,7 +76,7 @@ def boundaries_by_windows(seqs: DataFrame, kmers: DataFrame, k: int, leniency: i
     least gap of a junction and lets a long gap be an exon of its own (an extension:
     there are no votes).
     """
-    scanned = scanned_hits(seqs, kmers, k)
+    scanned = materialize(scanned_hits(seqs, kmers, k))  # read four times
     start, end = F.col("start_x") + k, F.col("end_x") + k
     d = end - start
     middle = F.array(start - 1, start) if leniency == 0 else F.array(start - 1, start, end - k - 1, end - k)

@@ -77,7 +77,7 @@ def hit_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.scanned_hits(D.transcripts(spark, d), D.known_kmers(spark, d), K)
+    return materialize(junctions.scanned_hits(D.transcripts(spark, d), D.known_kmers(spark, d), K))
 
 
 def first_match(spark: SparkSession, d: str) -> DataFrame:
