@@ -189,13 +189,13 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] |
     lo, hi = min(sizes) * least / (2 - least), max(sizes) * (2 - least) / least
     known = spark.createDataFrame(table, "license string, template int, t_size int, bigram string")
     words = key_words(templates, least)
-    has_key = lambda c: reduce(or_, [F.contains(F.col(c), F.lit(w)) for w in words])
+    has_key = lambda c: reduce(or_, [F.contains(c, F.lit(w)) for w in words])
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_fp"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     units = (
-        rows.filter(has_key("low"))
+        rows.filter(F.exists(F.array("low"), has_key))  # an array of one: a filter that names ``low`` for each word would lower-case the text for each
         .withColumn("flat", _squeeze(F.col("low")))
         .select("doc_id", "row_fp", F.posexplode(_units(templates)).alias("unit", "body"))
-        .filter(has_key("body"))
+        .filter(has_key(F.col("body")))
         .withColumn("w", F.split("body", " ", -1))
         .filter(F.size("w") - 1 >= max(1, math.ceil(lo - 1e-9)))
         .withColumn("bigrams", F.array_distinct(F.zip_with(
