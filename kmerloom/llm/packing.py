@@ -18,7 +18,9 @@ gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,17 +30,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.bpe import chunks
+from kmerloom.llm.bpe import byte_symbols
 from kmerloom.llm.common import materialize
 
-#: Pieces of text kept with their ids in each Python worker.
-CACHE = 400_000
+#: Texts with a longer run of blanks or of other characters go to the tokenizers library, whose time stays in proportion there.
+LONG_RUN = 1000
+_BLANKS = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 class _Encoder:
-    """Ids as little-endian bytes; texts are looked up by pieces and the library encodes the pieces not seen yet."""
+    """Ids as little-endian bytes, as the tokenizers library gives them for a byte-level vocabulary file.
+
+    Where merges make tokens in the order of their ids, the ids are ranks, and plain texts are encoded by rank; special
+    tokens' strings and texts with very long runs go to the library itself, and so does all else with other vocabularies.
+    """
 
     def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,25 +55,31 @@ class _Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, symbols = model["vocab"], byte_symbols()
+        made = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        self.by_rank = None
+        if made == sorted(set(made)):
+            special = set(self.special)
+            ranks = {bytes(symbols[c] for c in t): i for t, i in vocab.items() if t not in special}
+            self.by_rank = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, text: str) -> bool:
+        return (
+            self.by_rank is not None
+            and not any(s in text for s in self.special)
+            and max(map(len, text.split()), default=0) <= LONG_RUN
+            and _BLANKS.search(text) is None
+        )
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        parts = [[t] if any(s in t for s in self.special) else chunks(t) for t in texts]
-        fresh = list({c for p in parts for c in p if c not in known})
-        new = {}
-        for at in range(0, len(fresh), 20_000):
-            new |= zip(fresh[at : at + 20_000], self._encode(fresh[at : at + 20_000]), strict=True)
-        out = [b"".join([known.get(c) or new[c] for c in p]) for p in parts]
-        for c, ids in new.items():
-            if len(known) >= CACHE:
-                break
-            if len(c) <= 64:
-                known[c] = ids
-        return out
+        return [
+            self.by_rank.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes()
+            if self._plain(t)
+            else np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            for t in texts
+        ]
 
 
 @lru_cache(maxsize=2)
