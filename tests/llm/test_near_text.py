@@ -54,3 +54,11 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch):
                 x, y = sorted((root[a], root[b]))
                 root = [x if r == y else r for r in root]
     assert [i for i, _ in stage(spark, rows)] == sorted(set(root), key=lambda i: str(rows[i]))
+
+
+def test_rows_with_equal_or_null_id_stay(spark):
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(words(rng, 60)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, c), (7, c), (7, d), (7, d), (8, d), (None, None), (9, "")]
+    assert stage(spark, rows) == sorted([(None, a), (None, b), (7, c), (7, d), (9, "")], key=str)
+    assert stage(spark, rows[:0]) == []
