@@ -34,11 +34,18 @@ def genes(edges: DataFrame) -> DataFrame:
 
 
 def transcript_genes(exon_genes: DataFrame) -> DataFrame:
-    """(transcript, gene), each pair once."""
+    """(transcript, gene), each pair once, from nodes named by their labels."""
     single = exon_genes.select(F.explode(exons_of(F.col("exon"))).alias("one"), "gene")
     return single.select(transcript_of(F.col("one")).alias("transcript"), "gene").distinct()
 
 
+def member_genes(exon_genes: DataFrame, merged: DataFrame) -> DataFrame:
+    """(transcript, gene), each pair once, from nodes named by their smallest exon and the merged exons (exon, node)."""
+    members = merged.select("node", F.col("exon").alias("one"))
+    single = exon_genes.join(members, F.col("exon") == F.col("node"), "left").select(F.coalesce("one", "exon").alias("one"), "gene")
+    return single.select(transcript_of(F.col("one")).alias("transcript"), "gene").distinct()
+
+
 def subgraph_edges(edges: DataFrame, exon_genes: DataFrame) -> DataFrame:
     """(gene, src, dst): distinct edges with their component."""
     return edges.select("src", "dst").distinct().join(exon_genes, F.col("src") == F.col("exon")).select("gene", "src", "dst")

@@ -1,26 +1,33 @@
 """Exon junctions from k-mer membership along transcripts.
 
-With a leniency of zero the operator is gaps and islands: windows over the hits of
-one record. With more, bases are probed and corrected on the way, which is a state
-machine over one record. Both give a boundary list per record: 1-based inclusive
-places, start of the first segment, pairs around each junction, end of the last.
+What is not in the set is found piece by piece: a record's k-mer starts are dealt into
+pieces of a bounded length, missing starts become runs inside their piece, and only
+runs, about as many as a record has junctions, meet per record. With a leniency of zero
+the boundary list follows from the runs of hits alone. With more, bases are probed and
+corrected at each gap, which is a walk over one record. Both give a boundary list per record:
+1-based inclusive places, start of the first segment, pairs around each junction, end of the last.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.operators.kmers import hit_vector
+from kmerloom.operators.kmers import missing_kmers
 from kmerloom.operators.lookup import BROADCAST_LIMIT, Has, answer_records
-from kmerloom.storage import materialize
 
 #: Least novel bases of an exon between two others.
 MIN_EXON = 5
+#: Hits in a row that make sure of a place.
+SURE = 3
 #: Order in which bases are tried.
 PROBE_ORDER = "ATGC"
+#: k-mer starts of a piece.
+PIECE = 4096
 
 
 def leniency_from_rate(leniency: int, factor: float, rate: float, k: int) -> int:
@@ -32,41 +39,47 @@ def long_enough(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return seqs.filter(F.char_length(seq) >= k + MIN_EXON)
 
 
-def scanned_hits(seqs: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
-    """(id, len, x, hit, triple) for the scanned k-mer starts; the last two are looked ahead at only."""
-    own = long_enough(seqs, k)
-    w = Window.partitionBy("id").orderBy("x")
-    hits = hit_vector(own, kmers, k).drop("kmer")
-    size = own.select("id", F.char_length("seq").alias("len"))
+def missing_runs(seqs: DataFrame, kmers: DataFrame, k: int, piece: int = PIECE) -> DataFrame:
+    """(id, a, b): first and last k-mer start of each run of starts that are not in the set, cut where a piece ends."""
+    absent = missing_kmers(long_enough(seqs, k), kmers, k, valid_only=False).select("id", "x", F.expr(f"x div {piece}").alias("piece"))
+    nth = F.row_number().over(Window.partitionBy("id", "piece").orderBy("x"))
     return (
-        hits.withColumn("triple", F.col("hit") & F.lead("hit", 1, False).over(w) & F.lead("hit", 2, False).over(w))
-        .join(size, "id")
-        .filter(F.col("x") <= F.col("len") - k - 2)
+        absent.withColumn("run", F.col("x") - nth)
+        .groupBy("id", "piece", "run")
+        .agg(F.min("x").alias("a"), F.max("x").alias("b"))
+        .select("id", "a", "b")
     )
 
 
-def first_match(scanned: DataFrame) -> DataFrame:
+def hit_runs(seqs: DataFrame, kmers: DataFrame, k: int, piece: int = PIECE) -> DataFrame:
+    """(id, n, s, e): first and last of each run of k-mer starts that are in the set; n starts are scanned, the two after them looked at only."""
+    own = long_enough(seqs, k).select("id", (F.char_length("seq") - k + 1).alias("starts"))
+    absent = missing_runs(seqs, kmers, k, piece).select("id", "a", "b", F.lit(None).cast("int").alias("starts"))
+    edges = absent.unionByName(own.select("id", F.col("starts").alias("a"), F.col("starts").alias("b"), "starts"))
+    along = Window.partitionBy("id").orderBy("a")
+    whole = Window.partitionBy("id")
+    return (
+        edges.withColumns({"s": F.lag("b", 1, -1).over(along) + 1, "e": F.col("a") - 1, "n": F.max("starts").over(whole) - 2})
+        .filter("e >= s")
+        .select("id", "n", "s", "e")
+    )
+
+
+def first_match(runs: DataFrame) -> DataFrame:
     """(id, first_x): the first start of three hits in a row."""
-    return scanned.filter("triple").groupBy("id").agg(F.min("x").alias("first_x"))
+    return runs.filter(F.col("e") - F.col("s") >= SURE - 1).groupBy("id").agg(F.min("s").alias("first_x"))
 
 
-def last_match(scanned: DataFrame, k: int) -> DataFrame:
+def last_match(runs: DataFrame, k: int) -> DataFrame:
     """(id, last_pos): 1-based end of the last scanned hit."""
-    return scanned.filter("hit").groupBy("id").agg(F.max(F.col("x") + k).alias("last_pos"))
-
-
-def gaps(scanned: DataFrame) -> DataFrame:
-    """(id, start_x, end_x): first miss after a triple hit, and the next triple hit."""
-    first = first_match(scanned)
-    w = Window.partitionBy("id").orderBy("x")
-    events = (
-        scanned.join(first, "id")
-        .filter((F.col("x") >= F.col("first_x")) & (F.col("triple") | ~F.col("hit")))
-        .withColumn("before", F.lag("triple").over(w))
-        .filter(F.col("triple") != F.col("before"))
-        .withColumn("end_x", F.lead("x").over(w))
-    )
-    return events.filter(~F.col("triple") & F.col("end_x").isNotNull()).select("id", F.col("x").alias("start_x"), "end_x")
+    return runs.filter(F.col("s") < F.col("n")).groupBy("id").agg(F.max(F.least(F.col("e"), F.col("n") - 1) + k).alias("last_pos"))
+
+
+def gaps(runs: DataFrame) -> DataFrame:
+    """(id, start_x, end_x): first miss after three hits in a row, and the next start of three hits in a row."""
+    sure = runs.filter(F.col("e") - F.col("s") >= SURE - 1)
+    following = F.lead("s").over(Window.partitionBy("id").orderBy("s"))
+    return sure.select("id", (F.col("e") + 1).alias("start_x"), following.alias("end_x")).filter("end_x is not null")
 
 
 def boundaries_by_windows(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 0) -> DataFrame:
@@ -76,97 +89,163 @@ def boundaries_by_windows(seqs: DataFrame, kmers: DataFrame, k: int, leniency: i
     least gap of a junction and lets a long gap be an exon of its own (an extension:
     there are no votes).
     """
-    scanned = materialize(scanned_hits(seqs, kmers, k))  # read four times
-    start, end = F.col("start_x") + k, F.col("end_x") + k
-    d = end - start
-    middle = F.array(start - 1, start) if leniency == 0 else F.array(start - 1, start, end - k - 1, end - k)
-    pairs = F.when(d > k + MIN_EXON, middle).when(d >= k - leniency - 2, F.array(start - 1, end - k)).otherwise(F.array().cast("array<int>"))
-    inner = gaps(scanned).select("id", F.struct(F.col("start_x"), pairs.alias("v")).alias("j")).groupBy("id").agg(F.array_sort(F.collect_list("j")).alias("js"))
-    return (
-        first_match(scanned)
-        .join(last_match(scanned, k), "id")
-        .join(inner, "id", "left")
-        .select(
-            "id",
-            F.concat(
-                F.array(F.col("first_x") + 1),
-                F.coalesce(F.flatten(F.transform("js", lambda j: j["v"])), F.array().cast("array<int>")),
-                F.array("last_pos"),
-            ).alias("bounds"),
-        )
-    )
+    return bounds_of_runs(hit_runs(seqs, kmers, k), k, leniency)
+
+
+def bounds_of_runs(runs: DataFrame, k: int, leniency: int = 0) -> DataFrame:
+    """(id, bounds) from runs of hits; records without three hits in a row have no row."""
+    per = runs.groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("s", "e"))).alias("runs"))
+    sure = F.filter("runs", lambda r: r["e"] - r["s"] >= SURE - 1)
+    scanned = F.filter("runs", lambda r: r["s"] < F.col("n"))
+    per = per.withColumns({"sure": sure, "last_pos": F.least(F.element_at(scanned, -1)["e"], F.col("n") - 1) + k}).filter(F.size("sure") > 0)
+    between = F.zip_with(F.slice("sure", 1, F.size("sure") - 1), F.slice("sure", 2, F.size("sure") - 1), lambda a, b: F.struct((a["e"] + 1 + k).alias("start"), (b["s"] + k).alias("end")))
+
+    def pairs(g: Column) -> Column:
+        start, end = g["start"], g["end"]
+        middle = F.array(start - 1, start) if leniency == 0 else F.array(start - 1, start, end - k - 1, end - k)
+        return F.when(end - start > k + MIN_EXON, middle).when(end - start >= k - leniency - 2, F.array(start - 1, end - k)).otherwise(F.array().cast("array<int>"))
+
+    return per.select("id", F.concat(F.array(F.element_at("sure", 1)["s"] + 1), F.flatten(F.transform(between, pairs)), F.array("last_pos")).alias("bounds"))
+
+
+class _Record:
+    """One record under correction: its bases, and which of its k-mer starts hit."""
+
+    def __init__(self, seq: str, k: int, has: Has, missing: list[tuple[int, int]] | None):
+        self.bases, self.k, self.has = list(seq), k, has
+        n = len(seq) - k + 1
+        self.scanned = n - 2
+        self.hits = bytearray(b"\x01" * n if missing is not None else b"\x02" * n)  # 0 miss, 1 hit, 2 not asked yet
+        for a, b in missing or ():
+            self.hits[a : b + 1] = bytes(b - a + 1)
+
+    def window(self, x: int) -> str:
+        return "".join(self.bases[x : x + self.k])
+
+    def hit(self, x: int) -> bool:
+        if self.hits[x] == 2:
+            self.hits[x] = self.has(self.window(x))
+        return self.hits[x] == 1
 
+    def put(self, place: int, base: str) -> None:
+        """Correct a base; the starts whose k-mers hold it are asked anew."""
+        self.bases[place] = base
+        for x in range(max(place - self.k + 1, 0), min(place + 1, len(self.hits))):
+            self.hits[x] = 2
 
-def scan_record(seq: str, k: int, leniency: int, has: Has, compat: bool) -> tuple[list[int], list[tuple[int, str, str]]]:
+    def first_sure(self) -> int | None:
+        return next((x for x in range(self.scanned) if all(self.hit(x + i) for i in range(SURE))), None)
+
+    def next_miss(self, x: int) -> int | None:
+        while (found := _OTHER.search(self.hits, x, self.scanned)) and self.hit(found.start()):
+            x = found.start() + 1
+        return found.start() if found else None
+
+    def fitting(self, x: int, at: int) -> str | None:
+        """The first base that makes the k-mer at ``x`` a known one if put at its place ``at``."""
+        kmer = self.window(x)
+        return next((b for b in PROBE_ORDER if self.has(f"{kmer[:at]}{b}{kmer[at + 1:]}")), None)
+
+
+_OTHER = re.compile(rb"[^\x01]")
+
+
+def _forward_vote(record: _Record, gap: int, leniency: int, compat: bool) -> Callable[[int, int], tuple[int, bool, tuple[int, str] | None]]:
+    """The vote of one gap: a function of a missing start and the steps used, to the steps used then, whether the start now hits, and a correction.
+
+    The first base that the gap's k-mers do not share with those before it is probed in
+    ``leniency`` k-mers; a base with more votes than all others, and twice the k-mers
+    that no base fits, is the true one.
+    """
+    votes = dict.fromkeys(PROBE_ORDER, 0)
+    unfit = 0
+
+    def vote(x: int, used: int) -> tuple[int, bool, tuple[int, str] | None]:
+        nonlocal unfit
+        hit = False
+        if used <= leniency:
+            at = record.k - used
+            base = record.fitting(x, at)
+            if compat:
+                kmer = record.window(x)
+                hit = record.has(f"{kmer[:at]}C{kmer[at + 1:]}")
+            used += 1
+            if base:
+                votes[base] += 1
+                return used, hit, None
+            unfit += 1
+        if used == leniency + 1:
+            total = sum(votes.values())
+            winner = [b for b, n in votes.items() if n >= 2 * unfit and 2 * n > total]
+            return used + 1, hit, (x + record.k - 1 - leniency, winner[0]) if winner else None
+        return used, hit, None
+
+    return vote
+
+
+def _backward_vote(record: _Record, x: int, leniency: int) -> bool:
+    """Whether one base fits before the place where a gap closes: then the gap's end is not that of an exon of its own."""
+    votes, unfit = dict.fromkeys(PROBE_ORDER, 0), 0
+    for n, at in enumerate(range(x - 1, max(x - leniency, 0) - 1, -1)):
+        base = record.fitting(at, n)
+        if base:
+            votes[base] += 1
+        else:
+            unfit += 1
+    return max(votes.values()) >= 2 * unfit
+
+
+def _cross_gap(record: _Record, gap: int, leniency: int, compat: bool, fixes: list[tuple[int, str, str]]) -> tuple[int | None, int]:
+    """Where the next three hits in a row begin after a gap that opens at ``gap``, if they do, and the last start that hit."""
+    vote, used, last = _forward_vote(record, gap, leniency, compat), 1, -1
+    for x in range(gap, record.scanned):
+        hit = record.hit(x)
+        if hit:
+            last = x
+        else:
+            used, hit, fix = vote(x, used)
+            if fix:
+                fixes.append((fix[0], record.bases[fix[0]], fix[1]))
+                record.put(*fix)
+        if hit and record.hit(x + 1):
+            if record.hit(x + 2):
+                return x, last
+        elif hit:
+            used += 1
+    return None, last
+
+
+def scan_record(
+    seq: str, k: int, leniency: int, has: Has, compat: bool, missing: list[tuple[int, int]] | None = None
+) -> tuple[list[int], list[tuple[int, str, str]]]:
     """Boundary list and corrected bases (0-based place, from, to) of one record.
 
+    ``missing`` has the runs of k-mer starts that are not in the set, if they are known already.
     ``compat`` keeps a known quirk: after probing, the k-mer at hand holds a C at the
     probed base, so a base whose true value is C is never corrected.
     """
     if len(seq) < k + MIN_EXON:
         return [], []
-    now = list(seq)
-    window = lambda at: "".join(now[at : at + k])
-    bounds: list[int] = []
-    fixes: list[tuple[int, str, str]] = []
-    anchored = in_gap = False
-    last = start = used = misses = 0
-    votes = dict.fromkeys(PROBE_ORDER, 0)
-    for x in range(len(seq) - k - 1):
-        pos, kmer = x + k, window(x)
-        hit = has(kmer)
-        if hit:
-            last = pos
-        if anchored and not hit:
-            if not in_gap:
-                in_gap, start, used, misses, votes = True, pos, 1, 0, dict.fromkeys(PROBE_ORDER, 0)
-            voted = False
-            if used <= leniency:
-                at = k - used
-                base = next((b for b in PROBE_ORDER if has(kmer[:at] + b + kmer[at + 1 :])), None)
-                if compat:
-                    kmer = f"{kmer[:at]}C{kmer[at + 1 :]}"
-                    hit = has(kmer)
-                used += 1
-                if base:
-                    votes[base] += 1
-                    voted = True
-                else:
-                    misses += 1
-            if not voted and used == leniency + 1:
-                place = pos - 1 - leniency
-                for base, n in votes.items():
-                    if n >= 2 * misses and n > sum(votes.values()) - n:
-                        fixes.append((place, now[place], base))
-                        now[place] = base
-                used += 1
-        if not hit:
-            continue
-        following = has(window(x + 1))
-        if in_gap and not following:
-            used += 1
-        if following and (in_gap or not anchored) and has(window(x + 2)):
-            if not anchored:
-                anchored = True
-                bounds.append(x + 1)
-                continue
-            in_gap = False
-            gap = pos - start
-            if gap > k + MIN_EXON:
-                back, none = dict.fromkeys(PROBE_ORDER, 0), 0
-                for n, at in enumerate(range(x - 1, max(x - leniency, 0) - 1, -1)):
-                    near = window(at)
-                    base = next((b for b in PROBE_ORDER if has(near[:n] + b + near[n + 1 :])), None)
-                    if base:
-                        back[base] += 1
-                    else:
-                        none += 1
-                bounds += [start - 1, start] if max(back.values()) >= 2 * none else [start - 1, start, pos - k - 1, pos - k]
-            elif gap >= k - leniency - 2:
-                bounds += [start - 1, pos - k]
-    if anchored:
-        bounds.append(last)
-    return bounds, fixes
+    record = _Record(seq, k, has, missing)
+    x = record.first_sure()
+    if x is None:
+        return [], []
+    bounds, fixes = [x + 1], []
+    while True:
+        gap = record.next_miss(x)
+        if gap is None:
+            last = record.scanned - 1
+            break
+        x, hit = _cross_gap(record, gap, leniency, compat, fixes)
+        if x is None:
+            last = max(hit, gap - 1)
+            break
+        size = x - gap
+        if size > k + MIN_EXON:
+            bounds += [gap + k - 1, gap + k] + ([] if _backward_vote(record, x, leniency) else [x - 1, x])
+        elif size >= k - leniency - 2:
+            bounds += [gap + k - 1, x]
+    return [*bounds, last + k], fixes
 
 
 def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, compat: bool = True, limit: int = BROADCAST_LIMIT) -> DataFrame:
@@ -175,11 +254,13 @@ def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, co
         raise ValueError("leniency must be from 0 to k - 2")
 
     def work(row: dict[str, Any], has: Has) -> tuple:
-        clean: Has = lambda kmer: not kmer.strip("ACGT") and has(kmer)
-        return scan_record(row["seq"], k, leniency, clean, compat)
+        missing = [] if row["missing"] is None else [(r["a"], r["b"]) for r in row["missing"]]
+        return scan_record(row["seq"], k, leniency, has, compat, missing)
 
     schema = "bounds array<int>, fixes array<struct<place: int, was: string, base: string>>"
-    out = answer_records(long_enough(seqs, k).select("id", "seq"), kmers, "id", work, schema, limit)
+    absent = missing_runs(seqs, kmers, k).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("missing"))
+    own = long_enough(seqs, k).select("id", "seq").join(absent, "id", "left")
+    out = answer_records(own, kmers, k, "id", work, schema, limit)
     return out.filter(F.size("bounds") > 0)
 
 

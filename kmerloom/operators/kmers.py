@@ -1,47 +1,72 @@
-"""k-mer operators: explode, count, solid and reference sets, spectra and membership."""
+"""k-mer operators: explode, count, solid and reference sets, spectra and membership.
+
+k-mers travel as numbers (``functions.codes``), in the columns ``code_names(k)``; a k-mer
+set is a table of these columns. Arrow batches of whole sequences are coded at once, so a
+long sequence costs in proportion to its length, and counts, sets and joins run on longs.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kmerloom.functions.sequence import canonical, only_acgt
-
-#: Bases of a piece that is exploded at once: a substring is read from the start of its string.
-PIECE = 512
+from kmerloom.functions.codes import code_names, coded_windows, decode, encode
+from kmerloom.functions.sequence import canonical, reverse_complement
 
 
 def explode_kmers(seqs: DataFrame, k: int, seq: str = "seq", keep: list[str] | None = None, valid_only: bool = True) -> DataFrame:
-    """A row (``keep``, x, kmer, canon) for each k-mer of ``seq``; x counts from 0.
+    """A row (``keep``, x, codes, flipped) for each k-mer of ``seq``; x counts from 0.
 
-    k-mers with other letters than A, C, G and T are left out, or are kept with a null ``canon``.
+    The codes are those of the canonical k-mer, ``flipped`` says that it is the reverse
+    complement. k-mers with other letters than A, C, G and T are left out, or have negative codes.
     """
     keep = [c for c in seqs.columns if c != seq] if keep is None else keep
-    size = F.char_length(seq)
-    starts = F.sequence(F.lit(0), F.greatest(size - k, F.lit(0)), F.lit(PIECE))
-    pieces = seqs.filter(size >= k).select(*keep, F.explode(F.transform(starts, lambda s: F.struct(s.alias("s"), F.substring(F.col(seq), s + 1, F.lit(PIECE + k - 1)).alias("p")))).alias("piece"))
-    n = F.char_length("piece.p") - k
-    rows = pieces.filter(n >= 0).select(
-        *keep, F.col("piece.s").alias("s"), F.posexplode(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(F.col("piece.p"), i, F.lit(k)))).alias("i", "kmer")
-    )
-    good = only_acgt(F.col("kmer"))
-    out = rows.select(*keep, (F.col("s") + F.col("i")).alias("x"), "kmer", F.when(good, canonical(F.col("kmer"))).alias("canon"))
-    return out.filter(F.col("canon").isNotNull()) if valid_only else out
+    names = code_names(k)
+    own = T.StructType([seqs.schema[c] for c in keep])
+    schema = T.StructType([*own.fields, T.StructField("x", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in names), T.StructField("flipped", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, place, codes, flipped in coded_windows(batch.column(len(keep)), k, valid_only):
+                kept = [batch.column(i).take(pa.array(row)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(place), *map(pa.array, codes), pa.array(flipped)], [*keep, "x", *names, "flipped"])
+
+    return seqs.select(*keep, seq).mapInArrow(run, schema)
+
+
+def with_text(rows: DataFrame, k: int) -> DataFrame:
+    """``rows`` of ``explode_kmers`` with the texts ``kmer`` and ``canon`` in place of codes."""
+    rows = rows.withColumn("canon", decode(k))
+    return rows.withColumn("kmer", F.when(F.col("flipped"), reverse_complement(F.col("canon"))).otherwise(F.col("canon"))).drop(*code_names(k), "flipped")
+
+
+def kmer_set(kmers: DataFrame, k: int) -> DataFrame:
+    """The set of the k-mers of A, C, G and T in the text column ``kmer``, of either strand."""
+    return kmers.select(*encode(canonical(F.col("kmer")), k)).filter("c0 >= 0").distinct()
+
+
+def set_text(kmers: DataFrame, k: int) -> DataFrame:
+    """(canon): the k-mers of a set as texts."""
+    return kmers.select(decode(k).alias("canon"))
 
 
 def count_kmers(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """(canon, n) over all sequences, partial counts first."""
-    return explode_kmers(seqs, k, seq, keep=[]).groupBy("canon").agg(F.count(F.lit(1)).alias("n"))
+    """(codes, n) over all sequences, partial counts first."""
+    return explode_kmers(seqs, k, seq, keep=[]).groupBy(*code_names(k)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def reference_set(seqs: DataFrame, k: int) -> DataFrame:
     """Distinct canonical k-mers."""
-    return explode_kmers(seqs, k, keep=[]).select("canon").distinct()
+    return explode_kmers(seqs, k, keep=[]).select(*code_names(k)).distinct()
 
 
 def solid_set(reads: DataFrame, k: int, least: int = 2) -> DataFrame:
     """Canonical k-mers found ``least`` times or more."""
-    return count_kmers(reads, k).filter(F.col("n") >= least).select("canon")
+    return count_kmers(reads, k).filter(F.col("n") >= least).select(*code_names(k))
 
 
 def spectrum(seqs: DataFrame, k: int) -> DataFrame:
@@ -50,7 +75,7 @@ def spectrum(seqs: DataFrame, k: int) -> DataFrame:
 
 
 def kmer_totals(seqs: DataFrame, k: int) -> DataFrame:
-    """One row: total, distinct, repeated, and the sketch's estimate of distinct k-mers."""
+    """One row: total, distinct and repeated k-mers."""
     counted = count_kmers(seqs, k)
     return counted.agg(
         F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total_kmers"),
@@ -59,21 +84,18 @@ def kmer_totals(seqs: DataFrame, k: int) -> DataFrame:
     )
 
 
-def estimate_distinct(seqs: DataFrame, k: int, rsd: float = 0.02) -> DataFrame:
-    """One row with the HyperLogLog++ estimate of distinct canonical k-mers."""
-    return explode_kmers(seqs, k, keep=[]).agg(F.approx_count_distinct("canon", rsd).alias("distinct_estimate"))
-
-
 def hit_vector(seqs: DataFrame, kmers: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """(id, x, kmer, hit) for every k-mer start; one with a letter outside ACGT never hits.
+    """(id, x, hit) for every k-mer start; one with a letter outside ACGT never hits.
 
     A shuffle join on the k-mer, which Spark turns into a broadcast only below its size limit.
     """
-    own = explode_kmers(seqs, k, keep=[id_col], valid_only=False)
-    known = kmers.select(F.col("canon").alias("_known")).distinct()
-    return own.join(known, own["canon"] == known["_known"], "left").select(id_col, "x", "kmer", F.col("_known").isNotNull().alias("hit"))
+    names = code_names(k)
+    known = kmers.select(*names).distinct().withColumn("_known", F.lit(True))
+    own = explode_kmers(seqs, k, keep=[id_col], valid_only=False).drop("flipped")
+    return own.join(known, names, "left").select(id_col, "x", F.col("_known").isNotNull().alias("hit"))
 
 
-def missing_kmers(seqs: DataFrame, kmers: DataFrame, k: int, id_col: str = "id") -> DataFrame:
-    """(id, x, kmer) of the k-mers that are not in the set."""
-    return explode_kmers(seqs, k, keep=[id_col]).join(kmers.select("canon"), "canon", "left_anti").select(id_col, "x", "kmer")
+def missing_kmers(seqs: DataFrame, kmers: DataFrame, k: int, id_col: str = "id", valid_only: bool = True) -> DataFrame:
+    """(id, x, codes, flipped) of the k-mers that are not in the set."""
+    names = code_names(k)
+    return explode_kmers(seqs, k, keep=[id_col], valid_only=valid_only).join(kmers.select(*names), names, "left_anti").select(id_col, "x", *names, "flipped")

@@ -86,15 +86,14 @@ def exon_components(index: DataFrame) -> DataFrame:
     return connected_components(exon_links(index)).select(F.col("node").alias("exon"), F.col("root").alias("component"))
 
 
-def merge_labels(blocks: DataFrame, components: DataFrame, similar: int = SIMILAR) -> DataFrame:
-    """(exon, label) of merged exons.
+def merge_exons(blocks: DataFrame, components: DataFrame, similar: int = SIMILAR) -> DataFrame:
+    """(exon, node) of merged exons; a node is named by its smallest exon.
 
     Exons of similar length all merge. Else the longest merges with all terminal ones,
-    and is part of the label; inner exons that are not longest stay alone. Labels list
-    exons in ascending order; ties in length go to the smallest name.
+    and is one of them; inner exons that are not longest stay alone. Ties in length go to the smallest name.
     """
-    last = blocks.groupBy("exon").agg(F.max_by("seq", "rec_no").alias("seq"), F.max_by("terminal", "rec_no").alias("terminal"))
-    members = components.join(last.select("exon", F.char_length("seq").alias("size"), "terminal"), "exon")
+    last = blocks.groupBy("exon").agg(F.max_by(F.char_length("seq"), "rec_no").alias("size"), F.max_by("terminal", "rec_no").alias("terminal"))
+    members = components.join(last, "exon")
     stats = members.groupBy("component").agg(
         F.max("size").alias("most"), F.min("size").alias("least"),
         F.min(F.struct((-F.col("size")).alias("s"), "exon")).alias("big"),
@@ -102,24 +101,43 @@ def merge_labels(blocks: DataFrame, components: DataFrame, similar: int = SIMILA
     judged = members.join(stats, "component").filter(
         (F.col("least") >= F.col("most") - similar) | F.col("terminal") | (F.col("exon") == F.col("big.exon"))
     )
-    labels = judged.groupBy("component").agg(F.array_join(F.array_sort(F.collect_set("exon")), "_OR_").alias("label"))
-    return judged.select("exon", "component").join(labels, "component").select("exon", "label")
+    named = judged.groupBy("component").agg(F.min("exon").alias("node"))
+    return judged.select("exon", "component").join(named, "component").select("exon", "node")
 
 
-def relabel(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(line_no, src, dst) with merged labels; edges may repeat or lead to themselves."""
-    a = labels.select(F.col("exon").alias("src"), F.col("label").alias("_src"))
-    b = labels.select(F.col("exon").alias("dst"), F.col("label").alias("_dst"))
+def node_labels(merged: DataFrame) -> DataFrame:
+    """(node, label): the text of each merged node, its exons in ascending order. It is built once a node, where text is written."""
+    return merged.groupBy("node").agg(F.array_join(F.array_sort(F.collect_set("exon")), "_OR_").alias("label"))
+
+
+def merge_labels(merged: DataFrame) -> DataFrame:
+    """(exon, label) of merged exons."""
+    return merged.join(node_labels(merged), "node").select("exon", "label")
+
+
+def relabel(edges: DataFrame, merged: DataFrame) -> DataFrame:
+    """(line_no, src, dst) between nodes; edges may repeat or lead to themselves."""
+    a = merged.select(F.col("exon").alias("src"), F.col("node").alias("_src"))
+    b = merged.select(F.col("exon").alias("dst"), F.col("node").alias("_dst"))
     return edges.join(a, "src", "left").join(b, "dst", "left").select(
         "line_no", F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")
     )
 
 
-def splice_graph(exons: DataFrame, k: int = END_K, n: int = END_N) -> DataFrame:
-    """(line_no, src, dst) of the merged graph of ``exons`` (rec_no, name, exon, seq)."""
+def with_labels(rows: DataFrame, merged: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with the labels of the nodes in ``columns`` in their place."""
+    labels = node_labels(merged)
+    for c in columns:
+        own = labels.select(F.col("node").alias(c), F.col("label").alias("_label"))
+        rows = rows.join(own, c, "left").withColumn(c, F.coalesce("_label", c)).drop("_label")
+    return rows
+
+
+def splice_graph(exons: DataFrame, k: int = END_K, n: int = END_N) -> tuple[DataFrame, DataFrame]:
+    """Edges (line_no, src, dst) between the nodes of the merged graph of ``exons`` (rec_no, name, exon, seq), and its merged exons."""
     blocks = exon_blocks(exons)
-    labels = merge_labels(blocks, exon_components(end_index(blocks, k, n)))
-    return relabel(chain_edges(blocks), labels)
+    merged = merge_exons(blocks, exon_components(end_index(blocks, k, n)))
+    return relabel(chain_edges(blocks), merged), merged
 
 
 def dot_line(src: Column, dst: Column) -> Column:

@@ -1,58 +1,112 @@
-"""Sequence tables derived from ``documents``: letters of a text, in a cycle, are read as bases."""
+"""Sequence tables derived from ``documents``: letters of a text, in a cycle, are read as bases.
+
+Tables that several queries read are derived once for a session and state of the files.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.operators.junctions import all_exons, boundaries_by_windows
+from kmerloom.operators import genes, splicegraph
+from kmerloom.operators.junctions import all_exons, bounds_of_runs, hit_runs
 from kmerloom.operators.kmers import reference_set
-from kmerloom.operators.splicegraph import parse_headers
-from kmerloom.storage import global_rank, materialize
+from kmerloom.storage import global_rank, once, spread
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
 K = 25
-#: An exon of EXON bases starts every STRIDE bases of a contig of at least GENE bases.
-EXON, STRIDE, GENE = 120, 180, 1000
+#: An exon of EXON bases starts every STRIDE bases of a contig; a contig shorter than that is one exon.
+EXON, STRIDE = 120, 180
 READ, STEP = 100, 50
 #: Leniency of the window form that the graph queries use.
 LENIENCY = 10
+#: Splice signals before and after an exon.
+LEFT_SIGNALS, RIGHT_SIGNALS = ["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return once(spark, f"{sf_dir}/documents.parquet", name, build)
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq) of each whole text."""
     text = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.translate(text, LETTERS, BASES).alias("seq"))
+    own = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
+    return own.select("doc_id", F.translate(text, LETTERS, BASES).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, r, seq): windows of READ bases at every STEP."""
-    own = contigs(spark, sf_dir).filter(F.char_length("seq") >= READ)
-    places = F.sequence(F.lit(0), F.expr(f"(char_length(seq) - {READ}) div {STEP}").cast("int"))
-    return own.select("doc_id", F.explode(F.transform(places, lambda r: F.struct(r.alias("r"), F.substring(F.col("seq"), r * STEP + 1, F.lit(READ)).alias("seq")))).alias("w")).select("doc_id", "w.r", "w.seq")
+    """(doc_id, r, seq): windows of READ bases at every STEP and a last one up to the end; a shorter contig is one read."""
+
+    def build() -> DataFrame:
+        over = F.greatest(F.char_length("seq") - READ, F.lit(0))
+        places = F.sequence(F.lit(0), F.ceil(over / STEP).cast("int"))
+        read = lambda r: F.struct(r.alias("r"), F.substring(F.col("seq"), F.least(r * STEP, over) + 1, F.lit(READ)).alias("seq"))
+        own = contigs(spark, sf_dir).filter("seq <> ''")
+        return own.select("doc_id", F.explode(F.transform(places, read)).alias("w")).select("doc_id", "w.r", "w.seq")
+
+    return _once(spark, sf_dir, "reads", build)
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, seq): of each gene all exons (T1), and all but every third (T2)."""
-    genes = contigs(spark, sf_dir).filter(F.char_length("seq") >= GENE)
-    count = F.expr(f"(char_length(seq) - {EXON}) div {STRIDE} + 1").cast("int")
-    exon = lambda j: F.substring(F.col("seq"), (j - 1) * STRIDE + 1, F.lit(EXON))
-    places = F.sequence(F.lit(1), count)
-    both = F.array(
-        F.struct(F.lit("T1").alias("t"), F.array_join(F.transform(places, exon), "").alias("seq")),
-        F.struct(F.lit("T2").alias("t"), F.array_join(F.transform(F.filter(places, lambda j: j % 3 != 0), exon), "").alias("seq")),
-    )
-    return genes.select("doc_id", F.explode(both).alias("x")).select(F.concat(F.lit("D"), F.col("doc_id").cast("string"), "x.t").alias("id"), "x.seq")
+    """(id, seq): of each contig all exons (T1), and all but every third (T2)."""
+
+    def build() -> DataFrame:
+        own = contigs(spark, sf_dir).filter("seq <> ''")
+        count = F.greatest(F.expr(f"(char_length(seq) - {EXON}) div {STRIDE} + 1").cast("int"), F.lit(1))
+        exon = lambda j: F.substring(F.col("seq"), (j - 1) * STRIDE + 1, F.lit(EXON))
+        places = F.sequence(F.lit(1), count)
+        both = F.array(
+            F.struct(F.lit("T1").alias("t"), F.array_join(F.transform(places, exon), "").alias("seq")),
+            F.struct(F.lit("T2").alias("t"), F.array_join(F.transform(F.filter(places, lambda j: j % 3 != 0), exon), "").alias("seq")),
+        )
+        return own.select("doc_id", F.explode(both).alias("x")).select(F.concat(F.lit("D"), F.col("doc_id").cast("string"), "x.t").alias("id"), "x.seq")
+
+    return _once(spark, sf_dir, "transcripts", build)
 
 
 def known_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reference_set(contigs(spark, sf_dir), K)
+    return _once(spark, sf_dir, "known", lambda: reference_set(contigs(spark, sf_dir), K))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of hits along the transcripts."""
+    return _once(spark, sf_dir, "runs", lambda: hit_runs(transcripts(spark, sf_dir), known_kmers(spark, sf_dir), K))
 
 
 def exon_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(rec_no, name, exon, start, end, seq) of the exons found along all transcripts."""
-    own = transcripts(spark, sf_dir)
-    found = all_exons(own, boundaries_by_windows(own, known_kmers(spark, sf_dir), K, LENIENCY))
-    named = found.select(F.concat_ws("_", "id", "start", "end").alias("id"), F.col("id").alias("t"), "exon_no", F.col("exon_seq").alias("seq"))
-    return materialize(parse_headers(global_rank(named, ["t", "exon_no"], "rec_no")))
+
+    def build() -> DataFrame:
+        found = all_exons(transcripts(spark, sf_dir), bounds_of_runs(runs(spark, sf_dir), K, LENIENCY))
+        named = found.select(F.concat_ws("_", "id", "start", "end").alias("id"), F.col("id").alias("t"), "exon_no", F.col("exon_seq").alias("seq"))
+        return splicegraph.parse_headers(global_rank(named, ["t", "exon_no"], "rec_no"))
+
+    return _once(spark, sf_dir, "exons", build)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "blocks", lambda: splicegraph.exon_blocks(exon_records(spark, sf_dir)))
+
+
+def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "ends", lambda: splicegraph.end_index(blocks(spark, sf_dir)))
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(exon, node) of the merged exons."""
+    components = lambda: splicegraph.exon_components(ends(spark, sf_dir))
+    return _once(spark, sf_dir, "merged", lambda: splicegraph.merge_exons(blocks(spark, sf_dir), components()))
+
+
+def graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line_no, src, dst) between nodes."""
+    return _once(spark, sf_dir, "graph", lambda: splicegraph.relabel(splicegraph.chain_edges(blocks(spark, sf_dir)), merged(spark, sf_dir)))
+
+
+def gene_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(exon, gene) of the graph's nodes."""
+    return _once(spark, sf_dir, "genes", lambda: genes.genes(graph(spark, sf_dir)))

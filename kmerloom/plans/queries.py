@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
 from kmerloom.functions import text as X
+from kmerloom.functions.codes import code_names, decode
 from kmerloom.operators import bloom, genes, junctions, kmers, splice, splicegraph
 from kmerloom.plans import derived as D
 from kmerloom.plans import sql
@@ -16,8 +17,6 @@ from kmerloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = D.K
-#: Splice signals before and after an exon.
-LEFT_SIGNALS, RIGHT_SIGNALS = ["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +43,8 @@ def seq_mask_trim(spark: SparkSession, d: str) -> DataFrame:
 
 def kmer_explode(spark: SparkSession, d: str) -> DataFrame:
     rows = kmers.explode_kmers(D.contigs(spark, d), K)
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kmers"), F.min("canon").alias("first_canon"), F.max("x").alias("last_x"), F.count_distinct("canon").alias("distinct_kmers"))
+    found = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kmers"), F.min("c0").alias("c0"), F.max("x").alias("last_x"), F.count_distinct("c0").alias("distinct_kmers"))
+    return found.select("doc_id", "kmers", decode(K).alias("first_canon"), "last_x", "distinct_kmers")
 
 
 def kmer_spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -56,19 +56,25 @@ def kmer_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kmer_estimate(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.estimate_distinct(D.contigs(spark, d), K)
+    """Distinct and repeated k-mers by the sampling estimator."""
+    return bloom.estimate_distinct(D.contigs(spark, d), K)
+
+
+def kmer_histogram(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets of the estimator by their count."""
+    return bloom.bucket_histogram(D.contigs(spark, d), K)
 
 
 def kmer_solid(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.solid_set(D.reads(spark, d), K)
+    return kmers.set_text(kmers.solid_set(D.reads(spark, d), K), K)
 
 
 def kmer_ref_set(spark: SparkSession, d: str) -> DataFrame:
-    return D.known_kmers(spark, d)
+    return kmers.set_text(D.known_kmers(spark, d), K)
 
 
 def kmer_missing(spark: SparkSession, d: str) -> DataFrame:
-    return kmers.missing_kmers(D.transcripts(spark, d), D.known_kmers(spark, d), K)
+    return kmers.with_text(kmers.missing_kmers(D.transcripts(spark, d), D.known_kmers(spark, d), K), K).select("id", "x", "kmer")
 
 
 def hit_vector(spark: SparkSession, d: str) -> DataFrame:
@@ -76,24 +82,20 @@ def hit_vector(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("kmers"), F.count_if("hit").alias("hits"), F.sum(F.when(F.col("hit"), F.col("x")).otherwise(0)).cast("bigint").alias("hit_places"))
 
 
-def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    return materialize(junctions.scanned_hits(D.transcripts(spark, d), D.known_kmers(spark, d), K))
-
-
 def first_match(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.first_match(_scanned(spark, d)).select("id", (F.col("first_x") + 1).alias("start"))
+    return junctions.first_match(D.runs(spark, d)).select("id", (F.col("first_x") + 1).alias("start"))
 
 
 def last_match(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.last_match(_scanned(spark, d), K)
+    return junctions.last_match(D.runs(spark, d), K)
 
 
 def junction_gaps_l0(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.gaps(_scanned(spark, d)).select("id", (F.col("start_x") + K).alias("gap_start"), (F.col("end_x") + K).alias("gap_end"))
+    return junctions.gaps(D.runs(spark, d)).select("id", (F.col("start_x") + K).alias("gap_start"), (F.col("end_x") + K).alias("gap_end"))
 
 
 def _bounds(spark: SparkSession, d: str, leniency: int) -> DataFrame:
-    return junctions.boundaries_by_windows(D.transcripts(spark, d), D.known_kmers(spark, d), K, leniency)
+    return junctions.bounds_of_runs(D.runs(spark, d), K, leniency)
 
 
 def boundaries_l0(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +119,7 @@ def exons_plain(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _lenient(spark: SparkSession, d: str) -> DataFrame:
-    return junctions.boundaries(D.transcripts(spark, d), materialize(D.known_kmers(spark, d)), K, D.LENIENCY)
+    return junctions.boundaries(D.transcripts(spark, d), D.known_kmers(spark, d), K, D.LENIENCY)
 
 
 def exons_lenient(spark: SparkSession, d: str) -> DataFrame:
@@ -130,52 +132,40 @@ def substitutions(spark: SparkSession, d: str) -> DataFrame:
     place = F.lit(60) + F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(40))
     base = F.translate(F.substring(F.col("seq"), place.cast("int"), F.lit(1)), "ACGT", "CGTA")
     changed = own.select("id", F.overlay(F.col("seq"), base, place.cast("int"), F.lit(1)).alias("seq"))
-    return junctions.substitutions(junctions.boundaries(changed, materialize(D.known_kmers(spark, d)), K, D.LENIENCY))
+    return junctions.substitutions(junctions.boundaries(changed, D.known_kmers(spark, d), K, D.LENIENCY))
 
 
 def splice_extend(spark: SparkSession, d: str) -> DataFrame:
     exons = exons_plain(spark, d).select(F.concat_ws("_", "id", "start", "end", "exon_no").alias("id"), F.col("exon_seq").alias("seq"))
-    return splice.extend_exons(materialize(exons), materialize(D.known_kmers(spark, d)), K, LEFT_SIGNALS, RIGHT_SIGNALS)
+    return splice.extend_exons(materialize(exons), D.known_kmers(spark, d), K, D.LEFT_SIGNALS, D.RIGHT_SIGNALS)
 
 
 def exon_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return splicegraph.exon_blocks(D.exon_records(spark, d)).select("rec_no", "exon", "next_exon", "is_first", "is_last", "terminal")
-
-
-def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    blocks = splicegraph.exon_blocks(D.exon_records(spark, d))
-    return blocks, materialize(splicegraph.end_index(blocks))
+    return D.blocks(spark, d).select("rec_no", "exon", "next_exon", "is_first", "is_last", "terminal")
 
 
 def start_end_index(spark: SparkSession, d: str) -> DataFrame:
-    return _index(spark, d)[1]
+    return D.ends(spark, d)
 
 
 def shared_kmer_groups(spark: SparkSession, d: str) -> DataFrame:
-    return splicegraph.shared_groups(_index(spark, d)[1])
+    return splicegraph.shared_groups(D.ends(spark, d))
 
 
 def exon_components(spark: SparkSession, d: str) -> DataFrame:
-    return splicegraph.exon_components(_index(spark, d)[1])
+    return splicegraph.exon_components(D.ends(spark, d))
 
 
 def merge_labels(spark: SparkSession, d: str) -> DataFrame:
-    blocks, index = _index(spark, d)
-    return splicegraph.merge_labels(blocks, splicegraph.exon_components(index))
-
-
-def _graph(spark: SparkSession, d: str) -> DataFrame:
-    blocks, index = _index(spark, d)
-    labels = splicegraph.merge_labels(blocks, splicegraph.exon_components(index))
-    return materialize(splicegraph.relabel(splicegraph.chain_edges(blocks), labels))
+    return splicegraph.merge_labels(D.merged(spark, d))
 
 
 def splice_edges(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d)
+    return splicegraph.with_labels(D.graph(spark, d), D.merged(spark, d), ["src", "dst"]).select("line_no", "src", "dst")
 
 
 def dot_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _graph(spark, d).select(splicegraph.dot_line(F.col("src"), F.col("dst")).alias("line"))
+    return splice_edges(spark, d).select(splicegraph.dot_line(F.col("src"), F.col("dst")).alias("line"))
 
 
 def _order_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -193,16 +183,16 @@ def graph_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exon_gene_map(spark: SparkSession, d: str) -> DataFrame:
-    return genes.genes(_graph(spark, d))
+    return splicegraph.with_labels(D.gene_table(spark, d), D.merged(spark, d), ["exon"]).select("exon", "gene")
 
 
 def transcript_gene_map(spark: SparkSession, d: str) -> DataFrame:
-    return genes.transcript_genes(genes.genes(_graph(spark, d)))
+    return genes.member_genes(D.gene_table(spark, d), D.merged(spark, d))
 
 
 def subgraph_edges(spark: SparkSession, d: str) -> DataFrame:
-    edges = _graph(spark, d)
-    return genes.subgraph_edges(edges, genes.genes(edges))
+    found = genes.subgraph_edges(D.graph(spark, d), D.gene_table(spark, d))
+    return splicegraph.with_labels(found, D.merged(spark, d), ["src", "dst"]).select("gene", "src", "dst")
 
 
 def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
@@ -213,12 +203,27 @@ def bloom_sizing(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("role", "n_keys", bits.alias("bits"), bloom.filter_hashes(bits, n).alias("hashes"))
 
 
+def _filter(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    known = D.known_kmers(spark, d)
+    bits, hashes = bloom.size_for(known.count(), 0.01)
+    return bloom.build(known, K, bits, hashes), bits, hashes
+
+
 def bloom_filter(spark: SparkSession, d: str) -> DataFrame:
     """Bits set and measured rate of a filter of all reference k-mers."""
-    known = materialize(D.known_kmers(spark, d))
-    bits, hashes = bloom.size_for(known.count(), 0.01)
-    slices = bloom.build(known, K, bits, hashes)
-    return bloom.set_bits(slices).select("set_bits", F.lit(bits).alias("bits"), F.lit(hashes).alias("hashes"), F.lit(K).alias("k"), bloom.measured_rate(F.col("set_bits"), F.lit(bits), F.lit(hashes)).alias("rate"))
+    slices, bits, hashes = _filter(spark, d)
+    rate = bloom.measured_rate(F.col("set_bits"), F.lit(bits), F.lit(hashes))
+    return bloom.set_bits(slices).select("set_bits", F.lit(bits).cast("bigint").alias("bits"), F.lit(hashes).alias("hashes"), F.lit(K).alias("k"), F.round(rate, 9).alias("rate"))
+
+
+def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
+    """k-mers of the benchmark passages by whether the stored filter and the exact set hold them."""
+    slices, bits, hashes = _filter(spark, d)
+    letters = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), D.LETTERS, D.BASES)
+    asked = kmers.reference_set(_table(spark, d, "benchmark").select(letters.alias("seq")), K)
+    found = bloom.probe(asked, materialize(slices), K, bits, hashes)
+    exact = found.join(D.known_kmers(spark, d).withColumn("known", F.lit(True)), code_names(K), "left")
+    return exact.groupBy(F.coalesce("known", F.lit(False)).alias("known"), "present").agg(F.count(F.lit(1)).alias("kmers"))
 
 
 def si_format(spark: SparkSession, d: str) -> DataFrame:
@@ -254,10 +259,10 @@ def colour_space(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_solid, kmer_ref_set, kmer_missing,
+    seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_histogram, kmer_solid, kmer_ref_set, kmer_missing,
     hit_vector, first_match, last_match, junction_gaps_l0, boundaries_l0, boundaries_plain, exons_all_l0, exons_confident_l0, exons_plain, exons_lenient,
     substitutions, splice_extend, exon_blocks, start_end_index, shared_kmer_groups, exon_components, merge_labels, splice_edges, dot_lines, graph_nodes,
-    graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, si_format, si_parse, read_pair, ambiguity_ops, colour_space,
+    graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, bloom_probe, si_format, si_parse, read_pair, ambiguity_ops, colour_space,
 ]
 
 

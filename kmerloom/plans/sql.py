@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from kmerloom.functions.sequence import IUPAC, IUPAC_COMPLEMENT, IUPAC_MASK, MASK_IUPAC, SMALLEST_BASE
-from kmerloom.plans.derived import BASES, EXON, GENE, K, LENIENCY, LETTERS, READ, STEP, STRIDE
+from kmerloom.functions.nthash import MULTI_SEED, MULTI_SHIFT, base_hashes
+from kmerloom.plans.derived import BASES, EXON, K, LEFT_SIGNALS, LENIENCY, LETTERS, READ, RIGHT_SIGNALS, STEP, STRIDE
 
 MIN_EXON = 5
 
 CONTIGS = f"contigs AS MATERIALIZED (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM documents)"
-READS = f"""reads AS (SELECT doc_id, r::INT AS r, substr(seq, 1 + {STEP} * r, {READ}) AS seq FROM (
-  SELECT doc_id, seq, unnest(range(0, (length(seq) - {READ}) // {STEP} + 1)) AS r FROM contigs WHERE length(seq) >= {READ}))"""
+READS = f"""reads AS (SELECT doc_id, r::INT AS r, substr(seq, least({STEP} * r, greatest(length(seq) - {READ}, 0)) + 1, {READ}) AS seq FROM (
+  SELECT doc_id, seq, unnest(range(0, ceil(greatest(length(seq) - {READ}, 0) / {STEP}::DOUBLE)::BIGINT + 1)) AS r FROM contigs WHERE seq <> ''))"""
 TRANSCRIPTS = f"""exon_cut AS (SELECT doc_id, j, substr(seq, (j - 1) * {STRIDE} + 1, {EXON}) AS e FROM (
-  SELECT doc_id, seq, unnest(range(1, (length(seq) - {EXON}) // {STRIDE} + 2)) AS j FROM contigs WHERE length(seq) >= {GENE})),
+  SELECT doc_id, seq, unnest(range(1, greatest((length(seq) - {EXON}) // {STRIDE} + 1, 1) + 1)) AS j FROM contigs WHERE seq <> '')),
 transcripts AS MATERIALIZED (
   SELECT 'D' || doc_id || 'T1' AS id, string_agg(e, '' ORDER BY j) AS seq FROM exon_cut GROUP BY doc_id
   UNION ALL SELECT 'D' || doc_id || 'T2', string_agg(e, '' ORDER BY j) FROM exon_cut WHERE j % 3 <> 0 GROUP BY doc_id)"""
@@ -100,6 +101,44 @@ numbered AS (SELECT root, row_number() OVER (ORDER BY min(seen)) AS gene FROM ge
 genes AS (SELECT node AS exon, gene FROM gene_comp JOIN numbered USING (root))"""
 ORDER_EDGES = "WITH RECURSIVE edges AS (SELECT o_orderkey AS line_no, 'O' || o_orderkey AS src, 'C' || o_custkey AS dst FROM orders)"
 
+_forward, _reverse = base_hashes(K)
+_seeds = ", ".join(f"({i}, '{'ACGT'[b]}', {_forward[i][b]}::UBIGINT, {_reverse[i][b]}::UBIGINT)" for i in range(K) for b in range(4))
+_MASK = (1 << 64) - 1
+#: (key, h): canonical hashes of the k-mers in ``asked`` (key, kmer), from what each base adds.
+HASHED = f"""seeds(i, b, f, r) AS (VALUES {_seeds}),
+hashed AS MATERIALIZED (SELECT key, least(bit_xor(f), bit_xor(r)) AS h FROM (
+  SELECT key, i, substr(kmer, i + 1, 1) AS b FROM (SELECT key, kmer, unnest(range(0, {K})) AS i FROM asked)) JOIN seeds USING (i, b) GROUP BY key)"""
+
+
+def _extra(i: str) -> str:
+    """The i-th hash of h; ``i`` is a column from 0."""
+    t = f"((h::UHUGEINT * (xor({i}::UBIGINT, {(K * MULTI_SEED) & _MASK}::UBIGINT))::UHUGEINT) & {_MASK}::UHUGEINT)::UBIGINT"
+    return f"CASE WHEN {i} = 0 THEN h ELSE xor({t}, {t} >> {MULTI_SHIFT}) END"
+
+
+#: Size and places of a filter of all reference k-mers.
+FILTER = f"""size AS MATERIALIZED (SELECT greatest(count(*), 1) AS n, floor(-ln(0.01::DOUBLE) / ln(2::DOUBLE) / ln(2::DOUBLE) * greatest(count(*), 1))::BIGINT AS bits FROM known),
+sized AS MATERIALIZED (SELECT bits, greatest(floor((bits // n) * ln(2::DOUBLE)), 1)::INT AS hashes FROM size)"""
+PLACES = f"SELECT key, ({_extra('j')}) % bits AS at FROM (SELECT key, h, bits, unnest(range(0, hashes)) AS j FROM hashed, sized)"
+
+
+def _walk(side: str) -> str:
+    """Six greedy steps from the k-mer at one end of ``exons0``: tables {side}0 to {side}6 of (id, kmer, found)."""
+    start = f"substr(seq, 1, {K})" if side == "lw" else f"substr(seq, length(seq) - {K - 1}, {K})"
+    longer = f"substr(b || kmer, 1, {K})" if side == "lw" else f"substr(kmer || b, 2, {K})"
+    joined = "b || found" if side == "lw" else "found || b"
+    out = f"{side}0 AS MATERIALIZED (SELECT id, {start} AS kmer, '' AS found FROM exons0 WHERE length(seq) >= {K})"
+    for n in range(6):
+        out += f""",
+{side}{n}t AS MATERIALIZED (SELECT id, arg_min(b, o) AS b FROM (SELECT id, b, o, {longer} AS nx FROM {side}{n}, (VALUES ('A', 0), ('G', 1), ('T', 2), ('C', 3)) v(b, o) WHERE length(found) = {n})
+  JOIN known ON canon = least(nx, translate(reverse(nx), 'ACGT', 'TGCA')) GROUP BY id),
+{side}{n + 1} AS MATERIALIZED (SELECT w.id, CASE WHEN b IS NULL THEN kmer ELSE {longer} END AS kmer, CASE WHEN b IS NULL THEN found ELSE {joined} END AS found
+  FROM {side}{n} w LEFT JOIN {side}{n}t t ON w.id = t.id)"""
+    return out
+
+
+_signals = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
+
 _both = lambda s: s + s.lower()
 _codes = "codes AS (SELECT item_id, regexp_replace(text, '[^ACGTMRWSYKVHDBNacgtmrwsykvhdbn]', '', 'g') AS codes FROM benchmark)"
 _flat_from, _flat_to = "".join(SMALLEST_BASE), "".join(SMALLEST_BASE.values())
@@ -122,6 +161,13 @@ ORACLE: dict[str, str] = {
     "kmer_spectrum": f"{BASE} SELECT n, count(*) AS kmers FROM (SELECT canon, count(*) AS n FROM ({_kmers('contigs', 'doc_id')}) GROUP BY canon) GROUP BY n",
     "kmer_distinct": f"""{BASE} SELECT coalesce(sum(n), 0)::BIGINT AS total_kmers, count(*) AS distinct_kmers, count(*) FILTER (WHERE n >= 2) AS repeated_kmers
       FROM (SELECT canon, count(*) AS n FROM ({_kmers('contigs', 'doc_id')}) GROUP BY canon)""",
+    "kmer_histogram": f"""{BASE}, asked AS (SELECT row_number() OVER () AS key, kmer FROM ({_kmers('contigs', 'doc_id')})), {HASHED}
+      SELECT copies, count(*) AS buckets FROM (SELECT h % 4194304 AS bucket, least(count(*), 255) AS copies FROM hashed WHERE h >> 47 = 1 GROUP BY bucket) GROUP BY copies""",
+    "kmer_estimate": f"""{BASE}, asked AS (SELECT row_number() OVER () AS key, kmer FROM ({_kmers('contigs', 'doc_id')})), {HASHED},
+      x AS (SELECT copies FROM (SELECT h % 4194304 AS bucket, least(count(*), 255) AS copies FROM hashed WHERE h >> 47 = 1 GROUP BY bucket)),
+      e AS (SELECT 4194304 - count(*) AS x0, count(*) FILTER (WHERE copies = 1) AS x1 FROM x),
+      f AS (SELECT (22 * ln(2::DOUBLE) - ln(x0)) * 274877906944::DOUBLE AS f0, x1 / x0::DOUBLE * 274877906944::DOUBLE AS once FROM e)
+      SELECT trunc(f0)::BIGINT AS distinct_estimate, trunc(f0)::BIGINT - trunc(once)::BIGINT AS repeated_estimate FROM f""",
     "kmer_solid": f"{BASE}, {READS} SELECT canon FROM ({_kmers('reads', 'doc_id')}) GROUP BY canon HAVING count(*) >= 2",
     "kmer_ref_set": f"{BASE}, {KNOWN} SELECT canon FROM known",
     "kmer_missing": f"{BASE}, {TRANSCRIPTS}, {KNOWN}, {HITS} SELECT id, x, kmer FROM hits WHERE NOT hit",
@@ -152,6 +198,20 @@ ORACLE: dict[str, str] = {
       sized AS (SELECT 'primary' AS role, count(*) AS n_keys FROM counted UNION ALL SELECT 'secondary', count(*) FILTER (WHERE n >= 2) FROM counted),
       with_bits AS (SELECT role, n_keys, floor(-ln(0.01::DOUBLE) / ln(2::DOUBLE) / ln(2::DOUBLE) * n_keys)::BIGINT AS bits FROM sized)
       SELECT role, n_keys, bits, greatest(floor((bits // greatest(n_keys, 1)) * ln(2::DOUBLE)), 1)::INT AS hashes FROM with_bits""",
+    "bloom_filter": f"""{BASE}, {KNOWN}, asked AS (SELECT canon AS key, canon AS kmer FROM known), {HASHED}, {FILTER}, places AS ({PLACES})
+      SELECT n AS set_bits, bits, hashes, {K} AS k, round(power(n / bits::DOUBLE, hashes), 9) AS rate FROM (SELECT count(DISTINCT at) AS n FROM places), sized""",
+    "bloom_probe": f"""{BASE}, {KNOWN}, passages AS (SELECT item_id AS doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark),
+      mine AS MATERIALIZED (SELECT DISTINCT canon FROM ({_kmers('passages', 'doc_id')})),
+      asked AS (SELECT canon AS key, canon AS kmer FROM known UNION SELECT canon, canon FROM mine), {HASHED}, {FILTER}, places AS MATERIALIZED ({PLACES}),
+      bits_set AS MATERIALIZED (SELECT DISTINCT at FROM places JOIN known ON key = canon),
+      found AS (SELECT m.canon, bool_and(b.at IS NOT NULL) AS present FROM mine m JOIN places p ON m.canon = p.key LEFT JOIN bits_set b ON p.at = b.at GROUP BY m.canon)
+      SELECT k.canon IS NOT NULL AS known, present, count(*) AS kmers FROM found f LEFT JOIN known k ON f.canon = k.canon GROUP BY ALL""",
+    "splice_extend": f"""{PROBED}, {_bounds(LENIENCY)}, {_segments(True)}, exons0 AS MATERIALIZED (SELECT concat_ws('_', id, "start", "end", exon_no) AS id, exon_seq AS seq FROM ({EXONS})),
+      {_walk('lw')}, {_walk('rw')},
+      found AS (SELECT e.id, seq, coalesce(l.found, '') AS l, coalesce(r.found, '') AS r FROM exons0 e LEFT JOIN lw6 l ON e.id = l.id LEFT JOIN rw6 r ON e.id = r.id),
+      signals AS (SELECT *, list_max(list_filter(range(1, length(l)), lambda y: list_contains({_signals(LEFT_SIGNALS)}, substr(l, y, 2)))) AS nl,
+        list_min(list_filter(range(1, length(r)), lambda y: list_contains({_signals(RIGHT_SIGNALS)}, substr(r, y, 2)))) AS nr FROM found)
+      SELECT id, coalesce(substr(l, nl + 2, 6), '') || seq || coalesce(substr(r, 1, nr - 1), '') AS extended_seq FROM signals""",
     "si_format": f"""SELECT l_orderkey, l_linenumber,
       CASE WHEN l_extendedprice < 1e3 THEN {_sig('l_extendedprice', 3, ' ')} WHEN l_extendedprice < 1e6 THEN {_sig('l_extendedprice / 1e3::DOUBLE', 3, ' k')} ELSE {_sig('l_extendedprice / 1e6::DOUBLE', 3, ' M')} END AS si,
       CASE WHEN n < 1024 THEN n::VARCHAR WHEN n < 1048576 THEN {_sig('n / 1024::DOUBLE', 3, 'k')} WHEN n < 1073741824 THEN {_sig('n / 1048576::DOUBLE', 3, 'M')} ELSE {_sig('n / 1073741824::DOUBLE', 3, 'G')} END AS bytes_si,

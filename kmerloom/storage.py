@@ -4,38 +4,93 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Tables written by this process and not yet deleted.
+_written: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             found = tempfile.mkdtemp(prefix="kmerloom-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran. The
-    files go when the session's JVM ends.
+    files go with the ``scratch`` block they were written in, or, with ``keep``, when the JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kmerloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(at)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    if not keep:
+        _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``materialize`` wrote inside the block, when the block's results have been used or written."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        for path in _written[kept:]:
+            fs, at = _hadoop(spark, path)
+            fs.delete(at, True)
+        del _written[kept:]
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores: a table whose files split into fewer parts than there are cores is dealt out by ``keys``.
+
+    A table of more files stays as its scan deals it, so that no text is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(4 * cores, *(F.col(k) for k in keys))
+
+
+def stamp(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """A path with the size of what lies there and the time of its last change."""
+    fs, at = _hadoop(spark, path)
+    content = fs.getContentSummary(at)
+    return path, content.getLength(), fs.getFileStatus(at).getModificationTime()
+
+
+_kept: WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = WeakKeyDictionary()
+
+
+def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table ``build()`` derives from the files at ``source``, materialised once for a session and state of these files."""
+    tables = _kept.setdefault(spark, {})
+    key = (*stamp(spark, source), name)
+    if key not in tables:
+        tables[key] = materialize(build(), keep=True)
+    return tables[key]
+
+
 def global_rank(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``df`` with ``name``: the 0-based place of each row by ``order``, which must tell rows apart.
 

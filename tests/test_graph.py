@@ -1,9 +1,13 @@
 """Splice graph, genes, Bloom filters, readers and writers on golden cases."""
 
 import gzip
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from kmerloom.functions import nthash
+from kmerloom.functions.codes import decode
 from kmerloom.operators import bloom, genes, kmers, splicegraph as G
 from kmerloom.operators.components import connected_components
 from kmerloom.sources import readers, writers
@@ -32,7 +36,7 @@ def _labels(spark, members):
     blocks = spark.createDataFrame([(i, n, "A" * size, bool(t)) for i, (n, size, t) in enumerate(members)], "rec_no bigint, exon string, seq string, terminal boolean")
     first = min(n for n, *_ in members)
     component = spark.createDataFrame([(n, first) for n, *_ in members], "exon string, component string")
-    return {r.exon: r.label for r in G.merge_labels(blocks, component).collect()}
+    return {r.exon: r.label for r in G.merge_labels(G.merge_exons(blocks, component)).collect()}
 
 
 def test_labels(spark):
@@ -63,25 +67,60 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u string, v string")).count() == 0
 
 
-def test_bloom(spark):
-    known = spark.createDataFrame([(k,) for k in ("ACGTACGTAC", "AAAAAAAAAA", "ACCCCCCCCC")], "canon string")
+def test_bloom(spark, tmp_path):
+    known = kmers.kmer_set(spark.createDataFrame([(k,) for k in ("ACGTACGTAC", "AAAAAAAAAA", "ACCCCCCCCC")], "kmer string"), 10)
     bits, hashes = bloom.size_for(1000, 0.01)
     assert (bits, hashes) == (9585, 6)
     slices = bloom.build(known, 10, bits, hashes)
     body = bytes(slices.first().body)
-    places = {p for r in known.collect() for p in bloom.locations(r.canon, 10, bits, hashes)}
+    texts = [r.canon for r in kmers.set_text(known, 10).collect()]
+    firsts = [nthash.canonical_hashes(t, 10)[:1] for t in texts]
+    places = {int(nthash.extra_hash(h, 10, i)[0]) % bits for h in firsts for i in range(hashes)}
     assert {i for i in range(bits) if body[i // 8] >> (7 - i % 8) & 1} == places
     assert bloom.set_bits(slices).first().set_bits == len(places)
-    asked = known.unionByName(spark.createDataFrame([("ACGTTTTTTT",)], "canon string"))
-    assert {r.canon: r.present for r in bloom.probe(asked, slices, 10, bits, hashes).collect()} == {"ACGTACGTAC": True, "AAAAAAAAAA": True, "ACCCCCCCCC": True, "ACGTTTTTTT": False}
+    asked = known.unionByName(kmers.kmer_set(spark.createDataFrame([("ACGTTTTTTT",)], "kmer string"), 10))
+    found = lambda s: {r.canon: r.present for r in bloom.probe(asked, s, 10, bits, hashes).select(decode(10).alias("canon"), "present").collect()}
+    want = {"AAAAAAACGT": False} | dict.fromkeys(texts, True)
+    assert found(slices) == want
+    (tmp_path / "B.bf").write_bytes(body)
+    assert found(bloom.slices_of_file(spark, str(tmp_path / "B.bf"))) == want
+    writers.write_filter(slices, str(tmp_path / "slices"))
+    assert found(spark.read.parquet(str(tmp_path / "slices"))) == want
     f0, share = bloom.frequency_estimates({1: 3000, 2: 500})
     assert f0 > 0 and 0 < share[1] < 1 and bloom.frequency_estimates({})[0] == 0
 
 
+def test_bloom_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(bloom, "SLICE", 64)
+    letters = random.Random(3)
+    seqs = spark.createDataFrame([("".join(letters.choice("ACGT") for _ in range(400)),) for _ in range(3)], "seq string")
+    known = kmers.reference_set(seqs, 40)
+    bits, hashes = bloom.size_for(1083, 0.01)
+    body = b"".join(bytes(r.body) for r in bloom.build(known, 40, bits, hashes).orderBy("slice").collect())
+    want = {int(nthash.extra_hash(nthash.canonical_hashes(r.seq, 40), 40, i)[x]) % bits for r in seqs.collect() for x in range(361) for i in range(hashes)}
+    assert {i for i in range(bits) if body[i // 8] >> (7 - i % 8) & 1} == want
+
+
+def test_estimate(spark):
+    letters = random.Random(4)
+    texts = ["".join(letters.choice("ACGT") for _ in range(3000)) for _ in range(8)]
+    seqs = spark.createDataFrame([(t,) for t in [*texts, texts[0], "ACGTN"]], "seq string")
+    counted: dict = {}
+    for t in [*texts, texts[0]]:
+        for h in nthash.canonical_hashes(t, 25).tolist():
+            if h >> 59 == 1:
+                counted[h & 1023] = counted.get(h & 1023, 0) + 1
+    got = {r.copies: r.buckets for r in bloom.bucket_histogram(seqs, 25, 4, 10).collect()}
+    assert got == dict(Counter(counted.values()))
+    row = bloom.estimate_distinct(seqs, 25, 4, 10).first()
+    assert abs(row.distinct_estimate - 8 * 2976) < 3000 and abs(row.repeated_estimate - 2976) < 2500
+    assert bloom.estimate_distinct(seqs.limit(0), 25).first().distinct_estimate == 0
+
+
 def test_counts(spark):
     reads = spark.createDataFrame([("AAAAA",), ("TTTTT",), ("ACGNA",)], "seq string")
-    assert {r.canon: r.n for r in kmers.count_kmers(reads, 4).collect()} == {"AAAA": 4}
-    assert [r.canon for r in kmers.solid_set(reads, 4).collect()] == ["AAAA"]
+    assert [(r.c0, r.n) for r in kmers.count_kmers(reads, 4).collect()] == [(0, 4)]
+    assert [r.canon for r in kmers.set_text(kmers.solid_set(reads, 4), 4).collect()] == ["AAAA"]
     assert kmers.kmer_totals(reads, 4).first().asDict() == {"total_kmers": 4, "distinct_kmers": 1, "repeated_kmers": 1}
     assert kmers.kmer_totals(reads.limit(0), 4).first().total_kmers == 0
 

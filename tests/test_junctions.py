@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from kmerloom.operators import junctions as J, kmers, splice
 from kmerloom.operators.lookup import canonical_text
@@ -126,38 +125,83 @@ def test_cutting(spark):
     assert inner == [("a", 8, 20), ("b", 2, 6)]
 
 
-def test_extension():
-    seq = "C" * 12
-    walk = "TTAGCC"
-    known = kset(8, walk + seq)
-    has = lambda x: canonical_text(x) in known
-    if splice.walk_left(seq[:8], has) == walk:
-        assert splice.extend(seq, 8, ["AG"], [], has) == "CC" + seq
-    steps = {"ACGTACGT": "C"}
-    assert splice.extend("ACG", 8, ["AG"], ["GT"], has) == "ACG"
-    assert steps and J.leniency_from_rate(10, 2.0, 0.05, 25) == 3 and J.leniency_from_rate(4, 2.0, 0.05, 25) == 4
-
-
-def test_extension_walks():
-    base = bases(30)
-    left, right = "TTAGCC", "CCGTTT"
-    known = kset(12, left + base + right)
-    has = lambda x: len(x) == 12 and canonical_text(x) in known
-    assert splice.walk_left(base[:12], has) == left and splice.walk_right(base[-12:], has) == right
-    assert splice.extend(base, 12, ["AG"], ["GT"], has) == "CC" + base + "CC"
-    assert splice.extend(base, 12, ["CC"], ["CC"], has) == base
-    assert splice.extend(base, 12, ["GG"], [], has) == base
+def walk(seq, k, left, has):
+    """Row-at-a-time model of one greedy walk."""
+    kmer, out = (seq[:k], "") if left else (seq[-k:], "")
+    for _ in range(splice.STEPS):
+        base = next((b for b in splice.WALK_ORDER if has((b + kmer)[:k] if left else (kmer + b)[-k:])), None)
+        if base is None:
+            break
+        kmer, out = ((base + kmer)[:k], base + out) if left else ((kmer + base)[-k:], out + base)
+    return out
+
+
+def extended(seq, k, left, right, has):
+    if len(seq) < k:
+        return seq
+    found = walk(seq, k, True, has)
+    for y in range(len(found), 1, -1):
+        if found[y - 2 : y] in left:
+            seq = found[y:] + seq
+            break
+    found = walk(seq, k, False, has)
+    for y in range(len(found) - 1):
+        if found[y : y + 2] in right:
+            return seq + found[:y]
+    return seq
+
+
+def test_extension(spark):
+    genome = bases(3000)
+    cuts = [(i, genome[i * 60 : i * 60 + rng.choice([5, 20, 30, 45])]) for i in range(50)] + [(50, "ACGTNACGTNNACG"), (51, bases(40)), (52, "")]
+    seqs = spark.createDataFrame(cuts, "id int, seq string")
+    for k in (8, 12):
+        known = kset(k, genome)
+        table = kmers.reference_set(spark.createDataFrame([(genome,)], "seq string"), k)
+        has = lambda x: not x.strip("ACGT") and canonical_text(x) in known
+        for left, right in ((["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]), (["CC"], []), ([], ["CC"])):
+            got = {r.id: r.extended_seq for r in splice.extend_exons(seqs, table, k, left, right).collect()}
+            assert got == {i: extended(s, k, left, right, has) for i, s in cuts}
+    assert splice.extend_exons(seqs.limit(0), table, 12, ["AG"], ["GT"]).count() == 0
+    found = {r.id: r.right for r in splice.walks(seqs, table, 12, compat=True).collect()}
+    assert all(r == "" or set(r) == {"A"} for r in found.values()) and any(found.values())
+
+
+def test_leniency():
+    assert J.leniency_from_rate(10, 2.0, 0.05, 25) == 3 and J.leniency_from_rate(4, 2.0, 0.05, 25) == 4
 
 
 def test_bad_leniency(spark):
     with pytest.raises(ValueError):
-        J.boundaries(spark.createDataFrame([("a", "ACGT")], "id string, seq string"), spark.createDataFrame([("AC",)], "canon string"), 10, 9)
+        J.boundaries(spark.createDataFrame([("a", "ACGT")], "id string, seq string"), spark.createDataFrame([(1,)], "c0 bigint"), 10, 9)
 
 
-def test_explode_pieces(spark):
-    seq = bases(1500)
-    rows = spark.createDataFrame([(1, seq), (2, "ACGTNACGTACG"), (3, "AC"), (4, None)], "id int, seq string")
-    got = {(r.id, r.x, r.canon) for r in kmers.explode_kmers(rows, 5).collect()}
-    want = {(i, x, canonical_text(s[x : x + 5])) for i, s in ((1, seq), (2, "ACGTNACGTACG")) for x in range(len(s) - 4) if "N" not in s[x : x + 5]}
+@pytest.mark.parametrize("k", [1, 5, 31, 32, 50, 70])
+def test_explode(spark, monkeypatch, k):
+    monkeypatch.setattr("kmerloom.functions.codes.STEP", 97)
+    seq = bases(500)
+    rows = spark.createDataFrame([(1, seq), (2, "ACGTNACGTACG" + bases(80)), (3, "AC"), (4, None), (5, ""), (6, bases(k))], "id int, seq string")
+    texts = {r.id: r.seq or "" for r in rows.collect()}
+    got = {(r.id, r.x, r.kmer, r.canon) for r in kmers.with_text(kmers.explode_kmers(rows, k), k).collect()}
+    want = {(i, x, s[x : x + k], canonical_text(s[x : x + k])) for i, s in texts.items() for x in range(len(s) - k + 1) if "N" not in s[x : x + k]}
     assert got == want
-    assert kmers.hit_vector(rows.filter("id = 2"), spark.createDataFrame([("ACGTA",)], "canon string"), 5).filter(F.col("hit")).count() == 1
+    known = kmers.kmer_set(spark.createDataFrame([(seq[10 : 10 + k],), ("N" * k,)], "kmer string"), k)
+    hits = kmers.hit_vector(rows, known, k)
+    assert hits.count() == sum(max(len(s) - k + 1, 0) for s in texts.values())
+    one = canonical_text(seq[10 : 10 + k])
+    assert hits.filter("hit").count() == sum(c == one for _, _, _, c in want)
+    counted = {r.canon: r.n for r in kmers.set_text(kmers.count_kmers(rows, k).selectExpr("*"), k).groupBy("canon").count().withColumnRenamed("count", "n").collect()}
+    assert set(counted) == {c for *_, c in want}
+
+
+def test_runs_over_pieces(spark):
+    seqs, known, table = _frames(spark)
+    whole = {(r.id, r.s, r.e) for r in J.hit_runs(seqs, known, 10).collect()}
+    parts = {(r.id, r.s, r.e) for r in J.hit_runs(seqs, known, 10, piece=7).collect()}
+    want = set()
+    for r in seqs.filter("length(seq) >= 15").collect():
+        hit = [not r.seq[x : x + 10].strip("ACGT") and canonical_text(r.seq[x : x + 10]) in table for x in range(len(r.seq) - 9)]
+        for x, h in enumerate(hit):
+            if h and (not x or not hit[x - 1]):
+                want.add((r.id, x, next((y for y in range(x, len(hit)) if not hit[y]), len(hit)) - 1))
+    assert whole == parts == want
