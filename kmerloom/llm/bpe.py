@@ -5,13 +5,23 @@ the merge list yields. It starts with one state in which every byte is an arc, a
 each merge (u, v), in order of priority, adds one gadget: all arcs u end in a single
 state q; a copy of q without its arc v becomes the new end of u, and each state that
 has an arc u gets an arc uv to where v leads. All arcs of a token thus share one end,
-and a state is a parent, the token that its copy lost, and the time of the copy, so the
-compiled tables hold one entry per merge. A token's arc leaves a state if, going back
-in time, it was there before each copy on the way and is not what the copy lost.
-
-A word is read byte by byte. As each string has one accepted tokenization, each prefix
-has one state, so the states of all prefixes follow from table lookups alone, in time
-linear in the word. Decoding emits the labels of the arcs.
+so the compiled tables hold for each token when its arcs appeared, the token u whose arcs they
+follow and the token v whose end they share, and for each pair (u, v) when the end of u
+lost its arc v. An arc leaves a state if, going back in time through these tables, it was there before
+it was ever lost. Cells of the transition table that have been met are kept.
+
+A word is read byte by byte, once and without going back. A second table, over bytes,
+leads from byte to byte through the longest piece of a token that the text read so far
+ends in; with it come the tokens that the text ends in, longest first. As each string has one
+accepted tokenization, each prefix of the word has one state, and exactly one of these tokens
+leaves the state of the prefix before it: it is the last token of this prefix. The ids of the
+word are read from the last prefix backwards. Time is in proportion to the length of the word, times
+the tokens that end at one place. Decoding emits the labels of the arcs.
+
+Texts are split into words by the pattern of the vocabulary, with letters, numbers and
+white space as the tokenizers library has them: its tables of characters are older than the regex
+package's, so the driver asks it once for the class of every code point and writes the
+differences into the pattern.
 
 Defined cases: a null text counts as the empty text, which has no token; a special
 token's string in a text is that token, as in the tokenizers library; texts of any
@@ -31,8 +41,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept with their ids in each Python worker.
-WORD_CACHE = 400_000
+#: Words, and pieces of text between blanks, kept with their ids in each Python worker.
+WORD_CACHE = 300_000
+#: Cells of the transition table kept.
+CELLS = 1_000_000
+#: White space at which a text cannot simply be cut at its blanks, and the blanks at which it can be cut then.
+_BLANKS = re.compile(r" (?:\s|\Z)")
+_OPENS = re.compile(r" (?=\S)")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -42,10 +57,67 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranges(points: list[int]) -> str:
+    """Code points as ranges inside a character class."""
+    out, i = [], 0
+    while i < len(points):
+        j = i
+        while j + 1 < len(points) and points[j + 1] == points[j] + 1:
+            j += 1
+        out.append(f"\\U{points[i]:08x}-\\U{points[j]:08x}")
+        i = j + 1
+    return "".join(out)
+
+
+def library_classes(path: str) -> dict[str, set[int]]:
+    """Code points that the library's splitter takes for letters (L), numbers (N) and white space (s)."""
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    found: dict[str, set[int]] = {"L": set(), "N": set(), "s": {32}}
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and c != 32]
+    for at in range(0, len(points), 4096):
+        block = points[at : at + 4096]
+        starts = {a for _, (a, _) in split("".join(f"!{chr(c)}a" for c in block))}
+        between = []  # neither with the mark before it nor with the letter after it: a number or white space
+        for i, c in enumerate(block):
+            if 3 * i + 1 in starts:
+                if 3 * i + 2 in starts:
+                    between.append(c)
+                else:
+                    found["L"].add(c)
+        starts = {a for _, (a, _) in split("".join(f"1{chr(c)}!" for c in between))} if between else set()
+        for i, c in enumerate(between):
+            found["s" if 3 * i + 1 in starts else "N"].add(c)
+    return found
+
+
+@lru_cache(maxsize=2)
+def word_pattern(path: str) -> str:
+    """The vocabulary's pattern with the library's classes of characters, for the regex package. Asked once, in the driver."""
+    import public_tokenizers
+    import regex
+
+    everything = "".join(map(chr, range(0x110000)))
+    pattern = public_tokenizers.PATTERN.replace("\\S", "\0^").replace("\\s", "\0s").replace("\\p{L}", "\0L").replace("\\p{N}", "\0N")
+    for name, own in library_classes(path).items():
+        base = "\\s" if name == "s" else f"\\p{{{name}}}"
+        known = {m.start() for m in regex.finditer(base, everything)}
+        less, more = _ranges(sorted(known - own)), _ranges(sorted(own - known))
+        base = f"[{base}--[{less}]]" if less else base
+        base = f"[{base}[{more}]]" if more else base
+        pattern = pattern.replace(f"\0{name}", base)
+        if name == "s":
+            pattern = pattern.replace("\0^", f"[^{base}]")
+    return f"(?V1){pattern}"
+
+
 class TokenAutomaton:
-    """The compiled automaton of one vocabulary file."""
+    """The compiled automaton of one vocabulary file; ``pattern`` splits texts into words."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
 
-    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols = byte_symbols()
@@ -53,145 +125,161 @@ class TokenAutomaton:
         vocab: dict[str, int] = spec["model"]["vocab"]
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label: dict[int, bytes] = {i: raw(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
-        self.longest = max(map(len, self.label.values()))
-        self.arc = {self.label[i]: i for i in vocab.values()}  # tokens by bytes
+        self.split = regex.compile(pattern).findall
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self._compile([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+        self._compile_gadgets([(vocab[u], vocab[v], vocab[u + v]) for u, v in merges], {i for i in vocab.values() if len(self.label[i]) == 1})
+        self._compile_suffixes()
         self.words: dict[str, tuple[int, ...]] = {}
+        self.chunks: dict[str, tuple[int, ...]] = {}  # text behind a blank, up to the next word's blank
         specials = "|".join(re.escape(t) for t in sorted(self.specials, key=len, reverse=True))
         self._special = re.compile(f"({specials})") if specials else None
 
-    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
-        """Successive merge gadgets; state 0 is the start and has every byte as an arc."""
-        self.end = dict.fromkeys((i for b, i in self.arc.items() if len(b) == 1), 0)  # token -> state its arcs lead to
-        self.parent, self.lost, self.copied = [-1], [-1], [0]  # by state; copied: time of the copy
-        self.born: dict[int, int] = dict.fromkeys(self.end, 0)  # time a token's arcs appeared
-        self.left: dict[int, int] = {}  # token -> the token whose arcs it follows
+    def _compile_gadgets(self, merges: list[tuple[int, int, int]], single: set[int]) -> None:
+        """Successive merge gadgets, by time; a state is named by the token whose arcs end there."""
+        size = max(self.label) + 1
+        self.born, self.left, self.right = [0] * size, [-1] * size, [-1] * size
+        self.lost: dict[int, int] = {}  # (u, v) as one number -> time at which the end of u lost its arc v
+        self.tokens = set(single)
         for time, (u, v, uv) in enumerate(merges, 1):
-            to = self.end[v]
-            self.parent.append(self.end[u])
-            self.lost.append(v)
-            self.copied.append(time)
-            self.end[u] = len(self.parent) - 1
-            if uv not in self.end:
-                self.end[uv], self.born[uv], self.left[uv] = to, time, u
-        self.memo: dict[tuple[int, int], bool] = {}
-
-    def leaves(self, state: int, token: int) -> bool:
-        """Whether an arc ``token`` leaves ``state``."""
-        key = (state, token)
-        known = self.memo.get(key)
-        if known is None:
-            parent, lost, copied, born, left = self.parent, self.lost, self.copied, self.born, self.left
-            known = True
-            while state:
-                if born[token] >= copied[state]:
-                    if not born[token]:
-                        break
-                    token = left[token]
-                elif token == lost[state]:
-                    known = False
+            self.lost.setdefault(u << 20 | v, time)
+            if uv not in self.tokens:
+                self.tokens.add(uv)
+                self.born[uv], self.left[uv], self.right[uv] = time, u, v
+        self.known: dict[int, bool] = {}
+
+    def _compile_suffixes(self) -> None:
+        """The table over bytes: nodes are beginnings of tokens, 0 the empty one.
+
+        ``follow`` leads from a node by a byte, ``fallback`` to the longest shorter node that its text ends
+        in; ``ends`` has the tokens that the node's text ends in, longest first, with their lengths.
+        """
+        self.follow: dict[int, int] = {}  # node * 256 + byte
+        token_at, above, byte_of = [-1], [0], [0]
+        for token in sorted(self.tokens):
+            node = 0
+            for b in self.label[token]:
+                key = node << 8 | b
+                if key not in self.follow:
+                    self.follow[key] = len(token_at)
+                    token_at.append(-1)
+                    above.append(node)
+                    byte_of.append(b)
+                node = self.follow[key]
+            token_at[node] = token
+        depth = [0] * len(token_at)
+        for node in range(1, len(depth)):
+            depth[node] = depth[above[node]] + 1
+        self.fallback, self.ends = [0] * len(depth), [()] * len(depth)
+        for node in sorted(range(1, len(depth)), key=depth.__getitem__):
+            back = above[node]
+            while back:
+                back = self.fallback[back]
+                if (to := self.follow.get(back << 8 | byte_of[node])) is not None:
+                    self.fallback[node] = to
+                    break
+            shorter = self.ends[self.fallback[node]]
+            self.ends[node] = ((token_at[node], depth[node]), *shorter) if token_at[node] >= 0 else shorter
+
+    def leaves(self, before: int, token: int) -> bool:
+        """Whether an arc ``token`` leaves the state in which arcs ``before`` end."""
+        key = before << 20 | token
+        found = self.known.get(key)
+        if found is None:
+            born, lost = self.born, self.lost
+            u, v, now = before, token, len(lost) + 1
+            while True:
+                if lost.get(u << 20 | v, now + 1) <= now:
+                    found = False
                     break
+                if not born[u] and not born[v]:
+                    found = True
+                    break
+                if born[v] >= born[u]:
+                    v, now = self.left[v], born[v]
                 else:
-                    state = parent[state]
-            if len(self.memo) > 2_000_000:
-                self.memo.clear()
-            self.memo[key] = known
-        return known
+                    u, now = self.right[u], born[u] - 1
+            if len(self.known) < CELLS:
+                self.known[key] = found
+        return found
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """Ids of one pre-split word: the one accepted path, longest arcs first.
-
-        As a prefix has one state, a place from which the end can't be reached is closed for good.
-        """
-        arc, memo, leaves, end, n = self.arc, self.memo, self.leaves, self.end, len(word)
-        path: list[tuple[int, int, int, int]] = []  # place, state there, arc taken, where it leads
-        closed: set[int] = set()
-        at = state = 0
-        to = min(n, self.longest)
-        while at < n:
-            while to > at:
-                token = arc.get(word[at:to])
-                if token is not None and to not in closed:
-                    ok = memo.get((state, token))
-                    if ok or ok is None and leaves(state, token):
-                        path.append((at, state, token, to))
-                        at, state = to, end[token]
-                        to = min(n, at + self.longest)
-                        break
-                to -= 1
-            else:
-                closed.add(at)
-                at, state, _, to = path.pop()
-                to -= 1
-        return tuple([x[2] for x in path])
-
-    def _ids(self, chunk: str) -> tuple[int, ...]:
-        """Ids of a chunk of text between two places where words always part."""
+        """Ids of one pre-split word: the last token of each prefix, byte by byte, then from the end to the start."""
+        follow, fallback, ends, known, leaves = self.follow, self.fallback, self.ends, self.known, self.leaves
+        node = at = 0
+        last: list[tuple[int, int]] = []
+        for byte in word:
+            while (to := follow.get(node << 8 | byte)) is None:
+                node = fallback[node]
+            node = to
+            at += 1
+            for found in ends[node]:
+                token, size = found
+                if size == at:
+                    break
+                before = last[at - size - 1][0]
+                fits = known.get(before << 20 | token)
+                if fits or fits is None and leaves(before, token):
+                    break
+            last.append(found)
+        path = []
+        while at:
+            token, size = last[at - 1]
+            path.append(token)
+            at -= size
+        return tuple(path[::-1])
+
+    def _words(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a piece of text between two places where words always part. Frequent words come early, so a full cache stays as it is."""
         words = self.words
         out: list[int] = []
-        for word in _pattern().findall(chunk):
+        for word in self.split(chunk):
             ids = words.get(word)
             if ids is None:
                 ids = self.encode_word(word.encode("utf-8", "surrogatepass"))
-                self._hold(word, ids)
+                if len(words) < WORD_CACHE and len(word) <= 64:
+                    words[word] = ids
             out += ids
         return tuple(out)
 
-    def _hold(self, word: str, ids: tuple[int, ...]) -> None:
-        """Frequent words come early, so a full cache stays as it is."""
-        if len(self.words) < WORD_CACHE and len(word) <= 64:
-            self.words[word] = ids
+    def _plain(self, text: str) -> list[int]:
+        """Ids of a text without special tokens. A blank before a character that is none always opens a word."""
+        if _BLANKS.search(text):
+            first, *rest = _OPENS.split(text)
+        else:
+            first, *rest = text.split(" ")
+        chunks = self.chunks
+        ids = list(map(chunks.get, rest))
+        for k, found in enumerate(ids):
+            if found is None:
+                chunk = rest[k]
+                ids[k] = found = self._words(" " + chunk)
+                if len(chunks) < WORD_CACHE and len(chunk) <= 64:
+                    chunks[chunk] = found
+        return [*self._words(first), *chain.from_iterable(ids)]
 
     def encode(self, text: str) -> list[int]:
         """Ids of one text."""
         if self._special and self._special.search(text):
-            return [i for part in self._special.split(text) if part for i in ([self.specials[part]] if part in self.specials else self._ids(part))]
-        words, fresh = self.words, self._ids
-        out: list[tuple[int, ...]] = []
-        for chunk in chunks(text):
-            ids = words.get(chunk)
-            if ids is None:
-                ids = fresh(chunk)
-                self._hold(chunk, ids)
-            out.append(ids)
-        return list(chain.from_iterable(out))
+            return [i for part in self._special.split(text) if part for i in ([self.specials[part]] if part in self.specials else self._plain(part))]
+        return self._plain(text)
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs, as text."""
         return b"".join(map(self.label.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=1)
-def _pattern():  # noqa: ANN202
-    import public_tokenizers
-    import regex
-
-    return regex.compile(public_tokenizers.PATTERN)
-
-
-_SPLIT = re.compile(r" (?=\S)")
-
-
-def chunks(text: str) -> list[str]:
-    """Pieces of ``text`` whose words are those of the whole: it is cut before each blank that precedes a non-blank."""
-    if not text:
-        return []
-    first, *rest = _SPLIT.split(text)
-    return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-
-
 @lru_cache(maxsize=2)
-def automaton(path: str) -> TokenAutomaton:
+def automaton(path: str, pattern: str) -> TokenAutomaton:
     """One per Python worker."""
-    return TokenAutomaton(path)
+    return TokenAutomaton(path, pattern)
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row; the text goes no further than its task."""
+    pattern = word_pattern(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = automaton(path)
+        model = automaton(path, pattern)
         decimal = {i: str(i) for i in model.label}
         for batch in batches:
             rows = []
@@ -210,10 +298,11 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with a column ``ids``, an array of the token ids of ``text``."""
+    pattern = word_pattern(path)
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        model = automaton(path)
+        model = automaton(path, pattern)
         return texts.map(lambda t: model.encode(t or ""))
 
     return docs.withColumn("ids", ids("text"))
@@ -221,10 +310,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 def decoded(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with a column ``decoded`` from its column ``ids``."""
+    pattern = word_pattern(path)
 
     @F.pandas_udf("string")
     def text(ids: pd.Series) -> pd.Series:
-        model = automaton(path)
+        model = automaton(path, pattern)
         return ids.map(lambda x: model.decode(list(x) if x is not None else []))
 
     return docs.withColumn("decoded", text("ids"))
