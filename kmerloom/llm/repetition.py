@@ -7,7 +7,9 @@ prefix is longer than at its sides, so the longest repeat from a place is the la
 its two common prefixes, and the spans of all places that repeat ``min_span`` words or
 more unite to the spans of all such maximal repeats. A text is kept if the base rules
 hold, the covered share of its words is at most ``max_covered`` and the longest repeat is
-at most ``max_repeat`` words or ``max_share`` of the text's words, whichever is more.
+at most ``max_repeat`` words or ``max_share`` of the text's words, whichever is more. Spans
+are shorter than the base rule's windows, so short phrases said over and over count here only, and so
+does one long passage said twice in a long text.
 
 Defined cases: a null or empty text has no word and fails the base rules; texts of any
 length are read whole; rows that repeat give equal rows; an empty table gives an empty
@@ -101,7 +103,7 @@ def measure(text: str | None, min_span: int) -> tuple[int, int, int, int, int, i
     )
 
 
-def quality(docs: DataFrame, min_span: int = 8, max_covered: float = 0.3, max_repeat: int = 100, max_share: float = 0.1) -> DataFrame:
+def quality(docs: DataFrame, min_span: int = 5, max_covered: float = 0.3, max_repeat: int = 50, max_share: float = 0.1) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and covered_words and longest_repeat of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
