@@ -1,13 +1,16 @@
 """Substring deduplication by content-defined chunks (operator 1).
 
 A gear rolling hash over the last 16 bytes of the UTF-8 text cuts each text into
-variable chunks, so an insertion moves the cuts next to it only. Chunks are
-deduplicated by digest: the first document, by smallest ``doc_id``, keeps its chunk.
-Later chunks that follow each other in a document form a run. The text beside the ends
-of a run is then compared, byte by byte, with the text beside the same chunk in the
-document that keeps it, so that the parts of a passage before its first whole chunk and
-after its last one belong to it. Chance repeats of single chunks stay; a passage of
-``min_words`` whole words or more goes.
+variable chunks, so an insertion moves the cuts next to it only. A cut lies where the hash is
+small, or smallest for a stretch on both sides, so passages of few different words are cut by their
+content as well. Chunks are deduplicated by digest: the first document, by smallest
+``doc_id``, keeps its chunk. Later chunks that follow each other in a document, and whose kept
+copies follow each other in one other document, form a run. The bytes of the run are held
+against those of its copy, and the text beside its ends is compared, byte by byte, with the text beside
+the copy, so that the parts of a passage before its first whole chunk and after its last one
+belong to it. What a document shares with one other document in one piece of ``min_words``
+whole words or more goes; chance repeats of single chunks stay, and so do shorter pieces of
+several documents that stand side by side.
 
 Defined cases: a null text counts as the empty text, which has no chunk, and stays
 null; rows with equal ``doc_id`` count as one document; a repeat inside one
@@ -17,6 +20,7 @@ empty result; other columns pass unchanged.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +36,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 
 #: Least and most bytes of a chunk, and hash bits that are zero at a cut: 32 bytes between cuts on average, past the least.
 LEAST, MOST, BITS = 12, 256, 5
+#: Bytes on both sides of a cut at a smallest hash.
+AROUND = 32
 #: Bytes beside a run that are compared; more than the longest chunk.
 REACH = 320
 
@@ -54,9 +60,17 @@ def cuts(data: bytes) -> np.ndarray:
         more = h.copy()
         more[step:] += h[:-step] << np.uint16(step)
         h = more
+    cut = h >> np.uint16(16 - BITS) == 0
+    if n > 2 * AROUND:
+        least, size = h, 1
+        while size <= 2 * AROUND:  # the smallest of windows of 2, 4, 8 .. bytes, at last of both sides together
+            step = min(size, 2 * AROUND + 1 - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        cut[AROUND : n - AROUND] |= h[AROUND : n - AROUND] <= least
     out = []
     last = 0
-    for at in (np.flatnonzero(h >> np.uint16(16 - BITS) == 0) + 1).tolist():
+    for at in (np.flatnonzero(cut) + 1).tolist():
         while at - last > MOST:
             last += MOST
             out.append(last)
@@ -72,13 +86,16 @@ def cuts(data: bytes) -> np.ndarray:
 
 
 def _key(docs: DataFrame) -> DataFrame:
-    """``docs`` with _doc, the identifier or the number that stands for none, and _fp, 16 bits of the text's hash."""
+    """``docs`` with _doc, the identifier or the number that stands for none, and _fp, 23 bits of the text's hash.
+
+    Rows of equal ``doc_id`` with different texts of equal _fp would meet; as bytes are compared, nothing else than a repeat is ever cut.
+    """
     doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_DOC))
-    return docs.withColumns({"_doc": doc, "_fp": F.xxhash64("text").bitwiseAND(0xFFFF).cast("int")})
+    return docs.withColumns({"_doc": doc, "_fp": F.xxhash64("text").bitwiseAND(0x7FFFFF).cast("int")})
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
-    """(h, doc_id, place) of each chunk; ``place`` packs start (bytes), 16 bits of the text's hash, and length (9 bits)."""
+    """(h, doc_id, place) of each chunk; ``place`` packs start (31 bits, bytes), 23 bits of the text's hash, and length (9 bits)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -95,7 +112,7 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                         continue
                     starts = np.concatenate(([0], stops[:-1]))
                     h = np.array([digest(data[a:b], 42) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)], np.uint64)
-                    frames.append((np.full(len(h), doc, np.int64), h.view(np.int64), starts << 25 | int(fp) << 9 | stops - starts))
+                    frames.append((np.full(len(h), doc, np.int64), h.view(np.int64), starts << 32 | int(fp) << 9 | stops - starts))
                 if frames:
                     d, h, p = (np.concatenate(x) for x in zip(*frames, strict=True))
                     yield pd.DataFrame({"h": h, "doc_id": d, "place": p})
@@ -105,76 +122,79 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
 
 def _unpack(df: DataFrame, place: str, prefix: str) -> DataFrame:
     p = F.col(place)
-    start = F.shiftright(p, 25).cast("int")
+    start = F.shiftright(p, 32).cast("int")
     return df.withColumns({
         f"{prefix}start": start,
         f"{prefix}stop": (start + p.bitwiseAND(0x1FF)).cast("int"),
-        f"{prefix}fp": F.shiftright(p, 9).bitwiseAND(0xFFFF).cast("int"),
+        f"{prefix}fp": F.shiftright(p, 9).bitwiseAND(0x7FFFFF).cast("int"),
     })
 
 
 def repeated_runs(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc, fp, start, stop, left, right): runs of later chunks of ``min_bytes`` or more.
-
-    ``left`` and ``right`` say where the kept copies of the first and of the last chunk lie: (doc, fp, at).
-    """
+    """(doc, fp, start, stop, src, src_fp, at): runs of later chunks of ``min_bytes`` or more whose kept copies lie in one piece from ``at`` on in ``src``."""
     occ = materialize(chunk_rows(docs))
     later = later_occurrences(occ, ["h"], ["place"], largest_first=False, min_docs=2, with_first=True)
     rows = _unpack(_unpack(later, "place", ""), "first_place", "first_")
     own = ["doc_id", "fp"]
     along = Window.partitionBy(*own).orderBy("start")
-    opens = (F.col("start") > F.coalesce(F.lag("stop").over(along), F.lit(-1))).cast("int")
-    source = lambda at: F.struct(F.col("first_doc").alias("doc"), F.col("first_fp").alias("fp"), F.col(at).alias("at"))
+    before = lambda c: F.lag(c).over(along)
+    follows = (
+        (F.col("start") == before("stop")) & (F.col("first_doc") == before("first_doc"))
+        & (F.col("first_fp") == before("first_fp")) & (F.col("first_start") == before("first_stop"))
+    )
     return (
         rows.repartition(*own)
         .dropDuplicates([*own, "start"])
-        .withColumn("opens", opens)
+        .withColumn("opens", (~F.coalesce(follows, F.lit(False))).cast("int"))
         .withColumn("run", F.sum("opens").over(along))
-        .groupBy(*own, "run")
-        .agg(
-            F.min("start").alias("start"), F.max("stop").alias("stop"),
-            F.min_by(source("first_start"), "start").alias("left"), F.max_by(source("first_stop"), "start").alias("right"),
-        )
+        .groupBy(*own, "run", F.col("first_doc").alias("src"), F.col("first_fp").alias("src_fp"))
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_start").alias("at"))
         .filter(F.col("stop") - F.col("start") >= int(min_bytes))
-        .select(F.col("doc_id").alias("doc"), "fp", "start", "stop", "left", "right")
+        .select(F.col("doc_id").alias("doc"), "fp", "start", "stop", "src", "src_fp", "at")
     )
 
 
 def _slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (src, src_fp, side, at, n) with the REACH bytes before (side 0) or after ``at`` in the text of the source."""
+    """``wanted`` (src, src_fp, at, size, n) with the REACH bytes before and after that piece of the source, and its digest."""
 
-    @F.pandas_udf("array<binary>")
+    @F.pandas_udf("array<struct<left: binary, right: binary, digest: binary>>")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
-        def one(text: str | None, where: list) -> list[bytes]:
+        def one(text: str | None, where: list) -> list[dict]:
             data = (text or "").encode()
-            return [data[x["at"] : x["at"] + REACH] if x["side"] else data[max(0, x["at"] - REACH) : x["at"]] for x in where]
+            out = []
+            for x in where:
+                a, b = x["at"], x["at"] + x["size"]
+                out.append({"left": data[max(0, a - REACH) : a], "right": data[b : b + REACH], "digest": _digest(data[a:b])})
+            return out
 
         return pd.Series([one(t, w) for t, w in zip(texts, places, strict=True)])
 
-    lists = wanted.groupBy("src", "src_fp").agg(F.collect_list(F.struct("side", "at", "n")).alias("places"))
+    lists = wanted.groupBy("src", "src_fp").agg(F.collect_list(F.struct("at", "size", "n")).alias("places"))
     texts = _key(docs.select("doc_id", "text")).select(F.col("_doc").alias("src"), F.col("_fp").alias("src_fp"), "text")
     found = texts.join(lists.hint("shuffle_hash"), ["src", "src_fp"]).withColumn("bodies", cut("text", "places"))
     return (
         found.select("src", "src_fp", F.explode(F.arrays_zip("places", "bodies")).alias("x"))
-        .select("src", "src_fp", "x.places.side", "x.places.at", "x.places.n", F.col("x.bodies").alias("body"))
-        .dropDuplicates(["src", "src_fp", "side", "at"])
+        .select("src", "src_fp", "x.places.at", "x.places.size", "x.places.n", F.col("x.bodies").alias("body"))
+        .dropDuplicates(["src", "src_fp", "at", "size"])
     )
 
 
 def passages(docs: DataFrame, min_bytes: int) -> DataFrame:
-    """(doc, fp, spans): runs of each document with the bytes beside their kept copies, as structs (start, stop, side, body)."""
-    runs = materialize(repeated_runs(docs, min_bytes))
-    side = lambda n, c: F.struct(F.lit(n).alias("side"), F.col(f"{c}.doc").alias("src"), F.col(f"{c}.fp").alias("src_fp"), F.col(f"{c}.at").alias("at"))
-    sides = runs.select("doc", "fp", "start", "stop", F.explode(F.array(side(0, "left"), side(1, "right"))).alias("s")).select("doc", "fp", "start", "stop", "s.*")
-    keys = ["src", "src_fp", "side", "at"]
-    beside = materialize(_slices(docs, sides.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))))
+    """(doc, fp, spans): runs of each document with what lies beside their kept copies, as structs (start, stop, body)."""
+    runs = materialize(repeated_runs(docs, min_bytes).withColumn("size", F.col("stop") - F.col("start")))
+    keys = ["src", "src_fp", "at", "size"]
+    beside = materialize(_slices(docs, runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))))
     return (
-        join_with_hot(sides, beside, keys, "n", 2 * runs.count())
+        join_with_hot(runs, beside, keys, "n", runs.count())
         .groupBy("doc", "fp")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "stop", "side", "body"))).alias("spans"))
+        .agg(F.collect_list(F.struct("start", "stop", "body")).alias("spans"))
     )
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _common(a: bytes, b: bytes) -> int:
     """Bytes that two strings have in common at their start."""
     n = min(len(a), len(b))
@@ -182,48 +202,44 @@ def _common(a: bytes, b: bytes) -> int:
     return int(off[0]) if len(off) else n
 
 
-def widen(data: bytes, spans: list) -> list[tuple[int, int]]:
-    """Spans with what they share with their kept copies on both sides, cut back to whole words, and merged."""
-    ends: dict[tuple[int, int], list[int]] = {}
+def widen(data: bytes, spans: list, min_words: int) -> list[tuple[int, int]]:
+    """Pieces of ``min_words`` whole words or more that ``data`` shares with one kept copy each, merged.
+
+    A span grows by what it shares with its kept copy on both sides and is cut back to whole words.
+    """
+    found = []
     for x in spans:
-        a, b = x["start"], x["stop"]
-        at = ends.setdefault((a, b), [a, b])
-        if x["side"]:
-            at[1] = b + _common(data[b : b + REACH], x["body"])
-        else:
-            at[0] = a - _common(data[max(0, a - REACH) : a][::-1], x["body"][::-1])
+        a, b, body = x["start"], x["stop"], x["body"]
+        if _digest(data[a:b]) != body["digest"]:
+            continue
+        b += _common(data[b : b + REACH], body["right"])
+        a -= _common(data[max(0, a - REACH) : a][::-1], body["left"][::-1])
+        while a < b and a and data[a - 1] not in SPACE and data[a] not in SPACE:
+            a += 1
+        while b > a and b < len(data) and data[b - 1] not in SPACE and data[b] not in SPACE:
+            b -= 1
+        if len(data[a:b].split()) >= min_words:
+            found.append((a, b))
     out: list[tuple[int, int]] = []
-    for a, b in sorted((a, b) for a, b in ends.values()):
+    for a, b in sorted(found):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
             out.append((a, b))
-    whole = []
-    for a, b in out:
-        while a < b and a and data[a - 1] not in SPACE and data[a] not in SPACE:
-            a += 1
-        while b > a and b < len(data) and data[b - 1] not in SPACE and data[b] not in SPACE:
-            b -= 1
-        whole.append((a, b))
-    return whole
+    return out
 
 
-def cut_out(data: bytes, spans: list[tuple[int, int]], min_words: int) -> tuple[str, int, int]:
-    """Text without the spans of ``min_words`` words or more; bytes and spans cut."""
-    kept, last, gone, n = [], 0, 0, 0
+def cut_out(data: bytes, spans: list[tuple[int, int]]) -> tuple[str, int, int]:
+    """Text without the spans; bytes and spans cut."""
+    kept, last = [], 0
     for a, b in spans:
-        while a < b and data[a] & 0xC0 == 0x80:  # an end inside a character stays with the text
-            a += 1
-        while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
-            b -= 1
-        if len(data[a:b].split()) >= min_words:
-            kept.append(data[last:a])
-            last, gone, n = b, gone + b - a, n + 1
+        kept.append(data[last:a])
+        last = b
     kept.append(data[last:])
-    return b"".join(kept).decode("utf-8", "replace"), gone, n
+    return b"".join(kept).decode("utf-8", "replace"), sum(b - a for a, b in spans), len(spans)
 
 
-def dedup_substrings(docs: DataFrame, min_words: int = 25, min_bytes: int = 32) -> DataFrame:
+def dedup_substrings(docs: DataFrame, min_words: int = 25, min_bytes: int = 24) -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text``, and n_spans and n_bytes_dropped.
 
     If ``docs`` has columns of the names n_spans or n_bytes_dropped, these replace them.
@@ -233,7 +249,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = 25, min_bytes: int = 32)
     @F.pandas_udf("text string, n_bytes_dropped bigint, n_spans int")
     def apply(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
         rows = [
-            (t, 0, 0) if s is None else cut_out(t.encode(), widen(t.encode(), s), min_words)
+            (t, 0, 0) if s is None else cut_out(t.encode(), widen(t.encode(), s, min_words))
             for t, s in zip(texts, found, strict=True)
         ]
         return pd.DataFrame(rows, columns=["text", "n_bytes_dropped", "n_spans"])

@@ -17,6 +17,7 @@ from kmerloom.llm.line_dedup import apply_bitmaps, keep_bitmaps
 from kmerloom.llm.packing import pack
 from kmerloom.llm.repetition import quality
 from kmerloom.llm.simhash import simhash_components
+from kmerloom.storage import spread
 
 #: The vocabulary file by its name; executors find it in their own installation.
 VOCABULARY = "byte_bpe_50k.json"
@@ -28,8 +29,9 @@ def vocabulary_path() -> str:
     return public_tokenizers.path(VOCABULARY)
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _documents(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """doc_id, text and ``more`` columns, over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", *more), "doc_id", "text")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    kept = apply_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_chars=20, min_docs=3))
+    kept = apply_bitmaps(docs, keep_bitmaps(docs, min_chars=20, min_docs=3))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
@@ -48,7 +50,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(_documents(spark, sf_dir))
+    return identify(_documents(spark, sf_dir, "lang"))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return extract(spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "page_id", "html"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

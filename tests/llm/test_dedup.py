@@ -171,12 +171,49 @@ def test_cuts_follow_content():
     moved = chunk_dedup.cuts(data[:500] + b"inserted" + data[500:])
     assert len(set(ends[ends > 900]) - {x - 8 for x in moved}) == 0
     assert chunk_dedup.cuts(b"").size == 0 and chunk_dedup.cuts(b"a" * 1000)[-1] == 1000
-    h, mask = 0, (1 << 16) - 1
-    hits = []
-    for i, b in enumerate(data[:400]):
-        h = ((h << 1) + int(chunk_dedup.GEAR[b])) & mask
-        hits.append(i + 1) if h >> (16 - chunk_dedup.BITS) == 0 else None
-    assert set(ends[ends <= 390].tolist()) <= set(hits) | {x for x in ends.tolist() if x - 256 in ends}
+    h, hashes = 0, []
+    for b in data[:430]:
+        h = ((h << 1) + int(chunk_dedup.GEAR[b])) & 0xFFFF
+        hashes.append(h)
+    w = chunk_dedup.AROUND
+    fit = {i + 1 for i, h in enumerate(hashes) if h >> (16 - chunk_dedup.BITS) == 0 or i >= w and h == min(hashes[i - w : i + w + 1])}
+    assert set(ends[ends <= 390].tolist()) <= fit
+
+
+def common_words(a, b, least):
+    """Whether two texts share a piece of ``least`` words."""
+    w, known = a.split(), b.split()
+    have = {tuple(known[i : i + least]) for i in range(len(known) - least + 1)}
+    return any(tuple(w[i : i + least]) in have for i in range(len(w) - least + 1))
+
+
+def test_stitched_documents_stay(spark):
+    """Short passages of many documents side by side are no repeat of one document; a long one of one document is."""
+    own = [words(60) for _ in range(40)]
+    stitched = " ".join(" ".join(t.split()[20:38]) for t in own)
+    twice = " ".join(own[7].split()[5:35]) + " " + words(10) + " " + " ".join(own[8].split()[5:35])
+    rows = [(i, t) for i, t in enumerate(own)] + [(100, stitched), (101, twice)]
+    got = {r.doc_id: r for r in chunk_dedup.dedup_substrings(table(spark, rows), min_words=25).collect()}
+    assert got[100].text == stitched and got[100].n_spans == 0
+    assert got[101].n_spans == 2 and len(got[101].text.split()) <= 14
+
+
+def test_every_cut_is_a_repeat_of_one_document(spark):
+    pool = [words(rng.choice([10, 30, 70])) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pool) if rng.random() < 0.5 else words(rng.randint(5, 60)) for _ in range(6))) for i in range(60)]
+    got = {r.doc_id: r for r in chunk_dedup.dedup_substrings(table(spark, rows), min_words=25).collect()}
+    spans = {r.doc: [x.asDict(recursive=True) for x in r.spans] for r in chunk_dedup.passages(table(spark, rows), 24).collect()}
+    cut = missed = 0
+    for d, t in rows:
+        data = t.encode()
+        found = chunk_dedup.widen(data, spans.get(d, []), 25)
+        assert got[d].text == chunk_dedup.cut_out(data, found)[0]
+        for x in spans.get(d, []):
+            for a, b in chunk_dedup.widen(data, [x], 25):
+                assert any(data[a:b].decode() in other for e, other in rows if e < d)
+                cut += 1
+        missed += any(common_words(got[d].text, other, 40) for e, other in rows if e < d)
+    assert cut > 20 and missed <= 2
 
 
 def test_substrings(spark):

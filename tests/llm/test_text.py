@@ -1,6 +1,7 @@
 """BPE, language ID, packing, licences, HTML and quality rules against brute force."""
 
 import hashlib
+import json
 import math
 import random
 import re
@@ -53,26 +54,53 @@ def test_bpe_against_library(spark, library):
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=60))
 def test_bpe_any_text(library, text):
-    model = bpe.automaton(PATH)
+    model = bpe.automaton(PATH, bpe.word_pattern(PATH))
     assert model.encode(text) == library.encode(text, add_special_tokens=False).ids
     assert model.decode(model.encode(text)) == text
 
 
-def test_gadgets_accept_one_path():
-    """Of all splits of a word into tokens the automaton accepts one, the encoding."""
-    model = bpe.automaton(PATH)
-    for word in (b"there", b" hello", b"aaaaaa", b"ingthe", b"banana"):
-        paths = [((), 0, 0)]
-        done = []
-        while paths:
-            ids, at, state = paths.pop()
-            if at == len(word):
-                done.append(ids)
-            for to in range(at + 1, len(word) + 1):
-                token = model.arc.get(word[at:to])
-                if token is not None and model.leaves(state, token):
-                    paths.append(((*ids, token), to, model.end[token]))
-        assert done == [model.encode_word(word)]
+def test_bpe_every_code_point(library):
+    """Each code point between two letters, and random texts over all of them."""
+    model = bpe.automaton(PATH, bpe.word_pattern(PATH))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}b " for c in points[at : at + 500]) for at in range(0, len(points), 500)]
+    few = [9, 10, 13, 28, 32, 32, 39, 0x85, 0xA0, 0x200B, 0x2028]
+    for _ in range(30_000):
+        kind = lambda: rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x800), rng.randrange(0x800, 0xD800), rng.randrange(0xE000, 0x110000), rng.choice(few)])
+        texts.append("".join(chr(kind()) for _ in range(rng.randrange(1, 30))))
+    assert [model.encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def gadget_sets(model, merges):
+    """The successive merge gadgets on explicit sets: state -> {arc: state}."""
+    states = [{t: 0 for t in model.tokens if not model.born[t]}]
+    for u, v, uv in merges:
+        q = next(arcs[u] for arcs in states if u in arcs)
+        states.append({t: s for t, s in states[q].items() if t != v})
+        to = states[q][v]
+        for arcs in states:
+            if u in arcs:
+                arcs[u] = len(states) - 1
+                arcs[uv] = to
+    return states
+
+
+def test_gadgets_are_the_explicit_automaton(tmp_path):
+    """The compiled tables against the automaton built arc by arc, for the first merges of the vocabulary."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"]["merges"] = spec["model"]["merges"][:150]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+    made = {u + v for u, v in merges}
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if len(t) == 1 or t in made}
+    small = tmp_path / "small.json"
+    small.write_text(json.dumps(spec))
+    model = bpe.TokenAutomaton(str(small), bpe.word_pattern(PATH))
+    vocab = spec["model"]["vocab"]
+    states = gadget_sets(model, [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges])
+    for u in model.tokens:
+        arcs = states[next(arcs[u] for arcs in states if u in arcs)]
+        assert [v for v in model.tokens if model.leaves(u, v)] == [v for v in model.tokens if v in arcs]
 
 
 def test_packing(spark, library):
@@ -231,4 +259,21 @@ def test_quality(spark):
     assert [got[i].base_failed for i in range(7)] == [True, True, False, True, True, True, True]
     assert [got[i].kept for i in range(7)] == [False, False, True, False, False, False, False]
     assert got[4].longest_repeat == 120 and got[6].n_words == 200_000
+
+
+def test_quality_verdict(spark):
+    """``kept`` against brute force, with documents that only the method rejects."""
+    short = [" ".join(f"s{j}" for j in range(k, k + 6)) for k in range(0, 60, 6)]
+    texts = [" ".join(rng.choice([*short, f"w{rng.randrange(10**6)}", " ".join(f"n{rng.randrange(10**6)}" for _ in range(9))]) for _ in range(rng.randint(3, 40))) for _ in range(150)]
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts += [" ".join([passage, *(f"x{i}" for i in range(500)), passage]), " ".join(f"y{i}" for i in range(400))]
+    got = {r.doc_id: r for r in repetition.quality(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    alone = 0
+    for i, t in enumerate(texts):
+        n, _, _, _, again, covered, longest = slow_quality(t, 5)
+        base = n < 20 or 100 * again > 30 * n
+        fine = covered <= 0.3 * n and longest <= max(50, 0.1 * n)
+        assert (got[i].base_failed, got[i].kept) == (base, not base and fine)
+        alone += not base and not fine
+    assert alone > 5 and not got[150].kept and got[151].kept
     assert repetition.quality(table(spark, [(1, "x", None)]).limit(0)).count() == 0
