@@ -1,208 +1,289 @@
 """Main text of web pages by tag-path ratios (operator 7).
 
 A page is read once into text nodes: the text of one block with the path of block tags
-above it, each tag with its class. For each path, text length, punctuation and link
-text are summed over its nodes; the ratios of text and of punctuation to the nodes of
-the path are fused into one weight, and the weights are smoothed along the page. Nodes
-whose smoothed weight reaches a share of the page's mean weight are content. The
-smallest block that holds most of the content text is the article: headings and blocks
-of few links in it belong to the text too. Blocks that say by tag, role, class or id that
-they are menus, adverts, forms, comments and the like never count.
+above it, each tag with its class. For each path, text outside links and punctuation are summed
+over its nodes, which gives its ratio of text and of punctuation to nodes. Both ratios
+are smoothed along the page, by nodes near by whose paths part near the leaf, so that a heading
+takes after the paragraphs around it. The smoothed ratios are fused into one weight of the
+path, and paths whose weight reaches a share of the page's mean weight are content.
+
+What a path is called only scales its weight: menus, footers, forms and the like by their
+tags or roles, adverts, comments, notices and the like by whole class names or ids and by their last
+parts; ``article`` and ``main`` raise it. As weights are compared within a page, a
+form or a class around all of it changes nothing.
 
 Defined cases: a null html counts as the empty page and gives an empty text; text outside any
 block is a block of its own; unclosed and stray tags are closed and ignored as browsers
-do for blocks; pages of any length are read whole; rows that repeat give equal rows; an
-empty table gives an empty result; other columns are not read.
+do for blocks; a page with a quote that is never closed is read as if quotes in tags meant nothing from there
+on; elements that are not shown, scripts, styles and the like have no text; pages of any length are
+read whole, in time linear in it; rows that repeat give equal rows; an empty table gives
+an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.S)
+NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
+INSIDE = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+""")
 ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
-WORD = re.compile(r"[a-z]+|\d+")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，！？]")
 
 # HTML's own lists of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
-)
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 ENDS_PARAGRAPH = frozenset(
-    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
 )
-ENDS_LIKE = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-# What is never main text: by tag, and by words of role, class or id.
-NEVER = frozenset("head nav aside footer form button select option fieldset dialog menu object audio video canvas applet".split())
+BLOCK = ENDS_PARAGRAPH | frozenset("html head body li dt dd tr td th thead tbody tfoot caption legend option optgroup select button canvas object audio video".split())
+HOLDS_PARAGRAPH = (BLOCK - {"p"}) | {"html"}
+ENDS_LIKE = {
+    "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"),
+}
+ENDS_LIKE = {tag: (frozenset(same.split()), frozenset(within.split())) for tag, (same, within) in ENDS_LIKE.items()}
+LEAVES = frozenset("p li dt dd td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+# How a tag or a role scales the paths through it.
+TAG_SCALE = dict.fromkeys("head nav footer form button select option fieldset dialog menu object audio video canvas search".split(), 0.03) | {"aside": 0.05, "header": 0.1}
+ROLE_SCALE = dict.fromkeys("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split(), 0.03)
+ARTICLE = frozenset("article main".split())
+ARTICLE_SCALE = 3.0
+# Names of what is seldom main text, and parts that may follow such a name.
 CUES = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation navigational menu menus breadcrumb breadcrumbs pagination pager sidebar side rail widget widgets related recommended recommendations share sharing social "
-    "comment comments commentlist disqus replies reply respond newsletter subscribe subscription signup login search footer foot copyright legal complementary contentinfo toolbar tags hidden".split()
+    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar rail widget widgets related recommended recommendations share sharing social "
+    "comment comments commentlist disqus replies reply respond newsletter subscribe subscription signup login search footer masthead copyright toolbar".split()
 )
-CUES_OUTSIDE = frozenset("header masthead banner top topbar".split())
-ARTICLE = frozenset("article main".split())
+CUE_PARTS = frozenset(
+    "area bar block body bottom box button buttons column container content field footer form group header icons inner item items left link links list main message "
+    "panel posts right section text thread title top unit widget wrap wrapper 1 2 3".split()
+)
+CUE_SCALE, CUE_SCALE_OF_LEAF = 0.15, 0.35
+#: Nodes on each side that smooth a node, what their distance and each step between the paths makes of their part.
+NEAR, BY_DISTANCE, BY_STEP, MOST_STEPS = 2, 0.6, 0.7, 4
 
 
 @dataclass
-class Node:
-    """Text of one block."""
-
-    path: tuple[str, ...]
-    text: str
-    linked: int
-    tag: str
-
-
-def _shown(attributes: str) -> tuple[str, frozenset[str], bool]:
-    """Class as part of a path, the cue words, and whether the element is hidden."""
-    if not attributes or not (found := ATTRIBUTE.findall(attributes)):
-        return "", frozenset(), False
-    kind, words, hidden = "", set(), False
-    for name, value in found:
-        name, value = name.lower(), value.strip("\"'").lower()
+class Page:
+    """Text nodes in page order, and the paths they hang on: path 0 is the root."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    depth: list[int] = field(default_factory=lambda: [0])
+    scale: list[float] = field(default_factory=lambda: [1.0])
+    paths: list[int] = field(default_factory=list)
+    texts: list[str] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+
+
+def is_cue(name: str) -> bool:
+    """Whether a class name or id is a cue, ends in one, or is one with a part of a page behind it."""
+    parts = [p.lower() for p in PART.findall(name)]
+    return bool(parts) and ("".join(parts) in CUES or parts[-1] in CUES or (parts[0] in CUES and len(parts) == 2 and parts[1] in CUE_PARTS))
+
+
+def _attributes(text: str) -> tuple[str, bool, str, bool]:
+    """Class as part of a path, whether it or the id is a cue, the role, and whether the element is hidden."""
+    kind, cue, role, hidden = "", False, "", False
+    for name, value in ATTRIBUTE.findall(text) if text else ():
+        name, value = name.lower(), value.strip("\"'")
         if name == "class":
             kind = "." + ".".join(value.split())
-        if name in ("class", "id", "role"):
-            words.update(WORD.findall(value))
-        hidden |= name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", ""))
-    return kind, frozenset(words), hidden
-
-
-def text_nodes(page: str) -> list[Node]:
-    """The blocks of a page that may be content, in page order."""
-    nodes: list[Node] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, name in a path, barred, inside an article
-    parts: list[str] = []
-    linked = links = 0
-
-    def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = " ".join("".join(parts).split())
-            if text and not (stack and stack[-1][2]):
-                nodes.append(Node(tuple(x[1] for x in stack), text, linked, stack[-1][0] if stack else ""))
-            parts.clear()
-        linked = 0
-
-    def close(tags: frozenset[str] | tuple[str, ...], barriers: frozenset[str] | tuple[str, ...]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                flush()
-                del stack[k:]
+        if name in ("class", "id"):
+            cue |= any(map(is_cue, value.split()))
+        elif name == "role":
+            role = value.lower()
+        hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", ""))
+    return kind, cue, role, hidden
+
+
+class _Reader:
+    """One pass over a page."""
+
+    def __init__(self) -> None:
+        self.page = Page()
+        self.ids: dict[tuple[int, str], int] = {}
+        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, hidden, inside an article
+        self.open: Counter[str] = Counter()
+        self.parts: list[str] = []
+        self.in_link = self.link_chars = 0  # depth of the stack at which a link opened, or 0
+
+    def flush(self) -> None:
+        if self.parts:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                self.page.paths.append(self.stack[-1][1])
+                self.page.texts.append(text)
+                self.page.linked.append(min(self.link_chars, len(text)))
+            self.parts.clear()
+        self.link_chars = 0
+
+    def text(self, piece: str) -> None:
+        if piece and not self.stack[-1][2]:
+            piece = html.unescape(piece)
+            self.parts.append(piece)
+            if self.in_link:
+                self.link_chars += len(piece.strip())
+
+    def link(self, opens: bool) -> None:
+        self.in_link = len(self.stack) if opens else 0
+
+    def close(self, tags: frozenset[str], barriers: frozenset[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
+        for k in range(len(self.stack) - 1, 0, -1):
+            if self.stack[k][0] in tags:
+                self.flush()
+                for tag, *_ in self.stack[k:]:
+                    self.open[tag] -= 1
+                del self.stack[k:]
+                if self.in_link > k:
+                    self.in_link = 0
                 return
-            if stack[k][0] in barriers:
+            if self.stack[k][0] in barriers:
                 return
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece and not (stack and stack[-1][2]):
-            piece = html.unescape(piece)
-            parts.append(piece)
-            if links:
-                linked += len(piece.strip())
-
-    at = 0
-    while (m := TOKEN.search(page, at)) is not None:
-        add(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        ends = m[1] or m[4]
-        if tag in RAW:
-            if not ends and not (m[3] or m[6] or "").rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
-            continue
-        if tag == "a":
-            links = 0 if ends else 1
-            continue
-        if tag in ("br", "hr") or tag in VOID:
-            if tag == "hr":
-                flush()
-            elif tag == "br":
-                add(" ")
+    def start(self, tag: str, attributes: str) -> None:
+        self.flush()
+        if tag in ENDS_PARAGRAPH:
+            self.close(_P, HOLDS_PARAGRAPH)
+        if tag in ENDS_LIKE:
+            self.close(*ENDS_LIKE[tag])
+        kind, cue, role, hidden = _attributes(attributes)
+        _, path, was_hidden, inside = self.stack[-1]
+        key = (path, tag + kind + ("?" if cue else "") + role)
+        if key not in self.ids:
+            self.ids[key] = len(self.page.parent)
+            scale = TAG_SCALE.get(tag, 1.0) * ROLE_SCALE.get(role, 1.0)
+            if tag == "header" and inside:
+                scale = 1.0
+            if cue:
+                scale *= CUE_SCALE_OF_LEAF if tag in LEAVES else CUE_SCALE
+            if not inside and (tag in ARTICLE or role in ARTICLE):
+                scale *= ARTICLE_SCALE
+            self.page.parent.append(path)
+            self.page.depth.append(self.page.depth[path] + 1)
+            self.page.scale.append(max(self.page.scale[path] * scale, 1e-6))
+        self.stack.append((tag, self.ids[key], was_hidden or hidden, inside or tag in ARTICLE or role in ARTICLE))
+        self.open[tag] += 1
+
+
+_P = frozenset(["p"])
+
+
+def read_page(page: str) -> Page:
+    """The blocks of a page that are shown, in page order, with their paths."""
+    r = _Reader()
+    at, quotes, size = 0, True, len(page)
+    while True:
+        lt = page.find("<", at)
+        if lt < 0:
+            r.text(page[at:])
+            break
+        if page.startswith("<!--", lt):
+            r.text(page[at:lt])
+            end = page.find("-->", lt + 4)
+            at = size if end < 0 else end + 3
             continue
-        if tag in INLINE:
+        found = NAME.match(page, lt + 1)
+        if not found:
+            mark = page[lt + 1 : lt + 2] in ("!", "?", "/") and lt + 1 < size
+            r.text(page[at:lt] if mark else page[at : lt + 1])
+            end = page.find(">", lt) if mark else lt
+            at = size if end < 0 else end + 1
             continue
-        if ends:
-            close((tag,), ("body", "html") if tag not in ("body", "html") else ())
+        r.text(page[at:lt])
+        end = INSIDE.match(page, found.end()).end() if quotes else page.find(">", found.end())
+        if end < 0 or end >= size or page[end] != ">":
+            quotes = False
+            end = page.find(">", found.end())
+            if end < 0:
+                break
+        attributes, tag = page[found.end() : end], found[2].lower()
+        at = end + 1
+        if tag in RAW:
+            if not found[1] and not attributes.endswith("/"):
+                stop = re.compile(rf"</{tag}(?![A-Za-z])[^>]*>?", re.I).search(page, at)
+                at = stop.end() if stop else size
+        elif tag == "a":
+            r.link(not found[1])
+        elif tag == "br":
+            r.text(" ")
+        elif tag == "hr":
+            r.flush()
+        elif tag in VOID or tag not in BLOCK:
             continue
-        flush()
-        links = 0
-        if tag in ENDS_PARAGRAPH:
-            close(("p",), ("article", "section", "div", "td", "body", "button", "li"))
-        if tag in ENDS_LIKE:
-            same, within = ENDS_LIKE[tag]
-            close(tuple(same.split()), tuple(within.split()))
-        kind, words, hidden = _shown(m[3] or m[6] or "")
-        barred, inside = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-        inside = inside or tag in ARTICLE
-        barred = barred or hidden or tag in NEVER or (tag not in ("body", "html", "article", "main") and bool(words & CUES)) or (not inside and (tag == "header" or bool(words & CUES_OUTSIDE)))
-        stack.append((tag, tag + kind, barred, inside))
-    add(page[at:])
-    flush()
-    return nodes
-
-
-def path_weights(nodes: list[Node]) -> list[float]:
-    """The fused and smoothed ratio of each node's path."""
-    size: dict[tuple[str, ...], list[float]] = defaultdict(lambda: [0, 0, 0, 0])
-    for n in nodes:
-        s = size[n.path]
+        elif found[1]:
+            r.close(frozenset([tag]), frozenset() if tag in ("body", "html") else _PAGE)
+        else:
+            r.start(tag, attributes)
+    r.flush()
+    return r.page
+
+
+_PAGE = frozenset(["body", "html"])
+
+
+def _apart(page: Page, p: int, q: int) -> int | None:
+    """Steps up from two paths to where they part, the larger number; none if more than MOST_STEPS."""
+    steps = 0
+    parent, depth = page.parent, page.depth
+    while p != q:
+        steps += 1
+        if steps > MOST_STEPS:
+            return None
+        p, q = (parent[p] if depth[p] >= depth[q] else p), (parent[q] if depth[q] >= depth[p] else q)
+    return steps
+
+
+def path_ratios(page: Page) -> dict[int, tuple[float, float]]:
+    """Of each path with text: text outside links, and punctuation, to its nodes, both as logarithms."""
+    sums: dict[int, list[int]] = {}
+    for path, text, linked in zip(page.paths, page.texts, page.linked, strict=True):
+        s = sums.setdefault(path, [0, 0, 0])
         s[0] += 1
-        s[1] += len(n.text)
-        s[2] += len(PUNCTUATION.findall(n.text))
-        s[3] += min(n.linked, len(n.text))
-    fused = {p: t / k * (1 + marks / k) * (1 - a / t) ** 2 for p, (k, t, marks, a) in size.items()}
-    raw = [fused[n.path] for n in nodes]
-    smooth = []
-    for i, w in enumerate(raw):
-        around = [(raw[j], 1.0 if j == i else 0.5) for j in range(max(0, i - 1), min(len(raw), i + 2)) if nodes[j].path[:-1] == nodes[i].path[:-1]]
-        smooth.append(sum(x * k for x, k in around) / sum(k for _, k in around) if around else w)
-    return smooth
+        s[1] += len(text) - linked
+        s[2] += len(PUNCTUATION.findall(text)) if 2 * linked < len(text) else 0
+    return {path: (math.log1p(chars / n), math.log1p(marks / n)) for path, (n, chars, marks) in sums.items()}
+
+
+def path_weights(page: Page) -> dict[int, float]:
+    """The smoothed and fused weight of each path with text."""
+    ratios = path_ratios(page)
+    smooth: dict[int, list[float]] = {path: [0.0, 0.0, 0.0] for path in ratios}
+    n = len(page.paths)
+    for i, path in enumerate(page.paths):
+        chars = marks = total = 0.0
+        for j in range(max(0, i - NEAR), min(n, i + NEAR + 1)):
+            steps = _apart(page, path, page.paths[j])
+            if steps is not None:
+                part = BY_DISTANCE ** abs(i - j) * BY_STEP**steps
+                c, m = ratios[page.paths[j]]
+                chars, marks, total = chars + part * c, marks + part * m, total + part
+        s = smooth[path]
+        s[0] += chars / total
+        s[1] += marks / total
+        s[2] += 1
+    return {path: page.scale[path] * c / k * (1 + m / k) if ratios[path][0] else 0.0 for path, (c, m, k) in smooth.items()}
 
 
 def main_text(page: str | None, share: float = 0.25) -> str:
-    """The article of a page: its blocks joined by two line ends."""
-    nodes = text_nodes(page or "")
-    if not nodes:
-        return ""
-    marked = [n for n in nodes if any(t.partition(".")[0] in ARTICLE for t in n.path)]
-    if sum(len(n.text) for n in marked if n.linked < len(n.text) / 2):
-        nodes = marked
-    weights = path_weights(nodes)
-    total = sum(len(n.text) for n in nodes)
-    mean = sum(w * len(n.text) for w, n in zip(weights, nodes, strict=True)) / total
-    chosen = [w > 0 and w >= share * mean for w in weights]
-    if not any(chosen):
+    """The content of a page: its blocks joined by two line ends."""
+    read = read_page(page or "")
+    weights = path_weights(read)
+    total = sum(len(t) - a for t, a in zip(read.texts, read.linked, strict=True))
+    if not total:
         return ""
-    # The smallest block above most of the content.
-    held: dict[tuple[str, ...], int] = defaultdict(int)
-    for n, c in zip(nodes, chosen, strict=True):
-        if c:
-            for k in range(len(n.path) + 1):
-                held[n.path[:k]] += len(n.text)
-    content = held[()]
-    container = max((p for p, size in held.items() if size >= 0.8 * content), key=len)
-    if container and container[-1].partition(".")[0] in HEADINGS | {"p", "li", "pre", "blockquote", "td"}:
-        container = container[:-1]
-    out = [
-        n.text
-        for n, c in zip(nodes, chosen, strict=True)
-        if c or (n.path[: len(container)] == container and 2 * n.linked < len(n.text))
-    ]
-    return "\n\n".join(out)
+    square = sum(weights[p] ** 2 * (len(t) - a) for p, t, a in zip(read.paths, read.texts, read.linked, strict=True))
+    least = share * math.sqrt(square / total)
+    return "\n\n".join(t for p, t in zip(read.paths, read.texts, strict=True) if weights[p] >= least and weights[p] > 0)
 
 
 def extract(pages: DataFrame, share: float = 0.25) -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -226,6 +227,59 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and html_text.extract(rows.limit(0)).count() == 0
 
 
+SENTENCE = "Some sentence, of the text, long enough to be read by people. And one more, with a comma, here it is."
+
+
+@pytest.mark.parametrize("name", "legal search-results ad-hoc related-work social-history top tags side share-price comment overlay notice".split())
+@pytest.mark.parametrize("main", ["<div class=content>", "<article>"])
+def test_class_of_a_paragraph_only_lowers(name, main):
+    page = (
+        f"<body><nav><ul><li><a href=/>Home</a></ul></nav>{main}<h1>Title of it</h1>" + f"<p>{SENTENCE}</p>" * 3 + f"<p class='{name}'>Special: {SENTENCE}</p>" + f"<p>{SENTENCE}</p>" * 2
+        + "</div></article><div class=comments><div class=comment><p>Great post, thanks a lot. I liked it.</p></div></div><footer>Copyright, all rights reserved. Read the terms, please.</footer>"
+    )
+    assert html_text.main_text(page).split("\n\n") == ["Title of it", *[SENTENCE] * 3, f"Special: {SENTENCE}", *[SENTENCE] * 2]
+
+
+def test_whole_page_in_a_form_or_cue():
+    for opening in ("<form>", "<div class='site has-sidebar'>", "<section class=legal>", "<div class=overlay id=comments>"):
+        assert html_text.main_text(f"<body>{opening}<p>{SENTENCE}</p><p>{SENTENCE}</p>") == f"{SENTENCE}\n\n{SENTENCE}"
+    assert html_text.main_text(f"<p>{SENTENCE}</p><a href=x><div>Linked text in a block, here.</div></a>") == SENTENCE
+    assert html_text.main_text("<p>x <math><mi>a</mi><mo>=</mo><mn>1</mn></math> y, a formula.</p>") == "x a=1 y, a formula."
+
+
+def test_broken_and_deep_pages_in_linear_time():
+    began = time.process_time()
+    for page in ("<div>x, text. " * 5000, '<a "' * 50_000, "<a '>'" * 50_000 + '"', "<div>" * 5000 + "</p></li></span>" * 20_000 + "<p>x", "<ul><li>" * 5000 + "<li>a" * 20_000, "<" * 100_000, "<!--" * 50_000, "<!" * 50_000):
+        html_text.main_text(page)
+    assert time.process_time() - began < 8
+    assert html_text.main_text(f"<p title='x>{SENTENCE}</p><p>{SENTENCE}</p>").endswith(SENTENCE)
+
+
+def test_path_sums(spark):
+    """Ratios of paths against sums over explicit paths of random pages."""
+    for _ in range(60):
+        want: dict[tuple, list[float]] = {}
+
+        def grow(path, depth):
+            out = ""
+            for _ in range(rng.randint(1, 4)):
+                if depth < 5 and rng.random() < 0.6:
+                    tag = rng.choice(["div", "section", "div class='a b'", "div class=c"])
+                    out += f"<{tag}>{grow((*path, tag), depth + 1)}</{tag.split()[0]}>"
+                else:
+                    tag, text, link = rng.choice(["p", "h2"]), " ".join(rng.choice(["one,", "two", "three."]) for _ in range(rng.randint(1, 9))), rng.random() < 0.3
+                    s = want.setdefault((*path, tag), [0, 0, 0])
+                    s[0] += 1
+                    s[1] += 0 if link else len(text)
+                    s[2] += 0 if link else text.count(",") + text.count(".")
+                    out += f"<{tag}><a href=x>{text}</a></{tag}>" if link else f"<{tag}>{text}</{tag}>"
+            return out
+
+        page = html_text.read_page(f"<body>{grow((), 0)}</body>")
+        got = sorted((round(c, 9), round(m, 9)) for c, m in html_text.path_ratios(page).values())
+        assert got == sorted((round(math.log1p(c / n), 9), round(math.log1p(m / n), 9)) for n, c, m in want.values())
+
+
 def slow_quality(text, min_span):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     n = len(w)
