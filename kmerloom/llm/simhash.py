@@ -1,13 +1,15 @@
 """SimHash near-duplicate detection (operator 9).
 
 Fingerprints are taken in Arrow batches. Equal fingerprints are one node, so copies
-never meet again. Nodes are compared exactly: with 64 bits in four blocks, two
-fingerprints that differ in two bits or fewer agree in two blocks, so each node goes
-to the six pairs of blocks, and inside one bucket of 32 equal bits tiles of nodes,
-sorted by population count, are compared with numpy exclusive-or and bit counts; tile
-pairs whose population counts differ beyond the radius are skipped. A task returns
-at most one link per node and bucket, to the smallest node it reaches there, which
-keeps components whole.
+never meet again. Nodes are compared exactly, in tiles sorted by population count, with
+numpy exclusive-or and bit counts; tile pairs whose population counts differ beyond the
+radius are skipped. Tiles over all nodes would make a quadratic number of pairs, so nodes are
+dealt first, without loss: with 64 bits in four blocks, two fingerprints that differ in two bits or
+fewer agree in two blocks, so each node goes to the six pairs of blocks. A crowded bucket of 32
+equal bits is dealt once more by its other 32 bits, again in four blocks: what meets then has 48 equal
+bits and is at most 65,536 nodes whatever the data, so no task ever gathers more. Whole
+buckets are put together into tiles, whose links are true links, wherever the nodes come from. A task returns
+at most one link per node and tile set, to a node it reaches there, which keeps components whole.
 
 Defined cases: a null text has no word; a text without words has fingerprint zero and
 is linked like any other; a text of fewer words than a shingle gives one shingle of all
@@ -22,15 +24,17 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import join_with_hot, materialize
 from kmerloom.operators.components import connected_components
 
-BLOCKS, BLOCK_BITS = 4, 16
-#: Rows of a tile, and the size of a bucket from which tiles are used.
-TILE, SMALL = 2048, 48
+BITS = 64
+#: Blocks that fingerprints, or what is left of them in a bucket, are cut into.
+BLOCKS = 4
+#: Rows of a tile, rows that are compared together, and nodes of a bucket that is dealt once more.
+TILE, TOGETHER, CROWDED = 128, 1024, 4096
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -79,41 +83,55 @@ def _hook(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[flat] = labels[labels[flat]]
 
 
-def tile_links(fps: np.ndarray, radius: int) -> np.ndarray:
-    """Class label (a position) of each fingerprint of one bucket under links at ``radius`` or fewer bits."""
+def tile_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fp, fp) that join the classes of fingerprints under all pairs at ``radius`` or fewer bits."""
     count = np.bitwise_count(fps).astype(np.int16)
     order = np.argsort(count, kind="stable")
     fps, count = fps[order], count[order]
     labels = np.arange(len(fps))
-    for i in range(0, len(fps), TILE):
+    last = count[np.minimum(np.arange(TILE - 1, len(fps) + TILE - 1, TILE), len(fps) - 1)] if len(fps) else count
+    for t, i in enumerate(range(0, len(fps), TILE)):
         for j in range(i, len(fps), TILE):
-            if count[j] - count[min(i + TILE, len(fps)) - 1] > radius:
+            if count[j] - last[t] > radius:
                 break
             near = np.bitwise_count(fps[i : i + TILE, None] ^ fps[None, j : j + TILE]) <= radius
-            a, b = np.nonzero(near)
+            a, b = np.nonzero(np.triu(near, 1) if i == j else near)
             _hook(labels, a + i, b + j)
-    out = np.empty(len(fps), np.int64)
-    out[order] = order[labels]
-    return out
-
-
-def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, fp) that join the classes of each bucket; ``keys`` are sorted."""
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    size = np.diff(np.append(first, len(keys)))
-    labels = np.arange(len(keys))
-    small = np.repeat(size <= SMALL, size)
-    left = np.repeat(first + size, size) - np.arange(len(keys))  # rows of the bucket from here on
-    for step in range(1, int(size[size <= SMALL].max(initial=0))):
-        a = np.flatnonzero(small & (left > step))
-        a = a[np.bitwise_count(fps[a] ^ fps[a + step]) <= radius]
-        _hook(labels, a, a + step)
-    for at, n in zip(first[size > SMALL], size[size > SMALL], strict=True):
-        labels[at : at + n] = at + tile_links(fps[at : at + n], radius)
     moved = np.flatnonzero(labels != np.arange(len(labels)))
     return fps[moved], fps[labels[moved]]
 
 
+def _pairs_of_blocks(bits: list[Column], size: int) -> list[Column]:
+    """For each two of four blocks a number of which two they are and what is in them; ``size`` bits a block."""
+    return [
+        F.shiftleft(F.lit(k).cast("bigint"), 2 * size).bitwiseOR(F.shiftleft(bits[i], size)).bitwiseOR(bits[j])
+        for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))
+    ]
+
+
+def _rest(fp: Column, key: Column) -> list[Column]:
+    """The 32 bits that two blocks of 16 leave, in blocks of 8, by the number of the two in ``key``."""
+    left = [[b for b in range(BLOCKS) if b not in two] for two in combinations(range(BLOCKS), 2)]
+    size = BITS // BLOCKS
+    which = F.shiftrightunsigned(key, 2 * size).cast("int")
+    at = lambda n: F.element_at(F.array(*[F.lit(x[n] * size) for x in left]), which + 1)
+    half = [F.call_function("shiftrightunsigned", fp, at(n)) for n in (0, 1)]
+    return [F.shiftrightunsigned(half[n // 2], size // 2 * (n % 2)).bitwiseAND((1 << size // 2) - 1) for n in range(BLOCKS)]
+
+
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(key, part, fp): the distinct fingerprints in buckets of two nodes or more, so dealt that any two within 2 bits meet."""
+    size = BITS // BLOCKS
+    blocks = [F.shiftrightunsigned("fp", size * i).bitwiseAND((1 << size) - 1) for i in range(BLOCKS)]
+    rows = materialize(nodes.select(F.explode(F.array(*_pairs_of_blocks(blocks, size))).alias("key"), "fp"))
+    filled = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = materialize(join_with_hot(rows, filled, ["key"], "n", rows.count()))
+    plain = met.filter(F.col("n") <= CROWDED).select("key", F.lit(-1).cast("bigint").alias("part"), "fp")
+    again = _pairs_of_blocks(_rest(F.col("fp"), F.col("key")), size // 2)
+    crowded = met.filter(F.col("n") > CROWDED).select("key", F.explode(F.array(*again)).alias("part"), "fp")
+    return plain.unionByName(crowded)
+
+
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Links (u, v) between distinct fingerprints ``fp`` whose components are those of all pairs in ``radius``.
 
@@ -121,41 +139,32 @@ def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
-    block = [F.shiftrightunsigned("fp", BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) for i in range(BLOCKS)]
-    pairs = [
-        F.shiftleft(F.lit(k).cast("bigint"), 2 * BLOCK_BITS).bitwiseOR(F.shiftleft(block[i], BLOCK_BITS)).bitwiseOR(block[j])
-        for k, (i, j) in enumerate(combinations(range(BLOCKS), 2))
-    ]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # rows of the bucket that the last batch ended in: distinct fingerprints with 32 equal bits
+        held: list[np.ndarray] = []  # the bucket that the last batch ended in, and whole ones before it
+        rows = 0
+        last: tuple[int, int] | None = None
 
-        def found(rows: list[pd.DataFrame]) -> pd.DataFrame:
-            key = np.concatenate([r["key"].to_numpy() for r in rows])
-            fp = np.concatenate([r["fp"].to_numpy() for r in rows]).view(np.uint64)
-            u, v = bucket_links(key, fp, radius)
+        def found(parts: list[np.ndarray]) -> pd.DataFrame:
+            u, v = tile_links(np.unique(np.concatenate(parts)), radius)
             return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64)})
 
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if held and cut:
-                yield found([*held, batch.iloc[:cut]])
-                held = []
-            elif cut:
-                yield found([batch.iloc[:cut]])
-            held.append(batch.iloc[cut:])
-        if held:
+            key, part, fp = (batch[c].to_numpy(np.int64) for c in ("key", "part", "fp"))
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]) | (part[1:] != part[:-1])) + 1).tolist(), len(fp)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if rows >= TOGETHER and last != (key[a], part[a]):
+                    yield found(held)
+                    held, rows = [], 0
+                held.append(fp[a:b].view(np.uint64))
+                rows += b - a
+                last = (key[a], part[a])
+        if rows:
             yield found(held)
 
-    return (
-        nodes.select(F.explode(F.array(*pairs)).alias("key"), "fp")
-        .repartition("key")
-        .sortWithinPartitions("key")
-        .mapInPandas(run, "u bigint, v bigint")
-    )
+    return buckets(nodes).repartition("key", "part").sortWithinPartitions("key", "part").mapInPandas(run, "u bigint, v bigint")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:

@@ -129,8 +129,11 @@ def test_simhash(spark):
     assert simhash.simhash_components(again.limit(0)).count() == 0
 
 
-def test_links_of_random_nodes(spark):
-    """Close fingerprints in all places of the word, and one large bucket."""
+@pytest.mark.parametrize(("crowded", "together"), [(4096, 1024), (50, 40), (1, 1)])
+def test_links_of_random_nodes(spark, monkeypatch, crowded, together):
+    """Close fingerprints in all places of the word, and one large bucket, dealt once and twice."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "TOGETHER", together)
     seeds = [rng.getrandbits(64) for _ in range(60)]
     fps = set(seeds)
     for s in seeds:
