@@ -38,6 +38,8 @@ SPACE = b" \t\n\x0b\x0c\r"
 LEAST, MOST, BITS = 12, 256, 5
 #: Bytes on both sides of a cut at a smallest hash.
 AROUND = 32
+#: Least bytes of a chunk that ends where the hash is smallest once more.
+APART = 96
 #: Bytes beside a run that are compared; more than the longest chunk.
 REACH = 320
 
@@ -61,20 +63,25 @@ def cuts(data: bytes) -> np.ndarray:
         more[step:] += h[:-step] << np.uint16(step)
         h = more
     cut = h >> np.uint16(16 - BITS) == 0
+    again = np.zeros(n, bool)  # smallest not for the first time, as in text of a short period
     if n > 2 * AROUND:
         least, size = h, 1
-        while size <= 2 * AROUND:  # the smallest of windows of 2, 4, 8 .. bytes, at last of both sides together
-            step = min(size, 2 * AROUND + 1 - size)
+        while size < AROUND:  # the smallest of windows of 2, 4, 8 .. bytes, at last of one side
+            step = min(size, AROUND - size)
             least = np.minimum(least[:-step], least[step:])
             size += step
-        cut[AROUND : n - AROUND] |= h[AROUND : n - AROUND] <= least
+        middle, before = h[AROUND : n - AROUND], least[: n - 2 * AROUND]
+        smallest = middle <= least[AROUND + 1 : n - AROUND + 1]
+        cut[AROUND : n - AROUND] |= smallest & (middle < before)
+        again[AROUND : n - AROUND] = smallest & (middle == before)
     out = []
     last = 0
-    for at in (np.flatnonzero(cut) + 1).tolist():
+    places = np.flatnonzero(cut | again)
+    for at, space in zip((places + 1).tolist(), np.where(cut[places], LEAST, APART).tolist(), strict=True):
         while at - last > MOST:
             last += MOST
             out.append(last)
-        if at - last >= LEAST:
+        if at - last >= space:
             out.append(at)
             last = at
     while n - last > MOST:
