@@ -63,7 +63,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with kept_text, n_lines and n_dropped; the bitmaps are small, so texts pass unsorted."""
+    """``docs`` with kept_text, n_lines and n_dropped, which replace columns of these names; the bitmaps are small, so texts pass unsorted."""
     b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_fp").alias("_b_fp"), F.col("drops").alias("_b_drops"))
     fp = F.xxhash64(docs["text"])
     joined = docs.join(b.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(b["_b_doc"]) & (fp == b["_b_fp"]), "left")
@@ -76,7 +76,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     kept = F.when(F.col("_b_drops").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
     return joined.select(
-        *[docs[c] for c in docs.columns],
+        *[docs[c] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")],
         kept.alias("kept_text"),
         F.size(lines).cast("bigint").alias("n_lines"),
         F.coalesce(dropped, F.lit(0).cast("bigint")).alias("n_dropped"),

@@ -37,27 +37,36 @@ BLOCKS = 4
 TILE, TOGETHER, CROWDED = 128, 1024, 4096
 
 
-def fingerprint(text: str | None, shingle: int, seed: int) -> int:
-    """64-bit SimHash of one text; a bit is 1 if it is set in over half of the shingle hashes."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included; one of all words if they are fewer, none without words."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     hashed = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hashed(b" ".join(words), seed)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([hashed(joined, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    hashes = [hashed(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle or None].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return np.array([hashed(joined[a:b], seed) for a, b in zip(starts[: 1 - shingle or None].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fold(hashes: np.ndarray) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
-        part = np.array(hashes[at : at + 65536], dtype="<u8")
+        part = hashes[at : at + 65536].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int, seed: int) -> int:
+    """64-bit SimHash of one text."""
+    return fold(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
 

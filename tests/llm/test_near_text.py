@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from kmerloom.llm import near_text
+from kmerloom.llm import near_text, simhash
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -18,7 +18,7 @@ def stage(spark, rows):
 
 
 def similarity(a, b):
-    a, b = set(near_text.shingles(a).tolist()), set(near_text.shingles(b).tolist())
+    a, b = (set(simhash.shingle_hashes(t, 5, 42).tolist()) for t in (a, b))
     return len(a & b) / len(a | b)
 
 
