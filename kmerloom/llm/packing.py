@@ -192,10 +192,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2) -> D
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     schema = "length bigint, lo bigint, hi bigint, first bigint, each bigint, at bigint"
     rules = spark.createDataFrame(plan(counts, capacity), schema)
-    own = Window.partitionBy("task", "length").orderBy("doc_id", "piece", "ids_crc32")
+    own = Window.partitionBy("length", "task").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         cut.withColumn("rn", F.row_number().over(own) - 1)
-        .join(shift, ["length", "task"])
+        .join(shift.hint("merge"), ["length", "task"])  # a row for each task and length: too many to broadcast
         .withColumn("rank", F.col("rn") + F.col("shift"))
     )
     # Per length the rules cover the ranks without gaps: one array of them, found by the rank.
