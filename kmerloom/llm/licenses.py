@@ -1,8 +1,9 @@
 """Licence scans by Dice coefficient over word bigrams (operator 6, native).
 
 A text is normalised to words of a-z and 0-9 and cut into units: its lines, its
-sentences, the whole, and for each long template the words that follow each place
-where the template's opening words stand. A unit's set of word bigrams is compared
+sentences, the whole, and for each template windows of its length: a few of its bigrams, the
+rarest of each of its parts, are anchors, and where one stands in the text a window is laid so that the
+anchor falls on its place in the template. A unit's set of word bigrams is compared
 with a template's by 2 * common / (sum of sizes). A coefficient of ``least`` bounds the
 ratio of sizes, so a unit meets only templates whose size lies in its bounds: the table
 of template bigrams is broadcast, it has the size of this file's texts, and only the
@@ -18,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -105,8 +105,8 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Unlicense", UNLICENSE),
     ("Zlib", ZLIB),
 ]
-#: Words that open a long template and mark the places where it may stand.
-OPENING = 4
+#: Most anchors of a template, and the coefficient whose least number of shared bigrams they are chosen for.
+ANCHORS, ANCHORED = 8, 0.8
 
 
 def normal_words(text: str) -> list[str]:
@@ -153,24 +153,48 @@ def _squeeze(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, "[^a-z0-9]+", " "))
 
 
-def _window(opening: str, more: int) -> Callable[[Column], Column]:
-    """The opening words and ``more`` words of what follows them."""
-    return lambda rest: F.concat(F.lit(f"{opening} "), F.array_join(F.slice(F.split(F.ltrim(rest), " ", -1), 1, more), " "))
+def anchors(templates: list[tuple[str, str]]) -> dict[str, list[tuple[int, int]]]:
+    """Of each anchor the windows it stands for: (words before it, words of the window).
+
+    A template of t bigrams is cut into as many parts as it may lack bigrams and still be found, and one
+    more, but ANCHORS at most; of each part the bigram that fewest templates have, and of these the longest, is an anchor.
+    """
+    texts = sorted({tuple(normal_words(text)) for _, text in templates if len(normal_words(text)) > 1})
+    spread: dict[str, int] = {}
+    for w in texts:
+        for pair in {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}:
+            spread[pair] = spread.get(pair, 0) + 1
+    out: dict[str, list[tuple[int, int]]] = {}
+    for w in texts:
+        pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        parts = min(ANCHORS, len(pairs) - math.ceil(ANCHORED * len(pairs)) + 1)
+        for k in range(parts):
+            places = range(len(pairs) * k // parts, len(pairs) * (k + 1) // parts)
+            best = min(places, key=lambda i: (spread[pairs[i]], -len(pairs[i]), i))
+            out.setdefault(pairs[best], []).append((best, len(w)))
+    return {pair: sorted(set(windows)) for pair, windows in sorted(out.items())}
+
+
+def _windows(templates: list[tuple[str, str]]) -> Column:
+    """The windows laid at the anchors in the column ``words``."""
+    known = anchors(templates)
+    if not known:
+        return F.array().cast("array<string>")
+    words, size = F.col("words"), F.size("words")
+    pair = lambda i: F.concat(F.get(words, i - 1), F.lit(" "), F.get(words, i))
+    laid = F.create_map(*[x for p, ws in known.items() for x in (F.lit(p), F.array(*[F.struct(F.lit(b).alias("before"), F.lit(n).alias("n")) for b, n in ws]))])
+
+    def one(i: Column) -> Column:
+        return F.transform(F.element_at(laid, pair(i)), lambda o: F.array_join(F.slice(words, F.greatest(i - o["before"], F.lit(1)), o["n"] + F.least(i - o["before"] - 1, F.lit(0))), " "))
+
+    places = F.filter(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.coalesce(pair(i).isin(list(known)), F.lit(False)))
+    return F.flatten(F.transform(places, one))
 
 
 def _units(templates: list[tuple[str, str]]) -> Column:
-    """The normalised units of the column ``low``, each once."""
+    """The normalised units of the columns ``low`` and ``words``, each once."""
     low = F.col("low")
-    parts = [F.split(low, "\n", -1), F.split(low, r"[.!?]+(?:[ \n]|$)", -1), F.array(low)]
-    flat = F.col("flat")
-    for _, text in templates:
-        w = normal_words(text)
-        if len(w) < 20:
-            continue
-        opening, more = " ".join(w[:OPENING]), len(w) - OPENING
-
-        found = F.split(flat, opening, -1)
-        parts.append(F.when(F.contains(flat, F.lit(opening)), F.transform(F.slice(found, 2, F.size(found)), _window(opening, more))).otherwise(F.array().cast("array<string>")))
+    parts = [F.split(low, "\n", -1), F.split(low, r"[.!?]+(?:[ \n]|$)", -1), F.array(low), _windows(templates)]
     return F.array_distinct(F.transform(F.concat(*parts), _squeeze))
 
 
@@ -193,7 +217,7 @@ def scan(docs: DataFrame, least: float = 0.8, templates: list[tuple[str, str]] |
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_fp"), ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     units = (
         rows.filter(F.exists(F.array("low"), has_key))  # an array of one: a filter that names ``low`` for each word would lower-case the text for each
-        .withColumn("flat", _squeeze(F.col("low")))
+        .withColumn("words", F.split(_squeeze(F.col("low")), " ", -1))
         .select("doc_id", "row_fp", F.posexplode(_units(templates)).alias("unit", "body"))
         .filter(has_key(F.col("body")))
         .withColumn("w", F.split("body", " ", -1))
@@ -230,15 +254,7 @@ def scan_sql(least: float = 0.8) -> str:
     """The same over ``documents`` in DuckDB's SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quoted(a)}, {k}, {n}, {quoted(b)})" for a, k, n, b in template_bigrams(TEMPLATES))
-    windows = ""
-    for _, text in TEMPLATES:
-        w = normal_words(text)
-        if len(w) >= 20:
-            opening, more = " ".join(w[:OPENING]), len(w) - OPENING
-            windows += (
-                f" || CASE WHEN contains(flat, '{opening}') THEN list_transform(string_split(flat, '{opening}')[2:], "
-                f"lambda r: '{opening} ' || array_to_string(string_split(ltrim(r), ' ')[1:{more}], ' ')) ELSE []::VARCHAR[] END"
-            )
+    laid = ", ".join(f"{quoted(p)}: [" + ", ".join(f"[{x}, {n}]" for x, n in ws) + "]" for p, ws in anchors(TEMPLATES).items())
     ratio = (2 - least) / least
     return f"""
 WITH known(license, template, t_size, bigram) AS (VALUES {values}),
@@ -246,10 +262,15 @@ low AS (
   SELECT row_number() OVER () AS r, doc_id,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
   FROM (SELECT DISTINCT doc_id, text FROM documents)
-), flat AS (SELECT r, doc_id, low, trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')) AS flat FROM low),
-units AS (
+), flat AS (SELECT r, doc_id, low, string_split(trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM low),
+laid AS (SELECT key AS pair, w[1] AS before, w[2] AS n FROM (SELECT key, unnest(value) AS w FROM (SELECT unnest(map_keys(m)) AS key, unnest(map_values(m)) AS value FROM (SELECT MAP {{{laid}}} AS m)))),
+places AS (SELECT r, doc_id, i, w[i] || ' ' || w[i + 1] AS pair FROM (SELECT r, doc_id, w, unnest(range(1, len(w))) AS i FROM flat)),
+windows AS (
+  SELECT f.r, f.doc_id, array_to_string(f.w[greatest(i - before, 1):i - before + n - 1], ' ') AS u
+  FROM places p JOIN laid USING (pair) JOIN flat f ON p.r = f.r
+), units AS (
   SELECT DISTINCT r, doc_id, trim(regexp_replace(u, '[^a-z0-9]+', ' ', 'g')) AS body
-  FROM (SELECT r, doc_id, unnest(string_split(low, chr(10)) || string_split_regex(low, '[.!?]+(?:[ \\n]|$)') || [low]{windows}) AS u FROM flat)
+  FROM (SELECT r, doc_id, unnest(string_split(low, chr(10)) || string_split_regex(low, '[.!?]+(?:[ \\n]|$)') || [low]) AS u FROM flat UNION ALL SELECT r, doc_id, u FROM windows)
 ), pairs AS (
   SELECT r, doc_id, body, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS bigrams
   FROM (SELECT r, doc_id, body, string_split(body, ' ') AS w FROM units) WHERE len(w) >= 2

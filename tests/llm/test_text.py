@@ -104,6 +104,16 @@ def test_gadgets_are_the_explicit_automaton(tmp_path):
         assert [v for v in model.tokens if model.leaves(u, v)] == [v for v in model.tokens if v in arcs]
 
 
+def best_fit_decreasing(sizes, capacity):
+    """Free places of the sequences that plain best fit, one piece at a time, longest first, makes."""
+    free = []
+    for n in sorted(sizes, reverse=True):
+        fits = [k for k, room in enumerate(free) if room >= n]
+        k = min(fits, key=free.__getitem__) if fits else len(free)
+        free[k : k + 1] = [free[k] - n if fits else capacity - n]
+    return free
+
+
 def test_packing(spark, library):
     texts = [None, "", "one", "a b c " * 700, "x " * 1023, "x " * 1024] + [" ".join(["word"] * rng.randint(1, 900)) for _ in range(120)]
     rows = table(spark, [(i, t, None) for i, t in enumerate(texts)] + [(2, "one", None)])
@@ -121,7 +131,7 @@ def test_packing(spark, library):
             assert offset == end
             end += length
         assert end <= 1024
-    assert len(by_seq) <= math.ceil(sum(r.length for r in got) / 1024) * 1.05 + 1
+    assert len(by_seq) <= len(best_fit_decreasing([r.length for r in got], 1024)) + 1
     assert packing.pack(rows.limit(0), PATH).count() == 0
 
 
@@ -175,40 +185,100 @@ def test_ngrams_over_pieces(monkeypatch):
 
 
 def slow_licenses(text, least):
+    """Lines, sentences and the whole against all templates, and every window of a template's length against it."""
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     squeeze = lambda s: " ".join(re.findall("[a-z0-9]+", s))
-    flat = squeeze(low)
-    units = low.split("\n") + re.split(r"[.!?]+(?:[ \n]|$)", low) + [low]
-    for _, t in licenses.TEMPLATES:
-        w = licenses.normal_words(t)
-        if len(w) >= 20:
-            opening = " ".join(w[:4])
-            units += [f"{opening} {' '.join(x.strip().split(' ')[: len(w) - 4])}" for x in flat.split(opening)[1:]]
-    pairs = lambda s: {(a, b) for a, b in zip(s.split(), s.split()[1:], strict=False)}
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
     names, best = set(), None
-    for u in {squeeze(x) for x in units}:
-        for name, t in licenses.TEMPLATES:
-            a, b = pairs(u), pairs(squeeze(t.lower()))
+    words = squeeze(low).split()
+    units = {squeeze(x) for x in [*low.split("\n"), *re.split(r"[.!?]+(?:[ \n]|$)", low), low]}
+    for name, t in licenses.TEMPLATES:
+        own = licenses.normal_words(t)
+        b = pairs(own)
+        windows = [words[i : i + len(own)] for i in range(len(words) - len(own) + 1)] if len(words) < 3000 else []
+        for w in [u.split() for u in units] + windows:
+            a = pairs(w)
             d = 2 * len(a & b) / (len(a) + len(b)) if a else 0
             if d >= least:
                 names.add(name)
                 best = max(best or 0, d)
-    return ",".join(sorted(names)), None if best is None else round(best, 6)
+    return ",".join(sorted(names)), best
+
+
+def altered(text, share):
+    """A share of a text's words changed, left out, doubled or swapped with the next."""
+    w = text.split()
+    for i in rng.sample(range(len(w) - 1), max(1, int(share * len(w)))):
+        kind = rng.randrange(4)
+        if kind == 0:
+            w[i] = "other"
+        elif kind == 1:
+            w[i] = ""
+        elif kind == 2:
+            w[i] += " " + w[i]
+        else:
+            w[i], w[i + 1] = w[i + 1], w[i]
+    return " ".join(w)
 
 
 def test_licenses(spark):
     noise = lambda: " ".join(rng.choice(["license", "the", "software", "free", "mit", "granted"]) for _ in range(40))
     texts = [None, "", "Released under the MIT License.", f"intro\n{licenses.MIT}\nend {noise()}", f"{noise()} {licenses.BSD_START} {licenses.BSD_END}", licenses.ZLIB.upper()]
     texts += [licenses.APACHE.replace("compliance", "accord"), "x " * 40_000 + "\nLicensed under CC BY-NC 4.0.", "A line. Licensed under the Apache License, Version 2.0. More.", noise(), noise()]
+    texts += ["This project is licensed under the MIT License - see the LICENSE file for details", f"{noise()} Permission hereby is {licenses.MIT[28:]} {noise()} {noise()} {noise()}", "license", "mit"]
     got = {r.doc_id: r for r in licenses.scan(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
     for i, t in enumerate(texts):
-        assert (got[i].licenses, got[i].best_dice) == slow_licenses(t, 0.8), i
-    assert got[3].licenses == "MIT" and got[7].licenses == "CC-BY-NC-4.0"
+        names, best = slow_licenses(t, 0.8)
+        assert got[i].licenses == names, i
+        assert best is None and got[i].best_dice is None or 0.95 * best <= got[i].best_dice <= best + 1e-6
+    assert got[3].licenses == got[12].licenses == got[11].licenses == "MIT" and got[7].licenses == "CC-BY-NC-4.0"
     twice = table(spark, [(1, texts[2], None), (1, texts[2], None), (None, texts[2], None)])
     assert sorted((str(r.doc_id), r.licenses) for r in licenses.scan(twice).collect()) == [("1", "MIT"), ("None", "MIT")]
     assert licenses.scan(twice.limit(0)).count() == 0
 
 
+def test_altered_licenses_inside_code(spark):
+    """Recall of altered notices in the midst of other words, against every window: what reaches 0.8 somewhere is found."""
+    code = lambda n: " ".join(rng.choice(["int", "x", "return", "for", "the", "value", "of", "license_key", "if", "0"]) for _ in range(n))
+    long_ones = [(name, t) for name, t in licenses.TEMPLATES if len(licenses.normal_words(t)) >= 20]
+    cases = [f"{code(150)} {altered(t, share)} {code(150)}" for _, t in long_ones for share in (0.02, 0.05, 0.08)]
+    want = [set(slow_licenses(t, 0.8)[0].split(",")) - {""} for t in cases]
+    got = {r.doc_id: set(r.licenses.split(",")) - {""} for r in licenses.scan(table(spark, [(i, t, None) for i, t in enumerate(cases)])).collect()}
+    due = sum(map(len, want))
+    assert due >= 25 and sum(len(w & got[i]) for i, w in enumerate(want)) >= 0.95 * due
+    sizes = {len(licenses.normal_words(t)) for _, t in licenses.TEMPLATES}
+    pairs = lambda w: set(zip(w, w[1:], strict=False))
+    for i, w in enumerate(want):  # a window laid for one template may fit another
+        words = licenses.normal_words(cases[i])
+        for name in got[i] - w:
+            own = [pairs(licenses.normal_words(t)) for n, t in licenses.TEMPLATES if n == name]
+            cut = [pairs(words[at : at + n]) for n in sizes for at in range(len(words) - n + 1)]
+            assert any(2 * len(a & b) >= 0.8 * (len(a) + len(b)) for a in cut for b in own)
+
+
+def test_license_sql(spark):
+    import duckdb
+
+    texts = [None, "", licenses.MIT, f"see {licenses.APACHE} there", "Released under the MIT License. Or the ISC License", "This is licensed under the GNU General Public License, version 3 only", altered(licenses.ISC, 0.05)]
+    rows = [(i, t, None) for i, t in enumerate(texts)]
+    documents = table(spark, rows).toPandas()
+    want = duckdb.sql(licenses.scan_sql(0.8)).df()
+    got = licenses.scan(table(spark, rows)).toPandas()
+    assert len(documents) == len(texts)
+    for frame in (want, got):
+        frame["best_dice"] = frame["best_dice"].fillna(-1.0)
+    key = lambda f: sorted(map(tuple, f[["doc_id", "licenses", "best_dice", "n_units"]].values.tolist()))
+    assert key(got) == key(want)
+
+
+def test_packing_encoders_agree(library):
+    """Both encoders on each side of the switch between them, and with special tokens and other scripts."""
+    texts = [unit * n for unit in ("a", "é", "日", "ab ", " ", "\n", "!", "1") for n in (1, 999, 1000, 1001, 1500)]
+    texts += [f"x{'y' * n} z\n\n  tail" for n in (998, 999, 1000)] + ["a<|endoftext|>b", "<|endoftext", *sample_texts(), "".join(map(chr, range(0xA0, 0x3000)))]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert packing._encoder(PATH).encode(texts) == want
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><style>p{}</style><script>var x='</p>'</script></head><body><header>Site name</header><nav><ul><li><a href=/>Home</a></ul></nav>"
