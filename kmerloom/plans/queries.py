@@ -12,7 +12,7 @@ from kmerloom.functions import text as X
 from kmerloom.functions.codes import code_names, decode
 from kmerloom.operators import bloom, genes, junctions, kmers, splice, splicegraph
 from kmerloom.plans import derived as D
-from kmerloom.plans import sql
+from kmerloom.plans import files, files_sql, sql
 from kmerloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,8 +267,8 @@ QUERIES: list[Query] = [
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in QUERIES}
+    return {q.__name__: q for q in [*QUERIES, *files.QUERIES]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.ORACLE
+    return sql.ORACLE | files_sql.ORACLE

@@ -119,7 +119,7 @@ def _extra(i: str) -> str:
 #: Size and places of a filter of all reference k-mers.
 FILTER = f"""size AS MATERIALIZED (SELECT greatest(count(*), 1) AS n, floor(-ln(0.01::DOUBLE) / ln(2::DOUBLE) / ln(2::DOUBLE) * greatest(count(*), 1))::BIGINT AS bits FROM known),
 sized AS MATERIALIZED (SELECT bits, greatest(floor((bits // n) * ln(2::DOUBLE)), 1)::INT AS hashes FROM size)"""
-PLACES = f"SELECT key, ({_extra('j')}) % bits AS at FROM (SELECT key, h, bits, unnest(range(0, hashes)) AS j FROM hashed, sized)"
+PLACES = f"SELECT key, ({_extra('j')}) % bits AS place FROM (SELECT key, h, bits, unnest(range(0, hashes)) AS j FROM hashed, sized)"
 
 
 def _walk(side: str) -> str:
@@ -199,12 +199,12 @@ ORACLE: dict[str, str] = {
       with_bits AS (SELECT role, n_keys, floor(-ln(0.01::DOUBLE) / ln(2::DOUBLE) / ln(2::DOUBLE) * n_keys)::BIGINT AS bits FROM sized)
       SELECT role, n_keys, bits, greatest(floor((bits // greatest(n_keys, 1)) * ln(2::DOUBLE)), 1)::INT AS hashes FROM with_bits""",
     "bloom_filter": f"""{BASE}, {KNOWN}, asked AS (SELECT canon AS key, canon AS kmer FROM known), {HASHED}, {FILTER}, places AS ({PLACES})
-      SELECT n AS set_bits, bits, hashes, {K} AS k, round(power(n / bits::DOUBLE, hashes), 9) AS rate FROM (SELECT count(DISTINCT at) AS n FROM places), sized""",
+      SELECT n AS set_bits, bits, hashes, {K} AS k, round(power(n / bits::DOUBLE, hashes), 9) AS rate FROM (SELECT count(DISTINCT place) AS n FROM places), sized""",
     "bloom_probe": f"""{BASE}, {KNOWN}, passages AS (SELECT item_id AS doc_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark),
       mine AS MATERIALIZED (SELECT DISTINCT canon FROM ({_kmers('passages', 'doc_id')})),
       asked AS (SELECT canon AS key, canon AS kmer FROM known UNION SELECT canon, canon FROM mine), {HASHED}, {FILTER}, places AS MATERIALIZED ({PLACES}),
-      bits_set AS MATERIALIZED (SELECT DISTINCT at FROM places JOIN known ON key = canon),
-      found AS (SELECT m.canon, bool_and(b.at IS NOT NULL) AS present FROM mine m JOIN places p ON m.canon = p.key LEFT JOIN bits_set b ON p.at = b.at GROUP BY m.canon)
+      bits_set AS MATERIALIZED (SELECT DISTINCT place FROM places JOIN known ON key = canon),
+      found AS (SELECT m.canon, bool_and(b.place IS NOT NULL) AS present FROM mine m JOIN places p ON m.canon = p.key LEFT JOIN bits_set b ON p.place = b.place GROUP BY m.canon)
       SELECT k.canon IS NOT NULL AS known, present, count(*) AS kmers FROM found f LEFT JOIN known k ON f.canon = k.canon GROUP BY ALL""",
     "splice_extend": f"""{PROBED}, {_bounds(LENIENCY)}, {_segments(True)}, exons0 AS MATERIALIZED (SELECT concat_ws('_', id, "start", "end", exon_no) AS id, exon_seq AS seq FROM ({EXONS})),
       {_walk('lw')}, {_walk('rw')},

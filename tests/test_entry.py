@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from kmerloom.plans import files
 
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "seq_revcomp", "seq_complement_iupac", "seq_mask_trim", "kmer_spectrum", "kmer_distinct", "hit_vector", "junction_gaps_l0", "exons_confident_l0",
-    "splice_edges", "transcript_gene_map", "graph_nodes", "bloom_sizing", "si_format", "si_parse", "read_pair", "ambiguity_ops", "colour_space",
+    "splice_edges", "transcript_gene_map", "graph_nodes", "kmer_estimate", "bloom_filter", "bloom_probe", "splice_extend", *(q.__name__ for q in files.QUERIES), "bloom_sizing", "si_format", "si_parse", "read_pair", "ambiguity_ops", "colour_space",
 ]
 
 
