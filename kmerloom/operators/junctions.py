@@ -204,7 +204,7 @@ def _cross_gap(record: _Record, gap: int, leniency: int, compat: bool, fixes: li
             last = x
         else:
             used, hit, fix = vote(x, used)
-            if fix:
+            if fix and record.bases[fix[0]] != fix[1]:
                 fixes.append((fix[0], record.bases[fix[0]], fix[1]))
                 record.put(*fix)
         if hit and record.hit(x + 1):
@@ -230,21 +230,22 @@ def scan_record(
     x = record.first_sure()
     if x is None:
         return [], []
-    bounds, fixes = [x + 1], []
-    while True:
-        gap = record.next_miss(x)
-        if gap is None:
-            last = record.scanned - 1
-            break
+    bounds, fixes, last = [x + 1], [], x
+    while (gap := record.next_miss(x + 1)) is not None:
+        if gap > x + 1:
+            last = gap - 1
         x, hit = _cross_gap(record, gap, leniency, compat, fixes)
+        last = max(last, hit)
         if x is None:
-            last = max(hit, gap - 1)
             break
         size = x - gap
         if size > k + MIN_EXON:
             bounds += [gap + k - 1, gap + k] + ([] if _backward_vote(record, x, leniency) else [x - 1, x])
         elif size >= k - leniency - 2:
             bounds += [gap + k - 1, x]
+    else:
+        if x + 1 < record.scanned:
+            last = record.scanned - 1
     return [*bounds, last + k], fixes
 
 

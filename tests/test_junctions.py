@@ -6,6 +6,7 @@ import pytest
 
 from kmerloom.operators import junctions as J, kmers, splice
 from kmerloom.operators.lookup import canonical_text
+from tests.junction_model import boundary_list
 
 rng = random.Random(5)
 
@@ -104,7 +105,8 @@ def _frames(spark, n=24, k=10):
 def test_windows_equal_state_machine(spark):
     seqs, known, table = _frames(spark)
     got = {r.id: r.bounds for r in J.boundaries_by_windows(seqs, known, 10, 0).collect()}
-    want = {r.id: scan(r.seq, 10, 0, table) for r in seqs.collect()}
+    has = lambda x: not x.strip("ACGT") and canonical_text(x) in table
+    want = {r.id: boundary_list(r.seq, 10, 0, has)[0] for r in seqs.collect()}
     assert got == {i: b for i, b in want.items() if b}
 
 
@@ -113,7 +115,8 @@ def test_rounds_equal_broadcast(spark):
     one = {r.id: (r.bounds, r.fixes) for r in J.boundaries(seqs, known, 10, 3).collect()}
     many = {r.id: (r.bounds, r.fixes) for r in J.boundaries(seqs, known, 10, 3, limit=0).collect()}
     assert one == many
-    assert {i: b for i, (b, _) in one.items()} == {r.id: b for r in seqs.collect() if (b := scan(r.seq, 10, 3, table))}
+    has = lambda x: not x.strip("ACGT") and canonical_text(x) in table
+    assert {i: b for i, (b, _) in one.items()} == {r.id: b for r in seqs.collect() if (b := boundary_list(r.seq, 10, 3, has)[0])}
 
 
 def test_cutting(spark):
@@ -167,6 +170,39 @@ def test_extension(spark):
     assert all(r == "" or set(r) == {"A"} for r in found.values()) and any(found.values())
 
 
+def random_record(own):
+    """(seq, k, leniency, set): blocks of a reference in any order, cut, with novel bases between and some bases changed."""
+    rb = lambda n: "".join(own.choice("ACGT") for _ in range(n))
+    k = own.choice([6, 7, 8, 10])
+    refs = [rb(own.randrange(k, 40)) for _ in range(own.randrange(1, 5))]
+    parts = []
+    for _ in range(own.randrange(1, 7)):
+        block = own.choice(refs)
+        parts += [block[own.randrange(len(block)) :] if own.random() < 0.5 else block, rb(own.randrange(2 * k)) if own.random() < 0.3 else ""]
+    seq = "".join(own.choice("ACGTN") if own.random() < 0.03 else c for c in "".join(parts))
+    return seq, k, own.randrange(k - 1), kset(k, *refs)
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_scan_equals_model(compat):
+    """10,000 random records, both readings of the quirk, against a model that shares no code."""
+    own = random.Random(11)
+    fixed = 0
+    for _ in range(10_000):
+        seq, k, leniency, known = random_record(own)
+        has = lambda x: not x.strip("ACGT") and canonical_text(x) in known  # noqa: E731, B023
+        bounds, fixes = J.scan_record(seq, k, leniency, has, compat)
+        assert (bounds, fixes) == boundary_list(seq, k, leniency, has, compat)
+        fixed += len(fixes)
+    assert fixed > 1000
+
+
+def test_gap_closed_by_a_probe_moves_on():
+    """The start that closes the gap is itself missing: the scan goes on behind it."""
+    seq, known = "ACTGTCGACGGGGACTGTC", kset(6, "ACTGTCGTGTCGACGCCA", "TTTCAGTTCAACGTGTAGCT", "GACGGGGTTTAGCCT")
+    assert scan(seq, 6, 2, known) == boundary_list(seq, 6, 2, lambda x: canonical_text(x) in known)[0] == [1, 13]
+
+
 def test_leniency():
     assert J.leniency_from_rate(10, 2.0, 0.05, 25) == 3 and J.leniency_from_rate(4, 2.0, 0.05, 25) == 4
 

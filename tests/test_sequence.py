@@ -1,10 +1,12 @@
 """Column functions over sequences, names and numbers: golden values."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.functions import nthash, sequence as S, text as X
+from kmerloom.functions.codes import windows_of
 
 
 def one(spark, **columns):
@@ -83,7 +85,8 @@ def test_hash_definition():
         assert (int(got[0][x]), int(got[1][x])) == (f, r)
     rc = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
     assert (nthash.canonical_hashes(seq, 25) == nthash.canonical_hashes(rc, 25)[::-1]).all()
-    assert nthash.valid_windows("ACGNACGT", 3).tolist() == [0, 4, 5]
+    clean = [(int(r), int(x)) for _, row, place, inside, fine in windows_of(pa.array(["ACGNACGT", "NNN", None, "AC", "TTT"]), 3) for r, x, ok in zip(row, place, inside & fine, strict=True) if ok]
+    assert clean == [(0, 0), (0, 4), (0, 5), (4, 0)]
     h = np.array([12345], np.uint64)
     t = 12345 * (2 ^ (25 * nthash.MULTI_SEED & mask)) & mask
     assert int(nthash.extra_hash(h, 25, 2)[0]) == t ^ (t >> 27)
