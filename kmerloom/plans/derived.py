@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators import genes, splicegraph
@@ -17,6 +17,7 @@ from kmerloom.storage import global_rank, once, spread
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
+DIGITS = "0123456789"
 K = 25
 #: An exon of EXON bases starts every STRIDE bases of a contig; a contig shorter than that is one exon.
 EXON, STRIDE = 120, 180
@@ -27,6 +28,11 @@ LENIENCY = 10
 LEFT_SIGNALS, RIGHT_SIGNALS = ["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]
 
 
+def masked_bases(text: Column) -> Column:
+    """Letters of a text as bases, its digits as N."""
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", "")), LETTERS + DIGITS, BASES + "N" * len(DIGITS))
+
+
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     return once(spark, f"{sf_dir}/documents.parquet", name, build)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,16 +15,14 @@ from kmerloom.functions import text as X
 from kmerloom.operators import bloom, genes, junctions, kmers
 from kmerloom.plans import derived as D
 from kmerloom.sources import readers, writers
-from kmerloom.storage import shared_dir
+from kmerloom.storage import new_folder
 
 K = D.K
-#: Number of bases of the reads that stand in files.
-SHOWN = 40
 
 
 def _written(df: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
     """Path of a new folder of the shared storage that holds ``df``."""
-    path = f"{shared_dir(df.sparkSession)}/kmerloom/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     write(df, path)
     return path
 
@@ -36,9 +33,8 @@ def _lines(rows: DataFrame, order: list[str], line: Column, compression: str = "
 
 
 def _reads(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, r, seq, qual): the first bases of each read, with a quality for each letter."""
-    seq = F.substring("seq", 1, SHOWN)
-    return D.reads(spark, d).select("doc_id", "r", seq.alias("seq"), F.translate(seq, "ACGT", "!5I?").alias("qual"))
+    """(doc_id, r, seq, qual): each read, with a quality for each letter."""
+    return D.reads(spark, d).select("doc_id", "r", "seq", F.translate("seq", "ACGT", "!5I?").alias("qual"))
 
 
 def _name() -> Column:
@@ -104,6 +100,25 @@ def qseq_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_qseq(spark, [_lines(_reads(spark, d), ["doc_id", "r"], line)])
 
 
+def mixed_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Reads written as FASTA, FASTQ, SAM and qseq records in turn, with notes and headers between, into the same files; qualities begin like other lines."""
+    rows = D.reads(spark, d).withColumn("qual", F.translate("seq", "ACGT", "@>#I"))
+    name, nl, r = _name(), F.lit("\n"), F.col("r")
+    fasta = F.concat(F.lit(">"), name, F.lit(" a read\n"), F.substring("seq", 1, 60), nl, F.substring("seq", 61, 1 << 30), F.lit("\n#end"))
+    fastq = F.concat(F.lit("@"), name, F.lit(" 1:N:0:AC\n"), F.col("seq"), F.lit("\n+\n"), F.col("qual"))
+    flag = F.element_at(F.array(*map(F.lit, (0, 65, 145, 256, 577))), (F.col("doc_id") % 5 + 1).cast("int")).cast("string")
+    sam = F.concat(F.lit("@CO\tnote\n"), F.concat_ws("\t", name, flag, *map(F.lit, ("c", "1", "9", "40M", "*", "0", "0")), "seq", "qual"))
+    qseq = F.concat(F.lit("#note\n"), F.concat_ws("\t", *map(F.lit, ("M", "1")), F.col("doc_id").cast("string"), r.cast("string"), *map(F.lit, ("4", "5", "0", "3")), "seq", F.translate("seq", "ACGT", "@Th^"), F.when(F.col("doc_id") % 3 == 0, "0").otherwise("1")))
+    line = F.when(r % 4 == 0, fasta).when(r % 4 == 1, fastq).when(r % 4 == 2, sam).otherwise(qseq)
+    return readers.read_mixed(spark, [_lines(rows, ["doc_id", "r"], line)])
+
+
+def colour_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads in colours behind a primer base: the primer and its first colour go, the base that they stand for is kept as anchor."""
+    coloured = _reads(spark, d).filter("length(seq) > 2").select(_name().alias("id"), F.concat(F.lit("T"), S.to_colours(F.concat(F.lit("T"), "seq"))).alias("seq"), "qual")
+    return readers.clean(coloured).select("id", "anchor", "seq", "qual")
+
+
 def exon_files(spark: SparkSession, d: str) -> DataFrame:
     """Confident exons written as FASTA and read back."""
     found = junctions.confident_exons(D.transcripts(spark, d), junctions.bounds_of_runs(D.runs(spark, d), K, 0))
@@ -190,6 +205,6 @@ def solid_filter_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    fasta_scan, fasta_packed, fastq_scan, quality_trim, quality_shift, casava_clean, sam_scan, qseq_scan, exon_files, dot_scan, clustered_dot, gene_files, filter_files,
+    fasta_scan, fasta_packed, fastq_scan, quality_trim, quality_shift, casava_clean, sam_scan, qseq_scan, mixed_scan, colour_reads, exon_files, dot_scan, clustered_dot, gene_files, filter_files,
     kmer_hashes, sequence_edits, leniency_rule, solid_filter_counts,
 ]

@@ -3,25 +3,32 @@
 from __future__ import annotations
 
 from kmerloom.plans.derived import BASES, K, LETTERS
-from kmerloom.plans.files import SHOWN
 from kmerloom.plans.sql import BASE, EXONS, FILTER, GENES, HASHED, KNOWN, PLACES, PROBED, READS, _bounds, _extra, _kmers, _segments
 
-_SHORT = f"{BASE}, {READS}, short AS MATERIALIZED (SELECT *, translate(seq, 'ACGT', '!5I?') AS qual, row_number() OVER (ORDER BY doc_id, r) - 1 AS rec_no, 'r' || doc_id || '_' || r AS id FROM (SELECT doc_id, r, substr(seq, 1, {SHOWN}) AS seq FROM reads))"
+_NAMED = f"{BASE}, {READS}, named AS MATERIALIZED (SELECT *, translate(seq, 'ACGT', '!5I?') AS qual, row_number() OVER (ORDER BY doc_id, r) - 1 AS rec_no, 'r' || doc_id || '_' || r AS id FROM reads)"
 _PASSAGES = f"passages AS (SELECT item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark)"
 _ORDERS = "WITH RECURSIVE edges AS (SELECT o_orderkey AS line_no, 'O' || o_orderkey || '_1_9' AS src, 'C' || o_custkey || '_9_20' AS dst FROM orders)"
 
 ORACLE: dict[str, str] = {
     "fasta_scan": f"{BASE} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rec_no, 'D' || doc_id AS id, 'of ' || length(seq) || ' bases' AS comment, seq FROM contigs",
     "fasta_packed": f"{BASE} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rec_no, 'D' || doc_id AS id, md5(seq) AS seq_md5 FROM contigs WHERE seq <> ''",
-    "fastq_scan": f"{_SHORT} SELECT rec_no, id, '' AS comment, seq, qual FROM short",
-    "quality_trim": f"""{_SHORT} SELECT rec_no, t AS trimmed, translate(t, 'ACGT', '!5I?') AS trimmed_qual, replace(seq, 'A', 'N') AS masked, substr(seq, 1, 25) AS capped
-      FROM (SELECT *, CASE WHEN trim(seq, 'A') = '' THEN substr(seq, 1, 1) ELSE trim(seq, 'A') END AS t FROM short)""",
-    "quality_shift": f"{_SHORT} SELECT id, qual FROM short",
-    "casava_clean": f"{_SHORT} SELECT rec_no, id || '/1' AS id, substr(seq, 4) AS seq, substr(qual, 4) AS qual FROM short WHERE r % 3 <> 0",
-    "sam_scan": f"""{_SHORT} SELECT row_number() OVER (ORDER BY rec_no) - 1 AS rec_no, id || ['', '/1', '/2'][r % 5 + 1] AS id, ['0', '1', '2'][r % 5 + 1] || ':N:0:' AS comment, [0, 65, 145][r % 5 + 1]::INT AS flag,
-      CASE WHEN r % 5 = 2 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN r % 5 = 2 THEN reverse(qual) ELSE qual END AS qual FROM short WHERE r % 5 < 3""",
-    "qseq_scan": f"""{_SHORT} SELECT row_number() OVER (ORDER BY rec_no) - 1 AS rec_no, 'M:1:' || doc_id || ':' || r || ':4:5' || CASE WHEN r % 2 = 1 THEN '#1' ELSE '' END || CASE WHEN r % 4 = 0 THEN '/2' ELSE '/1' END AS id,
-      CASE WHEN r % 4 = 0 THEN '3:N:0:' ELSE '1:N:0:' END AS comment, seq, qual FROM short WHERE r % 3 <> 0""",
+    "fastq_scan": f"{_NAMED} SELECT rec_no, id, '' AS comment, seq, qual FROM named",
+    "quality_trim": f"""{_NAMED} SELECT rec_no, t AS trimmed, translate(t, 'ACGT', '!5I?') AS trimmed_qual, replace(seq, 'A', 'N') AS masked, substr(seq, 1, 25) AS capped
+      FROM (SELECT *, CASE WHEN trim(seq, 'A') = '' THEN substr(seq, 1, 1) ELSE trim(seq, 'A') END AS t FROM named)""",
+    "quality_shift": f"{_NAMED} SELECT id, qual FROM named",
+    "casava_clean": f"{_NAMED} SELECT rec_no, id || '/1' AS id, substr(seq, 4) AS seq, substr(qual, 4) AS qual FROM named WHERE r % 3 <> 0",
+    "sam_scan": f"""{_NAMED} SELECT row_number() OVER (ORDER BY rec_no) - 1 AS rec_no, id || ['', '/1', '/2'][r % 5 + 1] AS id, ['0', '1', '2'][r % 5 + 1] || ':N:0:' AS comment, [0, 65, 145][r % 5 + 1]::INT AS flag,
+      CASE WHEN r % 5 = 2 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq, CASE WHEN r % 5 = 2 THEN reverse(qual) ELSE qual END AS qual FROM named WHERE r % 5 < 3""",
+    "qseq_scan": f"""{_NAMED} SELECT row_number() OVER (ORDER BY rec_no) - 1 AS rec_no, 'M:1:' || doc_id || ':' || r || ':4:5' || CASE WHEN r % 2 = 1 THEN '#1' ELSE '' END || CASE WHEN r % 4 = 0 THEN '/2' ELSE '/1' END AS id,
+      CASE WHEN r % 4 = 0 THEN '3:N:0:' ELSE '1:N:0:' END AS comment, seq, qual FROM named WHERE r % 3 <> 0""",
+    "mixed_scan": f"""{_NAMED}, own AS (SELECT *, r % 4 AS k, doc_id % 5 AS f, translate(seq, 'ACGT', '@>#I') AS q FROM named)
+      SELECT rec_no, ['fasta', 'fastq', 'sam', 'qseq'][k + 1] AS kind, CASE k WHEN 0 THEN id WHEN 1 THEN id || '/1' WHEN 2 THEN id || ['', '/1', '/2'][f + 1] ELSE 'M:1:' || doc_id || ':' || r || ':4:5/2' END AS id,
+      CASE k WHEN 0 THEN 'a read' WHEN 1 THEN '1:N:0:AC' WHEN 2 THEN ['0', '1', '2'][f + 1] || ':N:0:' ELSE '3:N:0:' END AS comment,
+      CASE WHEN k = 2 AND f = 2 THEN reverse(translate(seq, 'ACGT', 'TGCA')) ELSE seq END AS seq,
+      CASE WHEN k = 0 THEN NULL WHEN k = 2 AND f = 2 THEN reverse(q) WHEN k = 3 THEN translate(seq, 'ACGT', '@Th^') ELSE q END AS qual, CASE WHEN k = 3 THEN 64 ELSE 33 END::INT AS "offset"
+      FROM own WHERE NOT (k = 2 AND f > 2) AND NOT (k = 3 AND doc_id % 3 = 0)""",
+    "colour_reads": f"""{_NAMED} SELECT id, substr(seq, 1, 1) AS anchor, array_to_string(list_transform(range(1, length(seq)),
+        lambda i: xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1)), '') AS seq, substr(qual, 2) AS qual FROM named WHERE length(seq) > 2""",
     "exon_files": f"""{PROBED}, {_bounds(0)}, {_segments(True)} SELECT row_number() OVER (ORDER BY id, exon_no) - 1 AS rec_no, id || '_' || "start" || '_' || "end" AS id, exon_seq AS seq FROM ({EXONS})""",
     "dot_scan": f"{_ORDERS} SELECT src, dst FROM edges",
     "clustered_dot": f"""{_ORDERS}, {GENES}, own AS (SELECT DISTINCT gene, src, dst FROM edges JOIN genes ON src = exon)

@@ -13,7 +13,7 @@ from kmerloom.functions.codes import code_names, decode
 from kmerloom.operators import bloom, genes, junctions, kmers, splice, splicegraph
 from kmerloom.plans import derived as D
 from kmerloom.plans import files, files_sql, sql
-from kmerloom.storage import materialize
+from kmerloom.storage import materialize, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 K = D.K
@@ -47,6 +47,13 @@ def kmer_explode(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "kmers", decode(K).alias("first_canon"), "last_x", "distinct_kmers")
 
 
+def kmer_masked(spark: SparkSession, d: str) -> DataFrame:
+    """k-mers of texts whose digits are unknown bases: no k-mer holds one."""
+    own = spread(_table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text").select("doc_id", D.masked_bases(F.col("text")).alias("seq"))
+    found = kmers.explode_kmers(own, K)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("kmers"), F.sum("x").alias("places"), F.count_distinct("c0").alias("distinct_kmers"))
+
+
 def kmer_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return kmers.spectrum(D.contigs(spark, d), K)
 
@@ -259,7 +266,7 @@ def colour_space(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: list[Query] = [
-    seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_histogram, kmer_solid, kmer_ref_set, kmer_missing,
+    seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_masked, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_histogram, kmer_solid, kmer_ref_set, kmer_missing,
     hit_vector, first_match, last_match, junction_gaps_l0, boundaries_l0, boundaries_plain, exons_all_l0, exons_confident_l0, exons_plain, exons_lenient,
     substitutions, splice_extend, exon_blocks, start_end_index, shared_kmer_groups, exon_components, merge_labels, splice_edges, dot_lines, graph_nodes,
     graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, bloom_probe, si_format, si_parse, read_pair, ambiguity_ops, colour_space,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kmerloom.functions.sequence import IUPAC, IUPAC_COMPLEMENT, IUPAC_MASK, MASK_IUPAC, SMALLEST_BASE
 from kmerloom.functions.nthash import MULTI_SEED, MULTI_SHIFT, base_hashes
-from kmerloom.plans.derived import BASES, EXON, K, LEFT_SIGNALS, LENIENCY, LETTERS, READ, RIGHT_SIGNALS, STEP, STRIDE
+from kmerloom.plans.derived import BASES, DIGITS, EXON, K, LEFT_SIGNALS, LENIENCY, LETTERS, READ, RIGHT_SIGNALS, STEP, STRIDE
 
 MIN_EXON = 5
 
@@ -225,6 +225,8 @@ ORACLE: dict[str, str] = {
       masks AS (SELECT *, '{MASK_IUPAC}'[({_mask('a')} & {_mask('b')}) + 1] AS m, '{MASK_IUPAC}'[({_mask('a')} | {_mask('b')}) + 1] AS o FROM pairs),
       cased AS (SELECT *, CASE WHEN {_low('a')} AND {_low('b')} THEN lower(m) ELSE m END AS common, CASE WHEN {_low('a')} OR {_low('b')} THEN lower(o) ELSE o END AS united FROM masks)
       SELECT item_id, place, common, united, common = a OR common = b AS nested FROM cased""",
+    "kmer_masked": f"""WITH masked AS (SELECT doc_id, translate(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), '{LETTERS}{DIGITS}', '{BASES}{"N" * len(DIGITS)}') AS seq FROM documents)
+      SELECT doc_id, count(*) AS kmers, sum(x)::BIGINT AS places, count(DISTINCT canon) AS distinct_kmers FROM ({_kmers('masked', 'doc_id')}) WHERE NOT contains(kmer, 'N') GROUP BY doc_id""",
     "colour_space": f"""{BASE}, {READS} SELECT doc_id, r, array_to_string(list_transform(range(1, length(seq)),
         lambda i: xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1)), '') AS colours, seq AS bases FROM reads""",
 }

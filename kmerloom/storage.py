@@ -34,20 +34,25 @@ def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def new_folder(spark: SparkSession, keep: bool = False) -> str:
+    """Path of a folder in the shared folder, to be written; it goes with the ``scratch`` block, or, with ``keep``, when the JVM ends."""
+    path = f"{shared_dir(spark)}/kmerloom/{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    if not keep:
+        _written.append(path)
+    return path
+
+
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs only the tasks that it ran. The
     files go with the ``scratch`` block they were written in, or, with ``keep``, when the JVM ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kmerloom/{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, keep)
     df.write.parquet(path)
-    fs, at = _hadoop(spark, path)
-    fs.deleteOnExit(at)
-    if not keep:
-        _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
