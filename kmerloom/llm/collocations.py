@@ -31,8 +31,8 @@ from kmerloom.llm.tokens import Words, byte_table, slices, words_of
 #: Bytes between pieces, and those between words as well.
 PIECE_ENDS = byte_table(".,;:!?\n\x0b\x0c\r")
 LETTERS = ~(PIECE_ENDS | byte_table(" \t"))
-#: Words of a shard, and bytes of texts whose words are numbered together.
-SHARD, SLICE = 1_000_000, 4_000_000
+#: Words of a shard.
+SHARD = 1_000_000
 #: Bitmap bytes that are extended at a time.
 BLOCK = 100_000
 #: Slots of the hashed set of frequent phrases, one bit each.
@@ -160,7 +160,7 @@ def _shard_rows(size: int, sets: list, shard: int, block: int) -> Callable[[Iter
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 0, SLICE):
+            for part in slices(batch, 0):
                 words = words_of(part.column(0), LETTERS)
                 if not len(words.starts):
                     continue
