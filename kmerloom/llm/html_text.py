@@ -2,15 +2,17 @@
 
 A page is read once into text nodes: the text of one block with the path of block tags
 above it, each tag with its class. For each path, text outside links and punctuation are summed
-over its nodes, which gives its ratio of text and of punctuation to nodes. Both ratios
-are smoothed along the page, by nodes near by whose paths part near the leaf, so that a heading
-takes after the paragraphs around it. The smoothed ratios are fused into one weight of the
-path, and paths whose weight reaches a share of the page's mean weight are content.
-
-What a path is called only scales its weight: menus, footers, forms and the like by their
-tags or roles, adverts, comments, notices and the like by whole class names or ids and by their last
-parts; ``article`` and ``main`` raise it. As weights are compared within a page, a
-form or a class around all of it changes nothing.
+over its nodes; that is its ratio. Ratios are fused by their product and smoothed along the page, by nodes near by whose paths
+part at the leaf, so that a heading takes after the paragraphs around it. Paths whose smoothed ratio reaches a share of the
+page's largest are content. The deepest element that holds nearly all content is the article: its other blocks,
+short cells and items among them, belong to it, and so does any block between two content blocks of one element.
+
+Names of tags, roles and classes break ties. Where several paths reach the share, those of an element with a name for menus,
+footers, adverts and the like give way to those without; inside the article, a part with such a name is no part of
+it; and on a page whose largest path has fewer than EVIDENCE letters, ratios tell nothing and names alone decide. A name counts only below
+the element that holds all text, so a form or a class around a whole page changes nothing. Reader comments are the one kind of text
+that no ratio tells from an article, as it is written like one and may be longer: text in elements that are named so is left out before
+ratios are taken.
 
 Defined cases: a null html counts as the empty page and gives an empty text; text outside any
 block is a block of its own; unclosed and stray tags are closed and ignored as browsers
@@ -23,7 +25,6 @@ an empty result; other columns are not read.
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -51,11 +52,10 @@ ENDS_LIKE = {
 }
 ENDS_LIKE = {tag: (frozenset(same.split()), frozenset(within.split())) for tag, (same, within) in ENDS_LIKE.items()}
 LEAVES = frozenset("p li dt dd td th pre blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
-# How a tag or a role scales the paths through it.
-TAG_SCALE = dict.fromkeys("head nav footer form button select option fieldset dialog menu object audio video canvas search".split(), 0.03) | {"aside": 0.05, "header": 0.1}
-ROLE_SCALE = dict.fromkeys("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split(), 0.03)
+# Tags and roles of what is seldom main text.
+TAGS = frozenset("head nav footer form button select option fieldset dialog menu object audio video canvas search aside header".split())
+ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar".split())
 ARTICLE = frozenset("article main".split())
-ARTICLE_SCALE = 3.0
 # Names of what is seldom main text, and parts that may follow such a name.
 CUES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal "
@@ -66,42 +66,53 @@ CUE_PARTS = frozenset(
     "area bar block body bottom box button buttons column container content field footer form group header icons inner item items left link links list main message "
     "panel posts right section text thread title top unit widget wrap wrapper 1 2 3".split()
 )
-CUE_SCALE, CUE_SCALE_OF_LEAF = 0.15, 0.35
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 #: Nodes on each side that smooth a node, what their distance and each step between the paths makes of their part.
-NEAR, BY_DISTANCE, BY_STEP, MOST_STEPS = 2, 0.6, 0.7, 4
+NEAR, BY_DISTANCE, BY_STEP, MOST_STEPS = 2, 0.6, 0.2, 3
+#: Letters outside links of a page's largest path below which its ratios are no evidence.
+EVIDENCE = 400
+#: Share of the content that the article's element holds.
+MOST = 0.9
 
 
 @dataclass
 class Page:
-    """Text nodes in page order, and the paths they hang on: path 0 is the root."""
+    """Text nodes in page order, the elements that they stand in, and the paths of these: element and path 0 are the root."""
 
     parent: list[int] = field(default_factory=lambda: [-1])
     depth: list[int] = field(default_factory=lambda: [0])
-    scale: list[float] = field(default_factory=lambda: [1.0])
     paths: list[int] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
+    #: Of each node, its element; of each element, the one above, its tag, and whether it is named as no main text, as comments, as an article.
+    inside: list[int] = field(default_factory=list)
+    above: list[int] = field(default_factory=lambda: [-1])
+    tags: list[str] = field(default_factory=lambda: [""])
+    named: list[bool] = field(default_factory=lambda: [False])
+    comments: list[bool] = field(default_factory=lambda: [False])
+    article: list[bool] = field(default_factory=lambda: [False])
 
 
-def is_cue(name: str) -> bool:
+def is_cue(name: str, cues: frozenset[str] = CUES) -> bool:
     """Whether a class name or id is a cue, ends in one, or is one with a part of a page behind it."""
     parts = [p.lower() for p in PART.findall(name)]
-    return bool(parts) and ("".join(parts) in CUES or parts[-1] in CUES or (parts[0] in CUES and len(parts) == 2 and parts[1] in CUE_PARTS))
+    return bool(parts) and ("".join(parts) in cues or parts[-1] in cues or (parts[0] in cues and len(parts) == 2 and parts[1] in CUE_PARTS))
 
 
-def _attributes(text: str) -> tuple[str, bool, str, bool]:
-    """Class as part of a path, whether it or the id is a cue, the role, and whether the element is hidden."""
-    kind, cue, role, hidden = "", False, "", False
+def _attributes(text: str) -> tuple[str, bool, bool, str, bool]:
+    """Class as part of a path, whether it or the id is a cue, or one for comments, the role, and whether the element is hidden."""
+    kind, cue, comments, role, hidden = "", False, False, "", False
     for name, value in ATTRIBUTE.findall(text) if text else ():
         name, value = name.lower(), value.strip("\"'")
         if name == "class":
             kind = "." + ".".join(value.split())
         if name in ("class", "id"):
             cue |= any(map(is_cue, value.split()))
+            comments |= any(is_cue(v, COMMENTS) for v in value.split())
         elif name == "role":
             role = value.lower()
         hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.lower().replace(" ", ""))
-    return kind, cue, role, hidden
+    return kind, cue, comments, role, hidden
 
 
 class _Reader:
@@ -110,7 +121,7 @@ class _Reader:
     def __init__(self) -> None:
         self.page = Page()
         self.ids: dict[tuple[int, str], int] = {}
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, hidden, inside an article
+        self.stack: list[tuple[str, int, int, bool, bool]] = [("", 0, 0, False, False)]  # tag, path, element, hidden, inside an article
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.in_link = self.link_chars = 0  # depth of the stack at which a link opened, or 0
@@ -121,12 +132,13 @@ class _Reader:
             if text:
                 self.page.paths.append(self.stack[-1][1])
                 self.page.texts.append(text)
+                self.page.inside.append(self.stack[-1][2])
                 self.page.linked.append(min(self.link_chars, len(text)))
             self.parts.clear()
         self.link_chars = 0
 
     def text(self, piece: str) -> None:
-        if piece and not self.stack[-1][2]:
+        if piece and not self.stack[-1][3]:
             piece = html.unescape(piece)
             self.parts.append(piece)
             if self.in_link:
@@ -156,22 +168,21 @@ class _Reader:
             self.close(_P, HOLDS_PARAGRAPH)
         if tag in ENDS_LIKE:
             self.close(*ENDS_LIKE[tag])
-        kind, cue, role, hidden = _attributes(attributes)
-        _, path, was_hidden, inside = self.stack[-1]
-        key = (path, tag + kind + ("?" if cue else "") + role)
+        kind, cue, comments, role, hidden = _attributes(attributes)
+        _, path, element, was_hidden, inside = self.stack[-1]
+        page = self.page
+        key = (path, tag + kind)
         if key not in self.ids:
-            self.ids[key] = len(self.page.parent)
-            scale = TAG_SCALE.get(tag, 1.0) * ROLE_SCALE.get(role, 1.0)
-            if tag == "header" and inside:
-                scale = 1.0
-            if cue:
-                scale *= CUE_SCALE_OF_LEAF if tag in LEAVES else CUE_SCALE
-            if not inside and (tag in ARTICLE or role in ARTICLE):
-                scale *= ARTICLE_SCALE
-            self.page.parent.append(path)
-            self.page.depth.append(self.page.depth[path] + 1)
-            self.page.scale.append(max(self.page.scale[path] * scale, 1e-6))
-        self.stack.append((tag, self.ids[key], was_hidden or hidden, inside or tag in ARTICLE or role in ARTICLE))
+            self.ids[key] = len(page.parent)
+            page.parent.append(path)
+            page.depth.append(page.depth[path] + 1)
+        is_article = tag in ARTICLE or role in ARTICLE
+        page.above.append(element)
+        page.tags.append(tag)
+        page.named.append(tag in TAGS and not (tag == "header" and inside) or role in ROLES or cue and tag not in LEAVES)
+        page.comments.append(comments and tag not in LEAVES)
+        page.article.append(is_article)
+        self.stack.append((tag, self.ids[key], len(page.above) - 1, was_hidden or hidden, inside or is_article))
         self.open[tag] += 1
 
 
@@ -243,50 +254,107 @@ def _apart(page: Page, p: int, q: int) -> int | None:
     return steps
 
 
-def path_ratios(page: Page) -> dict[int, tuple[float, float]]:
-    """Of each path with text: text outside links, and punctuation, to its nodes, both as logarithms."""
+def path_ratios(page: Page, nodes: list[int] | None = None) -> dict[int, tuple[int, int]]:
+    """Of each path with text: letters outside links, and punctuation outside links, over its nodes."""
     sums: dict[int, list[int]] = {}
-    for path, text, linked in zip(page.paths, page.texts, page.linked, strict=True):
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += 1
-        s[1] += len(text) - linked
-        s[2] += len(PUNCTUATION.findall(text)) if 2 * linked < len(text) else 0
-    return {path: (math.log1p(chars / n), math.log1p(marks / n)) for path, (n, chars, marks) in sums.items()}
-
-
-def path_weights(page: Page) -> dict[int, float]:
-    """The smoothed and fused weight of each path with text."""
-    ratios = path_ratios(page)
-    smooth: dict[int, list[float]] = {path: [0.0, 0.0, 0.0] for path in ratios}
-    n = len(page.paths)
-    for i, path in enumerate(page.paths):
-        chars = marks = total = 0.0
-        for j in range(max(0, i - NEAR), min(n, i + NEAR + 1)):
-            steps = _apart(page, path, page.paths[j])
+    for i in range(len(page.paths)) if nodes is None else nodes:
+        text, linked = page.texts[i], page.linked[i]
+        s = sums.setdefault(page.paths[i], [0, 0])
+        s[0] += len(text) - linked
+        s[1] += len(PUNCTUATION.findall(text)) if 2 * linked < len(text) else 0
+    return {path: (chars, marks) for path, (chars, marks) in sums.items()}
+
+
+def path_weights(page: Page, nodes: list[int]) -> dict[int, float]:
+    """The fused and smoothed ratio of each path of ``nodes``."""
+    fused = {path: float(chars * (1 + marks)) for path, (chars, marks) in path_ratios(page, nodes).items()}
+    smooth: dict[int, list[float]] = {path: [0.0, 0.0] for path in fused}
+    for i, node in enumerate(nodes):
+        path = page.paths[node]
+        weight = total = 0.0
+        for j in range(max(0, i - NEAR), min(len(nodes), i + NEAR + 1)):
+            other = page.paths[nodes[j]]
+            steps = _apart(page, path, other)
             if steps is not None:
                 part = BY_DISTANCE ** abs(i - j) * BY_STEP**steps
-                c, m = ratios[page.paths[j]]
-                chars, marks, total = chars + part * c, marks + part * m, total + part
-        s = smooth[path]
-        s[0] += chars / total
-        s[1] += marks / total
-        s[2] += 1
-    return {path: page.scale[path] * c / k * (1 + m / k) if ratios[path][0] else 0.0 for path, (c, m, k) in smooth.items()}
-
-
-def main_text(page: str | None, share: float = 0.25) -> str:
+                weight, total = weight + part * fused[other], total + part
+        smooth[path][0] += weight / total
+        smooth[path][1] += 1
+    return {path: w / k if fused[path] else 0.0 for path, (w, k) in smooth.items()}
+
+
+def _holding(page: Page, amount: dict[int, int], share: float) -> int:
+    """The deepest element that holds ``share`` of an amount given for nodes."""
+    held = [0] * len(page.above)
+    for node, n in amount.items():
+        held[page.inside[node]] += n
+    for e in range(len(held) - 1, 0, -1):
+        held[page.above[e]] += held[e]
+    found = 0
+    for e in range(1, len(held)):  # elements stand behind the one above them
+        if page.above[e] == found and held[e] >= share * held[0] and held[e]:
+            found = e
+    return found
+
+
+def _below(page: Page, top: int, marks: list[bool]) -> list[bool]:
+    """For each element, whether it or one above it, but strictly below ``top``, is marked; none outside ``top`` unless ``top`` is the root."""
+    out = [False] * len(marks)
+    around, e = set(), top
+    while e >= 0:
+        around.add(e)
+        e = page.above[e]
+    for e in range(1, len(marks)):
+        out[e] = e not in around and (marks[e] or out[page.above[e]])
+    return out
+
+
+def content_nodes(page: Page, share: float = 0.2, names: bool = True) -> list[int]:
+    """The nodes of the main text. Without ``names``, ratios alone decide, and what is named comments is not left out."""
+    own = [i for i in range(len(page.texts)) if 2 * page.linked[i] < len(page.texts[i])]
+    whole = _holding(page, {i: len(page.texts[i]) for i in range(len(page.texts))}, 1.0)
+    if names:
+        comments = _below(page, whole, page.comments)
+        own = [i for i in own if not comments[page.inside[i]]]
+    if not own:
+        return []
+    # smoothing sees blocks of links as well, as paths of no weight
+    left = set(own)
+    seen = [i for i in range(len(page.texts)) if i in left or 2 * page.linked[i] >= len(page.texts[i])]
+    weights = path_weights(page, seen)
+    most = max(weights.values())
+    evident = max(chars for chars, _ in path_ratios(page, own).values()) >= EVIDENCE
+    kept = [i for i in own if weights[page.paths[i]] >= share * most and weights[page.paths[i]] > 0] if evident or not names else own
+    named = _below(page, whole, page.named) if names else [False] * len(page.above)
+    kept = [i for i in kept if not named[page.inside[i]]] or kept
+    if names and not evident:
+        article = _below(page, 0, page.article)
+        kept = [i for i in kept if article[page.inside[i]]] or kept
+    top = _holding(page, {i: len(page.texts[i]) for i in kept}, MOST)
+    while page.tags[top] in LEAVES:
+        top = page.above[top]
+    inner = _below(page, top, page.named) if names else named
+    within = _below(page, 0, [e == top for e in range(len(page.above))]) if page.tags[top] not in ("", "html", "body") else [False] * len(page.above)
+    found = set(kept)
+    last: tuple[int, int] | None = None  # element above the last content block, and where this stands in ``own``
+    for k, i in enumerate(own):
+        if within[page.inside[i]] and not inner[page.inside[i]]:
+            found.add(i)
+        if i in found:
+            here = page.above[page.inside[i]]
+            if last and last[0] == here:
+                found.update(j for j in own[last[1] + 1 : k] if not named[page.inside[j]])
+            last = here, k
+    return sorted(found)
+
+
+def main_text(page: str | None, share: float = 0.2, names: bool = True) -> str:
     """The content of a page: its blocks joined by two line ends."""
     read = read_page(page or "")
-    weights = path_weights(read)
-    total = sum(len(t) - a for t, a in zip(read.texts, read.linked, strict=True))
-    if not total:
-        return ""
-    square = sum(weights[p] ** 2 * (len(t) - a) for p, t, a in zip(read.paths, read.texts, read.linked, strict=True))
-    least = share * math.sqrt(square / total)
-    return "\n\n".join(t for p, t in zip(read.paths, read.texts, strict=True) if weights[p] >= least and weights[p] > 0)
+    return "\n\n".join(read.texts[i] for i in content_nodes(read, share, names))
 
 
-def extract(pages: DataFrame, share: float = 0.25) -> DataFrame:
+def extract(pages: DataFrame, share: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
