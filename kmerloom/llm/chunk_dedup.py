@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import join_with_hot, materialize
+from kmerloom.llm.common import carried, carried_back, join_with_hot, materialize
 from kmerloom.llm.occurrences import NO_DOC, later_occurrences
 
 #: ASCII white space.
@@ -261,8 +261,9 @@ def dedup_substrings(docs: DataFrame, min_words: int = 25, min_bytes: int = 24)
         ]
         return pd.DataFrame(rows, columns=["text", "n_bytes_dropped", "n_spans"])
 
-    keyed = _key(docs)
+    gone = ("n_spans", "n_bytes_dropped")
+    keyed = _key(carried(docs, ["doc_id", "text"], gone))
     same = (keyed["_doc"] == spans["_s_doc"]) & (keyed["_fp"] == spans["_s_fp"])
     joined = keyed.join(spans.hint("shuffle_hash"), same, "left").withColumn("_s_out", apply(keyed["text"], F.col("_s_spans")))
-    others = [docs[c] if c != "text" else F.col("_s_out.text").alias("text") for c in docs.columns if c not in ("n_spans", "n_bytes_dropped")]
-    return joined.select(*others, F.col("_s_out.n_spans").alias("n_spans"), F.col("_s_out.n_bytes_dropped").alias("n_bytes_dropped"))
+    own = carried_back(docs, {"doc_id": F.col("doc_id"), "text": F.col("_s_out.text")}, gone)
+    return joined.select(*own, F.col("_s_out.n_spans").alias("n_spans"), F.col("_s_out.n_bytes_dropped").alias("n_bytes_dropped"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.storage import materialize
 
-__all__ = ["HOT_SHARE", "ascii_lower", "hot_keys", "join_with_hot", "materialize"]
+__all__ = ["HOT_SHARE", "ascii_lower", "carried", "carried_back", "hot_keys", "join_with_hot", "materialize"]
 
 #: A key that holds more than this share of the rows is handled apart from the
 #: others, so at most 1 / HOT_SHARE keys are ever broadcast as hot.
@@ -22,6 +22,17 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, upper, upper.lower()))
 
 
+def carried(docs: DataFrame, own: list[str], gone: tuple[str, ...] = ()) -> DataFrame:
+    """``own`` columns of ``docs`` and all others, but for ``gone``, as one column ``_rest``, so that no name of theirs is in the way."""
+    others = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in own and c not in gone]
+    return docs.select(*own, (F.struct(*others) if others else F.lit(None).cast("int")).alias("_rest"))
+
+
+def carried_back(docs: DataFrame, own: dict[str, Column], gone: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` in their order, from a table made by ``carried``; those in ``own`` are given."""
+    return [own.get(c, F.col(f"_rest.c{i}")).alias(c) for i, c in enumerate(docs.columns) if c not in gone]
+
+
 def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE) -> DataFrame:
     """Keys that hold about ``share`` of the rows or more, by a sample of rows.
 

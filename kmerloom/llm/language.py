@@ -11,7 +11,7 @@ of the probabilities. The fitted model has a fixed size for each language; it al
 is broadcast, and every whole text is scored.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, and so
-is every text if no row has a label; more than ``max_languages`` labels raise an error; a null ``doc_id`` counts as the empty string
+is every text if no row has a label; of more than ``max_languages`` labels the most frequent are learned; a null ``doc_id`` counts as the empty string
 where rows are dealt into folds; rows with a null ``lang`` are scored but teach nothing;
 an empty table gives an empty result; other columns are not read.
 """
@@ -161,27 +161,27 @@ def calibrate(scores: np.ndarray, labels: np.ndarray) -> float:
 
 
 def fit(
-    docs: DataFrame, per_language: int = 1200, max_languages: int = 1000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 5
+    docs: DataFrame, per_language: int = 1200, max_languages: int = 200, most_rows: int = 60_000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 5
 ) -> LanguageModel:
     """A model of the rows of ``docs`` (doc_id, text, lang) with a label.
 
     About ``per_language`` documents of each language train it, picked by a hash of
-    ``doc_id``; a fifth of them sets the temperature. Statistics cover all rows. Labels that are
-    more than ``max_languages`` are refused: the model holds SIZE weights for each.
+    ``doc_id``, fewer if that made more than ``most_rows``; a fifth of them sets the temperature. Statistics cover all rows. The
+    model holds SIZE weights for each language, so of more than ``max_languages`` labels the most frequent ones are learned (of
+    equally frequent ones the first by name); documents with another label are not learned from but predicted like all.
     """
     known = docs.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
-    if len(counted) > max_languages:
-        raise ValueError(f"more than {max_languages} different labels in lang")
+    counted = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
     by_lang = {r["lang"]: r["n"] for r in counted}
     languages = sorted(by_lang)
     df, total = document_frequencies(known)
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + np.float32(1)
     if not languages:
         return LanguageModel([], np.zeros((0, SIZE), np.float32), np.zeros(0, np.float32), idf, 1.0)
+    per_language = min(per_language, max(1, most_rows // len(languages)))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     share = F.create_map(*[F.lit(x) for lang, n in by_lang.items() for x in (lang, min(1.0, per_language / n))])
-    sample = known.filter(draw < share[F.col("lang")])
+    sample = known.filter(F.col("lang").isin(languages)).filter(draw < share[F.col("lang")])
     model = LanguageModel(languages, np.zeros((len(languages), SIZE), np.float32), np.zeros(len(languages), np.float32), idf, 1.0)
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

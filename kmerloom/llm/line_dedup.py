@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import ascii_lower, materialize
+from kmerloom.llm.common import ascii_lower, carried, carried_back, materialize
 from kmerloom.llm.occurrences import later_occurrences
 
 #: ASCII white space: blank and U+0009 to U+000D.
@@ -64,20 +64,20 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with kept_text, n_lines and n_dropped, which replace columns of these names; the bitmaps are small, so texts pass unsorted."""
+    gone = ("kept_text", "n_lines", "n_dropped")
+    own = carried(docs, ["doc_id", "text"], gone)
     b = bitmaps.select(F.col("doc_id").alias("_b_doc"), F.col("row_fp").alias("_b_fp"), F.col("drops").alias("_b_drops"))
-    fp = F.xxhash64(docs["text"])
-    joined = docs.join(b.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(b["_b_doc"]) & (fp == b["_b_fp"]), "left")
-    lines = F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)
+    same = own["doc_id"].eqNullSafe(b["_b_doc"]) & (F.xxhash64(own["text"]) == b["_b_fp"])
+    joined = own.join(b.hint("shuffle_hash"), same, "left")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = F.split(text, "\n", -1)
     dropped = F.expr("aggregate(map_values(_b_drops), 0L, (n, w) -> n + bit_count(w))")
 
     def stays(_: Column, i: Column) -> Column:
         word = F.coalesce(F.element_at(F.col("_b_drops"), F.shiftright(i, 6)), F.lit(0).cast("bigint"))
         return F.getbit(word, i % 64) == 0
 
-    kept = F.when(F.col("_b_drops").isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.filter(lines, stays), "\n"))
-    return joined.select(
-        *[docs[c] for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")],
-        kept.alias("kept_text"),
-        F.size(lines).cast("bigint").alias("n_lines"),
-        F.coalesce(dropped, F.lit(0).cast("bigint")).alias("n_dropped"),
-    )
+    kept = F.when(F.col("_b_drops").isNull(), text).otherwise(F.array_join(F.filter(lines, stays), "\n"))
+    done = joined.select("doc_id", "text", "_rest", kept.alias("_kept"), F.size(lines).cast("bigint").alias("_n"), F.coalesce(dropped, F.lit(0).cast("bigint")).alias("_d"))
+    own = carried_back(docs, {"doc_id": F.col("doc_id"), "text": F.col("text")}, gone)
+    return done.select(*own, F.col("_kept").alias("kept_text"), F.col("_n").alias("n_lines"), F.col("_d").alias("n_dropped"))

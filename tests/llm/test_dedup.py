@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from kmerloom.llm import chunk_dedup, common, content_dedup, line_dedup, occurrences, simhash
@@ -93,6 +94,30 @@ def test_exact(spark, monkeypatch, keep, hot):
     assert content_dedup.exact_dedup(table(spark, rows).limit(0)).count() == 0
 
 
+def test_exact_spreads_repeated_ids(spark):
+    """Copies of one text without an identifier are dealt over salts by the part of the input they stand in; one of them stays."""
+    same = spark.createDataFrame([(None, "copy"), (7, "copy"), (7, "copy")] * 2000, "doc_id bigint, text string").repartition(16)
+    for keep in ("largest", "smallest"):
+        got = content_dedup.exact_dedup(same, keep)
+        assert got.filter("kept").count() == 1
+        assert [tuple(r) for r in got.groupBy("keep_id", "group_size").count().collect()] == [(7, 6000, 6000)]
+    none = content_dedup.exact_dedup(same.withColumn("doc_id", F.lit(None).cast("bigint")))
+    assert none.filter("kept").count() == 1 and {tuple(r) for r in none.select("keep_id", "group_size").collect()} == {(None, 6000)}
+
+
+def test_columns_of_any_name(spark):
+    """Names that the operators use inside, and names with dots, are other columns like all."""
+    names = ["_doc", "_fp", "_s_out", "_s_spans", "_s_doc", "_b_drops", "_b_doc", "_rest", "c0", "a.b", "places", "drops"]
+    line = "a line of more than twenty letters"
+    docs = spark.createDataFrame([(i, line, *range(len(names))) for i in range(4)], ["doc_id", "text", *names])
+    lined = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    assert lined.columns == [*docs.columns, "kept_text", "n_lines", "n_dropped"]
+    cut = chunk_dedup.dedup_substrings(docs)
+    assert cut.columns == [*docs.columns, "n_spans", "n_bytes_dropped"]
+    for rows in (lined.collect(), cut.collect()):
+        assert all(tuple(r)[2 : 2 + len(names)] == tuple(range(len(names))) for r in rows)
+
+
 def slow_fingerprint(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not w:

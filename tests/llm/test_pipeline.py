@@ -61,9 +61,13 @@ def test_run(spark, tmp_path):
     assert key(pipeline.run(spark, str(tmp_path))) == key(want)
 
 
-def test_too_many_labels(spark):
-    from kmerloom.llm.language import fit
-
-    rows = spark.createDataFrame([(i, "ab cd", f"l{i}") for i in range(9)], "doc_id bigint, text string, lang string")
-    with pytest.raises(ValueError):
-        fit(rows, max_languages=8)
+def test_many_labels(spark):
+    """The most frequent labels are learned, all rows are predicted."""
+    from kmerloom.llm.language import fit, predict
+
+    rows = [(i, "der die das und nicht" if i % 2 else "the and of to with", "de" if i % 2 else "en") for i in range(60)] + [(100 + i, "the and of", f"dirt{i}") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = fit(frame, max_languages=2)
+    assert model.languages == ["de", "en"]
+    assert {r.lang_pred for r in predict(frame, model).filter("doc_id >= 100").collect()} == {"en"}
+    assert fit(frame, most_rows=10).languages[:2] == ["de", "dirt0"]

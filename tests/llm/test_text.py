@@ -2,7 +2,6 @@
 
 import hashlib
 import json
-import math
 import random
 import re
 import time
