@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,3 +99,28 @@ def missing_kmers(seqs: DataFrame, kmers: DataFrame, k: int, id_col: str = "id",
     """(id, x, codes, flipped) of the k-mers that are not in the set."""
     names = code_names(k)
     return explode_kmers(seqs, k, keep=[id_col], valid_only=valid_only).join(kmers.select(*names), names, "left_anti").select(id_col, "x", *names, "flipped")
+
+
+def explode_pieces(pieces: DataFrame, k: int, rec: str = "rec_no", valid_only: bool = True) -> DataFrame:
+    """(rec, piece, x, codes, flipped) of records in pieces with a halo of k - 1 bases; x counts along the record."""
+    own = explode_kmers(pieces, k, "bases", [rec, "piece", "start"], valid_only)
+    return own.withColumn("x", F.col("start") + F.col("x")).drop("start")
+
+
+def piece_runs(pieces: DataFrame, kmers: DataFrame, k: int, rec: str = "rec_no") -> DataFrame:
+    """(rec, s, e): first and last of each run of k-mer starts that are in the set, along records in pieces.
+
+    Runs are found inside pieces. A run that goes on over edges begins behind the last miss of one piece and ends
+    before the first miss of the next piece that has one: what meets per record is a row for each piece, never its runs.
+    """
+    names = code_names(k)
+    absent = explode_pieces(pieces, k, rec, valid_only=False).join(kmers.select(*names), names, "left_anti").select(rec, "piece", "x")
+    inside = Window.partitionBy(rec, "piece").orderBy("x")
+    ends = absent.withColumn("before", F.lag("x").over(inside))
+    between = ends.filter(F.col("x") - F.col("before") > 1).select(rec, (F.col("before") + 1).alias("s"), (F.col("x") - 1).alias("e"))
+    edges = absent.groupBy(rec, "piece").agg(F.min("x").alias("first"), F.max("x").alias("last"))
+    sizes = pieces.groupBy(rec).agg((F.max(F.col("start") + F.char_length("bases")) - k + 1).alias("n"))
+    closing = sizes.filter("n > 0").select(rec, F.lit(None).cast("bigint").alias("piece"), F.col("n").alias("first"), F.col("n").alias("last"))
+    along = Window.partitionBy(rec).orderBy(F.col("piece").asc_nulls_last())
+    over = edges.unionByName(closing).withColumn("s", F.lag("last", 1, -1).over(along) + 1).withColumn("e", F.col("first") - 1)
+    return between.unionByName(over.filter("e >= s").select(rec, "s", "e"))

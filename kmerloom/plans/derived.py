@@ -28,6 +28,11 @@ LENIENCY = 10
 LEFT_SIGNALS, RIGHT_SIGNALS = ["AG", "TG", "AC", "GC", "GG"], ["GT", "TT", "AT"]
 
 
+def bases(text: Column) -> Column:
+    """Letters of a text as bases."""
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), LETTERS, BASES)
+
+
 def masked_bases(text: Column) -> Column:
     """Letters of a text as bases, its digits as N."""
     return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", "")), LETTERS + DIGITS, BASES + "N" * len(DIGITS))
@@ -39,9 +44,8 @@ def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataF
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, seq) of each whole text."""
-    text = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
     own = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id", "text")
-    return own.select("doc_id", F.translate(text, LETTERS, BASES).alias("seq"))
+    return own.select("doc_id", bases(F.col("text")).alias("seq"))
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,10 +14,12 @@ from kmerloom.functions import sequence as S
 from kmerloom.functions import text as X
 from kmerloom.operators import bloom, genes, junctions, kmers
 from kmerloom.plans import derived as D
-from kmerloom.sources import readers, writers
-from kmerloom.storage import new_folder
+from kmerloom.sources import pieces, readers, writers
+from kmerloom.storage import new_folder, spread
 
 K = D.K
+#: Bases of a piece of a chromosome.
+PIECE = 1 << 14
 
 
 def _written(df: DataFrame, write: Callable[[DataFrame, str], None]) -> str:
@@ -113,6 +115,31 @@ def mixed_scan(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_mixed(spark, [_lines(rows, ["doc_id", "r"], line)])
 
 
+def _chromosomes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pieces and headers of a FASTA file with a record for each source: its documents' contigs one after another."""
+    text = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", "text")
+    rows = spread(text, "doc_id", "text").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), D.bases(F.col("text")).alias("seq"))
+    first = rows.groupBy("source").agg(F.min("doc_id").alias("doc_id")).withColumn("opens", F.lit(True))
+    header = F.when(F.col("opens"), F.concat(F.lit(">"), F.col("source"), F.lit("\n"))).otherwise("")
+    path = _lines(rows.join(first, ["source", "doc_id"], "left"), ["source", "doc_id"], F.concat(header, F.col("seq")))
+    return pieces.read_pieces(spark, [path], K - 1, PIECE), pieces.read_headers(spark, [path]).withColumnRenamed("header", "source")
+
+
+def chromosome_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """k-mers of records that no task holds whole."""
+    cut, headers = _chromosomes(spark, d)
+    counted = kmers.explode_pieces(cut, K).groupBy("rec_no").agg(F.count(F.lit(1)).alias("kmers"), F.sum("x").alias("places"), F.max("x").alias("last_x"))
+    distinct = kmers.explode_pieces(cut, K).select("rec_no", "c0").distinct().groupBy("rec_no").agg(F.count(F.lit(1)).alias("distinct_kmers"))
+    return counted.join(distinct, "rec_no").join(headers, "rec_no").select("source", "kmers", "places", "last_x", "distinct_kmers")
+
+
+def chromosome_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of the chromosomes' k-mers that are in the transcripts, across pieces."""
+    cut, headers = _chromosomes(spark, d)
+    known = kmers.reference_set(D.transcripts(spark, d), K)
+    return kmers.piece_runs(cut, known, K).join(headers, "rec_no").select("source", "s", "e")
+
+
 def colour_reads(spark: SparkSession, d: str) -> DataFrame:
     """Reads in colours behind a primer base: the primer and its first colour go, the base that they stand for is kept as anchor."""
     coloured = _reads(spark, d).filter("length(seq) > 2").select(_name().alias("id"), F.concat(F.lit("T"), S.to_colours(F.concat(F.lit("T"), "seq"))).alias("seq"), "qual")
@@ -205,6 +232,6 @@ def solid_filter_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    fasta_scan, fasta_packed, fastq_scan, quality_trim, quality_shift, casava_clean, sam_scan, qseq_scan, mixed_scan, colour_reads, exon_files, dot_scan, clustered_dot, gene_files, filter_files,
+    fasta_scan, fasta_packed, fastq_scan, quality_trim, quality_shift, casava_clean, sam_scan, qseq_scan, mixed_scan, colour_reads, chromosome_kmers, chromosome_runs, exon_files, dot_scan, clustered_dot, gene_files, filter_files,
     kmer_hashes, sequence_edits, leniency_rule, solid_filter_counts,
 ]

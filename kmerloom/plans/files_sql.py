@@ -3,12 +3,19 @@
 from __future__ import annotations
 
 from kmerloom.plans.derived import BASES, K, LETTERS
-from kmerloom.plans.sql import BASE, EXONS, FILTER, GENES, HASHED, KNOWN, PLACES, PROBED, READS, _bounds, _extra, _kmers, _segments
+from kmerloom.plans.sql import BASE, EXONS, FILTER, GENES, HASHED, KNOWN, PLACES, PROBED, READS, TRANSCRIPTS, _bounds, _extra, _kmers, _segments
 
 _NAMED = f"{BASE}, {READS}, named AS MATERIALIZED (SELECT *, translate(seq, 'ACGT', '!5I?') AS qual, row_number() OVER (ORDER BY doc_id, r) - 1 AS rec_no, 'r' || doc_id || '_' || r AS id FROM reads)"
 _PASSAGES = f"passages AS (SELECT item_id, translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}') AS seq FROM benchmark)"
 _ORDERS = "WITH RECURSIVE edges AS (SELECT o_orderkey AS line_no, 'O' || o_orderkey || '_1_9' AS src, 'C' || o_custkey || '_9_20' AS dst FROM orders)"
 
+# A source's contigs end to end: each with its place, and with the first bases of those after it.
+_CHROMOSOMES = f"""placed AS MATERIALIZED (SELECT source, doc_id, start, seq || left(coalesce(after, ''), {K - 1}) AS seq FROM (
+  SELECT source, doc_id, seq, coalesce(sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    string_agg(left(seq, {K - 1}), '') OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND {K - 1} FOLLOWING) AS after
+  FROM (SELECT c.doc_id, coalesce(source, '') AS source, seq FROM contigs c JOIN documents d ON c.doc_id = d.doc_id))),
+windows AS MATERIALIZED (SELECT source, start + x AS x, canon FROM ({_kmers('placed', 'doc_id').replace('SELECT doc_id, x, kmer, least', 'SELECT source, start, x, kmer, least').replace('SELECT doc_id, x, substr', 'SELECT source, start, x, substr').replace('SELECT doc_id, seq, unnest', 'SELECT source, start, seq, unnest')}))"""
+
 ORACLE: dict[str, str] = {
     "fasta_scan": f"{BASE} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rec_no, 'D' || doc_id AS id, 'of ' || length(seq) || ' bases' AS comment, seq FROM contigs",
     "fasta_packed": f"{BASE} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS rec_no, 'D' || doc_id AS id, md5(seq) AS seq_md5 FROM contigs WHERE seq <> ''",
@@ -29,6 +36,10 @@ ORACLE: dict[str, str] = {
       FROM own WHERE NOT (k = 2 AND f > 2) AND NOT (k = 3 AND doc_id % 3 = 0)""",
     "colour_reads": f"""{_NAMED} SELECT id, substr(seq, 1, 1) AS anchor, array_to_string(list_transform(range(1, length(seq)),
         lambda i: xor(strpos('ACGT', seq[i]) - 1, strpos('ACGT', seq[i + 1]) - 1)), '') AS seq, substr(qual, 2) AS qual FROM named WHERE length(seq) > 2""",
+    "chromosome_kmers": f"{BASE}, {_CHROMOSOMES} SELECT source, count(*) AS kmers, sum(x)::BIGINT AS places, max(x)::BIGINT AS last_x, count(DISTINCT canon) AS distinct_kmers FROM windows GROUP BY source",
+    "chromosome_runs": f"""{BASE}, {TRANSCRIPTS}, {_CHROMOSOMES}, known AS MATERIALIZED (SELECT DISTINCT canon FROM ({_kmers('transcripts', 'id')})),
+      hit AS (SELECT source, x FROM windows JOIN known USING (canon))
+      SELECT source, min(x)::BIGINT AS s, max(x)::BIGINT AS e FROM (SELECT source, x, x - row_number() OVER (PARTITION BY source ORDER BY x) AS run FROM hit) GROUP BY source, run""",
     "exon_files": f"""{PROBED}, {_bounds(0)}, {_segments(True)} SELECT row_number() OVER (ORDER BY id, exon_no) - 1 AS rec_no, id || '_' || "start" || '_' || "end" AS id, exon_seq AS seq FROM ({EXONS})""",
     "dot_scan": f"{_ORDERS} SELECT src, dst FROM edges",
     "clustered_dot": f"""{_ORDERS}, {GENES}, own AS (SELECT DISTINCT gene, src, dst FROM edges JOIN genes ON src = exon)
