@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.operators.kmers import missing_kmers
+from kmerloom.functions.codes import WORD
+from kmerloom.operators.gaps import Episode, corrected
 from kmerloom.operators.lookup import BROADCAST_LIMIT, Has, answer_records
 
 #: Least novel bases of an exon between two others.
@@ -215,6 +217,58 @@ def _cross_gap(record: _Record, gap: int, leniency: int, compat: bool, fixes: li
     return None, last
 
 
+def _gap_bounds(record: _Record, gap: int, x: int, leniency: int) -> list[int]:
+    """What a gap from ``gap`` to ``x`` adds to the boundary list."""
+    k, size = record.k, x - gap
+    if size > k + MIN_EXON:
+        return [gap + k - 1, gap + k] + ([] if _backward_vote(record, x, leniency) else [x - 1, x])
+    return [gap + k - 1, x] if size >= k - leniency - 2 else []
+
+
+def gap_episode(k: int, leniency: int, compat: bool) -> Episode:
+    """What happens from the opening of a gap until the scan is out of it and behind all that it changed; places count from the gap."""
+
+    def episode(bases: str, missing: list[tuple[int, int]], ends: bool, has: Has) -> dict[str, Any]:
+        record = _Record(bases, k, has, missing)
+        starts = len(record.hits)
+        bounds, fixes, last, gap = [], [], -1, 0
+        if starts < SURE:
+            return {"bounds": [], "fixes": [], "last": -1, "resume": -1, "short": not ends}
+        while True:
+            x, hit = _cross_gap(record, gap, leniency, compat, fixes)
+            last = max(last, hit)
+            if x is None:
+                return {"bounds": bounds, "fixes": fixes, "last": last, "resume": -1, "short": not ends}
+            bounds += _gap_bounds(record, gap, x, leniency)
+            changed = max((f[0] for f in fixes), default=-1)
+            out = max(x, changed) + 1  # from here on nothing is changed
+            if out >= record.scanned and not ends:
+                return {"bounds": bounds, "fixes": fixes, "last": last, "resume": -1, "short": True}
+            gap = record.next_miss(x + 1)
+            if gap is None or gap >= out:
+                out = min(out, record.scanned)
+                return {"bounds": bounds, "fixes": fixes, "last": out - 1 if out > x + 1 else last, "resume": out, "short": False}
+            if gap > x + 1:
+                last = gap - 1
+
+    return episode
+
+
+def first_probes(k: int, leniency: int) -> Callable[[str, int], list[str]]:
+    """k-mers to ask for at a gap before anything is known: the first novel base in all that hold it, and the last one before the place where the gap closes."""
+
+    def ahead(bases: str, close: int) -> list[str]:
+        starts = len(bases) - k + 1
+        out = [bases[x : k - 1] + b + bases[k : x + k] for x in range(min(k, starts)) for b in PROBE_ORDER]
+        if close > k + MIN_EXON:
+            for n in range(min(leniency, close)):
+                w = bases[close - 1 - n : close - 1 - n + k]
+                out += [w[:n] + b + w[n + 1 :] for b in PROBE_ORDER]
+        return out
+
+    return ahead
+
+
 def scan_record(
     seq: str, k: int, leniency: int, has: Has, compat: bool, missing: list[tuple[int, int]] | None = None
 ) -> tuple[list[int], list[tuple[int, str, str]]]:
@@ -238,11 +292,7 @@ def scan_record(
         last = max(last, hit)
         if x is None:
             break
-        size = x - gap
-        if size > k + MIN_EXON:
-            bounds += [gap + k - 1, gap + k] + ([] if _backward_vote(record, x, leniency) else [x - 1, x])
-        elif size >= k - leniency - 2:
-            bounds += [gap + k - 1, x]
+        bounds += _gap_bounds(record, gap, x, leniency)
     else:
         if x + 1 < record.scanned:
             last = record.scanned - 1
@@ -250,7 +300,10 @@ def scan_record(
 
 
 def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, compat: bool = True, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """(id, bounds, fixes) with probing; records without three hits in a row have no row. ``id`` is unique."""
+    """(id, bounds, fixes) with probing; records without three hits in a row have no row. ``id`` is unique.
+
+    A set of up to ``limit`` k-mers is broadcast and each record is scanned in one go; beyond, all gaps of all records are a frontier (``gaps``).
+    """
     if not 0 <= leniency <= k - 2:
         raise ValueError("leniency must be from 0 to k - 2")
 
@@ -258,10 +311,13 @@ def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, co
         missing = [] if row["missing"] is None else [(r["a"], r["b"]) for r in row["missing"]]
         return scan_record(row["seq"], k, leniency, has, compat, missing)
 
-    schema = "bounds array<int>, fixes array<struct<place: int, was: string, base: string>>"
     absent = missing_runs(seqs, kmers, k).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("missing"))
     own = long_enough(seqs, k).select("id", "seq").join(absent, "id", "left")
-    out = answer_records(own, kmers, k, "id", work, schema, limit)
+    if k <= WORD and kmers.limit(limit + 1).count() <= limit:
+        schema = "bounds array<int>, fixes array<struct<place: int, was: string, base: string>>"
+        out = answer_records(own, kmers, k, "id", work, schema)
+    else:
+        out = corrected(own, kmers, k, gap_episode(k, leniency, compat), first_probes(k, leniency))
     return out.filter(F.size("bounds") > 0)
 
 

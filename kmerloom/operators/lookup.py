@@ -1,11 +1,6 @@
-"""Per-record work that asks a k-mer set: by a broadcast of checked size, or by joins in rounds.
+"""Per-record work that asks a k-mer set of checked size, which is broadcast.
 
-Work on one record is a function of its row and of ``has(kmer)``. If the set is
-small, its codes are broadcast as one sorted array and each record is done in one pass. If
-not, a record runs with the answers known so far, notes the k-mers it would have needed and
-goes on as if they were absent; all records' questions are joined with the set, and the record
-runs again. Only the questions and answers of single records are gathered, so the set may
-have any size. Both ways give equal results.
+Work on one record is a function of its row and of ``has(kmer)``; the set's codes are one sorted array.
 """
 
 from __future__ import annotations
@@ -16,11 +11,9 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.functions.codes import WORD, code_names, code_of, encode
-from kmerloom.storage import materialize
+from kmerloom.functions.codes import code_names, code_of
 
 #: k-mers up to which the set is broadcast: 8 bytes each.
 BROADCAST_LIMIT = 4_000_000
@@ -33,75 +26,26 @@ def canonical_text(kmer: str) -> str:
     return min(kmer, kmer[::-1].translate(_COMPLEMENT))
 
 
-def answer_records(
-    records: DataFrame, kmers: DataFrame, k: int, key: str, work: Work, schema: str, limit: int = BROADCAST_LIMIT, max_rounds: int = 1000
-) -> DataFrame:
+def answer_records(records: DataFrame, kmers: DataFrame, k: int, key: str, work: Work, schema: str) -> DataFrame:
     """(key, columns of ``schema``): ``work(row, has)`` of each row of ``records``; ``key`` is unique.
 
-    ``kmers`` is a set of k-mers. One with other letters than A, C, G and T is never in it.
+    ``kmers`` is a set of BROADCAST_LIMIT k-mers at most. One with other letters than A, C, G and T is never in it.
     """
     columns = T.StructType([records.schema[key], *T.StructType.fromDDL(schema).fields])
     names = columns.names
-    known = kmers.select(*code_names(k))
-    if k <= WORD and known.limit(limit + 1).count() <= limit:
-        table = records.sparkSession.sparkContext.broadcast(np.sort(known.toPandas()["c0"].to_numpy(np.int64)))
+    table = records.sparkSession.sparkContext.broadcast(np.sort(kmers.select(*code_names(k)).toPandas()["c0"].to_numpy(np.int64)))
 
-        def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            codes = table.value
+    def once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codes = table.value
 
-            def has(kmer: str) -> bool:
-                if kmer.strip("ACGT"):
-                    return False
-                code = code_of(canonical_text(kmer))
-                at = int(codes.searchsorted(code))
-                return at < len(codes) and int(codes[at]) == code
+        def has(kmer: str) -> bool:
+            if kmer.strip("ACGT"):
+                return False
+            code = code_of(canonical_text(kmer))
+            at = int(codes.searchsorted(code))
+            return at < len(codes) and int(codes[at]) == code
 
-            for batch in batches:
-                yield pd.DataFrame([(row[key], *work(row, has)) for row in batch.to_dict("records")], columns=names)
-
-        return records.mapInPandas(once, columns)
-
-    asked_schema = T.StructType([*columns.fields, T.StructField("_asks", T.ArrayType(T.StringType()))])
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                present, absent, asks = set(row.pop("_present")), set(row.pop("_absent")), set()
-
-                def has(kmer: str, present: set = present, absent: set = absent, asks: set = asks) -> bool:
-                    if kmer.strip("ACGT"):
-                        return False
-                    kmer = canonical_text(kmer)
-                    if kmer not in present and kmer not in absent:
-                        asks.add(kmer)
-                    return kmer in present
-
-                out.append((row[key], *work(row, has), sorted(asks)))
-            yield pd.DataFrame(out, columns=[*names, "_asks"])
+            yield pd.DataFrame([(row[key], *work(row, has)) for row in batch.to_dict("records")], columns=names)
 
-    none = F.array().cast("array<string>")
-    open_ = materialize(records.withColumn("_present", none).withColumn("_absent", none))
-    done: DataFrame | None = None
-    for _ in range(max_rounds):
-        ran = materialize(open_.mapInPandas(again, asked_schema))
-        finished = ran.filter(F.size("_asks") == 0).drop("_asks")
-        done = finished if done is None else done.unionByName(finished)
-        asks = ran.filter(F.size("_asks") > 0).select(key, "_asks")
-        if asks.isEmpty():
-            return done
-        found = (
-            asks.select(key, F.explode("_asks").alias("kmer"))
-            .select(key, "kmer", *encode(F.col("kmer"), k))
-            .join(known, code_names(k), "left_semi")
-            .groupBy(key)
-            .agg(F.collect_list("kmer").alias("_found"))
-        )
-        open_ = materialize(
-            open_.join(asks, key)
-            .join(found, key, "left")
-            .withColumn("_present", F.concat("_present", F.coalesce("_found", none)))
-            .withColumn("_absent", F.concat("_absent", F.array_except("_asks", F.coalesce("_found", none))))
-            .drop("_found", "_asks")
-        )
-    raise RuntimeError(f"records did not settle in {max_rounds} rounds")
+    return records.mapInPandas(once, columns)

@@ -197,6 +197,28 @@ def test_scan_equals_model(compat):
     assert fixed > 1000
 
 
+@pytest.mark.parametrize("compat", [True, False])
+def test_frontier_equals_model(spark, compat):
+    """Random records of many gaps, all gaps at once, against the model; some need more bases, some enter a run in its middle."""
+    own = random.Random(12)
+    for k, leniency, count in ((6, 4, 700), (8, 5, 700), (10, 2, 400)):
+        rb = lambda n: "".join(own.choice("ACGT") for _ in range(n))
+        refs = [rb(own.randrange(k, 60)) for _ in range(12)]
+        known, rows = kset(k, *refs), []
+        for i in range(count):
+            parts = []
+            for _ in range(own.randrange(1, 12)):
+                block = own.choice(refs)
+                parts += [block[own.randrange(len(block)) :] if own.random() < 0.5 else block, rb(own.randrange(2 * k)) if own.random() < 0.3 else ""]
+            rows.append((f"r{i}", "".join(own.choice("ACGTN") if own.random() < 0.03 else c for c in "".join(parts))))
+        has = lambda x: not x.strip("ACGT") and canonical_text(x) in known  # noqa: E731, B023
+        want = {i: (b, f) for i, s in rows for b, f in [boundary_list(s, k, leniency, has, compat)] if b}
+        table = kmers.reference_set(spark.createDataFrame([(r,) for r in refs], "seq string"), k)
+        got = {r.id: (r.bounds, [tuple(f) for f in r.fixes]) for r in J.boundaries(spark.createDataFrame(rows, "id string, seq string"), table, k, leniency, compat, limit=0).collect()}
+        assert got == want
+        assert sum(len(f) for _, f in want.values()) > 50
+
+
 def test_gap_closed_by_a_probe_moves_on():
     """The start that closes the gap is itself missing: the scan goes on behind it."""
     seq, known = "ACTGTCGACGGGGACTGTC", kset(6, "ACTGTCGTGTCGACGCCA", "TTTCAGTTCAACGTGTAGCT", "GACGGGGTTTAGCCT")
