@@ -17,10 +17,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.operators.kmers import missing_kmers
-from kmerloom.functions.codes import WORD
+from kmerloom.operators.kmers import explode_kmers, missing_kmers
+from kmerloom.functions.codes import WORD, code_names
+from kmerloom.operators import bloom
 from kmerloom.operators.gaps import Episode, corrected
 from kmerloom.operators.lookup import BROADCAST_LIMIT, Has, answer_records
+from kmerloom.storage import materialize
 
 #: Least novel bases of an exon between two others.
 MIN_EXON = 5
@@ -317,10 +319,30 @@ def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, co
         schema = "bounds array<int>, fixes array<struct<place: int, was: string, base: string>>"
         out = answer_records(own, kmers, k, "id", work, schema)
     else:
-        out = corrected(own, kmers, k, gap_episode(k, leniency, compat), first_probes(k, leniency))
+        known = kmers.select(*code_names(k))
+        members = lambda asked: asked.join(known, code_names(k), "left_semi")
+        out = corrected(own, members, k, gap_episode(k, leniency, compat), first_probes(k, leniency))
     return out.filter(F.size("bounds") > 0)
 
 
+def filter_members(seqs: DataFrame, slices: DataFrame, k: int, bits: int, hashes: int) -> DataFrame:
+    """The distinct k-mers of ``seqs`` that a stored filter holds: the set as far as these sequences can tell."""
+    asked = explode_kmers(seqs, k, keep=[]).select(*code_names(k))
+    return bloom.probe(asked, slices, k, bits, hashes).filter("present").select(*code_names(k))
+
+
+def boundaries_by_filter(seqs: DataFrame, slices: DataFrame, k: int, bits: int, hashes: int, leniency: int = 10, compat: bool = True) -> DataFrame:
+    """As ``boundaries``, against a stored filter (slice, body): false positives of the filter are hits."""
+    if not 0 <= leniency <= k - 2:
+        raise ValueError("leniency must be from 0 to k - 2")
+    slices = slices.select("slice", "body")
+    known = materialize(filter_members(long_enough(seqs, k), slices, k, bits, hashes))
+    absent = missing_runs(seqs, known, k).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("missing"))
+    own = long_enough(seqs, k).select("id", "seq").join(absent, "id", "left")
+    members = lambda asked: bloom.probe(asked, slices, k, bits, hashes).filter("present").select(*code_names(k))
+    return corrected(own, members, k, gap_episode(k, leniency, compat), first_probes(k, leniency)).filter(F.size("bounds") > 0)
+
+
 def substitutions(found: DataFrame) -> DataFrame:
     """(id, place, was, base) of each corrected base, places from 0."""
     return found.select("id", F.explode("fixes").alias("f")).select("id", "f.place", "f.was", "f.base")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.functions import sequence as S
@@ -233,6 +233,45 @@ def bloom_probe(spark: SparkSession, d: str) -> DataFrame:
     return exact.groupBy(F.coalesce("known", F.lit(False)).alias("known"), "present").agg(F.count(F.lit(1)).alias("kmers"))
 
 
+def solid_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Both planes of a filter of the reads, and what the second one takes for solid, against the exact counts."""
+    reads = D.reads(spark, d)
+    counted = materialize(kmers.count_kmers(reads, K))
+    bits, hashes = bloom.size_for(counted.count(), 0.01)
+    planes = materialize(bloom.cascade(reads, K, bits, hashes))
+    found = counted.join(bloom.probe(counted, bloom.second_plane(planes), K, bits, hashes), code_names(K))
+    solid = F.col("n") >= 2
+    measured = found.agg(
+        F.count_if(solid).alias("solid"), F.count_if("present").alias("found"), F.count_if(F.col("present") & ~solid).alias("false_solids"), F.count_if(~F.col("present") & solid).alias("lost")
+    )
+    seen = bloom.set_bits(planes).withColumnRenamed("set_bits", "seen_bits")
+    again = bloom.set_bits(bloom.second_plane(planes)).withColumnRenamed("set_bits", "again_bits")
+    return measured.join(seen).join(again).select(F.lit(bits).cast("bigint").alias("bits"), F.lit(hashes).alias("hashes"), "seen_bits", "again_bits", "solid", "found", "false_solids", "lost")
+
+
+def exons_bloom(spark: SparkSession, d: str) -> DataFrame:
+    """Confident exons by a stored filter of the reference k-mers; false positives of the filter are hits."""
+    own = D.transcripts(spark, d)
+    slices, bits, hashes = _filter(spark, d)
+    known = materialize(junctions.filter_members(own, materialize(slices), K, bits, hashes))
+    return junctions.confident_exons(own, junctions.bounds_of_runs(junctions.hit_runs(own, known, K), K, 0))
+
+
+def run_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of a build, observed on the pass that writes the counted k-mers."""
+    before, after = Observation(), Observation()
+    reads = D.reads(spark, d).observe(before, F.count(F.lit(1)).alias("reads"), F.coalesce(F.sum(F.char_length("seq")), F.lit(0)).alias("bases"))
+    counted = kmers.count_kmers(reads, K).observe(
+        after, F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("n") >= 2).alias("solid"), F.coalesce(F.max("n"), F.lit(0)).alias("most")
+    )
+    materialize(counted)
+    found = before.get | after.get
+    return spark.createDataFrame([tuple(int(found[c]) for c in _METRICS)], ", ".join(f"{c} bigint" for c in _METRICS))
+
+
+_METRICS = ["reads", "bases", "total", "distinct", "solid", "most"]
+
+
 def si_format(spark: SparkSession, d: str) -> DataFrame:
     price = F.col("l_extendedprice")
     n = F.floor(price * 1000).cast("bigint")
@@ -269,7 +308,7 @@ QUERIES: list[Query] = [
     seq_revcomp, seq_complement_iupac, seq_mask_trim, kmer_explode, kmer_masked, kmer_spectrum, kmer_distinct, kmer_estimate, kmer_histogram, kmer_solid, kmer_ref_set, kmer_missing,
     hit_vector, first_match, last_match, junction_gaps_l0, boundaries_l0, boundaries_plain, exons_all_l0, exons_confident_l0, exons_plain, exons_lenient,
     substitutions, splice_extend, exon_blocks, start_end_index, shared_kmer_groups, exon_components, merge_labels, splice_edges, dot_lines, graph_nodes,
-    graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, bloom_probe, si_format, si_parse, read_pair, ambiguity_ops, colour_space,
+    graph_components, exon_gene_map, transcript_gene_map, subgraph_edges, bloom_sizing, bloom_filter, bloom_probe, solid_cascade, exons_bloom, run_metrics, si_format, si_parse, read_pair, ambiguity_ops, colour_space,
 ]
 
 

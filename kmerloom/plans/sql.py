@@ -206,6 +206,21 @@ ORACLE: dict[str, str] = {
       bits_set AS MATERIALIZED (SELECT DISTINCT place FROM places JOIN known ON key = canon),
       found AS (SELECT m.canon, bool_and(b.place IS NOT NULL) AS present FROM mine m JOIN places p ON m.canon = p.key LEFT JOIN bits_set b ON p.place = b.place GROUP BY m.canon)
       SELECT k.canon IS NOT NULL AS known, present, count(*) AS kmers FROM found f LEFT JOIN known k ON f.canon = k.canon GROUP BY ALL""",
+    "solid_cascade": f"""{BASE}, {READS}, counted AS MATERIALIZED (SELECT canon, count(*) AS n FROM ({_kmers('reads', 'doc_id')}) GROUP BY canon), asked AS (SELECT canon AS key, canon AS kmer FROM counted),
+      {HASHED}, {FILTER.replace('FROM known', 'FROM counted')}, places AS MATERIALIZED (SELECT DISTINCT key, place FROM ({PLACES})),
+      planes AS MATERIALIZED (SELECT place, sum(n) AS n FROM places JOIN counted ON key = canon GROUP BY place),
+      found AS (SELECT key, bool_and(p.n >= 2) AS present FROM places JOIN planes p USING (place) GROUP BY key)
+      SELECT any_value(bits) AS bits, any_value(hashes) AS hashes, any_value(seen) AS seen_bits, any_value(twice) AS again_bits, count(*) FILTER (WHERE n >= 2) AS solid, count(*) FILTER (WHERE present) AS found,
+        count(*) FILTER (WHERE present AND n < 2) AS false_solids, count(*) FILTER (WHERE NOT present AND n >= 2) AS lost
+      FROM counted JOIN found ON key = canon, sized, (SELECT count(*) AS seen, count(*) FILTER (WHERE n >= 2) AS twice FROM planes)""",
+    "exons_bloom": f"""{BASE}, {TRANSCRIPTS}, {KNOWN.replace('known AS', 'truth AS')}, mine AS MATERIALIZED (SELECT DISTINCT canon FROM ({_kmers('transcripts', 'id')})),
+      asked AS (SELECT canon AS key, canon AS kmer FROM truth UNION SELECT canon, canon FROM mine), {HASHED}, {FILTER.replace('FROM known', 'FROM truth')}, places AS MATERIALIZED ({PLACES}),
+      bits_set AS MATERIALIZED (SELECT DISTINCT place FROM places JOIN truth ON key = canon),
+      known AS MATERIALIZED (SELECT m.canon FROM mine m JOIN places p ON m.canon = p.key LEFT JOIN bits_set b ON p.place = b.place GROUP BY m.canon HAVING bool_and(b.place IS NOT NULL)),
+      {HITS}, {SCANNED}, {_bounds(0)}, {_segments(True)} {EXONS}""",
+    "run_metrics": f"""{BASE}, {READS}, counted AS (SELECT canon, count(*) AS n FROM ({_kmers('reads', 'doc_id')}) GROUP BY canon)
+      SELECT any_value(reads) AS reads, any_value(bases)::BIGINT AS bases, sum(n)::BIGINT AS total, count(*) AS "distinct", count(*) FILTER (WHERE n >= 2) AS solid, max(n) AS most
+      FROM counted, (SELECT count(*) AS reads, sum(length(seq)) AS bases FROM reads)""",
     "splice_extend": f"""{PROBED}, {_bounds(LENIENCY)}, {_segments(True)}, exons0 AS MATERIALIZED (SELECT concat_ws('_', id, "start", "end", exon_no) AS id, exon_seq AS seq FROM ({EXONS})),
       {_walk('lw')}, {_walk('rw')},
       found AS (SELECT e.id, seq, coalesce(l.found, '') AS l, coalesce(r.found, '') AS r FROM exons0 e LEFT JOIN lw6 l ON e.id = l.id LEFT JOIN rw6 r ON e.id = r.id),

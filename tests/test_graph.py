@@ -4,6 +4,7 @@ import gzip
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from kmerloom.functions import nthash
@@ -169,3 +170,26 @@ def test_colour_reads(spark):
     got = readers.clean(spark.createDataFrame([("T0123", "", "1")], "seq string, qual string, id string")).first()
     assert (got.anchor, got.seq) == ("T", "123")
     assert F.col("x") is not None
+
+
+def test_cascade(spark):
+    """Second plane: places set by two occurrences or more, over batches and tasks; every k-mer found twice is in it."""
+    own = random.Random(3)
+    seqs = ["".join(own.choice("ACGT") for _ in range(60)) for _ in range(40)]
+    reads = [s[a : a + 30] for s in seqs for a in own.sample(range(30), 4)] + ["ACGTN" * 5]
+    k, bits, hashes = 9, 20_011, 4
+    frame = spark.createDataFrame([(r,) for r in reads], "seq string").repartition(7)
+    counted = {r["c0"]: r["n"] for r in kmers.count_kmers(frame, k).collect()}
+    places = {c: set(bloom.locations([np.array([c])], k, bits, hashes)[0].tolist()) for c in counted}
+    times = Counter()
+    for c, n in counted.items():
+        for p in places[c]:
+            times[p] += n
+    planes = bloom.cascade(frame, k, bits, hashes)
+    bits_of = lambda c: set(np.flatnonzero(np.unpackbits(np.frombuffer(b"".join(bytes(r[c]) for r in planes.orderBy("slice").collect()), np.uint8))).tolist())
+    assert bits_of("body") == set(times) and bits_of("again") == {p for p, n in times.items() if n >= 2}
+    asked = spark.createDataFrame([(c,) for c in counted], "c0 bigint")
+    found = {r["c0"]: r["present"] for r in bloom.probe(asked, bloom.second_plane(planes), k, bits, hashes).collect()}
+    assert found == {c: all(times[p] >= 2 for p in places[c]) for c in counted}
+    assert all(found[c] for c, n in counted.items() if n >= 2) and not all(found.values())
+    assert bloom.cascade(frame.limit(0), k, bits, hashes).count() == 0

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from kmerloom.operators import junctions as J, kmers, splice
+from kmerloom.functions.codes import code_of
+from kmerloom.operators import bloom, junctions as J, kmers, splice
 from kmerloom.operators.lookup import canonical_text
 from tests.junction_model import boundary_list
 
@@ -219,6 +221,20 @@ def test_frontier_equals_model(spark, compat):
         assert sum(len(f) for _, f in want.values()) > 50
 
 
+def test_filter_mode_equals_model(spark):
+    """Against a small filter with many false positives: the model asks the same bits."""
+    seqs, known, table = _frames(spark)
+    k, bits, hashes = 10, 3000, 2
+    slices = bloom.build(known, k, bits, hashes)
+    held = {p for c in known.collect() for p in bloom.locations([np.array([c.c0])], k, bits, hashes)[0].tolist()}
+    has = lambda x: not x.strip("ACGT") and held.issuperset(bloom.locations([np.array([code_of(canonical_text(x))])], k, bits, hashes)[0].tolist())
+    want = {r.id: (b, f) for r in seqs.collect() for b, f in [boundary_list(r.seq, k, 3, has)] if b}
+    got = {r.id: (r.bounds, [tuple(f) for f in r.fixes]) for r in J.boundaries_by_filter(seqs, slices, k, bits, hashes, 3).collect()}
+    assert got == want
+    exact = {r.id: r.bounds for r in J.boundaries(seqs, known, k, 3).collect()}
+    assert any(exact.get(i) != b for i, (b, _) in want.items())  # false positives change some
+
+
 def test_gap_closed_by_a_probe_moves_on():
     """The start that closes the gap is itself missing: the scan goes on behind it."""
     seq, known = "ACTGTCGACGGGGACTGTC", kset(6, "ACTGTCGTGTCGACGCCA", "TTTCAGTTCAACGTGTAGCT", "GACGGGGTTTAGCCT")
