@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kmerloom.functions.codes import code_names, encode
 from kmerloom.operators.components import connected_components
+from kmerloom.storage import materialize
 
 #: Length and number of the k-mers at each end of an exon, and the span of lengths that counts as similar.
 END_K, END_N, SIMILAR = 30, 10, 5
@@ -70,20 +72,33 @@ def shared_groups(index: DataFrame) -> DataFrame:
     )
 
 
-def exon_links(index: DataFrame) -> DataFrame:
-    """(u, v): each exon of a shared k-mer and the smallest one there, so links grow with rows and not with pairs."""
-    return (
-        index.distinct()
-        .join(shared_groups(index), ["side", "kmer"])
-        .filter(F.col("exon") != F.col("first_exon"))
-        .select(F.col("exon").alias("u"), F.col("first_exon").alias("v"))
-        .distinct()
+def exon_numbers(blocks: DataFrame) -> DataFrame:
+    """(exon, number): the smallest record number under each exon name."""
+    return blocks.groupBy("exon").agg(F.min("rec_no").alias("number"))
+
+
+def exon_links(numbered: DataFrame, k: int = END_K, n: int = END_N) -> DataFrame:
+    """(u, v): each exon of a shared end k-mer and the smallest one there, by number, so links grow with rows and not with pairs.
+
+    ``numbered`` has number, seq, is_first and is_last. k-mers are codes; those with other letters than A, C, G and T keep their text beside them.
+    """
+    names = code_names(k)
+    index = end_index(numbered.withColumnRenamed("number", "exon"), k, n).select(
+        (F.col("side") == "start").alias("side"), *encode(F.col("kmer"), k), F.when(F.col("kmer").rlike("[^ACGT]"), F.col("kmer")).otherwise("").alias("text"), "exon"
     )
+    keys = ["side", *names, "text"]
+    shared = index.groupBy(*keys).agg(F.min("exon").alias("v"), F.max("exon").alias("_most")).filter(F.col("v") < F.col("_most")).drop("_most")
+    return index.join(shared, keys).filter(F.col("exon") != F.col("v")).select(F.col("exon").alias("u"), "v").distinct()
 
 
-def exon_components(index: DataFrame) -> DataFrame:
-    """(exon, component): components of exons under shared k-mers, named by their smallest exon."""
-    return connected_components(exon_links(index)).select(F.col("node").alias("exon"), F.col("root").alias("component"))
+def exon_components(blocks: DataFrame, k: int = END_K, n: int = END_N) -> DataFrame:
+    """(exon, component): components of exons under shared end k-mers, named by their smallest exon. Names are looked up once, components are those of numbers."""
+    numbers = exon_numbers(blocks)
+    own = blocks.select("exon", "seq", "is_first", "is_last").join(numbers, "exon").drop("exon")
+    roots = connected_components(exon_links(own, k, n))
+    named = materialize(roots.join(numbers, F.col("node") == F.col("number")).select("exon", "root"))
+    least = named.groupBy("root").agg(F.min("exon").alias("component"))
+    return named.join(least, "root").select("exon", "component")
 
 
 def merge_exons(blocks: DataFrame, components: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -136,7 +151,7 @@ def with_labels(rows: DataFrame, merged: DataFrame, columns: list[str]) -> DataF
 def splice_graph(exons: DataFrame, k: int = END_K, n: int = END_N) -> tuple[DataFrame, DataFrame]:
     """Edges (line_no, src, dst) between the nodes of the merged graph of ``exons`` (rec_no, name, exon, seq), and its merged exons."""
     blocks = exon_blocks(exons)
-    merged = merge_exons(blocks, exon_components(end_index(blocks, k, n)))
+    merged = merge_exons(blocks, exon_components(blocks, k, n))
     return relabel(chain_edges(blocks), merged), merged
 
 

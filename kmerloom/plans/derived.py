@@ -108,8 +108,8 @@ def ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(exon, node) of the merged exons."""
-    components = lambda: splicegraph.exon_components(ends(spark, sf_dir))
-    return _once(spark, sf_dir, "merged", lambda: splicegraph.merge_exons(blocks(spark, sf_dir), components()))
+    own = blocks(spark, sf_dir)
+    return _once(spark, sf_dir, "merged", lambda: splicegraph.merge_exons(own, splicegraph.exon_components(own)))
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def shared_kmer_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exon_components(spark: SparkSession, d: str) -> DataFrame:
-    return splicegraph.exon_components(D.ends(spark, d))
+    return splicegraph.exon_components(D.blocks(spark, d))
 
 
 def merge_labels(spark: SparkSession, d: str) -> DataFrame:
