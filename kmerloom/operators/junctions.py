@@ -39,6 +39,11 @@ def leniency_from_rate(leniency: int, factor: float, rate: float, k: int) -> int
     return -int(-(factor * rate * k) // 1) if leniency == 10 and factor else leniency
 
 
+def leniency_column(leniency: Column, factor: Column, rate: Column, k: int) -> Column:
+    """``leniency_from_rate`` of columns."""
+    return F.when((leniency == 10) & (factor != 0), F.ceil(factor * rate * k).cast("int")).otherwise(leniency)
+
+
 def long_enough(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return seqs.filter(F.char_length(seq) >= k + MIN_EXON)
 
@@ -301,11 +306,15 @@ def scan_record(
     return [*bounds, last + k], fixes
 
 
-def boundaries(seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, compat: bool = True, limit: int = BROADCAST_LIMIT) -> DataFrame:
+def boundaries(
+    seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, compat: bool = True, limit: int = BROADCAST_LIMIT, factor: float = 0.0, rate: float = 0.0
+) -> DataFrame:
     """(id, bounds, fixes) with probing; records without three hits in a row have no row. ``id`` is unique.
 
     A set of up to ``limit`` k-mers is broadcast and each record is scanned in one go; beyond, all gaps of all records are a frontier (``gaps``).
+    With a ``factor`` the default leniency follows from ``rate``, the false-positive rate the set was made for.
     """
+    leniency = leniency_from_rate(leniency, factor, rate, k)
     if not 0 <= leniency <= k - 2:
         raise ValueError("leniency must be from 0 to k - 2")
 
@@ -331,8 +340,13 @@ def filter_members(seqs: DataFrame, slices: DataFrame, k: int, bits: int, hashes
     return bloom.probe(asked, slices, k, bits, hashes).filter("present").select(*code_names(k))
 
 
-def boundaries_by_filter(seqs: DataFrame, slices: DataFrame, k: int, bits: int, hashes: int, leniency: int = 10, compat: bool = True) -> DataFrame:
-    """As ``boundaries``, against a stored filter (slice, body): false positives of the filter are hits."""
+def boundaries_by_filter(seqs: DataFrame, slices: DataFrame, k: int, bits: int, hashes: int, leniency: int = 10, compat: bool = True, factor: float = 0.0) -> DataFrame:
+    """As ``boundaries``, against a stored filter (slice, body): false positives of the filter are hits.
+
+    With a ``factor`` the default leniency follows from the rate that the filter's bits measure.
+    """
+    if factor:
+        leniency = leniency_from_rate(leniency, factor, (bloom.set_bits(slices).first()["set_bits"] / bits) ** hashes, k)
     if not 0 <= leniency <= k - 2:
         raise ValueError("leniency must be from 0 to k - 2")
     slices = slices.select("slice", "body")

@@ -220,10 +220,10 @@ def sequence_edits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def leniency_rule(spark: SparkSession, d: str) -> DataFrame:
-    """The leniency that a rate, a factor and the default lead to."""
-    cases = [(n, f, r) for n in (0, 4, 10) for f in (0.0, 0.5, 2.0) for r in (0.01, 0.05, 0.2)]
-    rows = [(n, f, r, junctions.leniency_from_rate(n, f, r, K)) for n, f, r in cases]
-    return spark.createDataFrame(rows, "given int, factor double, rate double, leniency int")
+    """The leniency that a given one, a factor and a rate lead to, for the quantities, taxes and discounts of all order lines."""
+    given = F.when(F.col("l_linenumber") % 2 == 0, 10).otherwise(F.col("l_linenumber").cast("int"))
+    factor, rate = F.col("l_tax").cast("double") * 50, F.col("l_discount").cast("double")
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", junctions.leniency_column(given, factor, rate, K).alias("leniency"))
 
 
 def solid_filter_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -53,8 +53,8 @@ ORACLE: dict[str, str] = {
       SELECT key // 100000 AS item_id, (key % 100000)::INT AS x, f::VARCHAR AS forward, r::VARCHAR AS reverse, h::VARCHAR AS canonical, ({_extra('1')})::VARCHAR AS second, ({_extra('7')})::VARCHAR AS seeded FROM hashed""",
     "sequence_edits": f"""WITH {_PASSAGES} SELECT item_id, translate(seq, 'ACGT', '0123') AS codes, seq AS bases, true AS is_base, substr(seq, 1, 4) || 'N' || substr(seq, 6) AS substituted,
       substr(seq, 5, 3) || substr(seq, 1, 4) || substr(seq, 12, 3) AS overlaid, substr(seq, 1, length(seq) - 1) AS chopped, 3 AS options FROM passages WHERE length(seq) >= 20""",
-    "leniency_rule": f"""SELECT given::INT AS given, factor, rate, CASE WHEN given = 10 AND factor <> 0 THEN ceil(factor * rate * {K}) ELSE given END::INT AS leniency
-      FROM (SELECT unnest([0, 4, 10]) AS given), (SELECT unnest([0.0::DOUBLE, 0.5, 2.0]) AS factor), (SELECT unnest([0.01::DOUBLE, 0.05, 0.2]) AS rate)""",
+    "leniency_rule": f"""SELECT l_orderkey, l_linenumber, CASE WHEN given = 10 AND factor <> 0 THEN ceil(factor * rate * {K}) ELSE given END::INT AS leniency
+      FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 10 ELSE l_linenumber END AS given, l_tax::DOUBLE * 50 AS factor, l_discount::DOUBLE AS rate FROM lineitem)""",
     "solid_filter_counts": f"""{BASE}, {READS} SELECT coalesce(sum(n), 0)::BIGINT AS total_kmers, count(*) AS distinct_kmers, count(*) FILTER (WHERE n >= 2) AS repeated_kmers
       FROM (SELECT canon, count(*) AS n FROM ({_kmers('reads', 'doc_id')}) GROUP BY canon)""",
 }

@@ -245,6 +245,19 @@ def test_leniency():
     assert J.leniency_from_rate(10, 2.0, 0.05, 25) == 3 and J.leniency_from_rate(4, 2.0, 0.05, 25) == 4
 
 
+def test_factor_sets_the_leniency(spark):
+    """The default of 10 gives way to the factor; the filter's own rate counts in filter mode."""
+    seqs, known, _ = _frames(spark, n=8)
+    lists = lambda df: {r.id: r.bounds for r in df.collect()}
+    assert J.leniency_from_rate(10, 0.5, 0.5, 12) == 3
+    assert lists(J.boundaries(seqs, known, 12, 10, factor=0.5, rate=0.5)) == lists(J.boundaries(seqs, known, 12, 3))
+    assert lists(J.boundaries(seqs, known, 10, 3, factor=6.0, rate=0.01)) == lists(J.boundaries(seqs, known, 10, 3))
+    bits, hashes = 3000, 2
+    slices = bloom.build(known, 10, bits, hashes)
+    rate = (bloom.set_bits(slices).first()["set_bits"] / bits) ** hashes
+    assert lists(J.boundaries_by_filter(seqs, slices, 10, bits, hashes, 10, factor=2.0)) == lists(J.boundaries_by_filter(seqs, slices, 10, bits, hashes, J.leniency_from_rate(10, 2.0, rate, 10)))
+
+
 def test_bad_leniency(spark):
     with pytest.raises(ValueError):
         J.boundaries(spark.createDataFrame([("a", "ACGT")], "id string, seq string"), spark.createDataFrame([(1,)], "c0 bigint"), 10, 9)
