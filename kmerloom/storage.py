@@ -11,6 +11,8 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes a query's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Tables written by this process and not yet deleted.
 _written: list[str] = []
 
@@ -50,9 +52,15 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     This cuts the lineage: a lost executor costs only the tasks that it ran. The
     files go with the ``scratch`` block they were written in, or, with ``keep``, when the JVM ends.
     """
-    path = new_folder(df.sparkSession, keep)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark, keep)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what the write has shuffled goes when it is done, not when the driver collects its garbage
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
