@@ -6,8 +6,8 @@ the next. Bitmaps are compressed by bytes: only bytes with a bit are stored, as
 bitmap by one place and intersecting it with the bitmaps of words, for a block of first words at a time and
 down to the longest phrase before the next block; popcounts of all shards are summed by Spark.
 
-Phrases of n words need n passes, each of which extends only phrases whose parts reached the least count over all
-shards in the pass before. What reached it is known to tasks as a hashed set of fixed size: a phrase that shares its slot with
+A first pass counts words and pairs. Each further pass counts phrases of one word more and extends only phrases whose parts reached the least
+count over all shards before. What reached it is known to tasks as a hashed set of fixed size: a phrase that shares its slot with
 another is counted in vain and goes when counts are summed, so results never depend on the size.
 
 Cases: a null or empty text has no pieces; a null ``lang`` is ``und``, as is that name itself; documents with equal
@@ -119,16 +119,16 @@ def _grouped(phrases: list[np.ndarray], count: np.ndarray, words: int) -> tuple[
     return [p[order[first]] for p in phrases], np.add.reduceat(count[order], first)
 
 
-def phrase_counts(word: np.ndarray, breaks: np.ndarray, own: int, size: int, lang: np.ndarray, hashed: np.ndarray, sets: list[Frequent], block: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+def phrase_counts(word: np.ndarray, breaks: np.ndarray, own: int, size: int, lang: np.ndarray, hashed: np.ndarray, sets: list[Frequent | None], block: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """(words of each phrase, its count) of the phrases of ``size`` words that begin at one of the first ``own`` words of a shard.
 
     ``word`` has the words' numbers, ``breaks`` says where a piece begins; ``lang`` and ``hashed`` have each number's
-    language and hash. All parts of a phrase must be in the ``sets``, by their length from 1.
+    language and hash. All parts of a phrase must be in the ``sets``, by their length from 1, where there is one.
     """
     place = np.arange(len(word)) + np.cumsum(breaks)
     words = len(lang)
     maps = Bitmaps(word, place)
-    known = sets[0].holds(lang, hashed) if sets else np.ones(words, bool)
+    known = sets[0].holds(lang, hashed) if sets and sets[0] else np.ones(words, bool)
     begins = known[maps.word]
     limit = place[own - 1] if own else -1
     bits = maps.bits.copy()
@@ -143,6 +143,8 @@ def phrase_counts(word: np.ndarray, breaks: np.ndarray, own: int, size: int, lan
             row, last, at, got = maps.extended(np.arange(len(at)), at, got, words)
             phrases = [p[row] for p in phrases] + [last]
             for n in range(1, min(depth, len(sets)) + 1):  # all parts that end here
+                if sets[n - 1] is None:
+                    continue
                 fits = sets[n - 1].holds(lang[last], *(hashed[p] for p in phrases[depth - n :]))
                 phrases, last, at, got = [p[fits] for p in phrases], last[fits], at[fits], got[fits]
         yield _grouped(phrases, np.bitwise_count(got).astype(np.int64), words)
@@ -155,8 +157,8 @@ def _shards(words: Words, context: int, shard: int) -> Iterator[tuple[int, int,
         yield lo, hi, min(hi + context, len(words.starts))
 
 
-def _shard_rows(size: int, sets: list, shard: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow function from (text, lang) to the counts of phrases of ``size`` words in each shard."""
+def _shard_rows(sizes: list[int], sets: list, shard: int, block: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Arrow function from (text, lang) to the counts of phrases of ``sizes`` words in each shard; those of no words count all words of a language."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,22 +173,24 @@ def _shard_rows(size: int, sets: list, shard: int, block: int) -> Callable[[Iter
                 # a word of two languages is two words
                 paired, number = np.unique(number * len(langs.dictionary) + of_row[words.row], return_inverse=True)
                 text_of, lang_of = np.divmod(paired, len(langs.dictionary))
-                if size == 1:
-                    found = [([np.arange(len(paired))], np.bincount(number, minlength=len(paired)))]
-                else:
-                    lang, hashed = _hashes(langs.dictionary)[lang_of], _hashes(distinct)[text_of]
-                    held = [s.value for s in sets]
-                    found = (
-                        counted
-                        for lo, hi, more in _shards(words, size - 1, shard)
-                        for counted in phrase_counts(number[lo:more], breaks[lo:more], hi - lo, size, lang, hashed, held, block)
-                    )
-                for phrases, count in found:
-                    if len(count):
-                        texts = [distinct.take(pa.array(text_of[p])) for p in phrases]
-                        yield pa.RecordBatch.from_arrays(
-                            [langs.dictionary.take(pa.array(lang_of[phrases[0]])), pc.binary_join_element_wise(*texts, " "), pa.array(count, pa.int64())], _NAMES
-                        )
+                lang, hashed = (_hashes(langs.dictionary)[lang_of], _hashes(distinct)[text_of]) if any(sets) else (np.zeros(len(paired), np.uint64),) * 2
+                held = [s and s.value for s in sets]
+
+                def rows(phrases: list[np.ndarray], count: np.ndarray, distinct=distinct, langs=langs, text_of=text_of, lang_of=lang_of) -> pa.RecordBatch:  # noqa: ANN001
+                    texts = [distinct.take(pa.array(text_of[p])) for p in phrases]
+                    return pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang_of[phrases[0]])), pc.binary_join_element_wise(*texts, " "), pa.array(count, pa.int64())], _NAMES)
+
+                for size in sizes:
+                    if size == 0:
+                        total = np.bincount(of_row[words.row], minlength=len(langs.dictionary))
+                        yield pa.RecordBatch.from_arrays([langs.dictionary, pa.nulls(len(total), pa.string()), pa.array(total, pa.int64())], _NAMES)
+                    elif size == 1:
+                        yield rows([np.arange(len(paired))], np.bincount(number, minlength=len(paired)))
+                    else:
+                        for lo, hi, more in _shards(words, size - 1, shard):
+                            for phrases, count in phrase_counts(number[lo:more], breaks[lo:more], hi - lo, size, lang, hashed, held, block):
+                                if len(count):
+                                    yield rows(phrases, count)
 
     return go
 
@@ -219,20 +223,16 @@ def frequent_phrases(docs: DataFrame, least: int = 10, longest: int = 3, shard:
     """(lang, phrase, words, n) of the phrases of up to ``longest`` words found ``least`` times or more, and (lang, total words)."""
     spark = docs.sparkSession
     own = docs.select("text", F.coalesce("lang", F.lit("und")).alias("lang"))
-    levels, sets = [], []
-    totals = None
-    for size in range(1, longest + 1):
-        counts = own.mapInArrow(_shard_rows(size, sets, shard, block), _SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-        if size == 1:
-            counts = materialize(counts)
-            totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-        level = materialize(counts.filter(F.col("n") >= least).withColumn("words", F.lit(size)))
-        levels.append(level)
-        if size < longest:
-            sets.append(_frequent_set(spark, level, slots))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+    counted = lambda sizes, sets: own.mapInArrow(_shard_rows(sizes, sets, shard, block), _SCHEMA).groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = F.size(F.split("phrase", " "))
+    first = materialize(counted([0, 1, 2][: longest + 1], []).filter(F.col("phrase").isNull() | (F.col("n") >= least)).withColumn("words", words))
+    totals = first.filter("phrase is null").select("lang", F.col("n").alias("total"))
+    found = first.filter("phrase is not null")
+    newest, sets = found.filter("words = 2"), [None]
+    for size in range(3, longest + 1):
+        sets.append(_frequent_set(spark, newest, slots))
+        newest = materialize(counted([size], sets).filter(F.col("n") >= least).withColumn("words", words))
+        found = found.unionByName(newest)
     return found, totals
 
 
