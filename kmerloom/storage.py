@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -93,6 +94,8 @@ def stamp(spark: SparkSession, path: str) -> tuple[str, int, int]:
 
 
 _kept: WeakKeyDictionary[SparkSession, dict[tuple, DataFrame]] = WeakKeyDictionary()
+#: Seconds that each table of ``once`` took, with those it is derived from if they were not there.
+build_seconds: dict[str, float] = {}
 
 
 def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -100,10 +103,17 @@ def once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFr
     tables = _kept.setdefault(spark, {})
     key = (*stamp(spark, source), name)
     if key not in tables:
+        began = time.time()
         tables[key] = materialize(build(), keep=True)
+        build_seconds[name] = time.time() - began
     return tables[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Derive the tables of ``once`` anew when they are asked for next."""
+    _kept.pop(spark, None)
+
+
 def global_rank(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """``df`` with ``name``: the 0-based place of each row by ``order``, which must tell rows apart.
 
