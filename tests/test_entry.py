@@ -11,8 +11,8 @@ from kmerloom.plans import files
 SF = "/root/testdata/sf0.001"
 NAMES = [
     "seq_revcomp", "seq_complement_iupac", "seq_mask_trim", "kmer_spectrum", "kmer_distinct", "hit_vector", "junction_gaps_l0", "exons_confident_l0",
-    "splice_edges", "transcript_gene_map", "graph_nodes", "kmer_estimate", "bloom_filter",
-    *(q.__name__ for q in files.QUERIES if q.__name__ not in ("exon_files", "filter_files")), "bloom_sizing", "si_format", "si_parse", "read_pair", "ambiguity_ops", "colour_space",
+    "splice_edges", "transcript_gene_map", "graph_nodes", "kmer_estimate", "kmer_masked", "bloom_filter", "bloom_probe", "solid_cascade", "exons_bloom", "run_metrics", "splice_extend",
+    *(q.__name__ for q in files.QUERIES), "bloom_sizing", "si_format", "si_parse", "read_pair", "ambiguity_ops", "colour_space",
 ]
 
 
