@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kmerloom.sources.records import _batch, _stretches
@@ -50,13 +50,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _carried(splits: pd.DataFrame) -> pd.DataFrame:
-    """Bases of the record at hand before each split of one file."""
+    """Bases of the record at hand before and behind each split of one file, as if the file opened a record; whether that record is still the one."""
     splits = splits.sort_values("_block")
-    now, before = 0, []
+    now, before, after = 0, [], []
     for headers, head, tail in zip(splits["headers"], splits["head"], splits["tail"], strict=True):
         before.append(now)
         now = int(tail) if headers else now + int(head)
-    return splits[[*KEY, "headers"]].assign(_before=before)
+        after.append(now)
+    opened = splits["headers"].cumsum() - splits["headers"]
+    return splits[[*KEY, "headers"]].assign(_before=before, _after=after, _goes_on=opened == 0)
+
+
+def _over_files(splits: DataFrame) -> DataFrame:
+    """``splits`` of ``_carried`` with ``_file``: a file that does not begin with a header goes on with the record at the end of the file before.
+
+    What runs over all files is a row for each file.
+    """
+    files = splits.groupBy("_file", "_path").agg((F.sum("headers") > 0).alias("_opens"), F.max_by("_after", "_block").alias("_bases"))
+    order = Window.orderBy("_file", "_path")
+    record = F.sum(F.col("_opens").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum("_bases").over(Window.partitionBy("_record").orderBy("_file", "_path").rowsBetween(Window.unboundedPreceding, 0))
+    held = files.withColumn("_record", record).withColumn("_held", so_far).select("_file", "_path", F.lag("_held", 1, 0).over(order).alias("_held"))
+    before = F.col("_before") + F.when(F.col("_goes_on"), F.col("_held")).otherwise(0)
+    return splits.join(held, ["_file", "_path"]).withColumn("_before", before.cast("bigint")).drop("_held", "_after", "_goes_on")
 
 
 class Pieces:
@@ -125,14 +141,17 @@ def _cut(size: int, halo: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 def read_pieces(spark: SparkSession, paths: list[str], halo: int, size: int = SIZE) -> DataFrame:
-    """(rec_no, piece, start, bases) of the records of FASTA files; a record without bases has no piece. Lines from # on are left out."""
+    """(rec_no, piece, start, bases) of the records of FASTA files; a record without bases has no piece. Lines from # on are left out.
+
+    Files are read in order as one text: a file that begins without a header goes on with the record before.
+    """
     if not 0 <= halo < size:
         raise ValueError("halo must be from 0 to size - 1")
     lines = read_rows(spark, paths).withColumn("value", F.rtrim(F.replace("value", F.lit("\r"), F.lit("")))).filter(~F.col("value").startswith("#"))
     is_header = F.col("value").startswith(">")
     counts = lines.select(*KEY, is_header.alias("header"), F.char_length("value").cast("bigint").alias("n")).mapInArrow(_counted, "_turn int, _path string, _block bigint, headers bigint, head bigint, tail bigint")
-    carried = materialize(counts).groupBy("_turn", "_path").applyInPandas(_carried, "_turn int, _path string, _block bigint, headers bigint, _before bigint")
-    starts = materialize(with_start(in_order(spark, materialize(carried), paths), "headers", "_start").select(*KEY, "_start", "_before"))
+    carried = materialize(counts).groupBy("_turn", "_path").applyInPandas(_carried, "_turn int, _path string, _block bigint, headers bigint, _before bigint, _after bigint, _goes_on boolean")
+    starts = materialize(with_start(_over_files(in_order(spark, materialize(carried), paths)), "headers", "_start").select(*KEY, "_start", "_before"))
     told = lines.join(known_splits(starts), KEY, "left").select(
         *KEY, is_header.alias("header"), "value", F.when(F.col("_start").isNull(), F.raise_error(F.lit("files were dealt into other splits than before"))).otherwise(F.col("_start")).alias("_start"), "_before"
     )

@@ -66,6 +66,22 @@ def test_runs_over_pieces(spark, size):
     assert rows == {(n, x) for n, s in enumerate(whole) for x in range(len(s) - K + 1) if "N" not in s[x : x + K]}
 
 
+@pytest.mark.parametrize(("size", "split"), [(64, 10**9), (64, 90), (100, 37)])
+def test_record_over_part_files(spark, split_at, tmp_path, size, split):  # noqa: F811
+    rng = random.Random(size * split)
+    whole = genome(rng)
+    fasta(tmp_path / "all.fa", whole, rng)
+    lines = (tmp_path / "all.fa").read_text().splitlines(keepends=True)
+    stops = sorted(rng.sample(range(1, len(lines)), 12))  # many part files hold the middle of a record and no header
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for n, (a, b) in enumerate(zip([0, *stops], [*stops, len(lines)], strict=True)):
+        (folder / f"part-{n:05}.txt").write_text("".join(lines[a:b]))
+    split_at(split)
+    got = {(r["rec_no"], r["piece"]): (r["start"], r["bases"]) for r in pieces.read_pieces(spark, [str(folder)], K - 1, size).collect()}
+    assert got == {(n, a // size): (a, s[a : a + size + K - 1]) for n, s in enumerate(whole) for a in range(0, len(s), size)}
+
+
 def test_bad_halo(spark):
     with pytest.raises(ValueError):
         pieces.read_pieces(spark, ["x"], 5, 5)
