@@ -42,3 +42,18 @@ def test_what_is_sent(spark):
     own = spark.createDataFrame([("".join(rng.choice("ACGT") for _ in range(400_000)),)], "seq string")
     sent = superkmers.deal(own, 25).agg(F.sum(F.length("sizes") + F.length("bases")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
     assert sent["n"] < 2 * 400_000 and sent["rows"] <= superkmers.BUCKETS
+
+
+def test_places_are_sent_in_few_rows(spark):
+    """A filter's places go in one row for each slice and BUFFER k-mers; before, in one for each slice and Arrow batch."""
+    import numpy as np
+    import pandas as pd
+
+    from kmerloom.operators import bloom
+
+    frames = iter([pd.DataFrame({"c0": np.arange(1000)}) for _ in range(50)])
+    assert [len(c) for c, in bloom._buffered(frames, ["c0"])] == [50_000]
+    at = np.unique(np.random.default_rng(1).integers(0, 3 * bloom.SLICE, 10_000))
+    sent = bloom._sent(at)
+    assert np.array_equal(np.concatenate([bloom._received(r) + r.slice * bloom.SLICE for r in sent.itertuples()]), at) and len(sent) == 3
+    assert not len(bloom._sent(at[:0]))
