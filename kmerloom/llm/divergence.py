@@ -2,7 +2,8 @@
 
 Operator 11. Counts of a term in the sources of its language are a sparse vector. Terms with identical vectors are grouped; each
 pair of sources is evaluated once per distinct vector and multiplied by the number of its terms, and a source's own terms are
-ranked by their vectors first, then by name. Only sources with a count are stored: where neither of a pair
+ranked by their vectors first, then by name. Vectors are numbered, and only these numbers are joined: a table of vectors is small in its files
+but many times larger in memory, so Spark must not be left to broadcast it. Only sources with a count are stored: where neither of a pair
 has one, the difference is that of the two smoothed zeros, which is added once for all terms.
 
 Pairs are evaluated between tiles of sources, over parts of the distinct vectors, so that neither a language
@@ -29,6 +30,8 @@ from kmerloom.llm.tokens import byte_table, slices, words_of
 LETTERS = ~byte_table(bytes([*range(0x00, 0x61), *range(0x7B, 0x80)]))
 #: Sources whose pairs are evaluated together, and distinct vectors in a part.
 TILE, PART = 128, 20_000
+#: Groups whose table is broadcast: about 100 bytes each. With more, all joins are shuffled.
+BROADCAST_GROUPS = 100_000
 #: Probabilities are in units of one in SCALE; PRIOR counts are added to each term.
 SCALE, PRIOR = 1_000_000_000, 5
 _COUNTS = "lang string, source string, term string, n bigint, docs bigint"
@@ -87,21 +90,28 @@ class Audit:
         #: (lang, source, s): sources numbered within their language.
         groups = self.counts.filter("term is null").select("lang", "source")
         self.groups = materialize(groups.withColumn("s", (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("int")))
+        self.few = self.groups.count() <= BROADCAST_GROUPS
         self.least_docs, self.tile, self.part = least_docs, tile, part
         self._vectors()
 
+    def _known(self, groups: DataFrame) -> DataFrame:
+        """A table of at most a row a group, to be joined on the right: broadcast where there are few groups, else never."""
+        return F.broadcast(groups) if self.few else groups.hint("merge")
+
     def _vectors(self) -> None:
-        numbered = self.counts.filter("term is not null").join(self.groups, ["lang", "source"])
+        numbered = self.counts.filter("term is not null").join(self._known(self.groups), ["lang", "source"])
         vector = F.array_sort(F.collect_list(F.struct("s", "n")))  # as long as the language has sources
         terms = numbered.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), vector.alias("vector")).filter(F.col("docs") >= self.least_docs)
-        #: (lang, term, vector): kept terms.
-        self.terms = materialize(terms.select("lang", "term", "vector"))
-        #: (lang, vector, m): distinct vectors and how many terms have each.
-        self.distinct = materialize(self.terms.groupBy("lang", "vector").agg(F.count(F.lit(1)).alias("m")))
+        kept = materialize(terms.select("lang", "term", "vector"))
+        distinct = kept.groupBy("lang", "vector").agg(F.count(F.lit(1)).alias("m"))
+        #: (lang, vector, m, vid): distinct vectors, how many terms have each, and their numbers.
+        self.distinct = materialize(distinct.withColumn("vid", F.monotonically_increasing_id()))
+        #: (lang, term, vid): kept terms and the numbers of their vectors.
+        self.terms = materialize(kept.join(self.distinct.select("lang", "vector", "vid").hint("merge"), ["lang", "vector"]).select("lang", "term", "vid"))
         totals = self.distinct.select("lang", "m", F.explode("vector").alias("e")).groupBy("lang", F.col("e.s").alias("s")).agg(F.sum(F.col("m") * F.col("e.n")).alias("total"))
         sizes = self.distinct.groupBy("lang").agg(F.sum("m").alias("v"))
         zero = F.lit(0).cast("bigint")
-        own = self.groups.join(totals, ["lang", "s"], "left").join(sizes, "lang", "left")
+        own = self.groups.join(self._known(totals), ["lang", "s"], "left").join(self._known(sizes), "lang", "left")
         #: (lang, source, s, total, v): all groups, with their count of kept terms and their language's number of these.
         self.sources = materialize(own.withColumns({"total": F.coalesce("total", zero), "v": F.coalesce("v", zero)}))
 
@@ -114,10 +124,10 @@ class Audit:
         spread = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
         ends = F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")
         sources = self.sources.withColumn("tile", F.expr(f"s div {tile}").cast("int"))
-        right = blocks.select("lang", "i", "j", ends).join(sources, ["lang", "tile"]).select("lang", "i", "j", spread, "s", "source", "total", "v")
+        right = blocks.select("lang", "i", "j", ends).join(self._known(sources), ["lang", "tile"]).select("lang", "i", "j", spread, "s", "source", "total", "v")
         # a vector goes to the pairs of tiles of which it has a source, with what it has there
         touched = F.array_distinct(F.transform("vector", lambda e: (e["s"] / tile).cast("int")))
-        own = self.distinct.withColumns({"tiles": touched, "part": F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int")}).join(tiles, "lang")
+        own = self.distinct.withColumns({"tiles": touched, "part": F.pmod(F.xxhash64("vector"), F.lit(parts)).cast("int")}).join(self._known(tiles), "lang")
         met = F.transform(F.sequence(F.lit(0), F.col("last")), lambda t: F.struct(F.least(t, F.col("tile")).alias("i"), F.greatest(t, F.col("tile")).alias("j")))
         left = own.select("lang", "part", "vector", "m", "last", "tiles", F.explode("tiles").alias("tile")).select("lang", "part", "vector", "m", "tiles", "tile", F.explode(met).alias("b"))
         left = left.select("lang", "part", "vector", "m", "tiles", "tile", "b.i", "b.j")
@@ -137,16 +147,16 @@ class Audit:
         """
         whole = self.sources.groupBy("lang").agg(F.sum("total").alias("in_lang"))
         amount = F.aggregate("vector", F.lit(0).cast("bigint"), lambda a, e: a + e["n"])
-        own = self.distinct.select("lang", "vector", amount.alias("n_lang"), F.explode("vector").alias("e")).select("lang", "vector", "n_lang", "e.s", "e.n")
-        own = own.join(self.sources.join(whole, "lang"), ["lang", "s"])
+        own = self.distinct.select("lang", "vid", amount.alias("n_lang"), F.explode("vector").alias("e")).select("lang", "vid", "n_lang", "e.s", "e.n")
+        own = own.join(self._known(self.sources.join(self._known(whole), "lang")), ["lang", "s"])
         p = _smoothed(f"(n + {PRIOR})", f"(total + {PRIOR} * v)")
         q = _smoothed(f"(n_lang + {PRIOR})", f"(in_lang + {PRIOR} * v)")
-        valued = own.select("lang", "source", "vector", (p - q).alias("value")).filter("value > 0")
+        valued = own.select("lang", "source", "vid", (p - q).alias("value")).filter("value > 0")
         best = Window.partitionBy("lang", "source").orderBy(F.col("value").desc())
         first = valued.withColumn("_nth", F.rank().over(best)).filter(F.col("_nth") <= top).drop("_nth")
-        shared = Window.partitionBy("lang", "vector").orderBy("term")
+        shared = Window.partitionBy("lang", "vid").orderBy("term")
         terms = self.terms.withColumn("_nth", F.row_number().over(shared)).filter(F.col("_nth") <= top).drop("_nth")
-        return first.join(terms, ["lang", "vector"]).select("lang", "source", F.col("term").alias("item"), "value")
+        return first.join(terms.hint("merge"), ["lang", "vid"]).select("lang", "source", F.col("term").alias("item"), "value")
 
 
 def _evaluate(size: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:

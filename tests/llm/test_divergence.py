@@ -71,3 +71,19 @@ def test_cases(spark):
     assert D.divergence(frame.limit(0)).count() == 0
     two = spark.createDataFrame([("a " * 100_000, "en", "x"), ("", "en", "y"), ("a", "en", "x")], "text string, lang string, source string")
     assert rows_of(D.divergence(two, 2)) == model([("a " * 100_000, "en", "x"), ("", "en", "y"), ("a", "en", "x")], 2, 50)
+
+
+def broadcast(df):
+    """Lines of a plan that broadcast a table."""
+    return [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in line]
+
+
+def test_vectors_stay_out_of_the_driver(spark, monkeypatch):
+    """No table of vectors or terms is broadcast, whatever its files' size; with many groups nothing is."""
+    docs = documents(random.Random(6), 150, 5)
+    frame = spark.createDataFrame(docs, "text string, lang string, source string")
+    values = D.Audit(frame, 3).term_values(50)
+    assert len(broadcast(values)) == 2
+    monkeypatch.setattr(D, "BROADCAST_GROUPS", 0)
+    assert not broadcast(D.Audit(frame, 3).term_values(50))
+    assert rows_of(D.divergence(frame, 3, 50, tile=2, part=5)) == model(docs, 3, 50)
