@@ -193,3 +193,16 @@ def test_cascade(spark):
     assert found == {c: all(times[p] >= 2 for p in places[c]) for c in counted}
     assert all(found[c] for c, n in counted.items() if n >= 2) and not all(found.values())
     assert bloom.cascade(frame.limit(0), k, bits, hashes).count() == 0
+
+
+def test_quality_shift_of_plain_strings(spark):
+    """All values from -5 to 41 in one string, and one beyond them; no string is taken apart but for the error."""
+    import pytest
+
+    every = "".join(chr(64 + x) for x in range(-5, 42))
+    frame = spark.createDataFrame([("A", every), ("A", ""), ("A", None)], "seq string, qual string")
+    moved = readers.shift_quality(frame, 64)
+    assert [r.qual for r in moved.collect()] == ["".join(chr(max(x, 0) + 33) for x in range(-5, 42)), "", None]
+    assert "translate" in moved._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="out of range"):
+        readers.shift_quality(spark.createDataFrame([("A", "h:")], "seq string, qual string"), 64).collect()
