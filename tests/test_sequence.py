@@ -91,3 +91,12 @@ def test_hash_definition():
     t = 12345 * (2 ^ (25 * nthash.MULTI_SEED & mask)) & mask
     assert int(nthash.extra_hash(h, 25, 2)[0]) == t ^ (t >> 27)
     assert int(nthash.extra_hash(h, 25, 0)[0]) == 12345
+
+
+def test_trim_looks_at_ends_only(spark):
+    import time
+
+    long_ = "A" + "b" * 200_000 + "C"  # a search for the end from each place took minutes
+    began = time.time()
+    got = one(spark, a=S.trim_masked(F.lit(long_)), b=S.trim_masked(F.lit("abc")), c=S.trim_masked(F.lit("aBcD\n")), d=S.trim_masked(F.lit("")))
+    assert (got["a"], got["b"], got["c"], got["d"]) == (long_, "", "BcD\n", "") and time.time() - began < 20
