@@ -93,6 +93,34 @@ def test_hash_definition():
     assert int(nthash.extra_hash(h, 25, 0)[0]) == 12345
 
 
+def colours_one_by_one(seq):
+    """Colours by the definition; letters that are no bases have none."""
+    code = {c: i % 4 for i, c in enumerate("ACGTacgt")}
+    out = ""
+    for a, b in zip(seq, seq[1:]):
+        if "N" in (a + b).upper():
+            out += "n" if a.islower() or b.islower() else "N"
+        elif a in code and b in code:
+            out += str(code[a] ^ code[b])
+    return out
+
+
+def test_colours_of_a_batch(spark):
+    """Texts beside one another, empty, null and with other letters, come out as each by itself; whole batches go through Arrow."""
+    import random
+
+    rng = random.Random(3)
+    seqs = ["", "A", "n", "AC", "acgNNtA", "ARC", "TT.A", None, "é", "ACé", *("".join(rng.choice("ACGTacgtN") for _ in range(rng.randrange(40))) for _ in range(200))]
+    frame = spark.createDataFrame(list(enumerate(seqs)), "i int, seq string")
+    coloured = frame.select("i", "seq", S.to_colours(F.col("seq")).alias("c"))
+    assert {r.i: r.c for r in coloured.collect()} == {i: colours_one_by_one(s or "") for i, s in enumerate(seqs)}
+    back = coloured.filter("seq rlike '^[ACGT]+$' or i = 7").select("seq", S.from_colours(F.substring("seq", 1, 1), F.col("c")).alias("b"))
+    assert all(r.b == r.seq for r in back.collect()) and back.count() > 5
+    assert "ArrowEvalPython" in coloured._jdf.queryExecution().executedPlan().toString()
+    lone = spark.createDataFrame([("g", ""), ("g", "0123"), (None, "1"), ("T", None)], "a string, c string").select(S.from_colours(F.col("a"), F.col("c")).alias("b"))
+    assert [r.b for r in lone.collect()] == ["g", "gGTCG", None, None]
+
+
 def test_trim_looks_at_ends_only(spark):
     import time
 
