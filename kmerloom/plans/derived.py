@@ -22,6 +22,8 @@ K = 25
 #: An exon of EXON bases starts every STRIDE bases of a contig; a contig shorter than that is one exon.
 EXON, STRIDE = 120, 180
 READ, STEP = 100, 50
+#: Reads that are cut from one block of a contig.
+BLOCK = 64
 #: Leniency of the window form that the graph queries use.
 LENIENCY = 10
 #: Splice signals before and after an exon.
@@ -48,15 +50,27 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", bases(F.col("text")).alias("seq"))
 
 
+def windows(own: DataFrame) -> DataFrame:
+    """(doc_id, r, seq): the reads of (doc_id, seq).
+
+    A place in a text is found by counting its letters, so a text is first cut into blocks of BLOCK reads and these into reads;
+    from a whole text they would cost the square of its length. Empty reads go at last: a filter on ``seq`` would derive it twice.
+    """
+    over = F.greatest(F.char_length("seq") - READ, F.lit(0))
+    own = own.select("doc_id", "seq", over.alias("over"), F.ceil(over / STEP).cast("int").alias("last"))
+    at = lambda r: F.least(r * STEP, F.col("over"))
+    block = lambda c: F.struct((c * BLOCK).alias("first"), F.substring(F.col("seq"), at(c * BLOCK) + 1, F.lit(BLOCK * STEP + READ)).alias("seq"))
+    blocks = own.select("doc_id", "over", "last", F.explode(F.transform(F.sequence(F.lit(0), F.expr(f"last div {BLOCK}").cast("int")), block)).alias("b"))
+    read = lambda r: F.struct(r.alias("r"), F.substring(F.col("b.seq"), at(r) - at(F.col("b.first")) + 1, F.lit(READ)).alias("seq"))
+    places = F.sequence(F.col("b.first"), F.least(F.col("last"), F.col("b.first") + BLOCK - 1))
+    return blocks.select("doc_id", F.explode(F.transform(places, read)).alias("w")).select("doc_id", "w.r", "w.seq").filter("seq <> ''")
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, r, seq): windows of READ bases at every STEP and a last one up to the end; a shorter contig is one read."""
 
     def build() -> DataFrame:
-        over = F.greatest(F.char_length("seq") - READ, F.lit(0))
-        places = F.sequence(F.lit(0), F.ceil(over / STEP).cast("int"))
-        read = lambda r: F.struct(r.alias("r"), F.substring(F.col("seq"), F.least(r * STEP, over) + 1, F.lit(READ)).alias("seq"))
-        own = contigs(spark, sf_dir).filter("seq <> ''")
-        return own.select("doc_id", F.explode(F.transform(places, read)).alias("w")).select("doc_id", "w.r", "w.seq")
+        return windows(contigs(spark, sf_dir))
 
     return _once(spark, sf_dir, "reads", build)
 

@@ -128,3 +128,23 @@ def test_trim_looks_at_ends_only(spark):
     began = time.time()
     got = one(spark, a=S.trim_masked(F.lit(long_)), b=S.trim_masked(F.lit("abc")), c=S.trim_masked(F.lit("aBcD\n")), d=S.trim_masked(F.lit("")))
     assert (got["a"], got["b"], got["c"], got["d"]) == (long_, "", "BcD\n", "") and time.time() - began < 20
+
+
+def test_reads_of_long_texts(spark):
+    """Reads across blocks, and a last one up to the end; a long text costs in proportion to its length."""
+    import random
+    import time
+
+    from kmerloom.plans import derived as D
+
+    rng = random.Random(5)
+    sizes = [0, 1, 99, 100, 101, 150, 151, 3200, 3249, 3250, 3251, 3299, 3300, 3301, 6400, 6501, 9999]
+    seqs = [None, *("".join(rng.choices("ACGT", k=n)) for n in sizes)]
+    want = []
+    for i, s in enumerate(seqs):
+        over = max(len(s or "") - 100, 0)
+        want += [(i, r, s[min(50 * r, over) : min(50 * r, over) + 100]) for r in range(-(-over // 50) + 1) if s]
+    assert sorted(tuple(r) for r in D.windows(spark.createDataFrame(list(enumerate(seqs)), "doc_id int, seq string")).collect()) == want
+    began = time.time()
+    long_ = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ACGTTGCA"), 500_000).alias("seq"))
+    assert D.windows(long_).count() == 79_999 and time.time() - began < 60
