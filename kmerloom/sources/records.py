@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +48,11 @@ def line_class(head: Column) -> Column:
     )
 
 
+def _class(machine: str) -> Column:
+    """Class of each line; records of four lines do not ask for it."""
+    return F.lit(OTHER).cast("tinyint") if machine == "fastq" else line_class(F.substring("value", 1, 4))
+
+
 def _tables(machine: str) -> tuple[np.ndarray, np.ndarray]:
     table = MACHINES[machine]
     cells = np.array([[table[s][c] for c in range(6)] for s in range(6)], np.int64)
@@ -117,7 +123,7 @@ def _followed(splits: pd.DataFrame) -> pd.DataFrame:
 
 def split_starts(spark: SparkSession, rows: DataFrame, paths: list[str], machine: str) -> DataFrame:
     """(KEY, _state, _start): the state before the first line of each split, and the number of the first record that begins in it."""
-    classes = rows.select(*KEY, line_class(F.substring("value", 1, 4)).alias("_class"))
+    classes = rows.select(*KEY, _class(machine).alias("_class"))
     own = materialize(classes.mapInArrow(_summaries(machine), "_turn int, _path string, _block bigint, exits array<int>, counts array<bigint>"))
     followed = own.groupBy("_turn", "_path").applyInPandas(_followed, "_turn int, _path string, _block bigint, _state int, _n bigint")
     return materialize(with_start(in_order(spark, materialize(followed), paths), "_n", "_start").select(*KEY, "_state", "_start"))
@@ -160,6 +166,23 @@ _RECORD = pa.schema([("rec_no", pa.int64()), ("kind", pa.string()), ("header", p
 _HEAD = pa.schema([("rec_no", pa.int64()), ("_block", pa.int64()), ("lines", pa.list_(pa.string()))])
 
 
+def _fours(cut: _Cut, lines: pa.Array) -> Iterator[pa.RecordBatch]:
+    """``_Cut.add`` for a run of lines of records of four lines: whole records are taken from the batch at once."""
+    first = 0
+    while cut.state != BETWEEN and first < len(lines):  # what is left of the record at hand
+        first += 1
+        yield _batch(list(cut.add(lines.slice(first - 1, 1).to_pylist(), [OTHER])), _RECORD)
+    n = (len(lines) - first) // 4
+    if n:
+        part = [pc.utf8_rtrim(lines.take(pa.array(np.arange(first + i, first + 4 * n, 4))), "\r") for i in (0, 1, 3)]
+        number = pa.array(cut.number + 1 + np.arange(n))
+        cut.number += n
+        kind, closed = pa.array(np.full(n, "@", object), pa.string()), pa.nulls(n, pa.int32())
+        yield pa.RecordBatch.from_arrays([number, kind, *part, closed], schema=_RECORD)
+    rest = lines.slice(first + 4 * n).to_pylist()
+    yield _batch(list(cut.add(rest, [OTHER] * len(rest))), _RECORD)
+
+
 def _records(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Arrow function from (KEY, class, value, _state, _start) to the records that begin in each split; the last may lack lines of the next split."""
 
@@ -169,13 +192,17 @@ def _records(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             if not batch.num_rows:
                 continue
             out: list[tuple] = []
-            classes, lines = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            fours = machine == "fastq"
+            classes, lines = ([], []) if fours else (batch.column(3).to_pylist(), batch.column(4).to_pylist())
             for lo, hi, key in _stretches(batch):
                 if key != at:
                     if cut:
                         out += cut.close(False)
                     at, cut = key, _Cut(machine, batch.column(5)[lo].as_py(), batch.column(6)[lo].as_py())
-                out += cut.add(lines[lo:hi], classes[lo:hi])
+                if fours:
+                    yield from _fours(cut, batch.column(4).slice(lo, hi - lo).cast(pa.string()))
+                else:
+                    out += cut.add(lines[lo:hi], classes[lo:hi])
             yield _batch(out, _RECORD)
         if cut:
             yield _batch(list(cut.close(False)), _RECORD)
@@ -228,7 +255,7 @@ def cut_records(spark: SparkSession, paths: list[str], machine: str = "any") ->
     rows = read_rows(spark, paths)
     starts = split_starts(spark, rows, paths, machine)
     told = rows.join(known_splits(starts), KEY, "left").select(
-        *KEY, line_class(F.substring("value", 1, 4)).alias("_class"), "value",
+        *KEY, _class(machine).alias("_class"), "value",
         F.when(F.col("_state").isNull(), F.raise_error(F.lit("files were dealt into other splits than before"))).otherwise(F.col("_state")).alias("_state"), "_start",
     )
     records = told.mapInArrow(_records(machine), "rec_no bigint, kind string, header string, seq string, qual string, _open int")

@@ -182,3 +182,22 @@ def test_composition_is_the_walk():
                     begun += begin[state, c]
                     state = step[state, c]
                 assert (to[s], count[s]) == (state, begun)
+
+
+def test_records_of_four_lines_at_once():
+    """Whole records of a batch come out as those cut line by line, wherever a batch or a split begins."""
+    import pyarrow as pa
+
+    from kmerloom.sources import records as R
+
+    lines = [x for i in range(9) for x in (f"@r{i}\r" if i % 2 else f">r{i}", "AC" * i, "+", "@I" * i + "\r")]
+    for state, before in ((R.BETWEEN, 0), (R.BASES, 1), (R.PLUS, 2), (R.QUALITY, 3)):
+        for ends in ([36], [5, 36], [1, 2, 3, 17, 30, 36], [33, 34]):
+            one, many = R._Cut("fastq", state, 7), R._Cut("fastq", state, 7)
+            want, got, at = [], [], before
+            for end in ends:
+                part = lines[at:end]
+                want += list(one.add(part, [R.AT] * len(part)))
+                got += [tuple(r.values()) for b in R._fours(many, pa.array(part, pa.string())) for r in b.to_pylist()]
+                at = max(at, end)
+            assert got == want and list(many.close(False)) == list(one.close(False)) and (many.number, many.state) == (one.number, one.state)
