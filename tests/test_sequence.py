@@ -148,3 +148,17 @@ def test_reads_of_long_texts(spark):
     began = time.time()
     long_ = spark.range(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ACGTTGCA"), 500_000).alias("seq"))
     assert D.windows(long_).count() == 79_999 and time.time() - began < 60
+
+
+def test_once_keeps_one_table(spark, tmp_path):
+    """Tables written on the way to a kept one, also inside another, go when it is written."""
+    from kmerloom import storage
+
+    spark.range(1).write.parquet(str(tmp_path / "t"))
+    rounds = lambda df: storage.materialize(storage.materialize(df))
+    inner = lambda: storage.once(spark, str(tmp_path / "t"), "inner", lambda: rounds(spark.range(5)))
+    folder = storage.new_folder(spark, keep=True).rsplit("/", 1)[0]
+    listed = lambda: {str(s.getPath()) for s in (lambda fs, at: fs.listStatus(at) if fs.exists(at) else [])(*storage._hadoop(spark, folder))}
+    before = listed()
+    outer = storage.once(spark, str(tmp_path / "t"), "outer", lambda: rounds(inner()))
+    assert len(listed() - before) == 2 and outer.count() == 5 and inner().count() == 5
