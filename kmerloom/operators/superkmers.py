@@ -3,11 +3,12 @@
 The minimizer of a k-mer is the smallest hash of its canonical windows of M bases, the same on both strands. Neighbouring k-mers
 mostly share it, so a stretch of them (a super-k-mer) goes to the bucket of its minimizer as one string: about a byte for
 a k-mer, where each k-mer by itself took ten and more. All k-mers that are equal meet in one bucket. A row holds a batch's
-stretches of one bucket: how many k-mers each has, and their bases one after another.
+distinct stretches of one bucket: how many k-mers each has, their bases one after another, and how often each occurs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kmerloom.functions.codes import _CODE, canonical_windows, code_names, widths, windows_of
+from kmerloom.functions.codes import _CODE, WORD, _packed, canonical_windows, code_names, widths, windows_of
 
 #: Bases of a minimizer.
 M = 11
@@ -100,11 +101,72 @@ def _in_parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield from table.to_batches(max_chunksize=most)
 
 
-def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq") -> DataFrame:
-    """(bucket, sizes, bases) of all k-mers of A, C, G and T; with ``key``, its value and the place of each stretch as ``keys`` and ``xs`` (32-bit)."""
-    fields = [T.StructField("bucket", T.IntegerType()), T.StructField("sizes", T.BinaryType()), T.StructField("bases", T.BinaryType())]
-    if key:
-        fields += [T.StructField("keys", T.ArrayType(seqs.schema[key].dataType)), T.StructField("xs", T.BinaryType())]
+def _alike(bucket: np.ndarray, start: np.ndarray, wide: np.ndarray, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, times, order): the first of each stretch's copies by bucket, how many there are, and all stretches in this order.
+
+    A stretch of up to two words is told by its first and last word; a longer one counts as different from all others.
+    """
+    word = _packed(np.concatenate((bases, np.zeros(WORD, np.uint8))), WORD)
+    head = word[start] >> 2 * np.maximum(WORD - wide, 0)
+    tail = np.where(wide > WORD, word[np.maximum(start + wide - WORD, 0)], 0)
+    order = np.lexsort((tail, head, wide, bucket))
+    opens = wide[order] > 2 * WORD
+    for v in (bucket, wide, head, tail):
+        opens[1:] |= np.diff(v[order]) != 0
+    opens[:1] = True
+    edges = np.flatnonzero(opens)
+    first, times = order[edges], np.diff(np.concatenate((edges, [len(order)])))
+    by = np.lexsort((first, bucket[first]))  # as they come, so that keys stay sorted
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return first[by], times[by], order[np.argsort(np.repeat(place, times), kind="stable")]
+
+
+def _planes(v: np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes first: high ones are mostly equal and pack well."""
+    return v.astype(np.int32).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, at).reshape(4, n).T).view(np.int32).ravel()
+
+
+def _owners(names: pa.Array, xs: np.ndarray, edges: np.ndarray) -> list[bytes]:
+    """For each row the lengths of its stretches' keys, -1 for a null one, their places and the keys, packed."""
+    lengths = np.array(names.is_valid()).astype(np.int32)
+    data, ends = _bytes(names.cast(pa.binary()))
+    lengths = np.where(lengths > 0, np.diff(ends), -1).astype(np.int32)
+    data = data.tobytes()
+    return [zlib.compress(_planes(lengths[a:b]) + _planes(xs[a:b]) + data[ends[a] : ends[b]], 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def _owned(packed: list[bytes], times: list[np.ndarray]) -> tuple[pa.Array, np.ndarray]:
+    """(keys, places) of rows of ``_owners``; ``times`` has each row's numbers of copies."""
+    lengths, xs, data = [], [], []
+    for blob, many in zip(packed, times, strict=True):
+        body, n = zlib.decompress(blob), int(many.sum())
+        lengths.append(_unplaned(body, n))
+        xs.append(_unplaned(body, n, 4 * n))
+        data.append(body[8 * n :])
+    size = np.concatenate(lengths)
+    ends = np.concatenate(([0], np.cumsum(np.maximum(size, 0)))).astype(np.int64)
+    valid = pa.py_buffer(np.packbits(size >= 0, bitorder="little").tobytes())
+    keys = pa.Array.from_buffers(pa.large_string(), len(size), [valid, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(data))])
+    return keys, np.concatenate(xs)
+
+
+def _times(column: pa.Array) -> list[np.ndarray]:
+    """How often each stretch of each row occurs."""
+    return [_unplaned(data, len(data) // 4) for data in map(zlib.decompress, column.to_pylist())]
+
+
+def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq", share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """(bucket, sizes, bases, times) of all k-mers of A, C, G and T; with ``key``, ``owners`` has its value, as text, and the place of each copy of each stretch.
+
+    ``share`` (i, n) leaves only the i-th of n parts of the buckets, for work in n passes.
+    """
+    columns = ["sizes", "bases", "times", *(["owners"] if key else [])]
+    fields = [T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in columns)]
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,31 +179,35 @@ def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq") -> D
                 least = _minimizers(codes, k)[own]
                 opens = np.flatnonzero(np.concatenate(([True], (np.diff(own) != 1) | (np.diff(least) != 0) | (np.diff(row[own]) != 0))))
                 size = np.diff(np.concatenate((opens, [len(own)])))
+                if share[1] > 1:
+                    mine = np.flatnonzero(_bucket(least[opens]) % share[1] == share[0])
+                    opens, size = opens[mine], size[mine]
+                    if not len(mine):
+                        continue
                 if size.max() > MOST:  # text of a short period
                     more = -(-size // MOST)
                     nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
                     opens, size = np.repeat(opens, more) + nth * MOST, np.minimum(np.repeat(size, more) - nth * MOST, MOST)
-                bucket = _bucket(least[opens])
-                order = np.argsort(bucket, kind="stable")
-                opens, size, bucket = opens[order], size[order], bucket[order]
-                wide = size + k - 1
+                first, times, order = _alike(_bucket(least[opens]), own[opens], size + k - 1, codes)
+                bucket, start, sizes = _bucket(least[opens[first]]), own[opens[first]], size[first].astype(np.uint8)
+                wide = size[first] + k - 1
                 ends = np.cumsum(wide)
-                flat = codes[np.arange(ends[-1]) + np.repeat(own[opens] - (ends - wide), wide)]
+                flat = codes[np.arange(ends[-1]) + np.repeat(start - (ends - wide), wide)]
                 edges = np.concatenate((np.flatnonzero(np.concatenate(([True], np.diff(bucket) != 0))), [len(bucket)]))
                 stops = np.concatenate(([0], ends))[edges]
-                sizes = size.astype(np.uint8)
                 out = [
                     pa.array(bucket[edges[:-1]].astype(np.int32)),
                     pa.array([sizes[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
                     pa.array([_pack(flat[a:b]) for a, b in zip(stops[:-1], stops[1:], strict=True)], pa.binary()),
+                    pa.array([zlib.compress(_planes(times[a:b]), 1) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
                 ]
                 if key:
-                    at, xs = own[opens], place[own[opens]].astype(np.int32)
-                    out.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), batch.column(1).take(pa.array(row[at]))))
-                    out.append(pa.array([xs[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+                    at = own[opens[order]]
+                    copies = np.concatenate(([0], np.cumsum(times)))[edges]
+                    out.append(pa.array(_owners(batch.column(1).take(pa.array(row[at])), place[at].astype(np.int32), copies), pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return seqs.select(seq, *([key] if key else [])).mapInArrow(run, T.StructType(fields))
+    return seqs.select(seq, *([F.col(key).cast("string").alias(key)] if key else [])).mapInArrow(run, T.StructType(fields))
 
 
 def _distinct(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -150,21 +216,23 @@ def _distinct(table: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
     held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in names]
     many = np.zeros(0, np.int64)
     parts: list[list[np.ndarray]] = []
+    often: list[np.ndarray] = []
     waiting = 0
 
     def merged() -> None:
-        nonlocal held, many, parts, waiting
+        nonlocal held, many, parts, often, waiting
         columns = [np.concatenate([h, *(p[j] for p in parts)]) for j, h in enumerate(held)]
-        n = np.concatenate((many, np.ones(waiting, np.int64)))
+        n = np.concatenate([many, *often])
         order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
         columns = [c[order] for c in columns]
         first = np.flatnonzero(np.concatenate(([True], np.any([np.diff(c) != 0 for c in columns], axis=0))))
         held, many = [c[first] for c in columns], np.add.reduceat(n[order], first)
-        parts, waiting = [], 0
+        parts, often, waiting = [], [], 0
 
-    for rows in _in_parts(table.select(["sizes", "bases"])):
-        codes, _, _ = unpacked(rows.column(0), rows.column(1), k)
+    for rows in _in_parts(table.select(["sizes", "bases", "times"])):
+        codes, stretch, _ = unpacked(rows.column(0), rows.column(1), k)
         parts.append(codes)
+        often.append(np.concatenate(_times(rows.column(2))).astype(np.int64)[stretch])
         waiting += len(codes[0])
         if waiting >= max(CHUNK, len(many)):
             merged()
@@ -184,7 +252,7 @@ def counted(dealt: DataFrame, k: int) -> DataFrame:
         codes, n = _distinct(table, k)
         return pa.table([*codes, n], names=[*names, "n"])
 
-    return dealt.select("bucket", "sizes", "bases").groupBy("bucket").applyInArrow(own, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+    return dealt.select("bucket", "sizes", "bases", "times").groupBy("bucket").applyInArrow(own, ", ".join(f"{c} bigint" for c in [*names, "n"]))
 
 
 def _member(codes: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
@@ -199,29 +267,34 @@ def _member(codes: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
     return known[0][at] == codes[0]
 
 
-def absent_runs(seqs: DataFrame, reference: DataFrame, k: int, key: str = "id", seq: str = "seq") -> DataFrame:
+def absent_runs(seqs: DataFrame, reference: DataFrame, k: int, key: str = "id", seq: str = "seq", share: tuple[int, int] = (0, 1)) -> DataFrame:
     """(key, a, b): first and last k-mer start of runs of starts of ``seqs`` that are not in ``reference``, k-mers of ``deal``.
 
     A run may go on in the next one, as a stretch ends it; starts with other letters than A, C, G and T are absent.
+    With ``share`` (i, n) both sides are those of ``deal``, and the runs of all n passes are the whole.
     """
     kind = seqs.schema[key].dataType.simpleString()
 
     def own(asked: pa.Table, held: pa.Table) -> pa.Table:
         known, _ = _distinct(held, k)
         out = []
-        for rows in _in_parts(asked.select(["sizes", "bases", "keys", "xs"])):
+        for rows in _in_parts(asked.select(["sizes", "bases", "times", "owners"])):
             codes, stretch, nth = unpacked(rows.column(0), rows.column(1), k)
-            x = _bytes(rows.column(3))[0].view(np.int32)[stretch] + nth
-            keys = rows.column(2).flatten()
             miss = np.flatnonzero(~_member(codes, known))
             if not len(miss):
                 continue
             opens = np.concatenate(([True], (np.diff(miss) != 1) | (np.diff(stretch[miss]) != 0)))
             first = np.flatnonzero(opens)
             last = np.concatenate((first[1:], [len(miss)])) - 1
-            out.append(pa.table([keys.take(pa.array(stretch[miss[first]])), x[miss[first]].astype(np.int32), x[miss[last]].astype(np.int32)], names=[key, "a", "b"]))
-        none = pa.table([pa.array([], asked.schema.field("keys").type.value_type), pa.array([], pa.int32()), pa.array([], pa.int32())], names=[key, "a", "b"])
-        return pa.concat_tables(out) if out else none
+            each = _times(rows.column(2))
+            keys, xs = _owned(rows.column(3).to_pylist(), each)
+            times = np.concatenate(each).astype(np.int64)
+            which = stretch[miss[first]]
+            many = times[which]  # a run goes to each copy of its stretch
+            copy = np.arange(many.sum()) + np.repeat((np.cumsum(times) - times)[which] - (np.cumsum(many) - many), many)
+            a, b = (np.repeat(nth[miss[v]], many) + xs[copy] for v in (first, last))
+            out.append(pa.table([keys.take(pa.array(copy)).cast(pa.string()), a.astype(np.int32), b.astype(np.int32)], names=[key, "a", "b"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], pa.string()), pa.array([], pa.int32()), pa.array([], pa.int32())], names=[key, "a", "b"])
 
     def unclean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +306,11 @@ def absent_runs(seqs: DataFrame, reference: DataFrame, k: int, key: str = "id",
                     yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(row[at[first]])), pa.array(place[at[first]].astype(np.int32)), pa.array(place[at[last]].astype(np.int32))], [key, "a", "b"])
 
     schema = f"`{key}` {kind}, a int, b int"
-    found = deal(seqs, k, key, seq).groupBy("bucket").cogroup(reference.select("bucket", "sizes", "bases").groupBy("bucket")).applyInArrow(own, schema)
+    text = f"`{key}` string, a int, b int"
+    found = deal(seqs, k, key, seq, share).groupBy("bucket").cogroup(reference.select("bucket", "sizes", "bases", "times").groupBy("bucket")).applyInArrow(own, text)
+    found = found.withColumn(key, F.col(key).cast(kind))
+    if share[0]:
+        return found  # the first pass has the starts without a bucket
     return found.unionByName(seqs.filter(F.col(seq).rlike("[^ACGT]")).select(seq, key).mapInArrow(unclean, schema))
 
 
@@ -255,4 +332,4 @@ def members(asked: DataFrame, reference: DataFrame, k: int) -> DataFrame:
         return question.select(names).filter(pa.array(_member([question[c].to_numpy() for c in names], known)))
 
     dealt = asked.select(*names).distinct().mapInArrow(routed, f"bucket int, {ddl}")
-    return dealt.groupBy("bucket").cogroup(reference.select("bucket", "sizes", "bases").groupBy("bucket")).applyInArrow(own, ddl)
+    return dealt.groupBy("bucket").cogroup(reference.select("bucket", "sizes", "bases", "times").groupBy("bucket")).applyInArrow(own, ddl)

@@ -6,6 +6,7 @@ Tables that several queries read are derived once for a session and state of the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions.codes import code_names
 from kmerloom.operators import genes, splicegraph, superkmers
 from kmerloom.operators.junctions import all_exons, bounds_of_runs, long_enough, runs_between
-from kmerloom.storage import global_rank, once, spread
+from kmerloom.storage import global_rank, materialize, once, spread
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 BASES = "ACGTACGTACGTACGTACGTACGTAC"
@@ -24,6 +25,8 @@ EXON, STRIDE = 120, 180
 READ, STEP = 100, 50
 #: Reads that are cut from one block of a contig.
 BLOCK = 64
+#: Passes over the buckets when all transcripts are held against all contigs: each shuffles a part of the k-mers.
+PASSES = 2
 #: Leniency of the window form that the graph queries use.
 LENIENCY = 10
 #: Splice signals before and after an exon.
@@ -108,8 +111,13 @@ def members(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame
 
 
 def absent(spark: SparkSession, sf_dir: str, seqs: DataFrame) -> DataFrame:
-    """(id, a, b): runs of k-mer starts of ``seqs`` that the contigs do not have."""
-    return superkmers.absent_runs(seqs, dealt(spark, sf_dir), K)
+    """(id, a, b): runs of k-mer starts of ``seqs`` that the contigs do not have.
+
+    The contigs are dealt straight into the shuffle: ``dealt`` would lie on disk a second time beside it. A pass takes
+    a part of the buckets, and what it shuffled goes when its runs are written.
+    """
+    one = lambda share: superkmers.absent_runs(seqs, superkmers.deal(contigs(spark, sf_dir), K, share=share), K, share=share)
+    return reduce(DataFrame.unionByName, [materialize(one((i, PASSES))) for i in range(PASSES)])
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

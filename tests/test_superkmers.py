@@ -57,3 +57,29 @@ def test_places_are_sent_in_few_rows(spark):
     sent = bloom._sent(at)
     assert np.array_equal(np.concatenate([bloom._received(r) + r.slice * bloom.SLICE for r in sent.itertuples()]), at) and len(sent) == 3
     assert not len(bloom._sent(at[:0]))
+
+
+def test_copies_are_sent_once(spark):
+    """Copies of a stretch travel once, with the number, keys and places of all; before, its bases went once for each."""
+    rng = random.Random(4)
+    text = "".join(rng.choice("ACGT") for _ in range(20_000))
+    one = spark.createDataFrame([("a0", text)], "id string, seq string").coalesce(1)
+    four = spark.createDataFrame([(f"a{i}", text) for i in range(3)] + [(None, text)], "id string, seq string").coalesce(1)
+    size = lambda df, c: df.agg(F.sum(F.length(c))).first()[0]
+    assert size(superkmers.deal(four, 25), "bases") == size(superkmers.deal(one, 25), "bases")
+    assert {r["n"] for r in kmers.count_kmers(four, 25).collect()} == {4}
+    held = spark.createDataFrame([(text[:9_000],)], "seq string")
+    got = superkmers.absent_runs(four, superkmers.deal(held, 25), 25)
+    starts = {(r["id"], x) for r in got.collect() for x in range(r["a"], r["b"] + 1)}
+    assert starts == {(i, x) for i in ("a0", "a1", "a2", None) for x in range(9_000 - 24, 20_000 - 24)}
+    assert size(superkmers.deal(four, 25, "id"), "owners") < 4 * 7 * size(superkmers.deal(one, 25), "sizes")
+
+
+def test_passes_are_the_whole(seqs):
+    """Two passes over the buckets shuffle about half of the stretches each and find the same starts."""
+    held = seqs.filter("id % 2 = 0 and id % 3 > 0")
+    starts = lambda df: sorted((r["id"], x) for r in df.collect() for x in range(r["a"], r["b"] + 1))
+    parts = [superkmers.absent_runs(seqs, superkmers.deal(held, 25, share=(i, 2)), 25, share=(i, 2)) for i in range(2)]
+    assert starts(parts[0].unionByName(parts[1])) == starts(superkmers.absent_runs(seqs, superkmers.deal(held, 25), 25))
+    sent = [superkmers.deal(seqs, 25, share=s).agg(F.sum(F.length("sizes"))).first()[0] for s in ((0, 2), (1, 2), (0, 1))]
+    assert sent[0] + sent[1] == sent[2] and max(sent[:2]) < 0.7 * sent[2]
