@@ -55,13 +55,26 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark, keep)
+    with _cleaned(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What the block's queries have shuffled goes when they are done, not when the driver collects its garbage."""
     before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # what the write has shuffled goes when it is done, not when the driver collects its garbage
+    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def drain(df: DataFrame) -> None:
+    """Work out all rows of ``df``, for what is observed on them; nothing is written."""
+    with _cleaned(df.sparkSession):
+        df.write.format("noop").mode("overwrite").save()
 
 
 @contextmanager

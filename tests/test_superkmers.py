@@ -83,3 +83,14 @@ def test_passes_are_the_whole(seqs):
     assert starts(parts[0].unionByName(parts[1])) == starts(superkmers.absent_runs(seqs, superkmers.deal(held, 25), 25))
     sent = [superkmers.deal(seqs, 25, share=s).agg(F.sum(F.length("sizes"))).first()[0] for s in ((0, 2), (1, 2), (0, 1))]
     assert sent[0] + sent[1] == sent[2] and max(sent[:2]) < 0.7 * sent[2]
+
+
+def test_metrics_write_no_kmers(spark, monkeypatch):
+    """The counted k-mers are observed and dropped; before, they were written to be read by none."""
+    from kmerloom.plans import queries
+
+    def none(*args, **more):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(queries, "materialize", none)
+    assert queries.run_metrics(spark, "/root/testdata/sf0.001").first()["total"] > 0
