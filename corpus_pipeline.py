@@ -56,7 +56,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (5-word shingles, similarity 0.8), that of the smallest ``doc_id``."""
+    """One document of each group of near duplicates, that of the smallest ``doc_id``.
+
+    SimHash as operator 9 has it links fingerprints (of 5-word shingles) at 2 or fewer bits; pairs of similarity 0.8 beyond that are linked as well.
+    """
     own = _carried(docs)
     keyed = own.select("*", *row_key())
     one = keyed.join(kept_rows(own).hint("shuffle_hash"), ["_a", "_b"], "left_semi").dropDuplicates(["_a", "_b"])
@@ -73,7 +76,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs, vocabulary_path(), capacity=1024, end_id=2)
 
 
-#: The stages and their functions. SimHash near-dedup finds its pairs as ``near_text`` says.
+#: The stages and their functions. SimHash near-dedup takes operator 9's links, and those beyond 2 bits as ``near_text`` says.
 STAGES = [
     ("language_id", language_id),
     ("line_dedup", line_dedup),

@@ -1,9 +1,13 @@
 """SimHash near-duplicate detection at a similarity of word shingles (operator 9 in the pipeline).
 
 Two texts are near if the Jaccard similarity of their sets of 5-word shingles is ``least`` or
-more. Fingerprints of such pairs differ in about 10 bits of 64, so tiles of all fingerprints would have to be
-compared with all, in quadratic time, and blocks of equal bits as for radius 2 do not exist. Texts are
-dealt into buckets by their shingles instead: BANDS bands of ROWS smallest hashes, of which a pair at 0.8 shares
+more. Pairs are found in two steps. The first is operator 9's own (``simhash.links``): fingerprints in blocks of equal
+bits, compared in tiles, linked at CLOSEST or fewer differing bits. Here a fingerprint is that of a set, so that
+no repeated passage outweighs the rest of a text.
+
+Fingerprints of pairs at 0.8 differ in about 10 bits of 64, so tiles of all fingerprints would have to be
+compared with all, in quadratic time, and blocks of equal bits as for radius 2 do not exist. For what the first step
+cannot reach texts are dealt into buckets by their shingles as well: BANDS bands of ROWS smallest hashes, of which a pair at 0.8 shares
 one but for 1 in 20,000, a closer one still more surely. In a bucket fingerprints are compared by exclusive-or and
 bit counts, in tiles of a bounded size, and pairs within RADIUS bits are confirmed on the full sets, as
 32-bit hashes of the shingles.
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import join_with_hot, materialize
-from kmerloom.llm.simhash import _hook, fold, shingle_hashes
+from kmerloom.llm.simhash import _hook, fold, links, shingle_hashes
 from kmerloom.operators.components import connected_components
 
 BANDS, ROWS = 25, 5
@@ -36,6 +40,8 @@ SEED = 42
 TILE = 512
 #: Bits in which fingerprints of a near pair may differ: pairs at 0.8 differ in 10 of 64, by 3 more or less.
 RADIUS = 22
+#: Bits at which fingerprints link without more, as in operator 9.
+CLOSEST = 2
 
 _RANDOM = np.random.default_rng(9)
 _TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -68,8 +74,8 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
                 every = [shingle_hashes(t, width, SEED) for t in part["text"]]
-                fp = np.array([fold(h) for h in every], np.uint64).view(np.int64)
                 found = [np.unique(h) for h in every]
+                fp = np.array([fold(h) for h in found], np.uint64).view(np.int64)
                 node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
                 keys = [band_keys(s).view(np.int64) for s in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "_a": part["_a"], "_b": part["_b"], "node": node, "fp": fp, "sh": [np.unique(s.astype(np.uint32)).view(np.int32) for s in found], "keys": keys})
@@ -94,6 +100,18 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     )
 
 
+def fingerprint_links(nodes: DataFrame) -> DataFrame:
+    """Links (u, v) of operator 9 between ``nodes`` (node, fp): equal fingerprints, and those that ``simhash.links`` joins.
+
+    Texts without words have fingerprint zero and are one node already.
+    """
+    first = materialize(nodes.groupBy("fp").agg(F.min("node").alias("v")))
+    equal = nodes.join(first, "fp").filter("node <> v").select(F.col("node").alias("u"), "v")
+    joined = links(first.select("fp"), CLOSEST).withColumnsRenamed({"u": "a", "v": "b"})
+    at = lambda c, n: first.select(F.col("fp").alias(c), F.col("v").alias(n))
+    return materialize(equal.unionByName(joined.join(at("a", "u"), "a").join(at("b", "v"), "b").select("u", "v")))
+
+
 def close(a: str, b: str) -> Column:
     """Whether two fingerprints differ in RADIUS bits or fewer."""
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
@@ -150,7 +168,8 @@ def kept_rows(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """The row keys (_a, _b) to keep: of each component that of the smallest doc_id, a null one last."""
     signed = materialize(_signed(docs, width))
     best = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "_a", "_b")
-    nodes = materialize(signed.groupBy("node").agg(F.min(best).alias("best"), F.min("rid").alias("rid")))
+    nodes = materialize(signed.groupBy("node").agg(F.min(best).alias("best"), F.min("rid").alias("rid"), F.min("fp").alias("fp")))
+    closest = fingerprint_links(nodes.select("node", "fp"))
     alone = signed.join(nodes.select("rid"), "rid", "left_semi")  # one row of each node
     members = alone.select("node", "fp", F.explode("keys").alias("key"))
     first = F.min(F.struct("node", "fp"))
@@ -159,7 +178,7 @@ def kept_rows(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     stars = materialize(members.filter((F.col("node") != F.col("v")) & close("fp", "fv")).select(F.col("node").alias("u"), "v").distinct())
     wanted = materialize(nodes.join(members.select("node").distinct(), "node", "left_semi").select("rid"))  # the sets are shuffled once, by row
     sets = materialize(signed.select("rid", "node", "sh").join(wanted, "rid", "left_semi").select("node", "sh"))
-    found = _confirmed(stars, sets, least)
+    found = closest.unionByName(_confirmed(stars, sets, least))
     roots = connected_components(found)
     rooted = members.join(roots, "node", "left").select("key", "node", "fp", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(

@@ -62,3 +62,17 @@ def test_rows_with_equal_or_null_id_stay(spark):
     rows = [(None, a), (None, b), (None, c), (7, c), (7, d), (7, d), (8, d), (None, None), (9, "")]
     assert stage(spark, rows) == sorted([(None, a), (None, b), (7, c), (7, d), (9, "")], key=str)
     assert stage(spark, rows[:0]) == []
+
+
+def test_links_of_operator_9(spark, monkeypatch):
+    """Operator 9's own pass alone, without any band, joins fingerprints within two bits; before, the stage had no such pass."""
+    rng = random.Random(6)
+    base = words(rng, 3000)
+    near = list(base)
+    near[1500] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(words(rng, 3000)))]
+    a, b, c = (simhash.fold(near_text.np.unique(simhash.shingle_hashes(t, 5, 42))) for _, t in rows)
+    assert 0 < (a ^ b).bit_count() <= 2 < (a ^ c).bit_count()
+    number = iter(range(10**6))
+    monkeypatch.setattr(near_text, "band_keys", lambda found: near_text.np.full(near_text.BANDS, int(found.min()) >> 1, near_text.np.uint64) + near_text.np.uint64(next(number)))
+    assert [i for i, _ in stage(spark, rows)] == [1, 3]
