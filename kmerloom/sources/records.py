@@ -43,8 +43,8 @@ def line_class(head: Column) -> Column:
     """Class of a line, from its first letters."""
     header = head.rlike("^@[A-Za-z]{2}\t")
     return (
-        F.when(F.rtrim(F.replace(head, F.lit("\r"), F.lit(""))) == "", BLANK).when(head.startswith(">"), GREATER).when(head.startswith("#"), HASH)
-        .when(header, SAM_HEADER).when(head.startswith("@"), AT).otherwise(OTHER).cast("tinyint")
+        F.when(head.startswith(">"), GREATER).when(head.startswith("#"), HASH).when(head.startswith("@"), F.when(header, SAM_HEADER).otherwise(AT))
+        .when(F.rtrim(F.replace(head, F.lit("\r"), F.lit(""))) == "", BLANK).otherwise(OTHER).cast("tinyint")
     )
 
 
@@ -73,14 +73,32 @@ def composed(classes: np.ndarray, machine: str) -> tuple[np.ndarray, np.ndarray]
     return to[0], n[0]
 
 
+def led(classes: np.ndarray, state: int, machine: str) -> tuple[int, int]:
+    """(how many of the lines end a record that is open in ``state``, the state behind them; BETWEEN where the record has ended)."""
+    step, begin = _tables(machine)
+    n = 0
+    while state != BETWEEN and n < len(classes):
+        if state == BODY:  # any number of lines
+            ends = np.flatnonzero((step[BODY] != BODY)[classes[n:]] | (begin[BODY] > 0)[classes[n:]])
+            n += int(ends[0]) if len(ends) else len(classes) - n
+            if not len(ends):
+                return n, BODY
+        c = classes[n]
+        if begin[state, c]:
+            return n, BETWEEN
+        state, n = int(step[state, c]), n + 1
+    return n, state
+
+
 def _summaries(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow function from (KEY, class) to (KEY, exits, counts) of each split."""
+    """Arrow function from (KEY, class, _row) to (KEY, exits, counts, leads, _first) of each split."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, to, n = None, np.arange(6), np.zeros(6, np.int64)
+        first, lead, left = 0, [0] * 6, list(range(6))
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([dict(zip(KEY, at, strict=True)) | {"exits": to.tolist(), "counts": n.tolist()}], schema=_SUMMARY)
+            return pa.RecordBatch.from_pylist([dict(zip(KEY, at, strict=True)) | {"exits": to.tolist(), "counts": n.tolist(), "leads": lead, "_first": first}], schema=_SUMMARY)
 
         for batch in batches:
             if not batch.num_rows:
@@ -91,6 +109,10 @@ def _summaries(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                     if at is not None:
                         yield out()
                     at, to, n = key, np.arange(6), np.zeros(6, np.int64)
+                    first, lead, left = batch.column(4)[lo].as_py(), [0] * 6, list(range(6))
+                for s in range(6):
+                    more, left[s] = led(classes[lo:hi], left[s], machine)
+                    lead[s] += more
                 more, begun = composed(classes[lo:hi], machine)
                 to, n = more[to], n + begun[to]
         if at is not None:
@@ -99,7 +121,14 @@ def _summaries(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return go
 
 
-_SUMMARY = pa.schema([("_turn", pa.int32()), ("_path", pa.string()), ("_block", pa.int64()), ("exits", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
+_SUMMARY = pa.schema([("_turn", pa.int32()), ("_path", pa.string()), ("_block", pa.int64()), ("exits", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("leads", pa.list_(pa.int64())), ("_first", pa.int64())])
+
+
+def _runs(batch: pa.RecordBatch) -> list[tuple[int, int, int]]:
+    """(first, after last, split) of runs of rows of one split, whose number is the first column."""
+    split = batch.column(0).to_numpy()
+    edges = [0, *(np.flatnonzero(np.diff(split) != 0) + 1).tolist(), batch.num_rows]
+    return [(lo, hi, int(split[lo])) for lo, hi in zip(edges, edges[1:], strict=False)]
 
 
 def _stretches(batch: pa.RecordBatch) -> list[tuple[int, int, tuple]]:
@@ -111,22 +140,25 @@ def _stretches(batch: pa.RecordBatch) -> list[tuple[int, int, tuple]]:
 
 
 def _followed(splits: pd.DataFrame) -> pd.DataFrame:
-    """State before and records begun in each split of one file."""
-    state, states, counts = BETWEEN, [], []
+    """State before, records begun and lines that end one begun before, in each split of one file."""
+    state, states, counts, leads = BETWEEN, [], [], []
     splits = splits.sort_values("_block")
-    for exits, begun in zip(splits["exits"], splits["counts"], strict=True):
+    for exits, begun, lead in zip(splits["exits"], splits["counts"], splits["leads"], strict=True):
         states.append(state)
         counts.append(int(begun[state]))
+        leads.append(int(lead[state]))
         state = int(exits[state])
-    return splits[KEY].assign(_state=states, _n=counts)
+    return splits[[*KEY, "_first"]].assign(_state=states, _n=counts, _lead=leads)
 
 
 def split_starts(spark: SparkSession, rows: DataFrame, paths: list[str], machine: str) -> DataFrame:
-    """(KEY, _state, _start): the state before the first line of each split, and the number of the first record that begins in it."""
-    classes = rows.select(*KEY, _class(machine).alias("_class"))
-    own = materialize(classes.mapInArrow(_summaries(machine), "_turn int, _path string, _block bigint, exits array<int>, counts array<bigint>"))
-    followed = own.groupBy("_turn", "_path").applyInPandas(_followed, "_turn int, _path string, _block bigint, _state int, _n bigint")
-    return materialize(with_start(in_order(spark, materialize(followed), paths), "_n", "_start").select(*KEY, "_state", "_start"))
+    """(KEY, _state, _start, _split, _first, _lead): the state before the first line of each split, the number of the first record that
+    begins in it, a number of the split, its first ``_row``, and how many of its lines end a record begun before it."""
+    classes = rows.select(*KEY, _class(machine).alias("_class"), "_row")
+    own = materialize(classes.mapInArrow(_summaries(machine), "_turn int, _path string, _block bigint, exits array<int>, counts array<bigint>, leads array<bigint>, _first bigint"))
+    followed = own.groupBy("_turn", "_path").applyInPandas(_followed, "_turn int, _path string, _block bigint, _first bigint, _state int, _n bigint, _lead bigint")
+    placed = with_start(in_order(spark, materialize(followed), paths), "_n", "_start")
+    return materialize(placed.select(*KEY, "_state", "_start", F.monotonically_increasing_id().alias("_split"), "_first", "_lead"))
 
 
 class _Cut:
@@ -183,27 +215,68 @@ def _fours(cut: _Cut, lines: pa.Array) -> Iterator[pa.RecordBatch]:
     yield _batch(list(cut.add(rest, [OTHER] * len(rest))), _RECORD)
 
 
+def _steps(classes: np.ndarray, state: int, step: list[list[int]]) -> np.ndarray:
+    """The state before each line, and behind the last."""
+    out = [state]
+    for c in classes.tolist():
+        state = step[state][c]
+        out.append(state)
+    return np.array(out)
+
+
+def _anys(cut: _Cut, lines: pa.Array, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``_Cut.add`` for a run of lines of records of all kinds: records that begin and end in it are taken from the batch at once."""
+    step, begin = np.array(cut.step), np.array(cut.begin)
+    first, _ = led(classes, cut.state if cut.header is not None else BETWEEN, "any")  # what is left of the record at hand
+    yield _batch(list(cut.add(lines.slice(0, first).to_pylist(), classes[:first].tolist())), _RECORD)
+    lines, classes = lines.slice(first), classes[first:]
+    if not len(lines):
+        return
+    state = _steps(classes, cut.state, cut.step)
+    before, behind = state[:-1], state[1:]
+    heads = np.flatnonzero(begin[before, classes])
+    if len(heads) and cut.header is not None:  # it ends where the next one begins
+        yield _batch(list(cut.close(True)), _RECORD)
+    whole = heads if behind[-1] == BETWEEN else heads[:-1]  # the last one may go on in the next batch
+    stop = len(lines) if len(whole) == len(heads) else heads[-1]
+    if len(whole):
+        before, behind, known = before[:stop], behind[:stop], classes[:stop]
+        opens = np.zeros(stop, bool)
+        opens[whole] = True
+        record = np.cumsum(opens) - 1
+        body = np.flatnonzero(~opens & (record >= 0) & ((before == FIRST) | (before == BASES) | ((before == BODY) & (known != HASH))))
+        qual = np.flatnonzero(~opens & (record >= 0) & (before == QUALITY))
+        trimmed = lambda at: pc.utf8_rtrim(lines.take(pa.array(at)), "\r")
+        ends = np.searchsorted(record[body], np.arange(len(whole) + 1))
+        seq = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), trimmed(body)), "")
+        rank = np.full(len(whole), -1)
+        rank[record[qual]] = np.arange(len(qual))
+        own = trimmed(qual).take(pa.array(rank, mask=rank < 0))
+        kind = np.where(step[before[whole], known[whole]] == BASES, "@", np.where(known[whole] == AT, "@", np.where(known[whole] == GREATER, ">", "line")))
+        number = pa.array(cut.number + 1 + np.arange(len(whole)))
+        yield pa.RecordBatch.from_arrays([number, pa.array(kind.astype(object), pa.string()), trimmed(whole), seq, own, pa.nulls(len(whole), pa.int32())], schema=_RECORD)
+    cut.number += len(whole)
+    cut.state = int(state[stop])
+    yield _batch(list(cut.add(lines.slice(stop).to_pylist(), classes[stop:].tolist())), _RECORD)
+
+
 def _records(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow function from (KEY, class, value, _state, _start) to the records that begin in each split; the last may lack lines of the next split."""
+    """Arrow function from (_split, _state, _start, class, value) to the records that begin in each split; the last may lack lines of the next split."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cut = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            out: list[tuple] = []
-            fours = machine == "fastq"
-            classes, lines = ([], []) if fours else (batch.column(3).to_pylist(), batch.column(4).to_pylist())
-            for lo, hi, key in _stretches(batch):
-                if key != at:
+            classes = batch.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            lines = batch.column(4).cast(pa.string())
+            for lo, hi, split in _runs(batch):
+                if split != at:
                     if cut:
-                        out += cut.close(False)
-                    at, cut = key, _Cut(machine, batch.column(5)[lo].as_py(), batch.column(6)[lo].as_py())
-                if fours:
-                    yield from _fours(cut, batch.column(4).slice(lo, hi - lo).cast(pa.string()))
-                else:
-                    out += cut.add(lines[lo:hi], classes[lo:hi])
-            yield _batch(out, _RECORD)
+                        yield _batch(list(cut.close(False)), _RECORD)
+                    at, cut = split, _Cut(machine, batch.column(1)[lo].as_py(), batch.column(2)[lo].as_py())
+                own = lines.slice(lo, hi - lo)
+                yield from _fours(cut, own) if machine == "fastq" else _anys(cut, own, classes[lo:hi])
         if cut:
             yield _batch(list(cut.close(False)), _RECORD)
 
@@ -216,20 +289,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _heads(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Arrow function from the same columns to the lines at each split's start that belong to a record begun before it."""
+    """Arrow function from the same columns and _block to the lines at each split's start that belong to a record begun before it."""
     step, begin = (t.tolist() for t in _tables(machine))
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state, number, lines = None, BETWEEN, 0, []
+        at, state, number, block, lines = None, BETWEEN, 0, 0, []
         for batch in batches:
             if not batch.num_rows:
                 continue
             out: list[tuple] = []
-            for lo, hi, key in _stretches(batch):
-                if key != at:
+            for lo, hi, split in _runs(batch):
+                if split != at:
                     if lines:
-                        out.append((number, at[2], lines))
-                    at, state, number, lines = key, batch.column(5)[lo].as_py(), batch.column(6)[lo].as_py() - 1, []
+                        out.append((number, block, lines))
+                    at, state, number, lines = split, batch.column(1)[lo].as_py(), batch.column(2)[lo].as_py() - 1, []
+                    block = batch.column(5)[lo].as_py()
                 while state != BETWEEN and lo < hi:
                     c = batch.column(3)[lo].as_py()
                     if begin[state][c]:
@@ -241,7 +315,7 @@ def _heads(machine: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                     lo += 1
             yield _batch(out, _HEAD)
         if lines:
-            yield _batch([(number, at[2], lines)], _HEAD)
+            yield _batch([(number, block, lines)], _HEAD)
 
     return go
 
@@ -254,12 +328,12 @@ def cut_records(spark: SparkSession, paths: list[str], machine: str = "any") ->
     """
     rows = read_rows(spark, paths)
     starts = split_starts(spark, rows, paths, machine)
-    told = rows.join(known_splits(starts), KEY, "left").select(
-        *KEY, _class(machine).alias("_class"), "value",
-        F.when(F.col("_state").isNull(), F.raise_error(F.lit("files were dealt into other splits than before"))).otherwise(F.col("_state")).alias("_state"), "_start",
-    )
-    records = told.mapInArrow(_records(machine), "rec_no bigint, kind string, header string, seq string, qual string, _open int")
-    heads = told.mapInArrow(_heads(machine), "rec_no bigint, _block bigint, lines array<string>")
+    state = F.when(F.col("_state").isNull(), F.raise_error(F.lit("files were dealt into other splits than before"))).otherwise(F.col("_state"))
+    placed = rows.join(known_splits(starts), KEY, "left")
+    own = ["_split", state.alias("_state"), "_start", _class(machine).alias("_class"), "value"]
+    led_by = placed.filter(F.col("_row") - F.col("_first") < F.col("_lead"))  # a few lines of each split are all that goes to Python again
+    records = placed.select(*own).mapInArrow(_records(machine), "rec_no bigint, kind string, header string, seq string, qual string, _open int")
+    heads = led_by.select(*own, "_block").mapInArrow(_heads(machine), "rec_no bigint, _block bigint, lines array<string>")
     heads = materialize(heads.groupBy("rec_no").agg(F.array_sort(F.collect_list(F.struct("_block", "lines"))).alias("_parts")))
     rest = heads.select("rec_no", F.flatten(F.transform("_parts", lambda p: p["lines"])).alias("_rest"))
     letters = rest.agg(F.sum(F.char_length(F.array_join("_rest", "\n")))).first()[0] or 0

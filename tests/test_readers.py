@@ -201,3 +201,52 @@ def test_records_of_four_lines_at_once():
                 got += [tuple(r.values()) for b in R._fours(many, pa.array(part, pa.string())) for r in b.to_pylist()]
                 at = max(at, end)
             assert got == want and list(many.close(False)) == list(one.close(False)) and (many.number, many.state) == (one.number, one.state)
+
+
+def test_mixed_records_at_once():
+    """Whole records of all kinds come out of a batch as those cut line by line, wherever a batch or a split begins; ``led`` ends where the walk does."""
+    import numpy as np
+    import pyarrow as pa
+
+    from kmerloom.sources import records as R
+
+    rng = random.Random(5)
+    sort = lambda x: R.BLANK if not x else R.GREATER if x[0] == ">" else R.HASH if x[0] == "#" else R.SAM_HEADER if x.startswith("@HD\t") else R.AT if x[0] == "@" else R.OTHER
+    step, begin = R._tables("any")
+    for turn in range(300):
+        lines = some_lines(rng, 12)[rng.randrange(3) :]
+        classes = np.array([sort(x) for x in lines], np.int64)
+        state = rng.randrange(6)
+        one, many = R._Cut("any", state, 7), R._Cut("any", state, 7)
+        cuts = sorted({0, len(lines), *(rng.randrange(len(lines) + 1) for _ in range(turn % 5))})
+        got = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            got += [tuple(r.values()) for part in R._anys(many, pa.array(lines[a:b], pa.string()), classes[a:b]) for r in part.to_pylist()]
+        assert got == list(one.add(lines, classes.tolist()))
+        assert list(many.close(False)) == list(one.close(False)) and (many.number, many.state) == (one.number, one.state)
+        n, at = 0, state
+        while at != R.BETWEEN and n < len(lines) and not begin[at, classes[n]]:
+            at, n = step[at, classes[n]], n + 1
+        assert R.led(classes, state, "any")[0] == n
+
+
+def test_lines_sent_again(spark, split_at, tmp_path, monkeypatch):
+    """Only lines that end a record over an edge of splits go through Python once more; before, all lines did."""
+    path = tmp_path / "m.txt"
+    path.write_text("".join(f"@r{i}\nACGT\n+\nIIII\n>f{i}\nAC\nGT\n#\n" for i in range(400)))
+    split_at(1000)
+    sent = spark.sparkContext.accumulator(0)
+
+    def counting(machine):
+        def go(batches):
+            for batch in batches:
+                sent.add(batch.num_rows)
+                yield from inner(iter([batch]))
+
+        inner = heads(machine)
+        return go
+
+    heads = records._heads
+    monkeypatch.setattr(records, "_heads", counting)
+    assert records.cut_records(spark, [str(path)]).count() == 800
+    assert 0 < sent.value < 4 * 13
