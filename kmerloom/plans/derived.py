@@ -78,6 +78,11 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "reads", build)
 
 
+def passing_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``reads`` as they are derived, for a query that takes them once: they are neither written nor read again."""
+    return windows(contigs(spark, sf_dir))
+
+
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, seq): of each contig all exons (T1), and all but every third (T2)."""
 

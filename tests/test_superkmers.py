@@ -94,3 +94,15 @@ def test_metrics_write_no_kmers(spark, monkeypatch):
 
     monkeypatch.setattr(queries, "materialize", none)
     assert queries.run_metrics(spark, "/root/testdata/sf0.001").first()["total"] > 0
+
+
+def test_reads_pass_to_the_count(spark, monkeypatch):
+    """Queries that count the reads' k-mers do not write the reads; before, they were written and read again."""
+    from kmerloom.plans import derived, queries
+
+    def none(*args, **more):
+        raise AssertionError("the reads were written")
+
+    monkeypatch.setattr(derived, "once", none)
+    for name in ("kmer_solid", "bloom_sizing", "solid_filter_counts", "run_metrics"):
+        assert queries.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1
