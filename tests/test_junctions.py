@@ -292,3 +292,14 @@ def test_runs_over_pieces(spark):
             if h and (not x or not hit[x - 1]):
                 want.add((r.id, x, next((y for y in range(x, len(hit)) if not hit[y]), len(hit)) - 1))
     assert whole == parts == want
+
+
+def test_a_boundary_list_is_worked_out_once(spark):
+    """Records of many runs: the list must not be made anew for each of its places, on either side of the join."""
+    runs = spark.createDataFrame([("a", 9000, 60 * i, 60 * i + 30) for i in range(150)] + [("b", 9000, 5, 6)], "id string, n int, s int, e int")
+    seqs = spark.createDataFrame([("a", bases(9026)), ("b", bases(9026))], "id string, seq string")
+    bounds = J.bounds_of_runs(runs, 25, 10)
+    for found in (J.all_exons(seqs, bounds), J.confident_exons(seqs, bounds)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("zip_with") == 1
+    rows = J.all_exons(seqs, bounds).orderBy("exon_no").collect()
+    assert [(r.id, r.exon_no) for r in rows] == [("a", i) for i in range(150)] and rows[0].start == 1
