@@ -206,3 +206,31 @@ def test_quality_shift_of_plain_strings(spark):
     assert "translate" in moved._jdf.queryExecution().optimizedPlan().toString()
     with pytest.raises(Exception, match="out of range"):
         readers.shift_quality(spark.createDataFrame([("A", "h:")], "seq string, qual string"), 64).collect()
+
+
+def test_shared_ends(spark, monkeypatch):
+    """Links and groups of end k-mers against all pairs: other letters, names that repeat, a k-mer that most exons have, few ends at a time; no k-mer travels by itself."""
+    monkeypatch.setattr(G, "BUFFER", 7)
+    own = random.Random(8)
+    ends = ["".join(own.choice("ACGT") for _ in range(12)) for _ in range(5)] + ["ACGTNACGTACN", "ACGTNACGTACG", "é" + "ACGTACGTACG"]
+    rows = [(i, f"x{own.randrange(90)}", own.choice(ends) + own.choice("ACGT") * 3 + own.choice(ends), own.random() < 0.2, own.random() < 0.2) for i in range(120)] + [(120, "y", "ACGT", False, False)]
+    blocks = spark.createDataFrame(rows, "rec_no bigint, exon string, seq string, is_first boolean, is_last boolean").repartition(5)
+    k, n = 9, 3
+    groups: dict = {}
+    for _, exon, seq, first, last in rows:
+        if len(seq) >= k + n - 1:
+            for i in range(n):
+                if not first:
+                    groups.setdefault(("start", seq[i : i + k]), set()).add(exon)
+                if not last:
+                    groups.setdefault(("end", seq[len(seq) - k - i : len(seq) - i]), set()).add(exon)
+    groups = {key: e for key, e in groups.items() if len(e) > 1}
+    assert {(r.side, r.kmer): (r.exons, r.first_exon) for r in G.shared_groups(blocks, k, n).collect()} == {key: (len(e), min(e)) for key, e in groups.items()}
+    root = {e: e for g in groups.values() for e in g}
+    for _ in root:
+        for g in groups.values():
+            least = min(root[e] for e in g)
+            root.update((e, least) for e in g)
+    assert {r.exon: r.component for r in G.exon_components(blocks, k, n).collect()} == root
+    sent = G._by_bucket(G.end_bases(blocks, "rec_no", k, n), k, True)
+    assert sent.filter("kind = 'codes'").count() < 120 * 2 * n / 2
