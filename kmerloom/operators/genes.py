@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions.text import exons_of, transcript_of
 from kmerloom.operators.components import connected_components
-from kmerloom.storage import global_rank
+from kmerloom.storage import global_rank, materialize
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -25,11 +25,16 @@ def node_ids(edges: DataFrame) -> DataFrame:
 
 
 def genes(edges: DataFrame) -> DataFrame:
-    """(exon, gene): the component of each node, numbered from 1 by first appearance."""
-    found = nodes(edges)
-    roots = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    rooted = found.join(roots, found["label"] == roots["node"], "left").select("label", "seen", F.coalesce("root", "label").alias("root"))
-    numbered = global_rank(rooted.groupBy("root").agg(F.min("seen").alias("first_seen")), ["first_seen"], "gene")
+    """(exon, gene): the component of each node, numbered from 1 by first appearance.
+
+    Components are those of the nodes' numbers by first appearance: a gene's smallest one tells its place.
+    """
+    found = materialize(global_rank(nodes(edges), ["seen", "label"], "number").select("label", "number"))
+    ends = [found.select(F.col("label").alias(end), F.col("number").alias(c)) for end, c in (("src", "u"), ("dst", "v"))]
+    links = edges.select("src", "dst").join(ends[0], "src").join(ends[1], "dst").select("u", "v")
+    rooted = found.join(connected_components(links), F.col("number") == F.col("node"), "left").select("label", F.coalesce("root", "number").alias("root"))
+    rooted = materialize(rooted)
+    numbered = global_rank(rooted.select("root").distinct(), ["root"], "gene")
     return rooted.join(numbered, "root").select(F.col("label").alias("exon"), (F.col("gene") + 1).alias("gene"))
 
 

@@ -234,3 +234,25 @@ def test_shared_ends(spark, monkeypatch):
     assert {r.exon: r.component for r in G.exon_components(blocks, k, n).collect()} == root
     sent = G._by_bucket(G.end_bases(blocks, "rec_no", k, n), k, True)
     assert sent.filter("kind = 'codes'").count() < 120 * 2 * n / 2
+
+
+def test_components_of_numbers(spark, monkeypatch):
+    """Longs are put together where they lie: long chains need few rounds, whatever order links come in; nodes told by a name that appears first in one line."""
+    from kmerloom.operators import components
+
+    monkeypatch.setattr(components, "BUFFER", 50)
+    own = random.Random(6)
+    pairs = [(i, i + 1) for i in range(900) if i % 300 != 299] + [(own.randrange(1000, 1100), own.randrange(1000, 1100)) for _ in range(60)] + [(2000, 2000)]
+    root = {n: n for p in pairs for n in p}
+    for _ in root:
+        before = dict(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if before == root:
+            break
+    links = spark.createDataFrame(pairs, "u bigint, v bigint").repartition(6)
+    want = {n: r for n, r in root.items() if n != 2000 and any(n in p and p[0] != p[1] for p in pairs)}
+    assert {r.node: r.root for r in connected_components(links, max_rounds=6).collect()} == want
+    assert connected_components(links.limit(0)).count() == 0
+    edges = spark.createDataFrame([(3, "b", "a"), (1, "z", "y"), (2, "y", "y"), (5, "q", "q"), (4, "a", "z2")], "line_no bigint, src string, dst string")
+    assert {r.exon: r.gene for r in genes.genes(edges).collect()} == {"z": 1, "y": 1, "b": 2, "a": 2, "z2": 2, "q": 3}
