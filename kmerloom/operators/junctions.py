@@ -313,13 +313,13 @@ def scan_record(
 
 def boundaries(
     seqs: DataFrame, kmers: DataFrame, k: int, leniency: int = 10, compat: bool = True, limit: int = BROADCAST_LIMIT, factor: float = 0.0, rate: float = 0.0,
-    missing: DataFrame | None = None, members: Members | None = None,
+    missing: DataFrame | None = None, members: Members | None = None, size: int | None = None,
 ) -> DataFrame:
     """(id, bounds, fixes) with probing; records without three hits in a row have no row. ``id`` is unique.
 
     A set of up to ``limit`` k-mers is broadcast and each record is scanned in one go; beyond, all gaps of all records are a frontier (``gaps``).
     With a ``factor`` the default leniency follows from ``rate``, the false-positive rate the set was made for.
-    ``missing``, the runs of missing starts (id, a, b), and ``members``, which answers for the set, are given where they are had without it.
+    ``missing``, the runs of missing starts (id, a, b), ``members``, which answers for the set, and its ``size`` are given where they are had without it.
     """
     leniency = leniency_from_rate(leniency, factor, rate, k)
     if not 0 <= leniency <= k - 2:
@@ -331,7 +331,7 @@ def boundaries(
 
     absent = (missing_runs(seqs, kmers, k) if missing is None else missing).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("missing"))
     own = long_enough(seqs, k).select("id", "seq").join(absent, "id", "left")
-    if k <= WORD and kmers.limit(limit + 1).count() <= limit:
+    if k <= WORD and (kmers.count() if size is None else size) <= limit:
         schema = "bounds array<int>, fixes array<struct<place: int, was: string, base: string>>"
         out = answer_records(own, kmers, k, "id", work, schema)
     else:

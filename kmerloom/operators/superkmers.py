@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,15 +161,23 @@ def _times(column: pa.Array) -> list[np.ndarray]:
     return [_unplaned(data, len(data) // 4) for data in map(zlib.decompress, column.to_pylist())]
 
 
-def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq", share: tuple[int, int] = (0, 1)) -> DataFrame:
+def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq", share: tuple[int, int] = (0, 1), group: str | None = None) -> DataFrame:
     """(bucket, sizes, bases, times) of all k-mers of A, C, G and T; with ``key``, ``owners`` has its value, as text, and the place of each copy of each stretch.
 
-    ``share`` (i, n) leaves only the i-th of n parts of the buckets, for work in n passes.
+    ``share`` (i, n) leaves only the i-th of n parts of the buckets, for work in n passes. With ``group``, rows have its value and the k-mers of that group only.
     """
     columns = ["sizes", "bases", "times", *(["owners"] if key else [])]
     fields = [T.StructField("bucket", T.IntegerType()), *(T.StructField(c, T.BinaryType()) for c in columns)]
     names = [f.name for f in fields]
 
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            for g in pc.unique(column):
+                own = batch.filter(pc.is_null(column) if not g.is_valid else pc.fill_null(pc.equal(column, g), False))
+                for row in run(iter([own.select([seq])])):
+                    yield row.append_column(group, pa.array([g.as_py()] * row.num_rows, column.type))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, row, place, inside, clean in windows_of(batch.column(0), k):
@@ -207,6 +216,8 @@ def deal(seqs: DataFrame, k: int, key: str | None = None, seq: str = "seq", shar
                     out.append(pa.array(_owners(batch.column(1).take(pa.array(row[at])), place[at].astype(np.int32), copies), pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names)
 
+    if group:
+        return seqs.select(seq, group).mapInArrow(grouped, T.StructType([*fields, seqs.schema[group]]))
     return seqs.select(seq, *([F.col(key).cast("string").alias(key)] if key else [])).mapInArrow(run, T.StructType(fields))
 
 
@@ -255,6 +266,30 @@ def counted(dealt: DataFrame, k: int) -> DataFrame:
     return dealt.select("bucket", "sizes", "bases", "times").groupBy("bucket").applyInArrow(own, ", ".join(f"{c} bigint" for c in [*names, "n"]))
 
 
+def size(dealt: DataFrame, k: int) -> int:
+    """How many distinct k-mers there are in all; a number for each bucket is all that leaves it."""
+
+    def own(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array([len(_distinct(table, k)[1])], pa.int64())], names=["n"])
+
+    found = dealt.select("bucket", "sizes", "bases", "times").groupBy("bucket").applyInArrow(own, "n bigint")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+
+
+def sizes(seqs: DataFrame, k: int, group: str, seq: str = "seq") -> DataFrame:
+    """(group, n): how many distinct k-mers the sequences of each group have."""
+    kind = seqs.schema[group].dataType.simpleString()
+
+    def own(table: pa.Table) -> pa.Table:
+        groups = pc.unique(table[group])
+        of = lambda g: pc.is_null(table[group]) if g is None else pc.equal(table[group], g)
+        n = [len(_distinct(table.filter(of(g.as_py())), k)[1]) for g in groups]
+        return pa.table([groups, pa.array(n, pa.int64())], names=[group, "n"])
+
+    met = deal(seqs, k, seq=seq, group=group).groupBy("bucket").applyInArrow(own, f"`{group}` {kind}, n bigint")
+    return met.groupBy(group).agg(F.sum("n").alias("n"))
+
+
 def _member(codes: list[np.ndarray], known: list[np.ndarray]) -> np.ndarray:
     """Which k-mers are among sorted distinct ones."""
     if not len(known[0]):

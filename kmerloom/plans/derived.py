@@ -110,6 +110,11 @@ def known_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmers.counted(dealt(spark, sf_dir), K).select(*code_names(K))
 
 
+def known_size(spark: SparkSession, sf_dir: str) -> int:
+    """How many distinct k-mers the contigs have."""
+    return superkmers.size(dealt(spark, sf_dir), K)
+
+
 def members(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
     """Those of some k-mers, in code columns, that the contigs have."""
     return lambda asked: superkmers.members(asked, dealt(spark, sf_dir), K)

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from kmerloom.operators import kmers
+from kmerloom.operators import kmers, superkmers
 from kmerloom.operators.lookup import canonical_text
 from kmerloom.sources import pieces
 from tests.test_readers import split_at  # noqa: F401
@@ -85,3 +86,24 @@ def test_record_over_part_files(spark, split_at, tmp_path, size, split):  # noqa
 def test_bad_halo(spark):
     with pytest.raises(ValueError):
         pieces.read_pieces(spark, ["x"], 5, 5)
+
+
+def test_counts_and_misses_by_bucket(spark):
+    """Figures of records in pieces, and their misses as runs, against k-mers one by one: other letters, records that share k-mers, one without k-mers."""
+    own = random.Random(12)
+    seqs = ["".join(own.choice("ACGT") for _ in range(n)) for n in (300, 90, 41, 3)] + ["ACGTTGCA" * 40, "ACGTN" * 30]
+    seqs[1] = seqs[0][50:120] + seqs[1]
+    rows = spark.createDataFrame(list(enumerate(seqs)), "rec_no bigint, seq string")
+    cut = pieces.cut_pieces(rows, K - 1, 32).repartition(4)
+    every = kmers.explode_pieces(cut, K)
+    counted, distinct = kmers.piece_counts(cut, K)
+    want = every.groupBy("rec_no").agg(F.count(F.lit(1)), F.sum("x"), F.max("x"), F.count_distinct("c0"))
+    assert {tuple(r) for r in counted.join(distinct, "rec_no").collect()} == {tuple(r) for r in want.collect()}
+    known = spark.createDataFrame([(seqs[0][20:200],), (seqs[4][3:40],)], "seq string")
+    missed = kmers.piece_misses(cut, superkmers.deal(known, K), K)
+    one_by_one = kmers.piece_runs(cut, kmers.reference_set(known, K), K)
+    assert {tuple(r) for r in kmers.runs_of_pieces(cut, missed, K).collect()} == {tuple(r) for r in one_by_one.collect()}
+    whole = superkmers.absent_runs(rows, superkmers.deal(known, K), K, "rec_no")
+    got = [tuple(r) for r in kmers.kmers_of_runs(rows, whole, K, "rec_no").collect()]
+    assert sorted(got) == sorted((r.rec_no, r.x, r.kmer) for r in kmers.with_text(kmers.missing_kmers(rows, kmers.reference_set(known, K), K, "rec_no"), K).collect())
+    assert superkmers.size(superkmers.deal(rows, K), K) == kmers.reference_set(rows, K).count()
