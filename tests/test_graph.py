@@ -256,3 +256,16 @@ def test_components_of_numbers(spark, monkeypatch):
     assert connected_components(links.limit(0)).count() == 0
     edges = spark.createDataFrame([(3, "b", "a"), (1, "z", "y"), (2, "y", "y"), (5, "q", "q"), (4, "a", "z2")], "line_no bigint, src string, dst string")
     assert {r.exon: r.gene for r in genes.genes(edges).collect()} == {"z": 1, "y": 1, "b": 2, "a": 2, "z2": 2, "q": 3}
+
+
+def test_bits_and_places_at_once(spark):
+    """Bits are counted and places put in order without a step for each byte or a hash table."""
+    own = np.random.default_rng(2)
+    bodies = [own.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 999, 65536)]
+    slices = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "slice bigint, body binary").repartition(2)
+    found = bloom.set_bits(slices)
+    assert found.first().set_bits == sum(int.from_bytes(b, "big").bit_count() for b in bodies)
+    assert bloom.set_bits(slices.limit(0)).first().set_bits == 0
+    assert "hex(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    at = own.integers(0, 500, (300, 6))
+    assert bloom.sorted_distinct(at).tolist() == sorted(set(at.ravel().tolist())) and not len(bloom.sorted_distinct(at[:0]))
