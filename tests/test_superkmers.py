@@ -135,3 +135,19 @@ def test_record_kmers(spark, tmp_path, monkeypatch):
         got = Q.queries()[name](spark, str(tmp_path))
         columns = ", ".join(got.columns)
         assert {tuple(r) for r in got.collect()} == set(con.execute(f"SELECT {columns} FROM ({Q.oracle_sql()[name]})").fetchall())
+
+
+def test_members_are_asked_packed(spark, seqs, monkeypatch):
+    """Questions go to the buckets of the k-mers they ask for, each once in a task and in few rows; minimizers are those of the k-mers' bases."""
+    import numpy as np
+
+    monkeypatch.setattr(superkmers, "ASKED", 300)
+    for k in (5, 25, 31, 40):
+        asked = kmers.explode_kmers(seqs, k, keep=[]).select(*code_names(k))
+        codes = [np.array([r[i] for r in asked.limit(200).collect()], np.int64) for i in range(len(code_names(k)))]
+        bases = np.stack([c >> 2 * (w - 1 - i) & 3 for c, w in zip(codes, superkmers.widths(k), strict=True) for i in range(w)], axis=1).astype(np.uint8)
+        assert (superkmers._minimizers_of(codes, k) == superkmers._minimizers(bases.ravel(), k)[::k]).all()
+        held = superkmers.deal(seqs.filter("id % 3 = 0"), k)
+        found = superkmers.members(asked, held, k)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, superkmers.counted(held, k).select(*code_names(k)).collect()))
+        assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
