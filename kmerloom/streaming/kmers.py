@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.functions.codes import decode
-from kmerloom.operators.kmers import count_kmers
+from kmerloom.functions.codes import code_names, decode
+from kmerloom.operators.kmers import explode_kmers
 
 
 def stream_reads(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,4 +26,6 @@ def stream_reads(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_counts(reads: DataFrame, k: int) -> DataFrame:
     """Streaming (canon, n): running counts, to be written in update or complete mode."""
-    return count_kmers(reads, k).select(decode(k).alias("canon"), "n")
+    # A state by k-mer grows from batch to batch; buckets of minimizers are counted anew in each.
+    names = code_names(k)
+    return explode_kmers(reads, k, keep=[]).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).select(decode(k).alias("canon"), "n")
